@@ -31,10 +31,6 @@ MAX_UNITS = 1_000_000
 #: A longer part has its agenda in a heap.
 SHORT = 48
 NONE = float("-inf")
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Where no piece has a letter beside another character than a space.
-WORD = re.compile(r"[^\W\d_]")
-WORD_UNIT = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[\W\d_](?<!{SPACE}))+|{SPACE}+")
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -56,10 +52,20 @@ class MergeVocabulary:
         self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space after another character")
-        mixed = any(SPACE not in ab and (WORD.match(ab[0]) is None) != (WORD.match(ab[1]) is None) for ab in self.joined)
-        self.unit = UNIT if mixed else WORD_UNIT
+        self.letter, self.unit = self._units()
         self.units: dict[str, tuple[int, str, str]] = {}
 
+    def _units(self) -> tuple[re.Pattern, re.Pattern]:
+        """What counts as a letter, and the pattern of a unit. No piece joins a letter and another character than a
+        space; characters that would break this aren't letters here."""
+        letter = re.compile(r"[^\W\d_]")
+        mixed = [ab for ab in self.joined if SPACE not in ab and bool(letter.match(ab[0])) != bool(letter.match(ab[1]))]
+        odd = "".join(map(re.escape, sorted({c for ab in mixed for c in ab if letter.match(c)})))
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        if any(SPACE not in ab and bool(letter.match(ab[0])) != bool(letter.match(ab[1])) for ab in self.joined):
+            return letter, re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return letter, re.compile(rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[\W\d_{odd}](?<!{SPACE}))+|{SPACE}+")
+
     def merge(self, text: str) -> list[int]:
         """Ids of `text`, whose spaces are SPACE already."""
         ids: list[int] = []
@@ -116,6 +122,8 @@ class MergeVocabulary:
 
     def decode_ids(self, ids: list[int]) -> str:
         """The text of ids, with the leading space that encoding puts first."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -140,7 +148,7 @@ class MergeVocabulary:
         coded = [self.encode_unit(u) for u in new]
         if self.check and new:
             # behind a character of the other kind, with which a unit never merges
-            before = ["(" if WORD.match(u) else "a" for u in new]
+            before = ["(" if self.letter.match(u) else "a" for u in new]
             skip = {b: len(self.encode_unit(SPACE + b)) for b in "(a"}
             rights = self.library.encode([b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)], num_threads=1)
             for u, ids, b, right in zip(new, coded, before, rights, strict=True):

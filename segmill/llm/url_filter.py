@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries that may be broadcast; at about 300 bytes each the trie then stays below 100 MB.
 MAX_ENTRIES = 300_000
@@ -94,7 +95,7 @@ def judge_urls(pages: DataFrame, entries: list[Entry], url: str = "url", default
     # A-Z only: lower() would also change other letters
     lowered = F.translate(F.regexp_extract(text, HOST, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = pages.select(*kept, lowered.alias("host"), F.regexp_extract(text, PATH, 1).alias("path"))
-    schema = parts.withColumns({"rule": F.lit("").cast("string"), "verdict": F.lit("")}).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in parts.schema] + [T.StructField(c, T.StringType()) for c in ("rule", "verdict")])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
