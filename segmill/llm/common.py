@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +75,62 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def spread_blocks(rows: DataFrame, keys: list[str], member: str, block: int, few: int = 10_000) -> DataFrame:
+    """Rows sorted by keys, i, j, so that all pairs of rows with equal keys meet: a key with over `block` rows has its
+    rows hashed to blocks (`own`), and a group (keys, i, j) for each two blocks; other keys have the one group (0, 0).
+
+    The keys with many rows are broadcast if they are at most `few`, else joined by a shuffle.
+    """
+    big = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "big-keys")
+    known = F.broadcast(big) if big.count() <= few else big
+    zero = F.lit(0).cast("long")
+    blocks = F.ceil(F.coalesce("_n", F.lit(1)) / block).cast("long")
+    dealt = rows.join(known, keys, "left").withColumn("_n", blocks).withColumn("own", F.pmod(F.xxhash64(member), F.col("_n")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(zero, F.col("_n") - 1)))
+    dealt = dealt.select(*rows.columns, "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
+    # a pair within a block counts in the group of that block alone
+    return dealt.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", member)
+
+
+def starts_of(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where the groups of a batch, sorted by integer keys, start."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        values = batch.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield joined()
+            held = []
+        cut = int(starts_of(batch, keys)[-1])
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield joined()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield joined()
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each group of at least two rows."""
+    for batch in whole_groups(batches, keys):
+        starts = starts_of(batch, keys)
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            yield batch.slice(start, size)

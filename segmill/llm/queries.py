@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from segmill.llm import language, near_vectors, quality, simhash, toxicity
+from segmill.llm.block_search import nearest
 from segmill.llm.common import table
 from segmill.llm.packing import pack_documents
 from segmill.llm.pieces import digest_documents
 from segmill.llm.url_filter import Entry, judge_urls
+from segmill.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +27,27 @@ URL_ENTRIES = [
 ]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,6 +56,51 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_ENTRIES).drop("url")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH sized AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM sized)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           1 + CAST(((CAST('0x' || hex[1 + 5 * (i // 4) : 5 + 5 * (i // 4)] AS BIGINT)) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT)]),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM grouped
+"""
+
+OP3_SQL = """
+WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93),
+reached AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a)
+SELECT e.vec_id, (SELECT count(*) FROM pairs WHERE a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM reached WHERE a = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM reached WHERE a = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e
+"""
+
+OP5_SQL = """
+WITH scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+         list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP7_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -56,9 +122,18 @@ FROM judged
 """
 
 
+QUERIES = (op1_simhash, op2_warc, op3_near_vectors, op4_packing, op5_block_search, op6_pieces, op7_url_filter, op8_quality, op9_toxicity, op10_language)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op6_pieces, op7_url_filter)}
+    return {f.__name__: f for f in (*QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL, "op5_block_search": OP5_SQL, "op7_url_filter": OP7_SQL}
