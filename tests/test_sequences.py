@@ -1,0 +1,163 @@
+"""The window forms against a plain simulator of the rules, and hand-made cases."""
+
+import random
+
+import pytest
+
+from segmill.operators import ads, intervals, transcripts
+from segmill.parameters import PROMOTIONS, TRANSITIONS, Parameters
+from segmill.schemas import SEGMENTS
+
+P = Parameters()
+
+
+def simulate_expansion(rows, p):
+    """rows of one transcript in order, as dicts; returns the flags."""
+    flags = [r["is_ad"] for r in rows]
+    if not any(flags):
+        return flags
+    ads_now = {i for i, f in enumerate(flags) if f}
+    has = lambda r, phrases: any(x in r["text"].lower() for x in phrases)
+    for i, r in enumerate(rows):
+        if i in ads_now or not has(r, p.transitions):
+            continue
+        ads_now.add(i)
+        for j in range(i + 1, len(rows)):
+            near = j + 1 in ads_now and rows[j + 1]["start_s"] - rows[j]["end_s"] <= p.bridge_gap
+            if j in ads_now or has(rows[j], p.promotions) or near:
+                ads_now.add(j)
+            else:
+                break
+    return [i in ads_now for i in range(len(rows))]
+
+
+def simulate_blocks(rows, gap):
+    blocks = []
+    for i, r in enumerate(rows):
+        if r["is_ad"]:
+            if i and rows[i - 1]["is_ad"] and r["start_s"] - rows[i - 1]["end_s"] <= gap:
+                blocks[-1].append(r["id"])
+            else:
+                blocks.append([r["id"]])
+    return blocks
+
+
+def simulate_merge(rows, p):
+    merged = []
+    for a, b in sorted((r["start_s"], r["end_s"]) for r in rows if r["is_ad"]):
+        if merged and a <= merged[-1][1] + p.max_gap:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged if b - a >= p.min_duration]
+
+
+def simulate_kept(merged, length):
+    if not merged:
+        return [(0, length)]
+    kept, at = [], 0
+    for a, b in merged:
+        a, b = int(a * 1000), int(b * 1000)
+        if a > at:
+            kept.append((at, a))
+        at = b
+    return kept + ([(at, length)] if at < length else [])
+
+
+def random_rows(seed, transcripts_=120):
+    rng, rows = random.Random(seed), []
+    for tid in range(transcripts_):
+        at = 0.0
+        for pos in range(rng.randint(1, 14)):
+            start = at + rng.choice([-1.0, 0.0, 1.5, 5.0, 5.5, 20.0, 21.0])
+            end = start + rng.choice([0.5, 2.0, 5.0, 9.0])
+            text = rng.choice(["plain", "Bleiben SIE dran jetzt", "mehr Infos", "Tickets hier", "gleich geht es weiter"])
+            rows.append({"tid": tid, "id": pos, "pos": pos, "text": text, "start_s": start, "end_s": end, "is_ad": rng.random() < 0.25})
+            at = end
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_simulator(spark, seed):
+    rows = random_rows(seed)
+    segments = spark.createDataFrame(rows, SEGMENTS)
+    by_tid = {}
+    for r in rows:
+        by_tid.setdefault(r["tid"], []).append(dict(r))
+    expanded = ads.expand_ads(segments, P)
+    got = {(r.tid, r.id): r.is_ad for r in expanded.collect()}
+    for tid, part in by_tid.items():
+        for r, flag in zip(part, simulate_expansion(part, P), strict=True):
+            assert got[tid, r["id"]] == flag
+            r["is_ad"] = flag
+    blocks = {}
+    for r in ads.ad_blocks(expanded, P).orderBy("tid", "block").collect():
+        blocks.setdefault(r.tid, []).append([int(x) for x in r.ids.split(",")])
+    assert blocks == {t: b for t, part in by_tid.items() if (b := simulate_blocks(part, P.block_gap))}
+    merged = intervals.merged_intervals(expanded, P)
+    want = {t: simulate_merge(part, P) for t, part in by_tid.items()}
+    found = {}
+    for r in merged.orderBy("tid", "start_s").collect():
+        found.setdefault(r.tid, []).append((r.start_s, r.end_s))
+    assert found == {t: m for t, m in want.items() if m}
+    lengths = {t: 30_000 + 1000 * t for t in by_tid}
+    audio = spark.createDataFrame(list(lengths.items()), "tid bigint, len_ms bigint")
+    kept = {}
+    for r in intervals.kept_spans(merged, audio).collect():
+        kept.setdefault(r.tid, []).append((r.from_ms, r.to_ms))
+    # starts before 0 or the end so far make no span
+    assert {t: sorted(k) for t, k in kept.items()} == {t: k for t in by_tid if (k := sorted(simulate_kept(want[t], lengths[t])))}
+
+
+def hand_rows(ads_=()):
+    texts = ["Gespräch", "Nach einer kurzen Unterbrechung", "Jetzt buchen", "weiter", "weiter", "weiter", "Bleiben Sie dran", "Werbung", "Werbung", "Werbung", "Werbung", "Zurück"]
+    return [(1, 147 + i, i, t, 460.0 + 3 * i, 462.5 + 3 * i, 147 + i in ads_) for i, t in enumerate(texts)]
+
+
+def test_expansion_by_hand(spark):
+    rows = spark.createDataFrame(hand_rows({154, 155, 156, 157}), SEGMENTS)
+    assert {r.id for r in ads.expand_ads(rows).where("is_ad").collect()} == {148, 149, 153, 154, 155, 156, 157}
+
+
+def test_nothing_flagged_stays(spark):
+    rows = spark.createDataFrame(hand_rows(), SEGMENTS)
+    assert ads.expand_ads(rows).where("is_ad").count() == 0
+
+
+def test_one_block(spark):
+    rows = spark.createDataFrame(hand_rows(set(range(148, 158))), SEGMENTS)
+    (block,) = ads.ad_blocks(rows).collect()
+    assert (block.first_id, block.last_id, block.n_segments, block.duration_s) == (148, 157, 10, 29.5)
+
+
+def test_boundaries(spark):
+    rows = [(1, i, i, "x", a, b, True) for i, (a, b) in enumerate([(0.0, 5.0), (25.0, 26.0), (46.5, 51.5), (90.0, 94.9)])]
+    merged = intervals.merged_intervals(spark.createDataFrame(rows, SEGMENTS)).orderBy("start_s").collect()
+    assert [(r.start_s, r.end_s) for r in merged] == [(0.0, 26.0), (46.5, 51.5)]
+
+
+def test_reduction_past_the_end(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "x", 0.0, 1.0, False), (1, 1, 1, "x", 8.0, 20.0, True), (2, 0, 0, "x", 0.0, 9.0, False)], SEGMENTS)
+    audio = spark.createDataFrame([(1, 10_000), (2, 9_000)], "tid bigint, len_ms bigint")
+    got = {r.tid: (r.kept_ms, r.removed_ms, r.reduction_percent) for r in intervals.reduction_report(rows, audio).collect()}
+    assert got == {1: (8000, 12000.0, 20.0), 2: (9000, 0.0, 0.0)}
+
+
+def test_model_answer_is_numbered_and_stripped(spark):
+    rows = spark.createDataFrame([(7, [("\t a b \n", 0.0, 1.0), ("c", 1.0, 2.0)]), (8, [])], "tid bigint, segments array<struct<text: string, start: double, end: double>>")
+    assert [tuple(r) for r in transcripts.segments_from_model(rows).orderBy("id").collect()] == [(7, 0, 0, "a b", 0.0, 1.0, False), (7, 1, 1, "c", 1.0, 2.0, False)]
+
+
+def test_last_of_each_id(spark):
+    rows = spark.createDataFrame([(1, 0, "a", 0), (1, 1, "b", 1), (1, 0, "c", 2)], "tid bigint, id bigint, text string, ingest_pos bigint")
+    assert {(r.id, r.text) for r in transcripts.last_of_each_id(rows).collect()} == {(0, "c"), (1, "b")}
+
+
+def test_chunks_and_prompts(spark):
+    rows = spark.createDataFrame([(1, 10 + i, i, f"t{i}", 0.0, 1.0, False) for i in range(5)], SEGMENTS)
+    got = transcripts.chunk_prompts(transcripts.chunks(rows, Parameters(chunk_size=2))).orderBy("chunk_id").collect()
+    assert [r.prompt for r in got] == ["ID: 10 Text: t0\nID: 11 Text: t1", "ID: 12 Text: t2\nID: 13 Text: t3", "ID: 14 Text: t4"]
+
+
+def test_phrases_are_lower_case():
+    assert all(p == p.lower() for p in (*PROMOTIONS, *TRANSITIONS))
