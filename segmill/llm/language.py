@@ -32,7 +32,7 @@ from segmill.llm.common import fold, slices
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 MAX_GRAMS = 200_000
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 #: Longer words are not n-grams themselves.
 SHORT_WORD = 6
 SWITCH = 14.0
@@ -130,11 +130,12 @@ class Scorer:
             starts.append(len(ids))
             ids += [rows.get(g, last) for g in grams(word)]
         found = np.add.reduceat(self.model.table[ids], starts, axis=0)
-        for i, word in enumerate(new):
-            fits = self.model.scripts.get(script(word[0]))
-            if fits is not None and fits.any():
-                found[i] += np.where(fits, 0, OUT_OF_SCRIPT)
-            self.at[word] = start + i
+        kinds = np.array([script(word[0]) for word in new])
+        for kind in np.unique(kinds):
+            fits = self.model.scripts.get(str(kind))
+            if fits is not None and fits.any() and not fits.all():
+                found[kinds == kind] += np.where(fits, 0, OUT_OF_SCRIPT)
+        self.at.update(zip(new, range(start, start + len(new)), strict=True))
         self.scores[start : start + len(new)] = found
         self.letters[start : start + len(new)] = [sum(map(str.isalpha, w)) for w in new]
 
@@ -145,22 +146,29 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         return np.zeros(0, np.int64)
     best = int(scores.sum(axis=0).argmax())
     # if no run of words gains more than a switch costs by leaving the best language, the path never leaves it
-    gain = (scores - scores[:, [best]]).max(axis=1).astype(np.float64)
+    gain = np.delete(scores - scores[:, [best]], best, axis=1).max(axis=1, initial=-np.inf).astype(np.float64)
     total = np.concatenate([[0.0], np.cumsum(gain)])
     if (total - np.minimum.accumulate(total)).max() <= switch:
         return np.full(len(scores), best)
-    value, came = scores[0].astype(np.float64), []
-    own = np.arange(scores.shape[1])
-    for row in scores[1:]:
-        top = int(value.argmax())
-        stay = value >= value[top] - switch
-        came.append(np.where(stay, own, top))
-        value = np.where(stay, value, value[top] - switch) + row
-    path = np.empty(len(scores), np.int64)
-    path[-1] = int(value.argmax())
-    for i in range(len(came) - 1, -1, -1):
-        path[i] = came[i][path[i + 1]]
-    return path
+    # few languages: lists are faster than arrays here
+    first, *rest = scores.tolist()
+    value, came = first, []
+    for row in rest:
+        top = max(value)
+        least = top - switch
+        if min(value) >= least:
+            came.append(None)
+            value = [v + s for v, s in zip(value, row, strict=True)]
+        else:
+            came.append((value.index(top), [v >= least for v in value]))
+            value = [(v if v >= least else least) + s for v, s in zip(value, row, strict=True)]
+    at = value.index(max(value))
+    path = [at]
+    for back in reversed(came):
+        if back is not None and not back[1][at]:
+            at = back[0]
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def label(text: str | None, scorer: Scorer) -> tuple[str, float]:
