@@ -152,8 +152,8 @@ def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     doc_id can't be grouped and stay."""
     found = near_duplicates(docs, most)
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    first = materialise(first, "kept")
-    kept = docs.join(first, "doc_id").select(*docs.columns, "n_rows")
-    repeated = kept.where("n_rows > 1").dropDuplicates(["doc_id"])
+    first = materialise(first, "kept").withColumnRenamed("n_rows", "__rows")
+    kept = docs.join(first, "doc_id").select(*(docs[c] for c in docs.columns), "__rows")
+    repeated = kept.where("__rows > 1").dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull())
-    return kept.where("n_rows = 1").unionByName(repeated).drop("n_rows").unionByName(nameless)
+    return kept.where("__rows = 1").unionByName(repeated).drop("__rows").unionByName(nameless)

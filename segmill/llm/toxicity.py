@@ -6,8 +6,9 @@ a text with many copies out. The lexicon is a trie; Levenshtein automata of its
 trie, run over each word of a text, so a term is also found with one letter wrong (two in a long one). The product automaton is
 built state by state as words come.
 
-A mention weighs what its term and its number of errors were worth in the labelled texts, times a factor for its
-context: a window of words and the marks around it tell a quotation from abuse. The score is 1 - product(1 - weight).
+Terms may stand in clean texts by chance, so a text is judged by how far its mentions exceed the rates of clean texts: the
+deviance of Poisson counts, turned into a probability by a logistic curve that is fitted to the labelled texts. A mention
+in a quotation counts in part; a window of words and the marks around it tell a quotation from abuse.
 
 At most `limit` labelled rows, those with the smallest hashes of their ids, are learned from, and the lexicon has at
 most MAX_TERMS terms, so it can be broadcast whatever the size of the input.
@@ -23,9 +24,11 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +42,9 @@ MAX_CANDIDATES, MAX_TERMS = 100_000, 5_000
 STEMS = range(4, 9)
 #: Whole words of so many letters may have one wrong, of so many two.
 ONE_ERROR, TWO_ERRORS = 5, 10
-#: A term must be so unlikely to be as one-sided by chance (log probability), and be so precise.
-SURPRISE, PRECISION = -14.0, 0.85
+#: A term must be so unlikely to be as one-sided by chance (log probability); so many of the texts with it are toxic, and it
+#: is so many times as frequent in these.
+SURPRISE, PRECISION, RATIO = -14.0, 0.4, 20.0
 #: Contexts for each toxic text with a term.
 VARIETY = 0.5
 #: Words on each side of a mention that belong to its context.
@@ -57,14 +61,17 @@ Walk = frozenset[tuple[int, int, int]]
 
 @dataclass
 class Lexicon:
-    """terms: a word, or a beginning of words if it ends with *; with weights."""
+    """terms: a word, or a beginning of words if it ends with *, with its mentions for each word of clean texts."""
 
     terms: dict[str, float]
-    #: Weight of a match with one and with two errors, times the term's.
-    errors: tuple[float, float] = (0.5, 0.25)
+    #: The same for all mentions with one error, and with two.
+    errors: tuple[float, float] = (1e-4, 1e-3)
     #: Misspellings that are words of clean texts.
     clean: frozenset[str] = frozenset()
+    #: What a quoted mention counts.
     quoted: float = QUOTED
+    #: Slope and offset of the logistic curve over the deviance.
+    curve: tuple[float, float] = (1.0, -4.0)
 
 
 class Matcher:
@@ -176,20 +183,32 @@ class Matcher:
                 near = low[max(0, start - 1) : end + 1]
                 yield m[0], term, errors, marked or not REPORTING.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
 
-    def score(self, text: str | None) -> tuple[float, int]:
-        """Score and number of mentions."""
-        clean, n, lexicon = 1.0, 0, self.lexicon
+    def deviance(self, text: str | None) -> tuple[float, int]:
+        """How far the mentions exceed the rates of clean texts, and their number."""
+        counts: dict[str | int, float] = {}
+        n = 0
         for _, term, errors, quoted, _ in self.mentions(text or ""):
-            weight = lexicon.terms[term] * (lexicon.errors[errors - 1] if errors else 1.0)
-            clean *= 1 - weight * (lexicon.quoted if quoted else 1.0)
+            key = errors or term
+            counts[key] = counts.get(key, 0.0) + (self.lexicon.quoted if quoted else 1.0)
             n += 1
-        return 1 - clean, n
+        if not n:
+            return 0.0, 0
+        size, total = len(WORDS.findall(text)), 0.0
+        for key, count in counts.items():
+            rate = self.lexicon.errors[key - 1] if isinstance(key, int) else self.lexicon.terms[key]
+            if count > size * rate:
+                total += count * math.log(count / (size * rate)) - count + size * rate
+        return total, n
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        """Score and number of mentions; 0 without any."""
+        value, n = self.deviance(text)
+        slope, offset = self.lexicon.curve
+        return (1 / (1 + math.exp(-max(-700.0, slope * value + offset))) if n else 0.0), n
 
 
 def hash_of(found: list[re.Match], i: int) -> int:
     """The words on both sides."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(f"{found[i - 1][0] if i else ''} {found[i + 1][0] if i + 1 < len(found) else ''}") >> 1
 
 
@@ -246,48 +265,58 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     counted = _counts(rows.where("label = 0"), lambda: lambda _, text: [(t, 0) for t in _terms(text) & shared.value], COUNTS)
     clean = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     good = {t: n for t, n in candidates.items() if _one_sided(n, clean.get(t, 0), share)}
-
-    # what remains is found again, to count its contexts
-    def contexts():
-        matcher = Matcher(Lexicon({t: 1.0 for t in terms.value}))
-
-        def work(_: int, text: str) -> list[tuple[str, int]]:
-            found = list(WORDS.finditer(text))
-            out = []
-            for i, m in enumerate(found):
-                for t in (m[0], *(m[0][:n] + "*" for n in STEMS if len(m[0]) > n)):
-                    if t in matcher.lexicon.terms:
-                        out.append((t, hash_of(found, i)))
-            return out
-
-        return work
-
-    terms = rows.sparkSession.sparkContext.broadcast(frozenset(good))
-    counted = _counts(toxic, contexts, COUNTS).select("term", "kind").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    found = _mentions(rows, frozenset(good))
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))).alias("n")).collect()}
     # words that copies share stand in few contexts for so many texts
-    varied = {r.term: r.n for r in counted.collect() if r.n >= max(least, VARIETY * good[r.term])}
-    lexicon = Lexicon(_chosen({t: (good[t], clean.get(t, 0), varied[t]) for t in good if t in varied}))
-    return _with_contexts(rows, lexicon)
+    kept = {t: (m1, m0) for t, (m1, m0, varied) in found.items() if varied >= max(least, VARIETY * good[t])}
+    return _with_contexts(rows, Lexicon(_chosen(kept, sizes[1], sizes[0])), sizes[0])
+
 
+def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, int, int]]:
+    """Of each term: mentions in toxic texts and in clean ones, of those in one text only ones in different contexts, and
+    the number of different contexts in all toxic texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
 
-def _chosen(terms: dict[str, tuple[int, int, int]]) -> dict[str, float]:
-    """Terms with their weights. A term below a stem goes unless texts with it are much more than the stem's others."""
+    def contexts(known: frozenset[str], text: str) -> set[tuple[str, int]]:
+        found, out = list(WORDS.finditer(text)), set()
+        for i, m in enumerate(found):
+            word = m[0]
+            for t in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)):
+                if t in known:
+                    out.add((t, hash_of(found, i)))
+        return out
+
+    def mentions():
+        return lambda mark, text: [(t, mark) for t, _ in contexts(shared.value, text)]
+
+    counted = _counts(rows, mentions, COUNTS).groupBy("term").pivot("kind", [0, 1]).agg(F.sum("n")).na.fill(0)
+    seen = _counts(rows.where("label = 1"), lambda: lambda _, text: contexts(shared.value, text), COUNTS)
+    varied = seen.select("term", "kind").distinct().groupBy("term").agg(F.count("*").alias("varied"))
+    return {r["term"]: (r["1"], r["0"], r["varied"]) for r in counted.join(varied, "term").collect()}
+
+
+def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
+    """The terms that tell most, with their rates in clean texts; of words and their beginnings one, of ties the longest."""
+    worth, rates = {}, {}
+    for t, (toxic, clean) in terms.items():
+        rates[t] = (clean + 0.5) / clean_words
+        ratio = toxic / toxic_words / rates[t]
+        # a term without mentions in clean texts has a ratio that grows with the texts
+        if ratio >= (RATIO if clean else 0.5 * RATIO):
+            worth[t] = toxic * math.log(ratio)
     kept: dict[str, float] = {}
-    # a stem whose texts nearly all have one word of it is that word
-    words = {t[:n] + "*" for t in terms if not t.endswith("*") for n in STEMS if terms[t][0] >= 0.9 * terms.get(t[:n] + "*", (math.inf,))[0]}
-    for term in sorted(terms, key=lambda t: (len(t.removesuffix("*")), not t.endswith("*"), t)):
-        toxic, clean, _ = terms[term]
-        letters = term.removesuffix("*")
-        stems = [letters[:n] + "*" for n in STEMS if n < len(letters) or n == len(letters) and term != letters + "*"]
-        if any(s in kept for s in stems):
-            continue
-        if term not in words:
-            kept[term] = (toxic + 0.5) / (toxic + clean + 1)
-    return dict(sorted(kept.items(), key=lambda kv: -terms[kv[0]][0])[:MAX_TERMS])
-
-
-def _with_contexts(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Learn what misspelled and quoted mentions are worth."""
+    for t in sorted(worth, key=lambda t: (-worth[t], -len(t.removesuffix("*")), t)):
+        letters = t.removesuffix("*")
+        nested = any(letters[:n] + "*" in kept for n in STEMS if n <= len(letters)) or t.endswith("*") and any(k.startswith(letters) for k in kept)
+        if not nested and len(kept) < MAX_TERMS:
+            kept[t] = rates[t]
+    return kept
+
+
+def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexicon:
+    """Learn what misspelled and quoted mentions are worth, then the curve."""
+    if not lexicon.terms:
+        return lexicon
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def work():
@@ -299,22 +328,49 @@ def _with_contexts(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
 
         return each
 
-    counted = _counts(rows, work, COUNTS).groupBy("term", "kind").agg(F.sum("n").alias("n"))
-    quoted, errors, words = [0, 0], {1: [0, 0], 2: [0, 0]}, {}
+    quoted, words = [0, 0], {}
     # misspellings are at most as many as the words near the lexicon's terms
-    for r in counted.toLocalIterator():
+    for r in _counts(rows, work, COUNTS).groupBy("term", "kind").agg(F.sum("n").alias("n")).toLocalIterator():
         mark, wrong, in_quotes = r.kind // 100, r.kind // 10 % 10, r.kind % 10
         if in_quotes and not wrong:
             quoted[mark] += r.n
         if wrong:
             words.setdefault(r.term, [wrong, 0, 0])[1 + mark] += r.n
-    for wrong, clean, toxic in words.values():
-        errors[wrong][0] += clean > toxic
-        errors[wrong][1] += clean <= toxic
-    worth = tuple((errors[e][1] + 1) / (sum(errors[e]) + 2) * 1.3**-e for e in (1, 2))
     clean = frozenset(w for w, (_, c, t) in words.items() if c > t)
+    # clean texts hold misspellings that were not seen as often as those that were seen once
+    rates = [(sum(c for e, c, t in words.values() if e == wrong and c <= 1) + 0.5) / clean_words for wrong in (1, 2)]
     share = (quoted[1] + QUOTED_PRIOR * QUOTED) / (sum(quoted) + QUOTED_PRIOR)
-    return Lexicon(lexicon.terms, worth, clean, share)
+    lexicon = Lexicon(lexicon.terms, tuple(rates), clean, share)
+    return replace(lexicon, curve=_curve(rows, lexicon))
+
+
+def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
+    """Logistic regression on the deviance, from counts of texts by label and tenth of a unit."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def work():
+        matcher = Matcher(shared.value)
+
+        def each(mark: int, text: str) -> list[tuple[str, int]]:
+            value, n = matcher.deviance(text)
+            return [(str(mark), round(10 * min(value, 30.0)))] if n else []
+
+        return each
+
+    cells = [(int(r.term), r.kind / 10, r.n) for r in _counts(rows, work, COUNTS).groupBy("term", "kind").agg(F.sum("n").alias("n")).collect()]
+    # a text of each label near the middle keeps the curve from growing too steep where labels are separate
+    cells += [(0, 6.0, 1), (1, 3.0, 1)]
+    y, x, n = (np.array(c, float) for c in zip(*cells, strict=True))
+    w = np.array([1.0, -4.0])
+    design = np.column_stack([x, np.ones(len(x))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ w))
+        slope = design.T @ (n * (y - p)) - 1e-3 * (w - [1.0, -4.0])
+        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.0)), float(w[1])
 
 
 _matchers: dict[str, Matcher] = {}
