@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The topics of the four stages.
+# The four stages and other topics.
 STAGES = ("download", "transcribe", "ad_detection", "audio_processing")
+FEED_PREFIX, STATUS_UPDATE = "podcast.rss.download.", "api.status.update"
 
 
 def topic(stage: str, kind: str) -> str:
@@ -40,25 +41,36 @@ def invalid_requests(log: DataFrame) -> DataFrame:
 
 
 def status_updates(log: DataFrame) -> DataFrame:
-    """Messages that change a request's state, with its status after them and the step that they add."""
-    kind, ok = kind_of(F.col("topic")), ~missing(F.col("file_path"))
-    status = F.when(kind == "failed", "failed").when((kind == "complete") & ok, F.when(stage_of(F.col("topic")) == STAGES[-1], "completed").otherwise("processing"))
-    rows = log.where(~missing(F.col("correlation_id"))).withColumns({"status": status, "step": stage_of(F.col("topic"))})
-    step_status = F.when(F.col("status") == "failed", "failed").otherwise("completed")
+    """Messages that change a request's state, with its status after them and the step that they add.
+
+    A feed's download completes its request at once; its message has the feed's URL as file_path. If the log has the
+    columns new_status and new_step, a message of STATUS_UPDATE sets that status, and adds that step if it has one.
+    """
+    name, kind, ok = F.col("topic"), kind_of(F.col("topic")), ~missing(F.col("file_path"))
+    of_feed = name.startswith(FEED_PREFIX)
+    last = of_feed | (stage_of(name) == STAGES[-1])
+    status = F.when(kind == "failed", "failed").when((kind == "complete") & ok, F.when(last, "completed").otherwise("processing"))
+    step = F.when(of_feed, "rss_download").otherwise(stage_of(name))
+    if {"new_status", "new_step"} <= set(log.columns):
+        external = name == STATUS_UPDATE
+        status = F.when(external, F.nullif("new_status", F.lit(""))).otherwise(status)
+        step = F.when(external, F.col("new_step")).otherwise(step)
+    rows = log.where(~missing(F.col("correlation_id"))).withColumns({"status": status, "step": step})
+    step_status = F.when(F.col("step").isNull(), None).when(F.col("status") == "failed", "failed").otherwise("completed")
     return rows.where("status is not null").select("seq", "correlation_id", "status", "step", step_status.alias("step_status"))
 
 
 def request_status(log: DataFrame) -> DataFrame:
     """Of each request: the status after its last message (none is final), and its steps with the submission."""
-    return status_updates(log).groupBy("correlation_id").agg(F.max_by("status", "seq").alias("status"), (F.count("*") + 1).alias("n_steps"), F.max("seq").alias("last_seq"))
+    return status_updates(log).groupBy("correlation_id").agg(F.max_by("status", "seq").alias("status"), (F.count("step") + 1).alias("n_steps"), F.max("seq").alias("last_seq"))
 
 
 def request_steps(log: DataFrame) -> DataFrame:
     """The steps of each request in order; number 0 is the submission."""
-    updates = status_updates(log)
+    updates = status_updates(log).where("step is not null")
     place = F.row_number().over(Window.partitionBy("correlation_id").orderBy("seq")).cast("bigint")
     steps = updates.select("correlation_id", place.alias("step_no"), "step", "step_status")
-    first = updates.select("correlation_id").distinct().select("correlation_id", F.lit(0).cast("bigint").alias("step_no"), F.lit("submitted").alias("step"), F.lit("completed").alias("step_status"))
+    first = status_updates(log).select("correlation_id").distinct().select("correlation_id", F.lit(0).cast("bigint").alias("step_no"), F.lit("submitted").alias("step"), F.lit("completed").alias("step_status"))
     return first.unionByName(steps)
 
 

@@ -37,7 +37,7 @@ class RequestState(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         status, steps, last = self.state.get() if self.state.exists() else (None, 1, -1)
         for batch in rows:
-            steps += len(batch)
+            steps += int(batch["step"].notna().sum())
             latest = batch.loc[batch["seq"].idxmax()]
             if latest["seq"] > last:
                 status, last = latest["status"], int(latest["seq"])

@@ -37,6 +37,14 @@ def test_steps(spark):
     assert got == [("submitted", "completed"), ("download", "completed"), ("transcribe", "completed"), ("audio_processing", "completed"), ("download", "failed")]
 
 
+def test_feeds_and_external_updates(spark):
+    rows = [(1, "podcast.rss.download.complete", "f", "url", None, None), (2, "podcast.rss.download.failed", "g", None, None, None), (3, "api.status.update", "f", None, "paused", None), (4, "api.status.update", "g", None, "again", "retry"), (5, "api.status.update", "g", None, "", "x")]
+    log = spark.createDataFrame(rows, MESSAGES + ", new_status string, new_step string")
+    got = {r.correlation_id: (r.status, r.n_steps, r.last_seq) for r in M.request_status(log).collect()}
+    assert got == {"f": ("paused", 2, 3), "g": ("again", 3, 4)}
+    assert [r.step for r in M.request_steps(log).where("correlation_id = 'g'").orderBy("step_no").collect()] == ["submitted", "rss_download", "retry"]
+
+
 def test_invalid_requests(spark):
     got = {(r.seq, r.topic) for r in M.invalid_requests(log(spark, ROWS)).collect()}
     assert got == {(3, "podcast.download.failed"), (4, "podcast.ad_detection.failed")}
