@@ -20,8 +20,9 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, islice, tee
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +35,32 @@ from segmill.llm.graph import components
 
 #: Members of a list that one task compares with each other, or with as many of another block.
 BLOCK = 2048
-#: Hashes whose bits are counted at once.
-CHUNK = 1 << 16
+#: Hashes whose bits are counted at once, and bytes of a text whose words aren't all held at once.
+CHUNK, LONG = 1 << 16, 1 << 22
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
 
+def _words(data: bytes) -> Iterator[bytes]:
+    # of bytes, split() takes 0x20 and 0x09 to 0x0D as white space
+    return iter(data.split()) if len(data) <= LONG else (m[0] for m in re.finditer(rb"[^\x20\x09-\x0d]+", data))
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    # of bytes, lower() changes A-Z only and split() takes 0x20 and 0x09 to 0x0D as white space
-    words = (text or "").encode().lower().split()
-    if not words:
+    """The fingerprint as a signed 64-bit number. A long text's words, shingles and hashes are made as they are used."""
+    words = _words((text or "").encode().lower())  # of bytes, lower() changes A-Z only
+    head = list(islice(words, shingle))
+    if not head:
         return 0
-    if len(words) < shingle:
-        shingles = iter([b" ".join(words)])
+    if len(head) < shingle:
+        shingles = iter([b" ".join(head)])
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+        shingles = map(b" ".join, zip(*(islice(w, i, None) for i, w in enumerate(tee(chain(head, words), shingle))), strict=False))
+    hashes = (xxhash.xxh64_intdigest(s, 42) for s in shingles)
+    ones, n = np.zeros(64, np.int64), 0
+    while len(part := np.fromiter(islice(hashes, CHUNK), np.uint64)):
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(part)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -40,8 +40,11 @@ def plain_components(ids, fps):
 TEXTS = [None, "", " \t\n", "One", "one two", "One TWO three", "one two three four", "É é\x1fx a b c", "a b c " * 3000, "x" * 50_000]
 
 
+@pytest.mark.parametrize("long", [0, 1 << 22])
 @pytest.mark.parametrize("text", TEXTS)
-def test_fingerprint(text):
+def test_fingerprint(monkeypatch, text, long):
+    monkeypatch.setattr(simhash, "LONG", long)
+    monkeypatch.setattr(simhash, "CHUNK", 1000)
     assert simhash.fingerprint(text) & (2**64 - 1) == plain_fingerprint(text)
 
 
