@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A key with at least this share of the rows is looked up by broadcast; there are at most HOT_KEYS of them.
 HOT_KEYS = 2000
 
@@ -77,6 +80,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process keeps from task to task: one operator's state at a time, so that the tables of several don't
+    add up where workers are used again."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def spread_blocks(rows: DataFrame, keys: list[str], member: str, block: int, few: int = 10_000) -> DataFrame:
     """Rows sorted by keys, i, j, so that all pairs of rows with equal keys meet: a key with over `block` rows has its
     rows hashed to blocks (`own`), and a group (keys, i, j) for each two blocks; other keys have the one group (0, 0).

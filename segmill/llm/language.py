@@ -27,12 +27,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import fold, slices
+from segmill.llm.common import fold, resident, slices
 
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 MAX_GRAMS = 200_000
-MAX_WORDS = 1_000_000
+MAX_WORDS = 800_000
 #: Longer words are not n-grams themselves.
 SHORT_WORD = 6
 SWITCH = 14.0
@@ -195,15 +195,9 @@ def spans(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
     return [(found[a].start(), found[b - 1].end(), scorer.model.languages[path[a]]) for a, b in zip(starts, ends, strict=True)]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(shared: Broadcast, key: str) -> Scorer:
-    """One for each model and worker process; the last model's table replaces an earlier one's."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
+    """One for each model and worker process."""
+    return resident(("language", key), lambda: Scorer(shared.value))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

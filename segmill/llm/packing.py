@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,25 +28,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from segmill.llm.common import slices
+from segmill.llm.common import resident, slices
 
 #: The byte-level splitting pattern, a fixed value of the tokenizer's format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts of plain Latin characters, where the faster module has the same classes.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
-PLAIN_SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN_SPLIT = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[!-/:-@\[-`{-~\xd7\xf7]+|\s+(?!\S)|\s+")
 #: Words of which a worker keeps the ids.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 800_000
+
+#: The byte-level format writes a byte as a visible character: itself, or one from 256 on.
+AS_THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+VISIBLE = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(AS_THEMSELVES)))}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """encode(text) gives the ids of a tokenizers file as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        probe = " Aé\x00 b'll\n"
+        if [i for w in SPLIT.findall(probe) for i in self._model_ids(w)] != self.library.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} is no byte-level tokenizer")
         self.ids: dict[str, bytes] = {}
         specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: np.uint32(i).tobytes() for k, i in specials.items()}
@@ -64,27 +76,25 @@ class WordTokenizer:
         except KeyError:
             return b"".join(map(self._learn(set(words)).__getitem__, words))
 
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(VISIBLE))]
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         new = [w for w in words if w not in self.ids]
         known = {w: self.ids[w] for w in words if w in self.ids}
         if len(self.ids) + len(new) > MAX_WORDS:
             for w in list(self.ids)[: len(self.ids) // 2 + len(new)]:
                 del self.ids[w]
-        codes = self.library.encode_batch_fast(new, add_special_tokens=False)
-        known.update((w, np.asarray(c.ids, "<u4").tobytes()) for w, c in zip(new, codes, strict=True))
+        # a word is what the library's splitting yields, so its model is asked right away
+        known.update((w, pack_ids(self._model_ids(w))) for w in new)
         if len(new) <= MAX_WORDS:
             self.ids.update((w, known[w]) for w in new)
         return known
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each file and worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return resident(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from segmill.llm.common import slices
+from segmill.llm.common import resident, slices
 
 SPACE = "▁"
 #: Units of which a worker keeps the ids.
@@ -178,14 +178,9 @@ class MergeVocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
-_vocabularies: dict[tuple[str, bool], MergeVocabulary] = {}
-
-
 def vocabulary(path: str, check: bool = True) -> MergeVocabulary:
     """One for each file and worker process."""
-    if (path, check) not in _vocabularies:
-        _vocabularies[path, check] = MergeVocabulary(path, check)
-    return _vocabularies[path, check]
+    return resident(("pieces", path, check), lambda: MergeVocabulary(path, check))
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:

@@ -159,7 +159,8 @@ def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     found = near_duplicates(docs, most)
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     first = materialise(first, "kept").withColumnRenamed("n_rows", "__rows")
-    kept = docs.join(first, "doc_id").select(*(docs[c] for c in docs.columns), "__rows")
+    # both sides are large in general, so the plan is the same at every size
+    kept = docs.join(first.hint("merge"), "doc_id").select(*(docs[c] for c in docs.columns), "__rows")
     repeated = kept.where("__rows > 1").dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull())
     return kept.where("__rows = 1").unionByName(repeated).drop("__rows").unionByName(nameless)

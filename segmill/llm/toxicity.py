@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import fold, materialise, slices, training_labels
+from segmill.llm.common import fold, materialise, resident, slices, training_labels
 
 TRAIN_ROWS = 30_000
 #: Candidate terms that are counted in clean texts, and terms of the lexicon.
@@ -51,7 +51,7 @@ VARIETY = 0.5
 WINDOW = 5
 #: The weight of a quotation before anything is learned about it, worth so many mentions.
 QUOTED, QUOTED_PRIOR = 0.3, 4
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("quote quoted quotes quoting cited citing word term phrase said says wrote called zitat zitiert wort sagte citation cite mot dit cita palabra dijo".split())
@@ -373,15 +373,9 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def matcher_of(shared: Broadcast, key: str) -> Matcher:
-    """One for each lexicon and worker process; the last lexicon's replaces an earlier one's."""
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(shared.value)
-    return _matchers[key]
+    """One for each lexicon and worker process."""
+    return resident(("toxicity", key), lambda: Matcher(shared.value))
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
