@@ -1,9 +1,10 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-Filters are random directions; a vector is in all filters whose direction it is near enough to, so near vectors share
-filters. The directions are a structured code: after a random rotation a vector is cut into blocks, each block has its
-own random code words, and every combination of code words is a direction. A list decoder finds all directions above
-the threshold without trying them all: block by block it drops partial sums that the best rest can't lift over it.
+Filters are random directions; near vectors share filters. The directions are a structured code: after a random rotation
+a vector is cut into blocks, each block has its own random code words, and every combination of code words is a
+direction. A list decoder finds the directions above a threshold without trying them all: block by block it keeps the
+best partial sums. The threshold is the vector's own, the score of its copies()-th best direction: under one threshold
+for all, many vectors would pass none and others hundreds, which costs links and copies.
 
 Vectors meet in their filters; pairs there are verified by the cosine in double precision. A pair that shares several
 filters counts in the smallest of them only, so link counts are exact for the links found. A filter with over BLOCK
@@ -31,56 +32,61 @@ from segmill.llm.embedding_common import usable
 from segmill.llm.graph import components
 
 BLOCK = 1024
-#: Filters that a vector is in, on average over random vectors.
-PER_VECTOR = 16
 #: A filter has so many vectors of all, about; the number of filters follows the input.
-MEMBERS = 4
+MEMBERS = 32
 SEED = 5
 
 
+def copies(bits: int) -> int:
+    """Filters of each vector; a code with more directions needs more for the same recall."""
+    return 24 + 3 * max(0, bits - 18)
+
+
+def bits_for(vectors: int) -> int:
+    """Binary logarithm of the number of directions, so that a filter has MEMBERS vectors or up to twice as many."""
+    bits = 8
+    while vectors * copies(bits + 1) >= MEMBERS << (bits + 1):
+        bits += 1
+    return bits
+
+
+def _best(scores: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest values of each row."""
+    if scores.shape[1] <= n:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    return np.argpartition(scores, scores.shape[1] - n, axis=1)[:, -n:]
+
+
 class Code:
-    """Code words for each block and the threshold for vectors of `dim` components."""
+    """Code words for each block of vectors of `dim` components."""
 
     def __init__(self, dim: int, bits: int) -> None:
         rng = np.random.default_rng([SEED, dim, bits])
+        bits = min(bits, dim + 4)  # of few components, finer filters would part near vectors
         n_blocks = max(1, min(dim, math.ceil(bits / 9)))
+        self.copies = copies(bits)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.edges = np.linspace(0, dim, n_blocks + 1).astype(int)
         self.words = []
         for i in range(n_blocks):
             words = rng.standard_normal((1 << ((bits + i) // n_blocks), self.edges[i + 1] - self.edges[i]))
-            self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True) / math.sqrt(n_blocks))
-        self.count = math.prod(map(len, self.words))
-        # the threshold that a random vector passes for PER_VECTOR of all directions
-        x = rng.standard_normal((4096, dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sums = np.zeros((len(x), 256))
-        for scores in self.scores(x):
-            sums += scores[:, rng.integers(scores.shape[1], size=256)]
-        self.threshold = float(np.quantile(sums, 1 - min(1.0, PER_VECTOR / self.count)))
+            self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True))
 
     def scores(self, x: np.ndarray) -> list[np.ndarray]:
         turned = x @ self.rotation
         return [turned[:, a:b] @ w.T for a, b, w in zip(self.edges[:-1], self.edges[1:], self.words, strict=True)]
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each row, the sorted numbers of all directions above the threshold."""
-        scores = self.scores(x)
-        best = np.array([s.max(axis=1) for s in scores])
-        rest = np.cumsum(best[::-1], axis=0)[::-1]
-        found = []
-        for r in range(len(x)):
-            sums, codes = np.zeros(1), np.zeros(1, np.int64)
-            for b, s in enumerate(scores):
-                least = self.threshold - (rest[b + 1][r] if b + 1 < len(scores) else 0.0)
-                own = np.flatnonzero(s[r] >= least - sums.max())
-                both = sums[:, None] + s[r][own][None, :]
-                at = np.nonzero(both >= least)
-                sums, codes = both[at], codes[at[0]] * len(self.words[b]) + own[at[1]]
-                if not len(sums):
-                    break
-            found.append(np.sort(codes))
-        return found
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """For each row, the sorted numbers of its best directions."""
+        sums, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+        for s in self.scores(x):
+            # a direction among the best has its partial sum and its word among the best
+            own = _best(s, self.copies)
+            both = (sums[:, :, None] + np.take_along_axis(s, own, 1)[:, None, :]).reshape(len(x), -1)
+            numbers = (codes[:, :, None] * s.shape[1] + own[:, None, :]).reshape(len(x), -1)
+            at = _best(both, self.copies)
+            sums, codes = np.take_along_axis(both, at, 1), np.take_along_axis(numbers, at, 1)
+        return np.sort(codes, axis=1)
 
 
 @lru_cache(maxsize=8)
@@ -129,13 +135,11 @@ def _decoded(nodes: DataFrame, bits: int) -> DataFrame:
                     part = rows[at : at + 1024]
                     x = values[start[part][:, None] + np.arange(dim)]
                     found = code(int(dim), bits).decode(unit(x))
-                    each = np.repeat(np.arange(len(part)), [len(f) for f in found])
-                    if not len(each):
-                        continue
+                    each = np.repeat(np.arange(len(part)), found.shape[1])
                     take = pa.array(part[each])
-                    stored = pa.array([x[i].astype("<f8").tobytes() for i in range(len(part))], pa.binary()).take(pa.array(each))
-                    listed = pa.array([f.astype("<i8").tobytes() for f in found], pa.binary()).take(pa.array(each))
-                    columns = [pa.array(np.full(len(each), dim, np.int64)), label.take(take), pa.array(np.concatenate(found)), node.take(take), n.take(take), stored, listed]
+                    stored = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(each))
+                    listed = pa.array([f.tobytes() for f in found], pa.binary()).take(pa.array(each))
+                    columns = [pa.array(np.full(len(each), dim, np.int64)), label.take(take), pa.array(found.ravel()), node.take(take), n.take(take), stored, listed]
                     yield pa.RecordBatch.from_arrays(columns, names=["dim", "label", "filter", "node", "n", "vector", "filters"])
 
     return nodes.select("node", "label", "n", "embedding").mapInArrow(decode, "dim long, label long, filter long, node long, n long, vector binary, filters binary")
@@ -150,8 +154,10 @@ def _found(members: DataFrame, least: float) -> DataFrame:
             if group.num_rows < 2:
                 continue
             column = {name: group.column(name) for name in group.schema.names}
-            vectors = np.array([np.frombuffer(v, "<f8") for v in column["vector"].to_pylist()])
-            filters = [np.frombuffer(f, "<i8") for f in column["filters"].to_pylist()]
+            # components keep the type that they came in
+            wide = len(column["vector"][0].as_py()) == 8 * column["dim"][0].as_py()
+            vectors = np.array([np.frombuffer(v, np.float64 if wide else np.float32) for v in column["vector"].to_pylist()])
+            filters = [np.frombuffer(f, np.int64) for f in column["filters"].to_pylist()]
             node, n = column["node"].to_numpy(), column["n"].to_numpy()
             a, b = linked(vectors, filters, column["own"].to_numpy(), column["filter"][0].as_py(), least)
             if not len(a):
@@ -184,9 +190,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     rows = keyed.select("vec_id", "key")
     nodes = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     nodes = materialise(nodes, "vectors")
-    count = nodes.count()
-    bits = max(8, math.ceil(math.log2(max(1, count * PER_VECTOR / MEMBERS))))
-    members = spread_blocks(_decoded(nodes, bits), ["dim", "label", "filter"], "node", BLOCK)
+    members = spread_blocks(_decoded(nodes, bits_for(nodes.count())), ["dim", "label", "filter"], "node", BLOCK)
     found = materialise(_found(members, least), "links")
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked_to = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
