@@ -361,13 +361,21 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     # a text of each label near the middle keeps the curve from growing too steep where labels are separate
     cells += [(0, 6.0, 1), (1, 3.0, 1)]
     y, x, n = (np.array(c, float) for c in zip(*cells, strict=True))
-    w = np.array([1.0, -4.0])
+    w = start = np.array([1.0, -4.0])
     design = np.column_stack([x, np.ones(len(x))])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * ((w - start) ** 2).sum())
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-design @ w))
-        slope = design.T @ (n * (y - p)) - 1e-3 * (w - [1.0, -4.0])
+        slope = design.T @ (n * (y - p)) - 1e-3 * (w - start)
         step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
-        w = w + np.clip(step, -2, 2)
+        # whole Newton steps can go back and forth for ever
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return float(max(w[0], 0.0)), float(w[1])
