@@ -3,8 +3,9 @@
 The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts hold in many different
 contexts and clean texts hardly at all. Counting contexts (the words on both sides) rather than texts keeps the words of
 a text with many copies out. The lexicon is a trie; Levenshtein automata of its whole words, intersected with the
-trie, run over each word of a text, so a term is also found with one letter wrong (two in a long one). The product automaton is
-built state by state as words come.
+trie, run over each word of a text, so a term is also found with one letter wrong (two in a long one). Where a beginning is
+the better term, the whole words below it that would be terms stay in the trie for their misspellings; the beginning itself
+is matched as it is. The product automaton is built state by state as words come.
 
 Terms may stand in clean texts by chance, so a text is judged by how far its mentions exceed the rates of clean texts: the
 deviance of Poisson counts, turned into a probability by a logistic curve that is fitted to the labelled texts. A mention
@@ -72,6 +73,8 @@ class Lexicon:
     quoted: float = QUOTED
     #: Slope and offset of the logistic curve over the deviance.
     curve: tuple[float, float] = (1.0, -4.0)
+    #: Whole words with a beginning among the terms, for their misspellings only.
+    words: frozenset[str] = frozenset()
 
 
 class Matcher:
@@ -84,7 +87,7 @@ class Matcher:
         self.stem: list[str | None] = [None]
         #: The most errors allowed to a word below each node.
         self.most: list[int] = [0]
-        for term in lexicon.terms:
+        for term in (*lexicon.terms, *sorted(lexicon.words)):
             letters = term.removesuffix("*")
             allowed = 0 if term.endswith("*") else (len(letters) >= ONE_ERROR) + (len(letters) >= TWO_ERRORS)
             node = 0
@@ -147,10 +150,10 @@ class Matcher:
                 return (stem, 0) if stem else None
             stem = self.stems[at] or stem
         end = self.ends[at]
-        if end and end[0] == 0:
-            return end[1], 0
         if stem:
             return stem, 0
+        if end and end[0] == 0:
+            return end[1], 0
         return (end[1], end[0]) if end and word not in self.lexicon.clean else None
 
     def words(self, text: str) -> set[str]:
@@ -269,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))).alias("n")).collect()}
     # words that copies share stand in few contexts for so many texts
     kept = {t: (m1, m0) for t, (m1, m0, varied) in found.items() if varied >= max(least, VARIETY * good[t])}
-    return _with_contexts(rows, Lexicon(_chosen(kept, sizes[1], sizes[0])), sizes[0])
+    terms, words = _chosen(kept, sizes[1], sizes[0])
+    return _with_contexts(rows, Lexicon(terms, words=words), sizes[0])
 
 
 def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, int, int]]:
@@ -295,8 +299,9 @@ def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, in
     return {r["term"]: (r["1"], r["0"], r["varied"]) for r in counted.join(varied, "term").collect()}
 
 
-def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
-    """The terms that tell most, with their rates in clean texts; of words and their beginnings one, of ties the longest."""
+def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: int) -> tuple[dict[str, float], frozenset[str]]:
+    """The terms that tell most, with their rates in clean texts; of words and their beginnings one, of ties the longest.
+    Also the words that would be terms but for a beginning of theirs."""
     worth, rates = {}, {}
     for t, (toxic, clean) in terms.items():
         rates[t] = (clean + 0.5) / clean_words
@@ -310,7 +315,8 @@ def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: in
         nested = any(letters[:n] + "*" in kept for n in STEMS if n <= len(letters)) or t.endswith("*") and any(k.startswith(letters) for k in kept)
         if not nested and len(kept) < MAX_TERMS:
             kept[t] = rates[t]
-    return kept
+    begun = frozenset(t for t in worth if not t.endswith("*") and any(t[:n] + "*" in kept for n in STEMS if n <= len(t)))
+    return kept, begun
 
 
 def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexicon:
@@ -340,7 +346,7 @@ def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexic
     # clean texts hold misspellings that were not seen as often as those that were seen once
     rates = [(sum(c for e, c, t in words.values() if e == wrong and c <= 1) + 0.5) / clean_words for wrong in (1, 2)]
     share = (quoted[1] + QUOTED_PRIOR * QUOTED) / (sum(quoted) + QUOTED_PRIOR)
-    lexicon = Lexicon(lexicon.terms, tuple(rates), clean, share)
+    lexicon = replace(lexicon, errors=tuple(rates), clean=clean, quoted=share)
     return replace(lexicon, curve=_curve(rows, lexicon))
 
 

@@ -104,6 +104,26 @@ def test_automaton_is_edit_distance():
     assert matcher.match("lowering") == ("lowe*", 0) and matcher.match("lower") == ("lowe*", 0) and matcher.match("low") is None
 
 
+def test_beginnings_keep_the_misspellings_of_their_words(spark, make_docs):
+    rows, marks = [], []
+    names = [a + b for a in "bdfglnprtv" for b in ("ola", "emi", "uka", "ano", "iru", "ebo")]
+    for i in range(400):
+        a, b, c = names[i % 60], names[(7 * i + i // 60) % 60], names[(11 * i + 3) % 60]
+        bad = ("idiot", "idiots", "disgusting", "disgustng")[i // 10 % 4] if i % 10 == 0 else "zebra"
+        rows.append((i, f"{a} {b} {bad} {c} {a}"))
+        marks.append((i, 1, int(i % 10 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(make_docs(rows), labels, folds=1, held_out=1)
+    assert any(t.endswith("*") and "idiot".startswith(t[:-1]) for t in lexicon.terms)
+    matcher = toxicity.Matcher(lexicon)
+    for word, errors in (("idjot", 1), ("ixiot", 1), ("idot", 1), ("dsigusting", 2)):
+        found = matcher.match(word)
+        assert found and found[1] == errors, word
+        assert matcher.score(f"bola demi {word} luka bola")[1] == 1
+    # words as they are count for their beginning
+    assert {matcher.match(w)[0][-1] for w in ("idiot", "idiots", "disgusting")} == {"*"} and matcher.match("bola") is None
+
+
 def test_context_weighs():
     matcher = toxicity.Matcher(toxicity.Lexicon({"idiot": 1e-6, "lowe*": 1e-3}, quoted=0.3))
     assert matcher.score("you are an idiot")[0] > 0.9 and 0 < matcher.score('they said "idiot" is a rude word')[0] < 0.5
