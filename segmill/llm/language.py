@@ -6,7 +6,8 @@ over the words, with a penalty for each switch, labels spans; the text's languag
 score is its share of the letters.
 
 The model is fitted on at most `limit` labelled rows, those with the smallest hashes of their ids, and keeps at most
-MAX_GRAMS n-grams, the most frequent ones, so it can be broadcast whatever the size of the input.
+about MAX_GRAMS n-grams, the most frequent ones of each language, so it can be broadcast whatever the size of the input. Of too
+many, languages with few keep all and the others equally many; of equally frequent ones hashes choose.
 
 A null text, or one without letters, is `und` with score 0. If nothing can be learned every text is `und`. Repeated rows
 and null doc_ids each get a prediction; extra columns are ignored; an empty table gives an empty result.
@@ -27,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import fold, resident, slices
+from segmill.llm.common import fold, materialise, resident, slices
 
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000
@@ -65,6 +66,36 @@ class Model:
     scripts: dict[str, np.ndarray]
 
 
+def _shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many n-grams each language keeps: all, or as many as every other that has too many."""
+    kept: dict[str, int] = {}
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        kept[lang] = min(sizes[lang], (most - sum(kept.values())) // (len(sizes) - i))
+    return kept
+
+
+def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """Of lang, gram and n those that the model keeps; counts of letters by script (#) all stay."""
+    letters = F.startswith("gram", F.lit("#")) & (F.length("gram") > 1)
+    sizes: dict[str, dict[int, int]] = {}
+    for r in counted.where(~letters).groupBy("lang", "n").agg(F.count("*").alias("grams")).collect():
+        sizes.setdefault(r.lang, {})[r.n] = r.grams
+    room = _shares({lang: sum(by.values()) for lang, by in sizes.items()}, most)
+    edges = []
+    for lang, by in sizes.items():
+        left = room[lang]
+        for n in sorted(by, reverse=True):
+            if by[n] > left:
+                edges.append((lang, n, left / by[n]))
+                break
+            left -= by[n]
+    if not edges:
+        return counted
+    ends = F.broadcast(counted.sparkSession.createDataFrame(edges, "lang string, edge long, part double"))
+    chosen = (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("part") * (1 << 20)) & (F.col("n") == F.col("edge"))
+    return counted.join(ends, "lang", "left").where(letters | F.col("edge").isNull() | (F.col("n") > F.col("edge")) | chosen).select("lang", "gram", "n")
+
+
 def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS) -> Model:
     """Learn from text and lang where train holds and lang isn't null."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -85,7 +116,7 @@ def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).collect()
+    top = _most_frequent(materialise(counted, "grams"), MAX_GRAMS).collect()
     languages = sorted({r.lang for r in top})
     at = {lang: i for i, lang in enumerate(languages)}
     known = {g: i for i, g in enumerate(sorted({r.gram for r in top if r.gram[0] != "#" or len(r.gram) == 1}))}

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from segmill.llm.common import fold, materialise, resident, slices, training_labels
 
 TRAIN_ROWS = 30_000
-#: Candidate terms that are counted in clean texts, and terms of the lexicon.
+#: Candidate terms, the most one-sided ones, and terms of the lexicon.
 MAX_CANDIDATES, MAX_TERMS = 100_000, 5_000
 #: Beginnings of words have so many letters.
 STEMS = range(4, 9)
@@ -53,6 +53,8 @@ WINDOW = 5
 #: The weight of a quotation before anything is learned about it, worth so many mentions.
 QUOTED, QUOTED_PRIOR = 0.3, 4
 MAX_WORDS = 400_000
+#: Keys that a task counts before it sends them.
+MAX_COUNTED = 200_000
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("quote quoted quotes quoting cited citing word term phrase said says wrote called zitat zitiert wort sagte citation cite mot dit cita palabra dijo".split())
@@ -218,14 +220,20 @@ def hash_of(found: list[re.Match], i: int) -> int:
 def _counts(rows: DataFrame, each, schema: str) -> DataFrame:
     """each(label, text) gives keys; a task sums how often each came before it sends them."""
 
+    def sent(total: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([k for _, k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "kind", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         work = each()
         for batch in slices(batches):
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total.update(work(mark, text.lower()))
+                if len(total) > MAX_COUNTED:
+                    yield sent(total)
+                    total.clear()
         if total:
-            yield pa.RecordBatch.from_pylist([{"term": t, "kind": k, "n": n} for (t, k), n in total.items()], schema=pa.schema([("term", pa.string()), ("kind", pa.int64()), ("n", pa.int64())]))
+            yield sent(total)
 
     return rows.mapInArrow(count, schema)
 
@@ -239,15 +247,15 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def _one_sided(toxic: int, clean: int, share: float) -> bool:
-    """Whether texts with a term are toxic so often that chance, at this share of toxic texts, explains it badly."""
-    n = toxic + clean
-    p = toxic / n
-    if p < PRECISION:
-        return False
+def _one_sided(counted: DataFrame, share: float) -> DataFrame:
+    """The terms whose texts are toxic so often that chance, at this share of toxic texts, explains it badly; of too many
+    the most one-sided."""
+    n = F.col("toxic") + F.col("clean")
+    p = F.col("toxic") / n
     # log of the Chernoff bound of the binomial tail
-    bound = -n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
-    return bound <= SURPRISE
+    rest = F.when(F.col("clean") > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    bounded = counted.where(p >= PRECISION).withColumn("bound", -n * (p * F.log(p / share) + rest))
+    return bounded.where(F.col("bound") <= SURPRISE).orderBy("bound", "term").limit(MAX_CANDIDATES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS) -> Lexicon:
@@ -259,15 +267,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({})
-    share, toxic = n_toxic / (n_toxic + n_clean), rows.where("label = 1")
+    share = n_toxic / (n_toxic + n_clean)
     least = max(2, math.ceil(SURPRISE / math.log(share))) if share < 1 else 2
 
-    counted = _counts(toxic, lambda: lambda _, text: [(t, 1) for t in _terms(text)], COUNTS).groupBy("term").agg(F.sum("n").alias("n"))
-    candidates = {r.term: r.n for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
-    counted = _counts(rows.where("label = 0"), lambda: lambda _, text: [(t, 0) for t in _terms(text) & shared.value], COUNTS)
-    clean = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    good = {t: n for t, n in candidates.items() if _one_sided(n, clean.get(t, 0), share)}
+    counted = _counts(rows, lambda: lambda mark, text: [(t, mark) for t in _terms(text)], COUNTS)
+    sums = {name: F.sum(F.when(F.col("kind") == mark, F.col("n")).otherwise(0)).alias(name) for mark, name in enumerate(("clean", "toxic"))}
+    counted = counted.groupBy("term").agg(*sums.values()).where(F.col("toxic") >= least)
+    good = {r.term: r.toxic for r in _one_sided(counted, share).collect()}
     found = _mentions(rows, frozenset(good))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))).alias("n")).collect()}
     # words that copies share stand in few contexts for so many texts

@@ -124,6 +124,30 @@ def test_beginnings_keep_the_misspellings_of_their_words(spark, make_docs):
     assert {matcher.match(w)[0][-1] for w in ("idiot", "idiots", "disgusting")} == {"*"} and matcher.match("bola") is None
 
 
+def test_rare_languages_keep_their_ngrams(spark, make_docs, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = lambda letters, n: [" ".join("".join(rng.choices(letters, k=5)) for _ in range(30)) for _ in range(n)]
+    rows = [(i, t, "aa") for i, t in enumerate(texts("abcdefghijklmnop", 300))] + [(1000 + i, t, "bb") for i, t in enumerate(texts("mnopqr", 4))]
+    monkeypatch.setattr(language, "MAX_GRAMS", 700)
+    model = language.fit(make_docs(rows), F.lit(True))
+    assert model.languages == ["aa", "bb"] and 600 < len(model.rows) < 800
+    at = {lang: model.table[:, i] for i, lang in enumerate(model.languages)}
+    assert sum(at["bb"] > at["bb"].min()) > 200 and sum(at["aa"] > at["aa"].min()) > 300
+    scorer = language.Scorer(model)
+    assert all(language.label(t, scorer)[0] == "bb" for t in texts("mnopqr", 20)) and all(language.label(t, scorer)[0] == "aa" for t in texts("abcdefghijklmnop", 20))
+    assert language._shares({"a": 5, "b": 100, "c": 300}, 105) == {"a": 5, "b": 50, "c": 50}
+
+
+def test_candidates_are_the_most_one_sided(spark, make_docs, monkeypatch):
+    names = [a + b for a in "bdfglnprtv" for b in ("ol", "em", "uk", "an", "ir", "eb")]
+    rows = [(i, f"{names[i % 60]} {names[(7 * i + i // 60) % 60]} {'scum' if i % 20 == 0 else 'zero'} {names[(11 * i + 3) % 60]} and the of") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_CANDIDATES", 3)
+    assert "scum" in toxicity.fit(make_docs(rows), labels, folds=1, held_out=1).terms
+
+
 def test_context_weighs():
     matcher = toxicity.Matcher(toxicity.Lexicon({"idiot": 1e-6, "lowe*": 1e-3}, quoted=0.3))
     assert matcher.score("you are an idiot")[0] > 0.9 and 0 < matcher.score('they said "idiot" is a rude word')[0] < 0.5
