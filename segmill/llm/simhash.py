@@ -133,8 +133,9 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return members.mapInArrow(find, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links lead to) of each row."""
+def _grouped(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, fp, component_id and root of each row. Components of rows that repeat a doc_id can have the same
+    component_id; root, a fingerprint of the component, tells them apart."""
     rows = materialise(fingerprints(docs), "fingerprints")
     known = rows.where(F.col("doc_id").isNotNull())
     groups = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
@@ -143,10 +144,15 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     members = found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root"))
     members = materialise(groups.join(members, F.col("fp") == F.col("node")).select("fp", "root", "first", "n"), "members")
     roots = members.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
-    linked = lookup(members, roots, "root", "size", max(1, members.count())).select("fp", "component")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
+    linked = lookup(members, roots, "root", "size", max(1, members.count())).select("fp", "root", "component")
+    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
     result = lookup(rows, named, "fp", "n", max(1, rows.count()))
-    return result.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return result.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "root")
+
+
+def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that links lead to) of each row."""
+    return _grouped(docs, most).drop("root")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -154,13 +160,18 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The document of each component with the smallest doc_id; of rows that repeat its doc_id, one. Rows with a null
+    """The document of each component with the smallest doc_id; of its rows that repeat this doc_id, one. Rows with a null
     doc_id can't be grouped and stay."""
-    found = near_duplicates(docs, most)
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    found = materialise(_grouped(docs, most).where(F.col("doc_id").isNotNull()), "components")
+    own = F.col("doc_id") == F.col("component_id")
+    first = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count(F.when(own, 1)).alias("n_own")).where("n_own > 0").drop("n_own")
     first = materialise(first, "kept").withColumnRenamed("n_rows", "__rows")
     # both sides are large in general, so the plan is the same at every size
     kept = docs.join(first.hint("merge"), "doc_id").select(*(docs[c] for c in docs.columns), "__rows")
-    repeated = kept.where("__rows > 1").dropDuplicates(["doc_id"])
+    # a doc_id of several rows doesn't tell which of them is in the component; their fingerprints do
+    print_of = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
+    repeated = kept.where("__rows > 1").withColumn("__fp", print_of("text")).dropDuplicates(["doc_id", "__fp"])
+    roots = found.where(own).select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    repeated = repeated.join(roots.hint("merge"), ["doc_id", "__fp"]).dropDuplicates(["doc_id", "__root"]).select(*docs.columns, "__rows")
     nameless = docs.where(F.col("doc_id").isNull())
     return kept.where("__rows = 1").unionByName(repeated).drop("__rows").unionByName(nameless)

@@ -131,3 +131,13 @@ def test_lookup_of_hot_keys(spark):
     right = left.where("k is not null and k <> 6").groupBy("k").agg({"i": "count"}).withColumnRenamed("count(i)", "n").selectExpr("k", "n", "k * 2 as v")
     got = {r.i: r.v for r in common.lookup(left, right, "k", "n", 30).collect()}
     assert got == {**{i: 2 if i % 3 else 2 * i for i in range(3000) if i != 6}, 6: None, -1: None}
+
+
+def test_keep_one_of_ids_with_several_texts(make_docs):
+    a, b, c = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("red", "blue", "green"))
+    # both texts of 5 are in components named by it; of 7, one text is a copy of 3's
+    rows = [(5, a), (5, b), (5, b), (6, a), (3, c), (7, c), (7, "some other text than all of these"), (None, a), (9, None), (9, "")]
+    kept = simhash.keep_one(make_docs(rows))
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (3, c), (7, "some other text than all of these"), (0, a), (9, "")], key=str)
+    assert kept.columns == make_docs(rows).columns
