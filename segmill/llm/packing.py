@@ -2,8 +2,9 @@
 
 A document's ids are those of a `tokenizers` file, then an end id. They are cut every `length` ids, so that all pieces
 but the last fill a sequence. Pieces are dealt to randomised groups, and first-fit decreasing packs each group
-by itself; a tournament tree over the free room of its bins finds the first bin that fits in log time. Groups have
-`group_docs` documents on average whatever the size of the input, so no group grows with it.
+by itself; a tournament tree over the free room of its bins finds the first bin that fits in log time. A group has the last
+pieces of `group_docs` documents on average, or at most STRETCH full pieces of each, so no group grows with the input
+or with the length of its documents.
 
 A word (a match of the tokenizer's own splitting pattern) is encoded by the library once and its ids are then kept, in a
 bounded table of each Python worker.
@@ -37,6 +38,8 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
 PLAIN_SPLIT = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[!-/:-@\[-`{-~\xd7\xf7]+|\s+(?!\S)|\s+")
 #: Words of which a worker keeps the ids.
 MAX_WORDS = 800_000
+#: Full pieces of a document that can be in one group. They share their sequences with none, whatever their group.
+STRETCH = 16
 
 #: The byte-level format writes a byte as a visible character: itself, or one from 256 on.
 AS_THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -163,7 +166,8 @@ def pack(cut: DataFrame, n_docs: int, length: int = 2048, group_docs: int = 4096
         return table
 
     # rand with a seed gives the same groups when a task of the scan runs again
-    dealt = cut.withColumn("group_id", F.floor(F.rand(17) * groups))
+    stretch = F.when(F.col("length") == length, 1 + F.floor(F.col("start") / (length * STRETCH))).otherwise(0)
+    dealt = cut.withColumn("group_id", F.floor(F.rand(17) * groups) + groups * stretch)
     return dealt.groupBy("group_id").applyInArrow(fit, PACKED)
 
 

@@ -71,3 +71,14 @@ def test_little_padding(spark, sf):
 
 def test_empty_table(spark, make_docs):
     assert packing.pack_documents(make_docs([]), PATH).count() == 0
+
+
+def test_groups_do_not_grow_with_long_documents(spark):
+    rows = [(d, 8 * i, 8 if i < 300 else 5, 1, 2405) for d in range(4) for i in range(301)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 4, length=8, group_docs=4).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == sorted(rows)
+    sizes = {}
+    for r in packed:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert max(sizes.values()) <= 64
+    assert len({r.sequence_id for r in packed if r.length == 8}) == 1200 and all(r.sequence_tokens == 8 for r in packed if r.length == 8)
