@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of any kind, as a class for regular expressions (fixed values: the characters that Unicode and ASCII call space).
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     """Whether the lower-cased text has one of the phrases; false for a null text."""
     low = F.lower(text)
@@ -16,7 +20,7 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def to_ms(seconds: Column) -> Column:
@@ -65,6 +69,18 @@ def process_url(base: str, url: Column) -> Column:
     return F.concat(F.lit(f"{base}/process?url="), url)
 
 
+def iso_time(text: Column) -> Column:
+    """The time that an ISO 8601 text says; null if it is none. Without an offset it is in the session's time zone."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.,]\d{1,6})?)?(Z|[+-]\d\d:?\d\d)?)?$"), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
+
+
+def iso_text(time: Column) -> Column:
+    """ISO 8601 with microseconds where there are any, without an offset."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(time, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
 def xml_text(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

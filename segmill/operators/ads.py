@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.functions.columns import contains_any
@@ -30,10 +30,8 @@ def expand_ads(segments: DataFrame, p: Parameters = DEFAULT) -> DataFrame:
 def with_blocks(segments: DataFrame, p: Parameters = DEFAULT) -> DataFrame:
     """The flagged segments with the number of their block (`block`, from 1): a block ends at a segment that isn't flagged,
     or at a silence of over block_gap."""
-    w = in_order()
-    goes_on = F.lag("is_ad").over(w) & (F.col("start_s") - F.lag("end_s").over(w) <= p.block_gap)
-    rows = segments.withColumn("_new", F.col("is_ad") & ~F.coalesce(goes_on, F.lit(False)))
-    return rows.withColumn("block", F.sum(F.col("_new").cast("bigint")).over(w)).where("is_ad").drop("_new")
+    rows = segments.withColumn("_new", starts_block(p))
+    return rows.withColumn("block", F.sum(F.col("_new").cast("bigint")).over(in_order())).where("is_ad").drop("_new")
 
 
 def ad_blocks(segments: DataFrame, p: Parameters = DEFAULT) -> DataFrame:
@@ -53,9 +51,18 @@ def segment_report(segments: DataFrame) -> DataFrame:
     return segments.select("tid", "id", "start_s", "end_s", "is_ad", F.round(F.col("end_s") - F.col("start_s"), 6).alias("duration_s"))
 
 
-def transcript_report(segments: DataFrame, p: Parameters = DEFAULT) -> DataFrame:
-    """Of each transcript: segments, flagged ones, and blocks."""
+def starts_block(p: Parameters = DEFAULT) -> Column:
+    """Whether a segment is the first of a block."""
     w = in_order()
     goes_on = F.lag("is_ad").over(w) & (F.col("start_s") - F.lag("end_s").over(w) <= p.block_gap)
-    starts = F.col("is_ad") & ~F.coalesce(goes_on, F.lit(False))
-    return segments.withColumn("_new", starts).groupBy("tid").agg(F.count("*").alias("n_segments"), F.count_if("is_ad").alias("n_ads"), F.count_if("_new").alias("n_blocks"))
+    return F.col("is_ad") & ~F.coalesce(goes_on, F.lit(False))
+
+
+def transcript_report(segments: DataFrame, p: Parameters = DEFAULT, errors: DataFrame | None = None) -> DataFrame:
+    """Of each transcript: segments, flagged ones, and blocks; with errors (tid, chunk_id, error) also these, in order."""
+    counted = segments.withColumn("_new", starts_block(p)).groupBy("tid").agg(F.count("*").alias("n_segments"), F.count_if("is_ad").alias("n_ads"), F.count_if("_new").alias("n_blocks"))
+    if errors is None:
+        return counted
+    said = F.concat(F.lit("Chunk "), F.col("chunk_id").cast("string"), F.lit(": "), F.col("error"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", said.alias("said")))), lambda x: x["said"])
+    return counted.join(errors.groupBy("tid").agg(listed.alias("errors")), "tid", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))

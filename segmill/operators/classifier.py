@@ -23,7 +23,7 @@ INSTRUCTION = (
 )
 REQUEST = 'Segments:\n{lines}\n\nAnswer as {{"segments": [{{"id": <id>, "ad": true or false}}, ...]}}.'
 
-ANSWERED = "tid bigint, chunk_id bigint, answers array<struct<id: bigint, ad: boolean>>, error string"
+ANSWERED = "chunk_id bigint, answers array<struct<id: bigint, ad: boolean>>, error string"
 
 
 def prompt(lines: str) -> list[dict[str, str]]:
@@ -48,15 +48,17 @@ def classify(prompts: DataFrame, make_classifier: Callable[[], Classifier], atte
         call = make_classifier()
         for batch in batches:
             found = [ask(call, lines) for lines in batch["prompt"]]
-            yield batch[["tid", "chunk_id"]].assign(answers=[a for a, _ in found], error=[e for _, e in found])
+            # a dict keeps the columns' kinds
+            yield pd.DataFrame({"tid": batch["tid"], "chunk_id": batch["chunk_id"]}).assign(answers=[a for a, _ in found], error=[e for _, e in found])
 
-    return prompts.mapInPandas(run, ANSWERED)
+    kind = prompts.schema["tid"].dataType.simpleString()
+    return prompts.mapInPandas(run, f"tid {kind}, {ANSWERED}")
 
 
 def answer_rows(answered: DataFrame) -> DataFrame:
-    """One row per answer, in the order of chunks and answers."""
-    rows = answered.selectExpr("tid", "chunk_id", "posexplode(answers) as (n, a)")
-    return rows.selectExpr("tid", "chunk_id * 1000000000 + n as apos", "a.id as id", "a.ad as ad")
+    """One row per answer; apos is its place among the answers for its chunk."""
+    rows = answered.selectExpr("tid", "chunk_id", "posexplode(answers) as (apos, a)")
+    return rows.selectExpr("tid", "chunk_id", "cast(apos as bigint) as apos", "a.id as id", "a.ad as ad")
 
 
 def errors(answered: DataFrame) -> DataFrame:
@@ -71,4 +73,5 @@ def transcribe(audio: DataFrame, make_model: Callable[[], Transcriber]) -> DataF
         for batch in batches:
             yield batch[["tid"]].assign(segments=[model(c) for c in batch["content"]])
 
-    return audio.select("tid", "content").mapInPandas(run, "tid bigint, segments array<struct<text: string, start: double, end: double>>")
+    kind = audio.schema["tid"].dataType.simpleString()
+    return audio.select("tid", "content").mapInPandas(run, f"tid {kind}, segments array<struct<text: string, start: double, end: double>>")

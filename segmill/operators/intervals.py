@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.functions.columns import to_ms
-from segmill.operators.ads import transcript_report
+from segmill.operators.ads import starts_block
 from segmill.parameters import DEFAULT, Parameters
 
 
@@ -44,13 +44,33 @@ def kept_spans(merged: DataFrame, audio: DataFrame) -> DataFrame:
 
 
 def reduction_report(segments: DataFrame, audio: DataFrame, p: Parameters = DEFAULT) -> DataFrame:
-    """Of each episode: segments, flagged ones, blocks, milliseconds cut and kept, and percent saved."""
-    merged = merged_intervals(segments, p)
-    removed = merged.groupBy("tid").agg(F.round(F.sum((F.col("end_s") - F.col("start_s")) * 1000), 3).alias("removed_ms"))
+    """Of each episode: segments, flagged ones, blocks, milliseconds cut and kept, and percent saved.
+
+    One frame of windows by tid gives blocks and unions together: a segment that is in no union is counted with the union
+    before it. What stays is the audio but for the parts of the unions inside it.
+    """
+    cut = F.col("is_ad") & (F.col("end_s") >= F.col("start_s"))
+    # cuts come first, so that other segments don't stand between them
+    w = Window.partitionBy("tid").orderBy(F.desc("_cut"), "start_s", "end_s")
+    before = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = segments.select("tid", "pos", "is_ad", "start_s", "end_s").withColumns({"_new_block": starts_block(p), "_cut": F.coalesce(cut, F.lit(False))})
+    rows = rows.withColumn("_new", (F.col("_cut") & F.coalesce(F.col("start_s") > before + p.max_gap, F.lit(True))).cast("bigint"))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    unions = rows.groupBy("tid", "_island").agg(
+        F.count("*").alias("n"), F.count_if("is_ad").alias("ads"), F.count_if("_new_block").alias("blocks"),
+        F.min(F.when(F.col("_cut"), F.col("start_s"))).alias("a"), F.max(F.when(F.col("_cut"), F.col("end_s"))).alias("b"),
+    )
     # the audio ends where it ends, whatever the transcript says
-    size = F.least("to_ms", "len_ms") - F.least("from_ms", "len_ms")
-    kept = kept_spans(merged, audio).groupBy("tid", "len_ms").agg(F.sum(size).alias("kept_ms"))
-    joined = transcript_report(segments, p).join(audio.select("tid", "len_ms"), "tid").join(kept.drop("len_ms"), "tid", "left").join(removed, "tid", "left")
-    kept_ms = F.coalesce("kept_ms", F.lit(0))
+    within = lambda c: F.least(to_ms(F.col(c)), F.col("len_ms"))
+    long = F.coalesce(F.col("b") - F.col("a") >= p.min_duration, F.lit(False))
+    rows = unions.join(audio.select("tid", "len_ms"), "tid").withColumn("_long", long)
+    totals = rows.groupBy("tid", "len_ms").agg(
+        F.sum("n").alias("n_segments"), F.sum("ads").alias("n_ads"), F.sum("blocks").alias("n_blocks"),
+        F.sum(F.when(F.col("_long"), (F.col("b") - F.col("a")) * 1000)).alias("removed"),
+        F.sum(F.when(F.col("_long"), within("b") - within("a"))).alias("cut"),
+        F.min(F.when(F.col("_long"), within("a"))).alias("first"),
+    )
+    # nothing is kept before 0
+    kept_ms = F.col("len_ms") - F.coalesce("cut", F.lit(0)) - F.least(F.coalesce("first", F.lit(0)), F.lit(0))
     percent = F.when(F.col("len_ms") > 0, F.round((F.col("len_ms") - kept_ms).cast("double") / F.col("len_ms").cast("double") * 100, 6))
-    return joined.select("tid", "n_segments", "n_ads", "n_blocks", F.coalesce("removed_ms", F.lit(0.0)).alias("removed_ms"), kept_ms.alias("kept_ms"), percent.alias("reduction_percent"))
+    return totals.select("tid", "n_segments", "n_ads", "n_blocks", F.coalesce(F.round("removed", 3), F.lit(0.0)).alias("removed_ms"), kept_ms.alias("kept_ms"), percent.alias("reduction_percent"))

@@ -5,11 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A message as it is sent: data may be any JSON.
+ENVELOPE = "topic string, data string, message_id string, correlation_id string"
+
 # The four stages and other topics.
 STAGES = ("download", "transcribe", "ad_detection", "audio_processing")
 FEED_PREFIX, STATUS_UPDATE = "podcast.rss.download.", "api.status.update"
 
 
+def from_envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Messages in a column of JSON texts: topic, data (as JSON text), message_id and correlation_id, beside the other
+    columns. A text that is no JSON object, or lacks one of these keys, is dropped; the values of the ids may be null."""
+    fields = F.json_object_keys(column)
+    whole = F.size(F.array_intersect(fields, F.array(*(F.lit(k) for k in ("topic", "data", "message_id", "correlation_id"))))) == 4
+    kept = [c for c in raw.columns if c != column]
+    return raw.where(whole).select(*kept, F.from_json(column, ENVELOPE).alias("_m")).where("_m.topic is not null").select(*kept, "_m.*")
+
+
+def to_envelopes(messages: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """topic and the JSON text of each message (topic, data as JSON text, message_id or null, correlation_id or null)."""
+
+    def quoted(name: str) -> Column:
+        listed = F.to_json(F.array(name))
+        return listed.substr(F.lit(2), F.length(listed) - 2)
+
+    text = F.concat(F.lit('{"topic":'), quoted("topic"), F.lit(',"data":'), F.coalesce("data", F.lit("null")), F.lit(',"message_id":'), quoted("message_id"), F.lit(',"correlation_id":'), quoted("correlation_id"), F.lit("}"))
+    return messages.select(*keep, "topic", text.alias(column))
+
+
+def log_of(messages: DataFrame, seq: str = "seq") -> DataFrame:
+    """The log that the operators here take, from messages with an order."""
+    field = lambda name: F.get_json_object("data", f"$.{name}")
+    path = F.when(F.col("topic").startswith(FEED_PREFIX), field("rss_url")).otherwise(field("file_path"))
+    return messages.select(F.col(seq).alias("seq"), "topic", "correlation_id", path.alias("file_path"), field("status").alias("new_status"), field("step").alias("new_step"))
+
+
 def topic(stage: str, kind: str) -> str:
     return f"podcast.{stage}.{kind}"
 
@@ -97,8 +127,16 @@ def already_processed(requests: DataFrame, done: DataFrame, objects: DataFrame,
     return requests.join(done.select(key).distinct(), key, "left_semi").join(objects.select(key).distinct(), key, "left_semi")
 
 
+def feed_requests(requests: DataFrame, seen: DataFrame, key: str = "rss_url") -> DataFrame:
+    """Requests for feeds, all of which are fetched again; already_processed marks those fetched before."""
+    known = seen.select(key).distinct().withColumn("already_processed", F.lit(True))
+    return requests.join(known, key, "left").withColumn("already_processed", F.coalesce("already_processed", F.lit(False)))
+
+
 def serve_decision(requests: DataFrame, produced: DataFrame, objects: DataFrame) -> DataFrame:
-    """requests (request_id, url) answered: 400 without a URL, 200 with the file if it was produced and exists, else 202."""
-    rows = requests.join(produced.select("url", "file"), "url", "left").join(objects.select(F.col("key").alias("file"), F.lit(True).alias("_there")).distinct(), "file", "left")
+    """requests (request_id, url) answered: 400 without a URL, 200 with the file if it was produced and exists, else 202.
+    Of the files produced (url, file, seq) for a URL the last one counts."""
+    last = produced.groupBy("url").agg(F.max_by("file", "seq").alias("file"))
+    rows = requests.join(last, "url", "left").join(objects.select(F.col("key").alias("file"), F.lit(True).alias("_there")).distinct(), "file", "left")
     code = F.when(missing(F.col("url")), 400).when(F.col("_there"), 200).otherwise(202)
     return rows.select("request_id", code.alias("status"), F.when(F.col("_there"), F.col("file")).alias("file"))

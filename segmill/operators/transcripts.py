@@ -59,17 +59,17 @@ def chunk_prompts(chunked: DataFrame) -> DataFrame:
 
 
 def first_answers(answers: DataFrame) -> DataFrame:
-    """Of the answers for the same tid and id, the first."""
-    return answers.groupBy("tid", "id").agg(F.min_by("ad", "apos").alias("ad"))
+    """Of the answers of a chunk for the same id, the first."""
+    return answers.groupBy("tid", "chunk_id", "id").agg(F.min_by("ad", "apos").alias("ad"))
 
 
-def merge_answers(segments: DataFrame, answers: DataFrame) -> DataFrame:
-    """Segments flagged as the first answer for their id says; without an answer they keep their flag. `matched` tells
-    whether there was one. Answers for unknown ids are dropped."""
+def merge_answers(chunked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Segments with a chunk_id, flagged as the first answer for their id says that was given for their chunk; without one
+    they keep their flag. `matched` tells whether there was one. Answers for ids that their chunk doesn't have are dropped."""
     found = first_answers(answers).withColumn("_found", F.lit(True))
-    joined = segments.join(found, ["tid", "id"], "left")
+    joined = chunked.join(found, ["tid", "chunk_id", "id"], "left")
     matched = F.coalesce("_found", F.lit(False))
-    return joined.withColumns({"is_ad": F.coalesce("ad", "is_ad"), "matched": matched}).select(*segments.columns, "matched")
+    return joined.withColumns({"is_ad": F.coalesce("ad", "is_ad"), "matched": matched}).select(*chunked.columns, "matched")
 
 
 def chunk_stats(merged: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmill.functions.columns import key_of_url
+from segmill.operators.messages import to_envelopes
 from segmill.parameters import Parameters
 
 #: Events of a user lie hours apart.
@@ -59,11 +60,17 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tid"), "turn")
-    odd = F.col("turn") % 2 == 1
-    one = rows.where((F.col("tid") + F.col("turn")) % 3 != 0).select("tid", F.col("turn").alias("apos"), F.col("turn").alias("id"), odd.alias("ad"))
-    two = rows.where("turn % 4 = 0").select("tid", (F.col("turn") + 1000).alias("apos"), F.col("turn").alias("id"), (~odd).alias("ad"))
-    three = rows.select("tid", (F.col("turn") + 2000).alias("apos"), (F.col("turn") + 100).alias("id"), F.lit(True).alias("ad"))
-    return one.unionByName(two).unionByName(three)
+    odd, chunk = F.col("turn") % 2 == 1, F.floor(F.col("turn") / CONVERSATION_CHUNK).cast("bigint")
+
+    def part(those: DataFrame, chunk_id: Column, after: int, id_: Column, ad: Column) -> DataFrame:
+        return those.select("tid", chunk_id.alias("chunk_id"), (F.col("turn") + after).alias("apos"), id_.alias("id"), ad.alias("ad"))
+
+    one = part(rows.where((F.col("tid") + F.col("turn")) % 3 != 0), chunk, 0, F.col("turn"), odd)
+    again = part(rows.where("turn % 4 = 0"), chunk, 1000, F.col("turn"), ~odd)
+    unknown = part(rows, chunk, 2000, F.col("turn") + 100, F.lit(True))
+    # answers for segments of the other chunk, before and after those of their own
+    foreign = part(rows.where("turn % 5 < 3"), 1 - chunk, -1000, F.col("turn"), ~odd)
+    return one.unionByName(again).unionByName(unknown).unionByName(foreign)
 
 
 TOPICS = {
@@ -82,6 +89,23 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), name.alias("topic"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("correlation_id"), path.alias("file_path"))
 
 
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages in JSON: seq and value. Every 7th is no JSON, every 11th lacks a key."""
+    rows = table(spark, sf_dir, "events")
+    data = F.to_json(F.struct(F.concat(F.lit('fi "'), F.col("event_type")).alias("file_path"), F.col("value").alias("value")))
+    sent = to_envelopes(rows.select(F.col("event_id"), F.concat(F.lit("podcast."), F.col("event_type")).alias("topic"), data.alias("data"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).alias("correlation_id")), keep=("event_id",))
+    n = F.col("event_id")
+    value = F.when(n % 7 == 0, F.substr("value", F.lit(2))).when(n % 11 == 0, F.replace("value", F.lit('"message_id"'), F.lit('"id"'))).otherwise(F.col("value"))
+    return sent.select(n.alias("seq"), value.alias("value"))
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hosts say of their feeds; some say nothing of one thing, or an empty text."""
+    hosts = page_entries(spark, sf_dir).groupBy("host").agg(F.min("page_id").alias("n"))
+    title = F.when(F.col("n") % 3 != 0, F.when(F.col("n") % 5 != 0, F.concat(F.lit("Feed & "), "host")).otherwise(""))
+    return hosts.where("n % 7 <> 0").select("host", title.alias("title"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("https://"), "host")).alias("link"), F.lit(None).cast("string").alias("description"))
+
+
 def claims(log: DataFrame) -> DataFrame:
     """The log as requests for files, and how work on them ended."""
     event = F.when(F.col("topic") == TOPICS["purchase"], "done").when(F.col("topic") == TOPICS["error"], "failed").otherwise("request")
@@ -109,7 +133,12 @@ def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def produced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where("page_id % 3 = 0").groupBy("url").agg(F.max(F.concat(key_of_url(F.col("url")), F.when(F.col("page_id") % 2 == 0, ".mp3").otherwise(".wav"))).alias("file"))
+    """Files in the order seq in which they were produced; some URLs have two."""
+    pages = table(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    name = lambda ending: F.concat(key_of_url(F.col("url")), ending)
+    first = pages.select("url", name(F.when(F.col("page_id") % 2 == 0, ".mp3").otherwise(".wav")).alias("file"), F.col("page_id").alias("seq"))
+    again = pages.where("page_id % 5 = 0").select("url", name(F.when(F.col("page_id") % 2 == 0, ".wav").otherwise(".mp3")).alias("file"), (F.col("page_id") + 1_000_000_000).alias("seq"))
+    return first.unionByName(again)
 
 
 def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +173,16 @@ CONVERSATION_SQL = """
 segments AS (
   SELECT conv_id AS tid, turn AS id, turn AS pos, text, CAST(turn AS DOUBLE) AS start_s, CAST(turn AS DOUBLE) + 1 AS end_s, role = 'system' AS is_ad
   FROM conversations),
+chunked AS (SELECT *, (row_number() OVER (PARTITION BY tid ORDER BY pos) - 1) // 4 AS chunk_id FROM segments),
 answers AS (
-  SELECT conv_id AS tid, turn AS apos, turn AS id, turn % 2 = 1 AS ad FROM conversations WHERE (conv_id + turn) % 3 <> 0
-  UNION ALL SELECT conv_id, turn + 1000, turn, turn % 2 <> 1 FROM conversations WHERE turn % 4 = 0
-  UNION ALL SELECT conv_id, turn + 2000, turn + 100, true FROM conversations),
-firsts AS (SELECT tid, id, arg_min(ad, apos) AS ad FROM answers GROUP BY tid, id),
+  SELECT conv_id AS tid, turn // 4 AS chunk_id, turn AS apos, turn AS id, turn % 2 = 1 AS ad FROM conversations WHERE (conv_id + turn) % 3 <> 0
+  UNION ALL SELECT conv_id, turn // 4, turn + 1000, turn, turn % 2 <> 1 FROM conversations WHERE turn % 4 = 0
+  UNION ALL SELECT conv_id, turn // 4, turn + 2000, turn + 100, true FROM conversations
+  UNION ALL SELECT conv_id, 1 - turn // 4, turn - 1000, turn, turn % 2 <> 1 FROM conversations WHERE turn % 5 < 3),
 merged AS (
-  SELECT s.tid, s.id, s.pos, s.text, s.start_s, s.end_s, coalesce(f.ad, s.is_ad) AS is_ad, f.ad IS NOT NULL AS matched
-  FROM segments s LEFT JOIN firsts f ON s.tid = f.tid AND s.id = f.id)"""
+  SELECT c.*, a.ad AS answer
+  FROM chunked c LEFT JOIN LATERAL (
+    SELECT ad FROM answers a WHERE a.tid = c.tid AND a.chunk_id = c.chunk_id AND a.id = c.id ORDER BY a.apos LIMIT 1) a ON true)"""
 
 LOG_SQL = """
 log AS (

@@ -6,6 +6,10 @@ from segmill.parameters import DEFAULT, Parameters
 from segmill.plans.fixtures import AUDIO_SQL, CONVERSATION_SQL, DOC_SEGMENTS_SQL, ENTRIES_SQL, EVENT_PARAMETERS, EVENT_SEGMENTS_SQL, LOG_SQL
 
 
+#: White space of any kind in the regular expressions of DuckDB.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def _any(phrases: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower(text), '{p}')" for p in phrases) + ")"
 
@@ -79,7 +83,7 @@ claims AS (
          WHEN topic = 'podcast.download.failed' THEN 'failed' ELSE 'request' END AS event FROM log WHERE file_path IS NOT NULL)"""
 
 SQL = {
-    "segments_from_model": _with(DOC_SEGMENTS_SQL, select=r"SELECT tid, pos AS id, pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, start_s, end_s, false AS is_ad FROM segments"),
+    "segments_from_model": _with(DOC_SEGMENTS_SQL, select=rf"SELECT tid, pos AS id, pos, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS text, start_s, end_s, false AS is_ad FROM segments"),
     "ad_segments": _with(DOC_SEGMENTS_SQL, select="SELECT * FROM segments WHERE is_ad"),
     "non_ad_segments": _with(DOC_SEGMENTS_SQL, select="SELECT * FROM segments WHERE NOT is_ad"),
     "promo_segments": _with(DOC_SEGMENTS_SQL, select=f"SELECT tid, id FROM segments WHERE {_any(DEFAULT.promotions)}"),
@@ -106,10 +110,12 @@ LEFT JOIN (SELECT tid, CAST(sum(least(to_ms, len_ms) - least(from_ms, len_ms)) A
     "ad_blocks_events": _with(*EVENT, _blocks(EVENT_PARAMETERS), select=BLOCK_SELECT),
     "merged_intervals_events": _with(*EVENT, _merged(EVENT_PARAMETERS), select="SELECT * FROM unions"),
     "kept_spans_events": _with(*EVENT_AUDIO, select="SELECT tid, from_ms, to_ms FROM spans"),
-    "merge_classifications": _with(CONVERSATION_SQL, select="SELECT tid, id, is_ad, matched FROM merged"),
+    "merge_classifications": _with(CONVERSATION_SQL, select="SELECT tid, id, coalesce(answer, is_ad) AS is_ad, answer IS NOT NULL AS matched FROM merged"),
     "chunk_stats": _with(CONVERSATION_SQL, select="""
-SELECT tid, chunk_id, count(*) AS n_total, count_if(matched) AS n_updated, count_if(matched AND is_ad) AS n_ads
-FROM (SELECT *, (row_number() OVER (PARTITION BY tid ORDER BY pos) - 1) // 4 AS chunk_id FROM merged) GROUP BY tid, chunk_id"""),
+SELECT tid, chunk_id, count(*) AS n_total, count(answer) AS n_updated, count_if(coalesce(answer, false)) AS n_ads FROM merged GROUP BY tid, chunk_id"""),
+    "message_envelopes": """
+SELECT event_id AS seq, 'podcast.' || event_type AS topic, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS correlation_id, 'fi "' || event_type AS file_path
+FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""",
     "next_requests": _with(LOG_SQL, select="""
 SELECT seq, CASE topic WHEN 'podcast.download.complete' THEN 'podcast.transcribe.request' WHEN 'podcast.transcribe.complete' THEN 'podcast.ad_detection.request'
        ELSE 'podcast.audio_processing.request' END AS topic, correlation_id, file_path
@@ -129,8 +135,12 @@ FROM folded WHERE event = 'request'"""),
     "already_processed": _with(LOG_SQL, CLAIMS_SQL, select="""
 SELECT seq, key FROM claims WHERE event = 'request' AND key IN (SELECT key FROM claims WHERE event = 'done' AND seq % 29 = 0)
   AND key IN (SELECT key FROM claims WHERE event = 'request' AND seq % 4 <> 0)"""),
+    "feed_requests": "SELECT page_id, coalesce(url IN (SELECT url FROM pages WHERE page_id % 13 = 0 AND url IS NOT NULL), false) AS already_processed FROM pages",
     "serve_decision": """
-WITH produced AS (SELECT url, max('podcasts/' || md5(url) || CASE WHEN page_id % 2 = 0 THEN '.mp3' ELSE '.wav' END) AS file FROM pages WHERE page_id % 3 = 0 GROUP BY url),
+WITH files AS (
+  SELECT url, page_id AS seq, CASE WHEN page_id % 2 = 0 THEN '.mp3' ELSE '.wav' END AS ending FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT url, page_id + 1000000000, CASE WHEN page_id % 2 = 0 THEN '.wav' ELSE '.mp3' END FROM pages WHERE page_id % 15 = 0),
+produced AS (SELECT url, 'podcasts/' || md5(url) || arg_max(ending, seq) AS file FROM files GROUP BY url),
 objects AS (SELECT DISTINCT 'podcasts/' || md5(url) || '.mp3' AS key FROM pages WHERE page_id % 4 <> 1),
 requests AS (SELECT page_id AS request_id, CASE WHEN page_id % 11 <> 0 THEN url END AS url FROM pages)
 SELECT r.request_id, CASE WHEN coalesce(r.url, '') = '' THEN 400 WHEN o.key IS NOT NULL THEN 200 ELSE 202 END AS status,
@@ -146,9 +156,11 @@ FROM pages""",
 items AS (
   SELECT *, '<item>' || CASE WHEN title = '' THEN '<title />' ELSE '<title>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title>' END
          || '<description /><enclosure url="' || replace(replace(replace(replace(audio_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
-         || '" type="audio/mpeg" /></item>' AS item FROM entries)""", select="""
-SELECT host, '<rss version="2.0"><channel><title>Episodes</title><link>https://' || host || '</link><description>Episodes without advertisements</description>'
-       || string_agg(item, '' ORDER BY page_id) || '</channel></rss>' AS xml FROM items GROUP BY host"""),
+         || '" type="audio/mpeg" /></item>' AS item FROM entries),
+hosts AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, min(page_id) AS n FROM pages GROUP BY 1)""", select="""
+SELECT i.host, '<rss version="2.0"><channel>' || CASE WHEN any_value(h.n) % 7 = 0 OR any_value(h.n) % 3 = 0 THEN '<title>Episodes</title>' WHEN any_value(h.n) % 5 = 0 THEN '<title />' ELSE '<title>Feed &amp; ' || i.host || '</title>' END
+       || CASE WHEN any_value(h.n) % 7 <> 0 AND any_value(h.n) % 2 = 0 THEN '<link>https://' || i.host || '</link>' ELSE '<link />' END || '<description>Episodes without advertisements</description>'
+       || string_agg(item, '' ORDER BY page_id) || '</channel></rss>' AS xml FROM items i JOIN hosts h ON h.host = i.host GROUP BY i.host"""),
     "feed_cache": "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, arg_max(regexp_extract(html, '<title>([^<]*)</title>', 1), page_id) AS title FROM pages GROUP BY 1",
     "storage_keys": """
 SELECT page_id, 'podcasts/original/' || string_split(url, '/')[-1] AS path_key, 'podcasts/' || md5(url) AS url_key,

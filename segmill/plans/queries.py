@@ -15,7 +15,7 @@ DOC_CHUNKS = Parameters(chunk_size=6)
 
 def segments_from_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.doc_segments(spark, sf_dir)
-    padded = F.concat(F.lit(" \t"), "text", F.lit("\n "))
+    padded = F.concat(F.lit(" \t\u00a0\u2003\x1f"), "text", F.lit("\n\u3000 \x85"))
     answer = F.transform(F.sort_array(F.collect_list(F.struct("pos", padded.alias("text"), "start_s", "end_s"))), lambda x: F.struct(x["text"].alias("text"), x["start_s"].alias("start"), x["end_s"].alias("end")))
     return transcripts.segments_from_model(rows.groupBy("tid").agg(answer.alias("segments")))
 
@@ -106,7 +106,8 @@ def kept_spans_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.merge_answers(X.conversation_segments(spark, sf_dir), X.conversation_answers(spark, sf_dir))
+    chunked = transcripts.chunks(X.conversation_segments(spark, sf_dir), Parameters(chunk_size=X.CONVERSATION_CHUNK))
+    return transcripts.merge_answers(chunked, X.conversation_answers(spark, sf_dir))
 
 
 def merge_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,12 @@ def merge_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.chunk_stats(transcripts.chunks(_merged(spark, sf_dir), Parameters(chunk_size=X.CONVERSATION_CHUNK)))
+    return transcripts.chunk_stats(_merged(spark, sf_dir))
+
+
+def message_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages.log_of(messages.from_envelopes(X.envelopes(spark, sf_dir)))
+    return found.select("seq", "topic", "correlation_id", "file_path")
 
 
 def next_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +159,11 @@ def already_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.already_processed(*_work(spark, sf_dir)).select("seq", "key")
 
 
+def feed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = X.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("rss_url"))
+    return messages.feed_requests(pages, pages.where("page_id % 13 = 0")).select("page_id", "already_processed")
+
+
 def serve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = X.table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.when(F.col("page_id") % 11 != 0, F.col("url")).alias("url"))
     return messages.serve_decision(requests, X.produced_files(spark, sf_dir), X.stored_objects(spark, sf_dir))
@@ -171,7 +182,7 @@ def feed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.feed_xml(feeds.episodes(X.page_entries(spark, sf_dir)), "host", "page_id")
+    return feeds.feed_xml(feeds.episodes(X.page_entries(spark, sf_dir)), "host", "page_id", X.channels(spark, sf_dir))
 
 
 def feed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +208,7 @@ QUERIES = (
     segments_from_model, ad_segments, non_ad_segments, promo_segments, transition_segments, chunks, chunk_prompts, dedup_segments,
     expand_ad_blocks, ad_blocks, merged_intervals, merge_counts, kept_spans, segment_report, transcript_report, reduction_report,
     ad_blocks_events, merged_intervals_events, kept_spans_events, merge_classifications, chunk_stats,
-    next_requests, invalid_requests, request_status, request_steps, claim_outcome, new_work, already_processed, serve_decision,
+    message_envelopes, next_requests, invalid_requests, request_status, request_steps, claim_outcome, new_work, already_processed, feed_requests,
+    serve_decision,
     route_requests, feed_episodes, feed_xml, feed_cache, storage_keys, existing_objects, content_type,
 )

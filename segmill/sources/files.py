@@ -5,45 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmill.functions.columns import iso_text, iso_time
 from segmill.schemas import TRANSCRIPT
 
 REQUIRED = ("id", "text", "start", "end", "is_ad")
+KEYS = "key string"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of the transcript files below a path; tid is the file's name. Every key is required: a missing one or
-    malformed JSON raises."""
-    files = spark.read.schema(TRANSCRIPT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    whole = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("tid"), F.assert_true(F.col("processed_at").isNotNull() & F.col("segments").isNotNull(), "a transcript lacks a key").alias("_ok"), "processed_at", "segments")
-    rows = whole.where("_ok is null").select("tid", "processed_at", F.posexplode("segments").alias("pos", "s"))
-    complete = F.assert_true(~F.greatest(*(F.col(f"s.{k}").isNull() for k in REQUIRED)), "a segment lacks a key")
-    return rows.withColumn("_ok", complete).where("_ok is null").select("tid", "processed_at", F.col("pos").cast("bigint").alias("pos"), "s.id", "s.text", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.is_ad")
+def _missing(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _rows(whole: DataFrame) -> DataFrame:
+    rows = whole.select("tid", F.col("time").alias("processed_at"), F.posexplode("segments").alias("pos", "s"))
+    return rows.select("tid", "processed_at", F.col("pos").cast("bigint").alias("pos"), "s.id", "s.text", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.is_ad")
+
+
+def _whole(files: DataFrame) -> tuple[DataFrame, dict]:
+    """Transcripts with their time, and what each must have."""
+    tid = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    named = files.withColumn("tid", F.coalesce("tid", tid)) if "tid" in files.columns else files.withColumn("tid", tid)
+    complete = F.col("segments").isNotNull() & F.col("processed_at").isNotNull()
+    lacks = F.exists("segments", lambda s: F.greatest(*(s[k].isNull() for k in REQUIRED)))
+    checks = {"a transcript lacks a key": complete, "a segment lacks a key": ~lacks, "processed_at is no ISO time": F.col("time").isNotNull()}
+    return named.withColumn("time", iso_time(F.col("processed_at"))), checks
+
+
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Segments of the transcripts below a path: a file each, whose name is tid, or lines of JSON as write_transcripts
+    writes them. Every key is required and processed_at must be an ISO time: malformed JSON or a missing key raises."""
+    reader = spark.read.schema(f"tid string, {TRANSCRIPT}" if lines else TRANSCRIPT).option("multiLine", str(not lines).lower()).option("mode", "FAILFAST")
+    whole, checks = _whole(reader.json(path))
+    for says, check in checks.items():
+        whole = whole.withColumn("_ok", F.assert_true(F.coalesce(check, F.lit(False)), says)).where("_ok is null")
+    return _rows(whole)
+
+
+def readable_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Like read_transcripts, but what can't be read is left out, and a missing path has none: a cache."""
+    schema = f"tid string, {TRANSCRIPT}" if lines else TRANSCRIPT
+    if _missing(spark, path):
+        return _rows(_whole(spark.createDataFrame([], f"tid string, {TRANSCRIPT}"))[0])
+    whole, checks = _whole(spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path))
+    for check in checks.values():
+        whole = whole.where(F.coalesce(check, F.lit(False)))
+    return _rows(whole)
 
 
 def write_transcripts(segments: DataFrame, path: str, processed_at: str) -> None:
-    """One line of JSON for each transcript, in files by tid, with the given time."""
+    """A line of JSON for each transcript, with the given time. The lines are in as many files as there are partitions."""
     entry = F.struct("pos", "id", "text", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "is_ad")
     ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x.dropFields("pos"))
-    segments.groupBy("tid").agg(ordered.alias("segments")).withColumn("processed_at", F.lit(processed_at)).write.partitionBy("tid").json(path)
+    time = iso_text(F.lit(processed_at).cast("timestamp"))
+    segments.groupBy("tid").agg(ordered.alias("segments")).withColumn("processed_at", time).write.mode("append").json(path)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of a JSON list; none if the file is missing or can't be read."""
-    empty = spark.createDataFrame([], "key string")
-    try:
-        text = spark.read.text(path, wholetext=True).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return empty
-        raise
-    if text is None:
-        return empty
-    rows = spark.createDataFrame([(text[0],)], "j string")
-    return rows.select(F.explode(F.from_json("j", "array<string>")).alias("key"))
+    """The keys of a set; none if it is missing. Files that can't be read count as none, so their work is done again."""
+    if _missing(spark, path):
+        return spark.createDataFrame([], KEYS)
+    return spark.read.schema(KEYS).option("ignoreCorruptFiles", "true").parquet(path).where("key is not null").distinct()
 
 
 def write_processed(keys: DataFrame, path: str) -> None:
-    keys.select("key").distinct().write.mode("overwrite").parquet(path)
+    """Add keys to a set; those that it has already stay as they are."""
+    new = keys.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+    new.join(read_processed(keys.sparkSession, path), "key", "left_anti").write.mode("append").parquet(path)
+
+
+def import_processed(spark: SparkSession, path: str) -> DataFrame:
+    """The keys of JSON lists, one in each file; a missing path or a file that is no list has none."""
+    if _missing(spark, path):
+        return spark.createDataFrame([], KEYS)
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("key")).where("key is not null").distinct()
 
 
 def feed_entries(xml: DataFrame, feed: str, column: str) -> DataFrame:
@@ -51,11 +86,18 @@ def feed_entries(xml: DataFrame, feed: str, column: str) -> DataFrame:
 
     An enclosure becomes a link with rel `enclosure`; what a feed lacks is an empty string.
     """
-    item = "struct<title: string, description: string, pubDate: string, enclosure: array<struct<_url: string, _type: string>>>"
-    parsed = xml.select(feed, F.from_xml(column, f"channel struct<title: string, link: string, description: string, item: array<{item}>>", {"mode": "PERMISSIVE"}).alias("x"))
+    parsed = _parsed(xml, feed, column)
     rows = parsed.select(feed, F.posexplode("x.channel.item").alias("pos", "e"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias
     links = F.transform(F.coalesce("e.enclosure", F.array()), lambda x: F.struct(F.lit("enclosure").alias("rel"), x["_type"].alias("type"), x["_url"].alias("href")))
     return rows.select(feed, "pos", blank(F.col("e.title"))("title"), blank(F.col("e.description"))("description"), blank(F.col("e.pubDate"))("published"), links.alias("links"))
 
 
+def feed_channels(xml: DataFrame, feed: str, column: str) -> DataFrame:
+    """Title, link and description of RSS feeds; null where a feed lacks one."""
+    return _parsed(xml, feed, column).select(feed, "x.channel.title", "x.channel.link", "x.channel.description")
+
+
+def _parsed(xml: DataFrame, feed: str, column: str) -> DataFrame:
+    item = "struct<title: string, description: string, pubDate: string, enclosure: array<struct<_url: string, _type: string>>>"
+    return xml.select(feed, F.from_xml(column, f"channel struct<title: string, link: string, description: string, item: array<{item}>>", {"mode": "PERMISSIVE"}).alias("x"))

@@ -1,17 +1,25 @@
 """An object store on any file system that Spark reads: paths of local disks, HDFS or S3 alike.
 
-Small administrative calls (put, get, delete, exists) go through the session's Hadoop file system; listings and bulk reads
-are DataFrames.
+Small administrative calls (put, get, delete, exists) go through the session's Hadoop file system. Listings and bulk reads
+are DataFrames made by tasks: Spark's own file sources leave out empty files and names that begin with _ or a dot. The
+folders right below a prefix are walked side by side, and nothing of a listing passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMES = ("file", "hdfs", "viewfs", "s3a")
+LISTED = "key string, size bigint, last_modified timestamp"
+FOUND = f"{LISTED}, is_folder boolean"
+#: Contents of small objects are sent together up to so many bytes.
+BATCH_BYTES = 32 << 20
 
 
 class ObjectStoreError(Exception):
@@ -70,19 +78,64 @@ class ObjectStore:
 
     def list(self, prefix: str = "") -> DataFrame:
         """key, size and last_modified of the objects below a directory; none if it doesn't exist. Contents aren't read."""
-        schema = "key string, size bigint, last_modified timestamp"
-        if not self.exists(prefix):
-            return self.spark.createDataFrame([], schema)
-        return self._files(prefix).select(self._key(), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+        root, tasks = self.root, 4 * self.spark.sparkContext.defaultParallelism
 
-    def read(self, prefix: str = "") -> DataFrame:
-        """key and content of the objects below a directory."""
-        return self._files(prefix).select(self._key(), "content")
+        def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    yield from _found(root, key, recursive=False)
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                folder = batch.column("is_folder").to_pylist()
+                yield batch.filter(pa.array([not f for f in folder], pa.bool_()))
+                for key in (k for k, f in zip(batch.column("key").to_pylist(), folder, strict=True) if f):
+                    yield from _found(root, key, recursive=True)
 
-    def _files(self, prefix: str) -> DataFrame:
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{prefix}" if prefix else self.root)
+        top = self.spark.createDataFrame([(prefix.strip("/"),)], "key string").mapInArrow(level, FOUND)
+        return top.repartition(tasks, "key").mapInArrow(walk, FOUND).drop("is_folder")
 
-    def _key(self):
-        # the listing may write file:/x for file:///x
-        tail = self.root.split("://", 1)[1].lstrip("/")
-        return F.regexp_extract("path", rf"^[a-z0-9]+:/+\Q{tail}\E/(.*)$", 1).alias("key")
+    def read(self, prefix: str = "") -> DataFrame:
+        """key and content of the objects below a directory."""
+        root, tasks = self.root, 4 * self.spark.sparkContext.defaultParallelism
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = _store(root)
+            held: list[tuple[str, bytes]] = []
+
+            def sent() -> pa.RecordBatch:
+                keys, contents = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["key", "content"])
+
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    with store.open_input_stream(f"{base}/{key}", compression=None) as source:
+                        held.append((key, source.read()))
+                    if sum(len(c) for _, c in held) > BATCH_BYTES:
+                        yield sent()
+                        held = []
+            if held:
+                yield sent()
+
+        return self.list(prefix).select("key").repartition(tasks, "key").mapInArrow(read, "key string, content binary")
+
+
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root and the path there, for a task."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri("s3" + root.removeprefix("s3a") if root.startswith("s3a:") else root)
+
+
+def _found(root: str, key: str, recursive: bool) -> Iterator[pa.RecordBatch]:
+    """What is below a folder. Checksum files, which Hadoop keeps beside those of a local disk, are no objects."""
+    store, base = _store(root)
+    path = f"{base}/{key}".rstrip("/")
+    if store.get_file_info(path).type != fs.FileType.Directory:
+        return
+    infos = store.get_file_info(fs.FileSelector(path, recursive=recursive))
+    infos = [i for i in infos if not (i.base_name.startswith(".") and i.base_name.endswith(".crc"))]
+    infos = [i for i in infos if i.is_file or not recursive]
+    columns = ([i.path[len(base) + 1 :] for i in infos], [i.size or 0 for i in infos], [i.mtime for i in infos], [not i.is_file for i in infos])
+    kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "size", "last_modified", "is_folder"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from segmill.operators.messages import next_requests, status_updates
+from segmill.operators.messages import from_envelopes, next_requests, status_updates
 from segmill.schemas import MESSAGES
 
 STATUS = "correlation_id string, status string, n_steps bigint, last_seq bigint"
@@ -25,6 +25,11 @@ def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -
     return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
+def read_envelopes(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Messages in lines of JSON with any data; what is no message is dropped."""
+    return from_envelopes(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
+
+
 class RequestState(StatefulProcessor):
     """Status, number of steps and last message of a request. A message that was overtaken adds its step but leaves the status."""
 
@@ -54,6 +59,41 @@ def request_status_stream(messages: DataFrame, ttl_ms: int | None = None) -> Dat
     return keyed.transformWithStateInPandas(RequestState(ttl_ms), STATUS, "update", "processingTime" if ttl_ms else "none")
 
 
+CLAIMS = "seq bigint, key string, outcome string"
+
+
+class ClaimState(StatefulProcessor):
+    """Whether the work on a key is running or done; a failure makes it free again unless it was done before."""
+
+    def __init__(self, busy: str, ttl_ms: int | None = None) -> None:
+        self.busy, self.ttl_ms = busy, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("claim", "status string", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        status = self.state.get()[0] if self.state.exists() else "new"
+        answers = []
+        for seq, event in sorted((s, e) for batch in rows for s, e in zip(batch["seq"], batch["event"], strict=True)):
+            if event == "request":
+                answers.append((seq, key[0], {"new": "claimed", "running": self.busy, "done": "already_processed"}[status]))
+                status = "running" if status == "new" else status
+            elif status != "done":
+                status = "done" if event == "done" else "new"
+        self.state.update((status,))
+        yield pd.DataFrame(answers, columns=["seq", "key", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def claim_outcome_stream(events: DataFrame, busy: str = "failed", ttl_ms: int | None = None) -> DataFrame:
+    """claim_outcome on a stream of (seq, key, event): the answer to each request, with the state of each key kept from batch
+    to batch. Within a batch events count in the order of seq."""
+    keyed = events.where("key is not null").select("seq", "key", "event").groupBy("key")
+    return keyed.transformWithStateInPandas(ClaimState(busy, ttl_ms), CLAIMS, "append", "processingTime" if ttl_ms else "none")
+
+
 def next_requests_stream(messages: DataFrame) -> DataFrame:
     """Routing keeps no state."""
     return next_requests(messages)

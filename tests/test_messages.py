@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -83,3 +85,49 @@ def test_streamed_state_equals_batch(spark, tmp_path):
 
     S.to_table(S.first_claims_stream(messages), str(tmp_path / "first"), str(tmp_path / "c3")).awaitTermination()
     assert sorted(r.file_path for r in spark.read.parquet(str(tmp_path / "first")).collect()) == ["", "f1", "f2"]
+
+
+def test_envelopes(spark, tmp_path):
+    whole = {"topic": "podcast.download.complete", "data": {"file_path": "f1", "more": [1, {"a": None}]}, "message_id": "m1", "correlation_id": "a"}
+    feed = {"topic": "podcast.rss.download.complete", "data": {"rss_url": "u"}, "message_id": "m2", "correlation_id": None}
+    update = {"topic": "api.status.update", "data": {"status": "paused", "step": "x"}, "message_id": None, "correlation_id": "a"}
+    odd = [*({**whole, "data": d} for d in ("text", 5, None, [1])), {k: v for k, v in whole.items() if k != "correlation_id"}]
+    texts = [json.dumps(m) for m in (whole, feed, update, *odd)] + ["{bad", "", "[1]", None]
+    raw = spark.createDataFrame(list(enumerate(texts)), "seq bigint, value string")
+    found = M.from_envelopes(raw)
+    got = {r.seq: (r.topic, None if r.data is None else r.data if r.seq == 3 else json.loads(r.data), r.message_id, r.correlation_id) for r in found.collect()}
+    assert got == {i: tuple(m.values()) for i, m in enumerate((whole, feed, update, *odd[:4]))}
+    log = {r.seq: tuple(r)[1:] for r in M.log_of(found).collect()}
+    assert log[0] == ("podcast.download.complete", "a", "f1", None, None) and log[1][2] == "u" and log[2][3:] == ("paused", "x") and log[4][2] is None
+    sent = M.to_envelopes(found.where("seq < 3"), keep=("seq",))
+    assert {r.seq: json.loads(r.value) for r in sent.collect()} == dict(enumerate((whole, feed, update)))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(t for t in texts if t))
+    S.to_table(S.read_envelopes(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_streamed_claims_equal_batch(spark, tmp_path):
+    rng = random.Random(8)
+    events = [(i, rng.choice("abcdefgh"), rng.choices(("request", "failed", "done"), (8, 3, 1))[0]) for i in range(300)]
+    (tmp_path / "in").mkdir()
+    for n in range(6):
+        part = events[50 * n : 50 * n + 50]
+        rng.shuffle(part)
+        (tmp_path / f"in/{n}.json").write_text("".join(json.dumps(dict(zip(("seq", "key", "event"), e, strict=True))) + "\n" for e in part))
+        os.utime(tmp_path / f"in/{n}.json", (1_700_000_000 + n,) * 2)  # files are taken in the order of their times
+    stream = spark.readStream.schema("seq bigint, key string, event string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    S.to_table(S.claim_outcome_stream(stream, "in_progress"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    want = M.claim_outcome(spark.createDataFrame(events, "seq bigint, key string, event string"), "in_progress")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+    assert {r.outcome for r in want.collect()} == {"claimed", "in_progress", "already_processed"}
+
+
+def test_feed_requests_and_last_file(spark):
+    requests = spark.createDataFrame([(1, "u"), (2, "v"), (3, None)], "i int, rss_url string")
+    got = M.feed_requests(requests, requests.where("i <> 2"))
+    assert {(r.i, r.already_processed) for r in got.collect()} == {(1, True), (2, False), (3, False)}
+    asked = spark.createDataFrame([(1, "u"), (2, None), (3, "w")], "request_id bigint, url string")
+    produced = spark.createDataFrame([("u", "f1", 1), ("u", "f2", 2)], "url string, file string, seq bigint")
+    objects = spark.createDataFrame([("f1",), ("f2",)], "key string")
+    assert sorted(map(tuple, M.serve_decision(asked, produced, objects).collect())) == [(1, 200, "f2"), (2, 400, None), (3, 202, None)]

@@ -107,6 +107,16 @@ def test_against_simulator(spark, seed):
         kept.setdefault(r.tid, []).append((r.from_ms, r.to_ms))
     # starts before 0 or the end so far make no span
     assert {t: sorted(k) for t, k in kept.items()} == {t: k for t in by_tid if (k := sorted(simulate_kept(want[t], lengths[t])))}
+    # the report counts what the operators beside it return
+    report = {r.tid: r for r in intervals.reduction_report(expanded, audio, P).collect()}
+    assert report.keys() == by_tid.keys()
+    for tid, part in by_tid.items():
+        end = lengths[tid]
+        left = sum(min(b, end) - min(a, end) for a, b in kept.get(tid, ()))
+        saved = sum((b - a) * 1000 for a, b in want[tid])
+        r = report[tid]
+        assert (r.n_segments, r.n_ads, r.n_blocks, r.kept_ms) == (len(part), sum(x["is_ad"] for x in part), len(blocks.get(tid, ())), left)
+        assert r.removed_ms == pytest.approx(saved, abs=1e-3) and r.reduction_percent == pytest.approx((end - left) / end * 100, abs=1e-5)
 
 
 def hand_rows(ads_=()):
@@ -119,6 +129,13 @@ def test_expansion_by_hand(spark):
     assert {r.id for r in ads.expand_ads(rows).where("is_ad").collect()} == {148, 149, 153, 154, 155, 156, 157}
 
 
+def test_report_shuffles_segments_once(spark):
+    rows = spark.createDataFrame(hand_rows({154, 155}), SEGMENTS)
+    audio = spark.createDataFrame([(1, 10_000)], "tid bigint, len_ms bigint")
+    plan = intervals.reduction_report(rows, audio)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Window") <= 3
+
+
 def test_nothing_flagged_stays(spark):
     rows = spark.createDataFrame(hand_rows(), SEGMENTS)
     assert ads.expand_ads(rows).where("is_ad").count() == 0

@@ -1,12 +1,15 @@
 import json
+import random
 import xml.etree.ElementTree as ET
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from segmill.functions import columns as C
-from segmill.operators import classifier, feeds, transcripts
-from segmill.schemas import SEGMENTS
+from segmill.operators import classifier, detection, feeds, transcripts
+from segmill.parameters import Parameters
+from segmill.schemas import ANSWERS, SEGMENTS
 from segmill.sources import files
 from segmill.sources.objects import ObjectStore, ObjectStoreError
 
@@ -23,6 +26,13 @@ def test_object_store(spark, tmp_path):
     assert {r.key for r in store.list("test").collect()} == {"test/file1.txt", "test/file2.txt"}
     assert store.list("none").count() == 0
     assert {(r.key, bytes(r.content)) for r in store.read("test").collect()} == {("test/file1.txt", b"one"), ("test/file2.txt", b"two")}
+    for key in ("test/_x", "test/.y", "test/sub/deep/z", "test/empty"):
+        store.put(key, b"" if key.endswith("empty") else b"q")
+    more = {"test/_x": b"q", "test/.y": b"q", "test/sub/deep/z": b"q", "test/empty": b"", "test/file1.txt": b"one", "test/file2.txt": b"two"}
+    assert {r.key: r.size for r in store.list("/test/").collect()} == {k: len(v) for k, v in more.items()}
+    assert {r.key: bytes(r.content) for r in store.read("test").collect()} == more and store.read("none").count() == 0
+    assert all(r.last_modified is not None for r in store.list().collect())
+    assert [r.key for r in store.list("test/sub").collect()] == ["test/sub/deep/z"]
     assert store.url("test/file1.txt") == f"file://{tmp_path}/store/test/file1.txt"
     assert store.delete("test/file1.txt") and not store.exists("test/file1.txt") and not store.delete("test/file1.txt")
     assert store.delete("test") and not store.exists("test/file2.txt")
@@ -61,21 +71,50 @@ def test_first_audio_enclosure(spark):
 def test_transcripts(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 0, "a", 0.0, 1.5, False), (1, 1, 1, "b", 2.0, 3.0, True)], SEGMENTS)
     files.write_transcripts(rows, str(tmp_path / "t"), "2024-01-01T00:00:00")
-    (file,) = (tmp_path / "t/tid=1").glob("*.json")
-    back = files.read_transcripts(spark, str(file)).drop("tid").orderBy("pos").collect()
-    assert [tuple(r) for r in back] == [("2024-01-01T00:00:00", 0, 0, "a", 0.0, 1.5, False), ("2024-01-01T00:00:00", 1, 1, "b", 2.0, 3.0, True)]
-    lacking = tmp_path / "x.json"
-    lacking.write_text(json.dumps({"segments": [{"id": 1, "text": "a", "start": 0.0, "end": 1.0}], "processed_at": "t"}))
-    with pytest.raises(Exception, match="lacks a key"):
-        files.read_transcripts(spark, str(lacking)).collect()
+    back = files.read_transcripts(spark, str(tmp_path / "t"), lines=True).orderBy("pos")
+    whole = [("1", datetime(2024, 1, 1), 0, 0, "a", 0.0, 1.5, False), ("1", datetime(2024, 1, 1), 1, 1, "b", 2.0, 3.0, True)]
+    assert [tuple(r) for r in back.collect()] == whole
+    assert back.select(C.iso_text(F.col("processed_at"))).first()[0] == "2024-01-01T00:00:00"
+    segment = {"id": 1, "text": "a", "start": 0.0, "end": 1.0, "is_ad": True}
+    cache = tmp_path / "c"
+    cache.mkdir()
+    (cache / "ok.json").write_text(json.dumps({"segments": [segment], "processed_at": "2024-01-01T10:20:30.5"}, indent=2))
+    (row,) = files.read_transcripts(spark, str(cache)).collect()
+    assert tuple(row) == ("ok.json", datetime(2024, 1, 1, 10, 20, 30, 500000), 0, 1, "a", 0.0, 1.0, True)
+    for name, text, says in (
+        ("lacking", json.dumps({"segments": [{k: v for k, v in segment.items() if k != "is_ad"}], "processed_at": "2024-01-01"}), "a segment lacks a key"),
+        ("keyless", json.dumps({"segments": [segment]}), "a transcript lacks a key"),
+        ("odd time", json.dumps({"segments": [segment], "processed_at": "yesterday"}), "no ISO time"),
+        ("broken", "{not json", "."),
+    ):
+        (cache / f"{name}.json").write_text(text)
+        with pytest.raises(Exception, match=says):
+            files.read_transcripts(spark, str(cache / f"{name}.json")).collect()
+    # what can't be read is not in the cache, so it is transcribed again
+    cached = files.readable_transcripts(spark, str(cache))
+    assert [r.tid for r in cached.collect()] == ["ok.json"] and files.readable_transcripts(spark, str(tmp_path / "none")).count() == 0
+    audio = spark.createDataFrame([("ok.json", b"a"), ("broken.json", b"b")], "tid string, content binary")
+    new = detection.transcribe_new(audio, cached, lambda: lambda content: [{"text": "n", "start": 0.0, "end": 1.0}])
+    assert [(r.tid, r.text) for r in new.collect()] == [("broken.json", "n")]
 
 
 def test_processed(spark, tmp_path):
-    (tmp_path / "p.json").write_text('["a", "b"]')
-    assert sorted(r.key for r in files.read_processed(spark, str(tmp_path / "p.json")).collect()) == ["a", "b"]
-    (tmp_path / "q.json").write_text("not json")
-    assert files.read_processed(spark, str(tmp_path / "q.json")).count() == 0
-    assert files.read_processed(spark, str(tmp_path / "none.json")).count() == 0
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    path = str(tmp_path / "set")
+    assert files.read_processed(spark, path).count() == 0
+    files.write_processed(keys("a", "b", "b", None), path)
+    files.write_processed(keys("b", "c"), path)
+    assert sorted(r.key for r in files.read_processed(spark, path).collect()) == ["a", "b", "c"]
+    assert sum(spark.read.parquet(path).groupBy("key").count().toPandas()["count"]) == 3
+    (tmp_path / "set" / "part-broken.parquet").write_text("no parquet")
+    assert files.read_processed(spark, path).count() == 3
+    lists = tmp_path / "lists"
+    lists.mkdir()
+    (lists / "p.json").write_text('["a", "b"]')
+    (lists / "q.json").write_text('["b", "z", null]')
+    (lists / "r.json").write_text("not json")
+    assert sorted(r.key for r in files.import_processed(spark, str(lists)).collect()) == ["a", "b", "z"]
+    assert files.import_processed(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_classifier_slot(spark):
@@ -94,7 +133,7 @@ def test_classifier_slot(spark):
 
     prompts = transcripts.chunk_prompts(transcripts.chunks(rows))
     answered = classifier.classify(prompts, make, pause_s=0)
-    merged = transcripts.merge_answers(rows, classifier.answer_rows(answered))
+    merged = transcripts.merge_answers(transcripts.chunks(rows), classifier.answer_rows(answered))
     assert {(r.id, r.is_ad, r.matched) for r in merged.collect()} == {(0, True, True), (1, False, False), (2, False, False), (3, False, True)}
     failed = classifier.classify(spark.createDataFrame([(1, 0, "bad")], "tid bigint, chunk_id bigint, prompt string"), make, pause_s=0)
     assert [tuple(r) for r in classifier.errors(failed).collect()] == [(1, 0, "no answer")]
@@ -104,3 +143,75 @@ def test_transcriber_slot(spark):
     audio = spark.createDataFrame([(1, b"ab")], "tid bigint, content binary")
     got = classifier.transcribe(audio, lambda: lambda content: [{"text": f" {len(content)} ", "start": 0.0, "end": 1.0}])
     assert [tuple(r) for r in transcripts.segments_from_model(got).collect()] == [(1, 0, 0, "2", 0.0, 1.0, False)]
+
+
+def test_strip_is_of_any_white_space(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [s + "a" + s + "b" + s for s in spaces] + ["\u200bx\u200b", "".join(spaces), "a\n\n", "\x85\na"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", C.strip(F.col("t")))
+    assert all(r.s == r.t.strip() for r in rows.collect())
+
+
+def test_feed_titles_and_parts(spark):
+    rows = [(f, i, f"t{i}", "", "", f"http://a/{i}") for f in "abc" for i in range(40 if f == "a" else 2)]
+    found = spark.createDataFrame(rows, "feed string, n long, title string, description string, published string, audio_url string")
+    channels = spark.createDataFrame([("a", "A & co", "http://a", ""), ("b", None, None, None)], "feed string, title string, link string, description string")
+    whole = {r.feed: r.xml for r in feeds.feed_xml(found, "feed", "n", channels).collect()}
+    heads = {f: tuple(ET.fromstring(x).findtext(f"channel/{t}") for t in ("title", "link", "description")) for f, x in whole.items()}
+    default = ("Episodes", "", "Episodes without advertisements")
+    assert heads == {"a": ("A & co", "http://a", ""), "b": default, "c": default}
+    parts = feeds.feed_xml_parts(found, "feed", "n", channels, partitions=5).collect()
+    assert {f: "".join(r.xml for r in sorted(parts, key=lambda r: r.part) if r.feed == f) for f in "abc"} == whole
+    assert sum(r.feed == "a" for r in parts) > 4
+    xml = "<rss><channel><title>T</title><description></description></channel></rss>"
+    got = files.feed_channels(spark.createDataFrame([("f", xml)], "feed string, xml string"), "feed", "xml").first()
+    assert (got.title, got.link, got.description or "") == ("T", None, "")
+
+
+def test_answers_count_in_their_chunk_only(spark):
+    rng = random.Random(2)
+    rows = [(t, rng.randrange(6), p, "x", 0.0, 1.0, rng.random() < 0.5) for t in range(4) for p in range(10)]
+    answers = [(t, c, a, rng.randrange(8), rng.random() < 0.5) for t in range(4) for c in range(4) for a in rng.sample(range(50), rng.randrange(5))]
+    want = []
+    for t, i, p, _, _, _, flag in rows:
+        own = [ad for tt, c, a, j, ad in sorted(answers) if (tt, c, j) == (t, p // 3, i)]
+        want.append((t, p, own[0] if own else flag, bool(own)))
+    chunked = transcripts.chunks(spark.createDataFrame(rows, SEGMENTS), Parameters(chunk_size=3))
+    merged = transcripts.merge_answers(chunked, spark.createDataFrame(answers, ANSWERS))
+    assert sorted((r.tid, r.pos, r.is_ad, r.matched) for r in merged.collect()) == sorted(want)
+
+
+def test_detection_as_a_whole(spark, tmp_path):
+    texts = ["Gespräch", "Nach einer kurzen Unterbrechung", "Jetzt buchen", "weiter", "weiter", "weiter", "Bleiben Sie dran", "Werbung", "Werbung", "Werbung", "Werbung", "Zurück"]
+    rows = [(t, 147 + i, i, x, 460.0 + 3 * i, 462.5 + 3 * i, False) for t in (1, 2) for i, x in enumerate(texts)]
+    # an id that comes again: the last one stays
+    rows += [(1, 150, 12, "ein Nachtrag", 480.0, 481.0, False)]
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def make():
+        def call(messages):
+            lines = messages[1]["content"]
+            (calls / str(random.random())).write_text("")
+            if "ID: 153" in lines and "ID: 152" in lines and "Nachtrag" not in lines and "Jetzt" not in lines:
+                raise ValueError("overloaded")
+            return {"segments": [{"id": 152 + i, "ad": True} for i in range(6)]}
+
+        return call
+
+    audio = spark.createDataFrame([(1, 600_000), (2, 600_000)], "tid bigint, len_ms bigint")
+    p = Parameters(chunk_size=5)
+    got = detection.clean(spark.createDataFrame(rows, SEGMENTS), audio, make, str(tmp_path / "out"), p, attempts=2, pause_s=0)
+    # three chunks of either transcript; the second one fails twice
+    assert {(r.tid, r.chunk_id, r.error) for r in got.detection.errors.collect()} == {(1, 1, "overloaded"), (2, 1, "overloaded")}
+    segments = {(r.tid, r.id): (r.text, r.is_ad) for r in got.detection.segments.collect()}
+    assert len(segments) == 24 and segments[1, 150] == ("ein Nachtrag", False)
+    # the third chunk has 157 and 158, of which 157 is answered; rules add both transitions
+    assert {k for k, (_, ad) in segments.items() if ad} == {(t, i) for t in (1, 2) for i in (148, 149, 153, 157)}
+    reports = {r.tid: (r.n_segments, r.n_ads, r.errors) for r in got.detection.report.collect()}
+    assert reports == {t: (12, 4, ["Chunk 1: overloaded"]) for t in (1, 2)}
+    n_calls = len(list(calls.iterdir()))
+    assert n_calls == 2 * (1 + 2 + 1)
+    assert {(r.tid, r.n_total, r.n_updated) for r in got.detection.chunks.where("chunk_id = 2").collect()} == {(1, 3, 1), (2, 2, 1)}
+    assert {r.tid: r.kept_ms for r in got.report.collect()} == {r.tid: r.len for r in got.kept.groupBy("tid").agg(F.sum(F.col("to_ms") - F.col("from_ms")).alias("len")).collect()}
+    assert len(list(calls.iterdir())) == n_calls and spark.read.parquet(str(tmp_path / "out/prompts")).count() == 6
