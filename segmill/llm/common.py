@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -24,23 +25,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset and all
+    work is done on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="segmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and survives the loss of an executor."""
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is materialised inside goes to a folder that is deleted at the end, so results must be written before. Without
+    it, tables stay in the shared folder for as long as results that read them may be used."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        delete_folder(spark, folder)
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it again: lineage ends here and survives the loss of an executor. Also the
+    table's path."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, what: str) -> DataFrame:
+    return written(df, what)[0]
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
@@ -55,6 +85,23 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -
     return left.join(few, key).unionByName(rest.join(right.where(~hot).drop(rows), key, "left"))
 
 
+#: Bits of the map in may_be_in; 8 MB whatever the number of keys.
+MAP_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with `flag`: False only if their key is surely not among the keys, so that these rows need no join. The keys are
+    broadcast as a map of MAP_BITS bits of their hashes; the more keys there are, the more rows are flagged by chance."""
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8).cast("int") + 1)) > 0, F.lit(False))
+    kept = [c for c in rows.columns if c != flag]
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(bits), "_bucket", "left")
+    return joined.select(*kept, found.alias(flag))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.when(doc_id.isNotNull(), F.crc32(doc_id.cast("string").cast("binary")) % n)

@@ -8,8 +8,10 @@ The inverted index has fingerprints under bytes at fixed positions. A list for a
 1/256 of all fingerprints, so that its pairs grow with the square of the input; the index therefore has a list for
 each three bytes of either half. Of any 5 agreeing positions at least 3 are in one half, so every pair that can pass
 meets in a list. Pairs of a list are tallied (how many bytes agree), pairs with fewer than 5 go, and the rest is
-verified bit by bit. A list yields its components, as links to the smallest member, rather than its pairs; a list of over
-BLOCK members is dealt to tasks as pairs of blocks.
+verified bit by bit. A list yields its components, as links to the smallest member, rather than its pairs.
+
+A list of over BLOCK members is split into lists for each two of the other five bytes besides (a pair that passes agrees in
+at least two of them); a list that is still as long is dealt to tasks as pairs of blocks.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing here.
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import lookup, materialise, slices, spread_blocks, starts_of, whole_groups
+from segmill.llm.common import lookup, materialise, may_be_in, slices, spread_blocks, starts_of, whole_groups
 from segmill.llm.graph import components
 
 #: Members of a list that one task compares with each other, or with as many of another block.
@@ -74,18 +76,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
 
 
-def _list_key(number: int, positions: tuple[int, ...]) -> Column:
-    """The bytes at the positions and the number of the triple, in one number."""
-    key = F.lit(number).cast("long")
+def _bytes_at(key: Column, positions: tuple[int, ...]) -> Column:
+    """A number followed by the fingerprint's bytes at the positions."""
     for p in positions:
         key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
     return key
 
 
-def smallest_linked(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _list_keys(number: int) -> Column:
+    return _bytes_at(F.lit(number).cast("long"), TRIPLES[number])
+
+
+def _finer_keys(number: int) -> Column:
+    """The keys of the lists that a list of the triple is split into: the triple, its bytes, the two positions, their bytes."""
+    others = combinations([p for p in range(8) if p not in TRIPLES[number]], 2)
+    return F.array(*(_bytes_at(F.shiftleft("key", 4).bitwiseOR(F.lit(i + 1)), two) for i, two in enumerate(others)))
+
+
+def smallest_linked(keys: np.ndarray, fps: np.ndarray, most: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links found between members of the same list, as (member, a smaller member of the same component).
 
-    keys are sorted. Member i is compared with i + 1, then all with i + 2, and so on.
+    keys are sorted. Member i is compared with i + 1, then all with i + 2, and so on; with `apart`, only members for which it
+    differs are.
     """
     a, b = [], []
     values = fps.view(np.uint64)
@@ -95,9 +107,10 @@ def smallest_linked(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.nd
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        differ = values[at] ^ values[at + step]
+        some = at if apart is None else at[apart[at] != apart[at + step]]
+        differ = values[some] ^ values[some + step]
         agree = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        differ, near = differ[agree >= 8 - most], at[agree >= 8 - most]
+        differ, near = differ[agree >= 8 - most], some[agree >= 8 - most]
         near = near[np.bitwise_count(differ) <= most]
         a.append(near)
         b.append(near + step)
@@ -120,58 +133,88 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     """a, b: links that connect the fingerprints (column fp, without repeats) that differ in at most `most` bits."""
     if not 0 <= most <= 3:
         raise ValueError("the lists find up to 3 differing bits")
-    lists = distinct.select("fp", F.explode(F.array(*(_list_key(i, p) for i, p in enumerate(TRIPLES)))).alias("key"))
+    lists = distinct.select("fp", F.explode(F.array(*(_list_keys(i) for i in range(len(TRIPLES))))).alias("key"))
+    long = materialise(lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key"), "long-lists")
+    # of 8 lists of each fingerprint at most 1/BLOCK can be long
+    if n_long := long.count():
+        marked = lists.join(F.broadcast(long.withColumn("long", F.lit(True))) if n_long <= 100_000 else long.withColumn("long", F.lit(True)), "key", "left")
+        finer = F.coalesce(*(F.when(F.shiftright("key", 24) == i, _finer_keys(i)) for i in range(len(TRIPLES))))
+        lists = marked.select("fp", F.explode(F.when(F.col("long"), finer).otherwise(F.array("key"))).alias("key"))
     members = spread_blocks(lists, ["key"], "fp", BLOCK)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ["key", "i", "j"]):
             starts = starts_of(batch, ["key", "i", "j"])
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
-            a, b = smallest_linked(group, batch.column("fp").to_numpy(), most)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            fps, own = batch.column("fp").to_numpy(), batch.column("own").to_numpy()
+            crossed = batch.column("i").to_numpy() != batch.column("j").to_numpy()
+            for across in (False, True):
+                at = np.flatnonzero(crossed == across)
+                # where two blocks meet, pairs inside either count elsewhere
+                a, b = smallest_linked(group[at], fps[at], most, own[at] if across else None)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return members.mapInArrow(find, "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame, most: int) -> DataFrame:
-    """doc_id, fp, component_id and root of each row. Components of rows that repeat a doc_id can have the same
-    component_id; root, a fingerprint of the component, tells them apart."""
-    rows = materialise(fingerprints(docs), "fingerprints")
-    known = rows.where(F.col("doc_id").isNotNull())
-    groups = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+def _named(groups: DataFrame, most: int) -> DataFrame:
+    """groups (fp, first, n) with component_id, the smallest `first` that links lead to."""
     found = components(links(groups.select("fp"), most))
     # the roots are nodes of their own components
     members = found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root"))
-    members = materialise(groups.join(members, F.col("fp") == F.col("node")).select("fp", "root", "first", "n"), "members")
+    members = materialise(groups.join(members, F.col("fp") == F.col("node")).select("fp", "root", "first"), "members")
     roots = members.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
-    linked = lookup(members, roots, "root", "size", max(1, members.count())).select("fp", "root", "component")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
-    result = lookup(rows, named, "fp", "n", max(1, rows.count()))
-    return result.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "root")
+    linked = lookup(members, roots, "root", "size", max(1, members.count())).select("fp", "component")
+    return groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links lead to) of each row."""
-    return _grouped(docs, most).drop("root")
+    rows = materialise(fingerprints(docs), "fingerprints")
+    known = rows.where(F.col("doc_id").isNotNull())
+    groups = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+    result = lookup(rows, _named(groups, most), "fp", "n", max(1, rows.count()))
+    return result.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _row_prints(docs: DataFrame) -> DataFrame:
+    """id, h (a hash of the text) and fp of the rows with a doc_id."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["id", "h", "fp"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select(*_row_key(), "text").mapInArrow(compute, "id long, h long, fp long")
+
+
+def _row_key() -> tuple[Column, Column]:
+    return F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")
+
+
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The document of each component with the smallest doc_id; of its rows that repeat this doc_id, one. Rows with a null
-    doc_id can't be grouped and stay."""
-    found = materialise(_grouped(docs, most).where(F.col("doc_id").isNotNull()), "components")
-    own = F.col("doc_id") == F.col("component_id")
-    first = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count(F.when(own, 1)).alias("n_own")).where("n_own > 0").drop("n_own")
-    first = materialise(first, "kept").withColumnRenamed("n_rows", "__rows")
-    # both sides are large in general, so the plan is the same at every size
-    kept = docs.join(first.hint("merge"), "doc_id").select(*(docs[c] for c in docs.columns), "__rows")
-    # a doc_id of several rows doesn't tell which of them is in the component; their fingerprints do
-    print_of = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
-    repeated = kept.where("__rows > 1").withColumn("__fp", print_of("text")).dropDuplicates(["doc_id", "__fp"])
-    roots = found.where(own).select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    repeated = repeated.join(roots.hint("merge"), ["doc_id", "__fp"]).dropDuplicates(["doc_id", "__root"]).select(*docs.columns, "__rows")
-    nameless = docs.where(F.col("doc_id").isNull())
-    return kept.where("__rows = 1").unionByName(repeated).drop("__rows").unionByName(nameless)
+    """One row of each component: that with the smallest (doc_id, hash of the text), so it is rows that are grouped, not ids.
+    Of rows that agree in both, one stays. Rows with a null doc_id can't be grouped and stay.
+
+    Only rows that may go are shuffled; the others are told by a map of bits.
+    """
+    rows = materialise(_row_prints(docs), "fingerprints")
+    groups = materialise(rows.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")), "groups")
+    found = components(links(groups.select("fp"), most))
+    members = found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    rooted = groups.join(members, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("key")).select("key", F.lit(True).alias("stays"))
+    keys = rows.groupBy(F.struct("id", "h").alias("key")).agg(F.count("*").alias("n"))
+    judged = keys.join(kept, "key", "left").select("key", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    odd = materialise(judged.where(~F.col("stays") | (F.col("n") > 1)), "going")
+    # a struct of the row can't clash with names used here
+    whole = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct(*_row_key()).alias("key"))
+    told = may_be_in(whole, odd, "key", "may_go")
+    checked = lookup(told.where("may_go").select("row", "key"), odd, "key", "n", max(1, rows.count()))
+    once = checked.where("stays").dropDuplicates(["key"])
+    stay = told.where("not may_go").select("row").unionByName(checked.where("stays is null").select("row")).unionByName(once.select("row"))
+    return stay.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

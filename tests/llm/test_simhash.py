@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from segmill.llm import common, simhash
 from segmill.llm.graph import components
@@ -135,9 +136,44 @@ def test_lookup_of_hot_keys(spark):
 
 def test_keep_one_of_ids_with_several_texts(make_docs):
     a, b, c = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("red", "blue", "green"))
-    # both texts of 5 are in components named by it; of 7, one text is a copy of 3's
+    # both texts of 5 are in components of their own; of 7, one text is a copy of 3's
     rows = [(5, a), (5, b), (5, b), (6, a), (3, c), (7, c), (7, "some other text than all of these"), (None, a), (9, None), (9, "")]
     kept = simhash.keep_one(make_docs(rows))
     got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=str)
     assert got == sorted([(5, a), (5, b), (3, c), (7, "some other text than all of these"), (0, a), (9, "")], key=str)
     assert kept.columns == make_docs(rows).columns
+
+
+def test_keep_one_goes_by_rows(spark, make_docs):
+    a, b, c = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("red", "blue", "green"))
+    # two texts under one id: both stay; a copy of 3's text under an id that has another text goes; __rows is a column like any
+    docs = make_docs([(5, a), (5, b), (3, c), (5, c), (4, c), (4, c), (2, "one"), (2, "one")]).withColumn("__rows", F.lit(1)).withColumn("row", F.lit(2))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (3, c), (2, "one")])
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    """Lists over a block go to finer lists and then to blocks; no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(9)
+    fps, center = set(), rng.getrandbits(64)
+    while len(fps) < 150:  # equal in five bytes, so that finer lists are long too
+        fps.add(center ^ (rng.getrandbits(24) << 40))
+    while len(fps) < 600:  # equal in three bytes
+        fps.add((rng.getrandbits(40) << 24) | (center & 0xFFFFFF))
+    for f in rng.sample(sorted(fps), 60):
+        fps.add(f ^ (1 << rng.randrange(24, 64)) ^ (1 << rng.randrange(24, 64)) ^ (1 << rng.randrange(24, 64)))
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    root = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    got = [root.get(f, f) for f in signed]
+    assert got == plain_components(signed, fps)
+
+
+def test_map_of_bits(spark):
+    keys = spark.createDataFrame([(3 * i,) for i in range(1, 3000)], "k long")
+    rows = spark.createDataFrame([(i,) for i in range(6000)] + [(None,)], "k long")
+    flagged = {r.k for r in common.may_be_in(rows, keys, "k", "flag").where("flag").collect()}
+    assert {3 * i for i in range(1, 2000)} <= flagged and len(flagged) < 2010
+    assert common.may_be_in(rows, keys.limit(0), "k", "flag").where("flag").count() == 0
