@@ -1,16 +1,16 @@
 """Packing of tokenised documents into training sequences.
 
 A document's ids are those of a `tokenizers` file, then an end id. They are cut every `length` ids, so that all pieces
-but the last fill a sequence. Pieces are dealt to randomised groups, and first-fit decreasing packs each group
-by itself; a tournament tree over the free room of its bins finds the first bin that fits in log time. A group has the last
-pieces of `group_docs` documents on average, or at most STRETCH full pieces of each, so no group grows with the input
-or with the length of its documents.
+but the last fill a sequence; these need no packing and are sequences at once. What is left of each document is one piece at
+most. Documents are dealt to randomised groups by a hash of their id and ids, so a task that runs again deals them alike, and
+first-fit decreasing packs each group by itself; a tournament tree over the free room of its bins finds the first bin that fits
+in log time. A group has `group_docs` pieces on average, whatever the number and length of the documents.
 
 A word (a match of the tokenizer's own splitting pattern) is encoded by the library once and its ids are then kept, in a
 bounded table of each Python worker.
 
 Nulls and empty texts are a document of one id, the end id. Null doc_ids and repeated rows are packed like any other
-row. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size
+row; rows that repeat both id and text fall into one group. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size
 is a power of two; then it isn't padded.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from segmill.llm.common import resident, slices
+from segmill.llm.common import materialise, resident, slices
 
 #: The byte-level splitting pattern, a fixed value of the tokenizer's format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -38,8 +38,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
 PLAIN_SPLIT = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[!-/:-@\[-`{-~\xd7\xf7]+|\s+(?!\S)|\s+")
 #: Words of which a worker keeps the ids.
 MAX_WORDS = 800_000
-#: Full pieces of a document that can be in one group. They share their sequences with none, whatever their group.
-STRETCH = 16
+SEED = 17
 
 #: The byte-level format writes a byte as a visible character: itself, or one from 256 on.
 AS_THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -150,9 +149,13 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return where, offset
 
 
-def pack(cut: DataFrame, n_docs: int, length: int = 2048, group_docs: int = 4096) -> DataFrame:
-    """Pieces with sequence_id and offset, the sequence's tokens and the size that it is padded to."""
-    groups = max(1, math.ceil(n_docs / group_docs))
+def pack(cut: DataFrame, length: int = 2048, group_docs: int = 4096) -> DataFrame:
+    """Pieces with sequence_id and offset, the sequence's tokens and the size that it is padded to.
+
+    cut is read twice and should be a table.
+    """
+    full, rest = cut.where(F.col("length") == length), cut.where(F.col("length") < length)
+    groups = max(1, math.ceil(rest.count() / group_docs))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -161,16 +164,17 @@ def pack(cut: DataFrame, n_docs: int, length: int = 2048, group_docs: int = 4096
         tokens = np.bincount(where, lengths).astype(np.int64)[where]
         padded = np.where(tokens & (tokens - 1) == 0, tokens, length)
         table = table.drop_columns("group_id")
-        for name, column in (("sequence_id", (group << 32) + where), ("offset", offset), ("sequence_tokens", tokens), ("padded_to", padded)):
+        for name, column in (("sequence_id", 2 * ((group << 32) + where)), ("offset", offset), ("sequence_tokens", tokens), ("padded_to", padded)):
             table = table.append_column(name, pa.array(column, pa.int64()))
         return table
 
-    # rand with a seed gives the same groups when a task of the scan runs again
-    stretch = F.when(F.col("length") == length, 1 + F.floor(F.col("start") / (length * STRETCH))).otherwise(0)
-    dealt = cut.withColumn("group_id", F.floor(F.rand(17) * groups) + groups * stretch)
-    return dealt.groupBy("group_id").applyInArrow(fit, PACKED)
+    document = F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32", F.lit(SEED))
+    packed = rest.withColumn("group_id", F.pmod(document, F.lit(groups))).groupBy("group_id").applyInArrow(fit, PACKED)
+    # odd numbers, so that they don't meet those of packed sequences
+    number, whole = 2 * F.monotonically_increasing_id() + 1, F.lit(length).cast("long")
+    return packed.unionByName(full.select("*", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), whole.alias("sequence_tokens"), whole.alias("padded_to")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, group_docs: int = 4096) -> DataFrame:
     """Every document's pieces, packed."""
-    return pack(pieces(docs, tokenizer, length, end_id), docs.count(), length, group_docs)
+    return pack(materialise(pieces(docs, tokenizer, length, end_id), "pieces"), length, group_docs)

@@ -9,9 +9,14 @@ others are revisits that refer to it; smaller payloads are all responses. A task
 attempt, and the index, which is written to the shared folder, names only files of tasks that ended, so a task that is
 run again does no harm. Files are opened by their URI in the workers (local paths, HDFS and S3 as pyarrow knows them).
 
+A record's id is made of page_id and digest where that is unique, so that revisits can name it; other records have a random
+one. The page_id itself, and that of the response, are in fields of their own. Only rows whose payload may occur again are
+shuffled; the others are told by a map of bits and written where they are read.
+
 A null html is an empty payload, a null url leaves its header out. Rows with a null page_id are responses, referred to
 by none unless all pages with their payload lack one too; then all of these are responses. Rows that repeat the largest page_id of a
-payload are all responses. Extra columns are ignored; an empty table gives an empty index.
+payload are all responses; they have random ids, so their revisits name the page but no record. Extra columns are ignored; an
+empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import lookup, materialise, new_folder
+from segmill.llm.common import lookup, materialise, may_be_in, new_folder, slices
 
 #: Fixed values of the format.
 VERSION, CRLF = b"WARC/1.1\r\n", b"\r\n"
@@ -40,21 +45,20 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 FILE_BYTES = 1 << 30
 #: A range is at most so long, unless one record is longer, and skips gaps up to this.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
-#: Ranges of a file that are read by one task.
-TASK_BYTES = 64 << 20
+#: Bytes of records that a task reads, about, unless that makes more than MAX_TASKS.
+TASK_BYTES, MAX_TASKS = 8 << 20, 50_000
 
 
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def page_uri(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+#: Fields of this library's own.
+PAGE, REFERS_TO_PAGE = "Page-ID", "Refers-To-Page-ID"
 
 
-def _page_of(uri: str) -> int | None:
-    number = uri.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def page_uri(page_id: int, digest: str) -> str:
+    return f"<urn:page:{page_id}:{digest}>"
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -74,12 +78,17 @@ class Page:
     payload: bytes
     refers_to: int | None
     is_revisit: bool
+    #: Whether no other response has this page_id and payload; of a revisit, whether the one it refers to is such.
+    is_named: bool
 
 
 def page_record(page: Page, date: str) -> tuple[bytes, str]:
     """The record's bytes, and the payload's digest."""
     digest = sha1_base32(page.payload)
-    headers = [("WARC-Type", "revisit" if page.is_revisit else "response"), ("WARC-Record-ID", page_uri(page.page_id)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    own = page_uri(page.page_id, digest) if page.is_named and not page.is_revisit and page.page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    headers = [("WARC-Type", "revisit" if page.is_revisit else "response"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page.page_id is not None:
+        headers.append((PAGE, str(page.page_id)))
     if page.url is not None:
         # a header is one line
         headers.append(("WARC-Target-URI", "".join(c if c >= " " else f"%{ord(c):02X}" for c in page.url)))
@@ -87,7 +96,9 @@ def page_record(page: Page, date: str) -> tuple[bytes, str]:
     headers.append(("Content-Type", "application/http; msgtype=response"))
     if page.is_revisit:
         # as the profile says, a revisit keeps the HTTP header, whose Content-Length is that of the full payload
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", page_uri(page.refers_to)), ("WARC-Truncated", "length")]
+        headers += [("WARC-Profile", PROFILE), (REFERS_TO_PAGE, str(page.refers_to)), ("WARC-Truncated", "length")]
+        if page.is_named:
+            headers.append(("WARC-Refers-To", page_uri(page.refers_to, digest)))
         return _record(headers, head), digest
     return _record(headers, head + page.payload), digest
 
@@ -136,22 +147,26 @@ class Writer:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The index of the archives, written to the shared folder."""
-    # decode gives no text for null
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "UTF-8"))))
-    named = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-    named = materialise(named, "digests")
-    # only payloads that occur again need to be looked up
-    marked = lookup(rows, named.where("n > 1"), "digest", "n", max(1, rows.count()))
+    # digests only: payloads that occur again, their largest page_id, and how many rows have it
+    pairs = rows.where(F.col("digest").isNotNull()).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    again = pairs.groupBy("digest").agg(F.max("page_id").alias("largest"), F.sum("n").alias("n"), F.max_by("n", "page_id").alias("tops")).where("n > 1")
+    again = materialise(again.select("digest", "n", "largest", (F.coalesce("tops", F.lit(2)) == 1).alias("named")), "digests")
+    told = may_be_in(rows, again, "digest", "may_repeat")
+    looked_up = lookup(told.where("may_repeat").drop("may_repeat"), again, "digest", "n", max(1, rows.count()))
+    alone = told.where("not may_repeat").drop("may_repeat").withColumns({"largest": F.lit(None).cast("long"), "named": F.lit(None).cast("boolean")})
     is_revisit = F.coalesce(F.col("page_id") < F.col("largest"), F.lit(False))
-    marked = marked.select("page_id", "url", "html", F.when(is_revisit, F.col("largest")).alias("refers_to"), is_revisit.alias("is_revisit"))
+    # without a digest, payloads may repeat unseen
+    named = F.coalesce("named", F.col("digest").isNotNull())
+    marked = looked_up.unionByName(alone).select("page_id", "url", "html", F.when(is_revisit, F.col("largest")).alias("refers_to"), is_revisit.alias("is_revisit"), named.alias("is_named"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder, f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", date)
-        for batch in batches:
+        for batch in slices(batches):
             index = []
-            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record, digest = page_record(Page(page_id, url, html.encode(), refers_to, revisit), date)
+            for page_id, url, html, refers_to, revisit, is_named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                record, digest = page_record(Page(page_id, url, html.encode(), refers_to, revisit, is_named), date)
                 index.append((page_id, url, *writer.add(record), digest, "revisit" if revisit else "response"))
             if index:
                 columns = [pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
@@ -202,14 +217,18 @@ def read_records(selected: DataFrame) -> DataFrame:
                 size = int(head.rpartition(b"Content-Length: ")[2])
                 if headers["warc-type"] == "response" and (len(payload) != size or sha1_base32(payload) != digest):
                     raise ValueError(f"record {headers['warc-record-id']} is damaged")
-                refers = headers.get("warc-refers-to")
-                out.append((_page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest, headers["warc-type"], None if refers is None else _page_of(refers)))
+                page, refers = headers.get(PAGE.lower()), headers.get(REFERS_TO_PAGE.lower())
+                out.append((page and int(page), headers.get("warc-target-uri"), size, digest, headers["warc-type"], refers and int(refers)))
             if out:
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    sought = selected.select("file", "offset", "length").withColumn("part", F.floor(F.col("offset") / TASK_BYTES))
-    sought = sought.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part")
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    per_task = max(TASK_BYTES, total // MAX_TASKS)
+    # the number of tasks follows the archives' bytes; left to itself, Spark would follow those of the index
+    n = max(1, -(-total // per_task))
+    sought = selected.select("file", "offset", "length").withColumn("part", F.floor(F.col("offset") / per_task))
+    sought = sought.repartition(n, "file", "part").sortWithinPartitions("file", "offset").drop("part")
     return sought.mapInArrow(read, RECORDS)
 
 

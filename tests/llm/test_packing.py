@@ -73,12 +73,24 @@ def test_empty_table(spark, make_docs):
     assert packing.pack_documents(make_docs([]), PATH).count() == 0
 
 
-def test_groups_do_not_grow_with_long_documents(spark):
-    rows = [(d, 8 * i, 8 if i < 300 else 5, 1, 2405) for d in range(4) for i in range(301)]
-    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 4, length=8, group_docs=4).collect()
+def test_groups_are_of_pieces(spark, monkeypatch):
+    """Long documents make no group larger; their full pieces are sequences of their own."""
+    rows = [(d, 8 * i, 8 if i < 300 else 5, 1, 2405) for d in range(40) for i in range(301)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), length=8, group_docs=4).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == sorted(rows)
+    full = [r for r in packed if r.length == 8]
+    assert len({r.sequence_id for r in full}) == len(full) == 12000 and all(r.sequence_tokens == 8 and r.offset == 0 for r in full)
     sizes = {}
     for r in packed:
-        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
-    assert max(sizes.values()) <= 64
-    assert len({r.sequence_id for r in packed if r.length == 8}) == 1200 and all(r.sequence_tokens == 8 for r in packed if r.length == 8)
+        if r.length < 8:
+            sizes[r.sequence_id >> 33] = sizes.get(r.sequence_id >> 33, 0) + 1
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in packed if r.length < 8}
+    assert sum(sizes.values()) == 40 and 4 < len(sizes) <= 10 and max(sizes.values()) < 14
+
+
+def test_order_of_rows_does_not_matter(spark, make_docs):
+    """The same groups, whatever order and partitions the rows come in."""
+    rows = [(i, "x y " * (i * 37 % 900)) for i in range(60)]
+    one = packing.pack_documents(make_docs(rows), PATH, group_docs=8)
+    two = packing.pack_documents(make_docs(rows[::-1]).repartition(7), PATH, group_docs=8)
+    assert sorted(map(tuple, one.where("length < 2048").collect())) == sorted(map(tuple, two.where("length < 2048").collect()))

@@ -36,7 +36,9 @@ def test_files_are_gzip_members_of_records(spark, tmp_path):
     for row in index:
         data = Path(row.file.removeprefix("file://")).read_bytes()
         headers, block = warc.parse_record(gzip.decompress(data[row.offset : row.offset + row.length]))
-        assert headers["warc-record-id"] == f"<urn:page:{row.page_id}>" and headers["warc-type"] == row.record_type
+        assert headers["page-id"] == str(row.page_id) and headers["warc-type"] == row.record_type
+        if row.record_type == "revisit":
+            assert headers["warc-refers-to"] == f"<urn:page:7:{row.digest}>" and headers["refers-to-page-id"] == "7"
         assert block.endswith(b"same") == (row.record_type == "response")
         assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
 
@@ -67,3 +69,28 @@ def test_damage_is_found(spark, tmp_path):
     broken = spark.createDataFrame([(f"file://{tmp_path}/bad", 0, len(bad))], "file string, offset long, length long")
     with pytest.raises(Exception, match="is damaged"):
         warc.read_records(broken).collect()
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [*ROWS, (None, "u", "q"), (None, "u", "q"), (7, "v", "other"), (8, "w", "top"), (8, "w", "top"), (2, "w", "top"), (2, "w", "top"), (9, "x", ""), (9, "x", None)]
+    index = warc.write_archives(pages(spark, rows), f"file://{tmp_path}/w").collect()
+    ids, refers = [], []
+    for row in index:
+        data = Path(row.file.removeprefix("file://")).read_bytes()[row.offset : row.offset + row.length]
+        headers, _ = warc.parse_record(gzip.decompress(data))
+        ids.append(headers["warc-record-id"])
+        refers.append(headers.get("warc-refers-to"))
+    assert len(ids) == len(set(ids)) == len(rows) and {r for r in refers if r} <= set(ids)
+    got = sorted((r.page_id, r.refers_to) for r in warc.read_records(spark.createDataFrame(index)).where("page_id in (2, 8)").collect())
+    assert sorted(got, key=str) == sorted([(2, 7), (2, 8), (2, 8), (8, None), (8, None)], key=str)
+
+
+def test_read_back_is_in_parallel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
+    rows = [(i, f"u{i}", "".join(hashlib.sha1(f"{i} {k}".encode()).hexdigest() for k in range(25))) for i in range(60)]
+    index = warc.write_archives(pages(spark, rows), f"file://{tmp_path}/w")
+    total = index.agg({"length": "sum"}).first()[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and total > 8 * 4000
+    found = warc.read_records(index)
+    assert found.rdd.getNumPartitions() >= total // 4000 and found.count() == 60
+
