@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import language, simhash, toxicity
-from segmill.llm.common import fold, shared_folder, table
+from segmill.llm.common import delete_folder, fold, scratch, shared_folder, table
 from segmill.llm.packing import pack_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,6 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        # what a stage writes on its way goes when its result is written, and so does its input
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}")
     return docs
