@@ -1,10 +1,13 @@
 """Exact nearest neighbours for a stated set of queries, as a block matrix join.
 
 Queries and candidates are dealt to blocks, and a group for each pair of blocks holds both. A group is a tile: vectors
-are quantised to 8 bits, whose products are small integers and so exact in single precision, and a bound on the
-quantisation's error gives a lower and an upper bound of each inner product. Only pairs whose upper bound reaches the
-k-th largest lower bound of their query are computed again from the original vectors, in double precision. Heaps merge
-the best of each tile.
+are quantised to 8 bits; sums of their products are whole numbers that single precision holds exactly for up to EXACT
+components, and longer vectors are summed in parts. A bound on the quantisation's error gives a lower and an upper bound of
+each inner product. Only pairs whose upper bound reaches the k-th largest lower bound of their query are computed again from
+the original vectors, in double precision. Heaps merge the best of each tile.
+
+A row is copied once for each block of queries and a query once for each block of rows, so blocks are as large as a task's
+memory allows (BLOCK_FLOATS), and smaller only where there would be fewer tiles than cores.
 
 Vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor do rows with a null vec_id.
 Rows that repeat a vec_id count once, with the smallest vector. Vectors are compared with those of the same length
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 from segmill.llm.common import materialise, starts_of, whole_groups
 from segmill.llm.embedding_common import usable
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: Components of the vectors of a block; as many vectors as that makes, LEAST_BLOCK at least.
+BLOCK_FLOATS, LEAST_BLOCK = 1 << 21, 1024
+#: 127 * 127 * EXACT is below 2**24.
+EXACT = 1024
 #: Queries and candidates of a product that is held at once.
 QUERY_TILE, ROW_TILE = 256, 4096
 
@@ -53,6 +59,14 @@ class Quantised:
         return one
 
 
+def whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of vectors of whole numbers up to 127."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(0, a.shape[1], EXACT):
+        total += a[:, i : i + EXACT] @ b[:, i : i + EXACT].T
+    return total
+
+
 def products(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Inner products of the pairs q, r, summed from the first component to the last."""
     total = np.zeros(len(q))
@@ -63,7 +77,7 @@ def products(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray
 
 def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query id, row id and score of each query's k best rows but its own."""
-    small_q, small_r = Quantised(queries), Quantised(rows)
+    small_q, small_r, dim = Quantised(queries), Quantised(rows), queries.shape[1]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(queries), QUERY_TILE):
         part = small_q.part(start, start + QUERY_TILE)
@@ -72,9 +86,9 @@ def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndar
         kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for at in range(0, len(rows), ROW_TILE):
             tile = small_r.part(at, at + ROW_TILE)
-            exact = part.values @ tile.values.T  # whole numbers below 2**24 for up to 1000 components
-            near = exact.astype(np.float64) * part.scale[:, None] * tile.scale[None, :]
-            slack = part.error[:, None] * tile.near_norm[None, :] + part.norm[:, None] * tile.error[None, :] + np.abs(near) * 1e-6
+            near = whole_products(part.values, tile.values) * part.scale[:, None] * tile.scale[None, :]
+            # the last part is for rounding: of these products, and of those in double precision
+            slack = part.error[:, None] * tile.near_norm[None, :] + part.norm[:, None] * tile.error[None, :] + (dim + 8) * 5e-16 * part.norm[:, None] * tile.norm[None, :]
             same = ids[:, None] == row_ids[None, at : at + ROW_TILE]
             low = np.where(same, -np.inf, near - slack)
             if low.shape[1] >= k:
@@ -90,13 +104,15 @@ def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndar
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, query_block: int | None = None, row_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows with the largest inner product with each query."""
     good = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     good = good.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
     good = materialise(good.withColumn("is_query", is_query), "vectors")
-    count = good.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q")).first()
-    n_rows, n_queries = max(1, math.ceil(count.n / row_block)), max(1, math.ceil(count.q / query_block))
+    count = good.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
+    most = max(LEAST_BLOCK, BLOCK_FLOATS // count.dim)
+    row_block = row_block or min(most, max(LEAST_BLOCK, math.ceil(count.n / (2 * embeddings.sparkSession.sparkContext.defaultParallelism))))
+    n_rows, n_queries = max(1, math.ceil(count.n / row_block)), max(1, math.ceil(count.q / (query_block or most)))
 
     def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int, kind: bool) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))

@@ -2,8 +2,8 @@
 
 An entry (host, path, verdict) fits a URL if the URL's host is the entry's host or a subdomain of it and the URL's path
 starts with the entry's path. Of the entries that fit, the one with most host labels wins, then the one with the longest
-path; of two equal entries, block wins. The trie is small: entries are parameters, broadcast after a check of their
-size. A URL without `://`, or a null one, has an empty host and path and fits nothing; it gets the default verdict.
+path; of two equal entries, block wins. A list of up to MAX_ENTRIES is a trie that is broadcast. A longer one, or a table of
+entries, is joined instead (judge_urls_by_join) with the same verdicts. A URL without `://`, or a null one, has an empty host and path and fits nothing; it gets the default verdict.
 Extra columns are kept unless one is named like a result, which then replaces it; repeated rows stay; an empty table
 gives an empty result.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries that may be broadcast; at about 300 bytes each the trie then stays below 100 MB.
+#: Entries of a trie that is broadcast; at about 300 bytes each it stays below 100 MB.
 MAX_ENTRIES = 300_000
 HOST, PATH = r"^[\s\S]*?://([^/?#]*)", r"^[\s\S]*?://[^/?#]*([^?#]*)"
 
@@ -85,16 +85,38 @@ class Trie:
         return found
 
 
-def judge_urls(pages: DataFrame, entries: list[Entry], url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule (null if none fits) and verdict."""
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"{len(entries)} entries; at most {MAX_ENTRIES} are broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast(Trie(entries))
+def _parts(pages: DataFrame, url: str) -> DataFrame:
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     text = F.coalesce(F.col(url), F.lit(""))
     # A-Z only: lower() would also change other letters
     lowered = F.translate(F.regexp_extract(text, HOST, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = pages.select(*kept, lowered.alias("host"), F.regexp_extract(text, PATH, 1).alias("path"))
+    return pages.select(*kept, lowered.alias("host"), F.regexp_extract(text, PATH, 1).alias("path"))
+
+
+def judge_urls_by_join(pages: DataFrame, entries: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """judge_urls with a table of entries (host, path, verdict) of any size: a host's suffixes are looked up among the entries'
+    hosts, and of a path those beginnings that are as long as a path of an entry there. Only equal keys are joined."""
+    parts = _parts(pages, url)
+    best = F.max(F.struct(F.col("verdict") == "block", "verdict")).alias("best")
+    known = entries.groupBy(F.col("host").alias("e_host"), F.col("path").alias("e_path")).agg(best).select("e_host", "e_path", "best.verdict")
+    lengths = known.groupBy("e_host").agg(F.collect_set(F.length("e_path")).alias("lengths"))
+    urls = parts.select("host", "path").distinct()
+    suffixes = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), i -> substring_index(host, '.', -i))")
+    near = urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("e_host")).join(lengths, "e_host")
+    fits = F.filter("lengths", lambda n: n <= F.length("path"))
+    begun = near.select("host", "path", "e_host", F.explode(fits).alias("n")).withColumn("e_path", F.expr("left(path, n)"))
+    rank = F.struct(F.size(F.split("e_host", r"\.")), "n")
+    found = begun.join(known, ["e_host", "e_path"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("e_host", "e_path").alias("rule"), "verdict"), rank).alias("segmill_entry"))
+    return parts.join(found, ["host", "path"], "left").select(*parts.columns, F.col("segmill_entry.rule").alias("rule"), F.coalesce("segmill_entry.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge_urls(pages: DataFrame, entries: list[Entry], url: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule (null if none fits) and verdict."""
+    if len(entries) > MAX_ENTRIES:
+        table = pages.sparkSession.createDataFrame([(e.host, e.path, e.verdict) for e in entries], "host string, path string, verdict string")
+        return judge_urls_by_join(pages, table, url, default)
+    shared = pages.sparkSession.sparkContext.broadcast(Trie(entries))
+    parts = _parts(pages, url)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in parts.schema] + [T.StructField(c, T.StringType()) for c in ("rule", "verdict")])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

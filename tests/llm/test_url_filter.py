@@ -43,7 +43,20 @@ def test_longest_wins():
     assert trie.match("cb", "/x/yz") is None
 
 
-def test_too_many_entries(spark, monkeypatch):
+@pytest.mark.parametrize("entries", [URL_ENTRIES, MORE])
+def test_long_lists_are_joined(spark, monkeypatch, entries):
     monkeypatch.setattr("segmill.llm.url_filter.MAX_ENTRIES", 4)
-    with pytest.raises(ValueError, match="at most 4"):
-        judge_urls(spark.createDataFrame([], "url string"), URL_ENTRIES)
+    rows = spark.createDataFrame([(i, u, "kept", "replaced") for i, u in enumerate([*URLS, URLS[6]])], "page_id long, url string, html string, verdict string")
+    got = judge_urls(rows, entries)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: plain(u, entries) for i, u in enumerate([*URLS, URLS[6]])}
+    assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"] and judge_urls(rows.limit(0), entries).count() == 0
+
+
+def test_more_entries_than_a_trie_takes(spark):
+    entries = [Entry(f"h{i}.org", "/a/" if i % 2 else "/", "block" if i % 3 else "allow") for i in range(310_000)]
+    urls = [f"http://x.h{i}.org/a/b" for i in range(0, 320_000, 997)]
+    by_host = {e.host: e for e in entries}
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(rows, entries).collect()}
+    hits = {i: by_host.get(u.split("/")[2][2:]) for i, u in enumerate(urls)}
+    assert got == {i: (e.rule, e.verdict) if e else (None, "allow") for i, e in hits.items()}

@@ -118,3 +118,19 @@ def test_search(spark, blocks):
                     others.append((-total, i))
             want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(others)[:20], 1)]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("dim", [768, 1536, 4096])
+def test_tiles_of_long_vectors(dim):
+    """Whole numbers, so that quantising loses nothing, whose large partial sums cancel."""
+    rng = np.random.default_rng(dim)
+    half = rng.integers(60, 128, (400, dim // 2))
+    rows = np.concatenate([half, -half + rng.integers(-1, 2, half.shape)], axis=1).astype(float)
+    rows[:, 0] = 127
+    queries = np.concatenate([np.full((24, dim // 2), 127.0), np.full((24, dim // 2), 127.0)], axis=1)
+    queries[:, 1] = np.arange(24)
+    q, r, score = block_search.nearest_in_tile(np.arange(24) + 10_000, queries, np.arange(400), rows, 20)
+    exact = queries.astype(int) @ rows.astype(int).T
+    want = {(i + 10_000, j, float(exact[i, j])) for i in range(24) for j in sorted(range(400), key=lambda j: (-exact[i, j], j))[:20]}
+    assert set(zip(q.tolist(), r.tolist(), score.tolist(), strict=True)) == want
+    assert block_search.whole_products(np.full((1, dim), 127, np.float32), np.full((1, dim), 127, np.float32))[0, 0] == 127 * 127 * dim
