@@ -5,9 +5,11 @@ learned from labelled texts. A word's script narrows the languages down to those
 over the words, with a penalty for each switch, labels spans; the text's language is the one with most letters, and the
 score is its share of the letters.
 
-The model is fitted on at most `limit` labelled rows, those with the smallest hashes of their ids, and keeps at most
-about MAX_GRAMS n-grams, the most frequent ones of each language, so it can be broadcast whatever the size of the input. Of too
-many, languages with few keep all and the others equally many; of equally frequent ones hashes choose.
+The model is fitted on at most `limit` labelled rows, those with the smallest hashes of their ids. It keeps all n-grams of
+that sample up to `most`; of more, languages with few keep all and the others equally many, the most frequent ones, hashes
+choosing among equally frequent ones. Probabilities are of all n-grams of the sample, kept or not, and so are the letters by
+script. So a model can be broadcast whatever the size of the input. A long text's path is found with a byte or less for each
+word and language.
 
 A null text, or one without letters, is `und` with score 0. If nothing can be learned every text is `und`. Repeated rows
 and null doc_ids each get a prediction; extra columns are ignored; an empty table gives an empty result.
@@ -34,6 +36,8 @@ UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 MAX_GRAMS = 200_000
 MAX_WORDS = 800_000
+#: Words of a text whose path is searched in lists at once.
+BLOCK = 1 << 16
 #: Longer words are not n-grams themselves.
 SHORT_WORD = 6
 SWITCH = 14.0
@@ -74,9 +78,13 @@ def _shares(sizes: dict[str, int], most: int) -> dict[str, int]:
     return kept
 
 
+def _is_script() -> Column:
+    return F.startswith("gram", F.lit("#")) & (F.length("gram") > 1)
+
+
 def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
     """Of lang, gram and n those that the model keeps; counts of letters by script (#) all stay."""
-    letters = F.startswith("gram", F.lit("#")) & (F.length("gram") > 1)
+    letters = _is_script()
     sizes: dict[str, dict[int, int]] = {}
     for r in counted.where(~letters).groupBy("lang", "n").agg(F.count("*").alias("grams")).collect():
         sizes.setdefault(r.lang, {})[r.n] = r.grams
@@ -96,7 +104,7 @@ def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.join(ends, "lang", "left").where(letters | F.col("edge").isNull() | (F.col("n") > F.col("edge")) | chosen).select("lang", "gram", "n")
 
 
-def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS, most: int | None = None) -> Model:
     """Learn from text and lang where train holds and lang isn't null."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -116,7 +124,12 @@ def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = _most_frequent(materialise(counted, "grams"), MAX_GRAMS).collect()
+    counted = materialise(counted, "grams")
+    sums = {r.lang: (r.n, r.grams) for r in counted.where(~_is_script()).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()}
+    distinct = counted.where(~_is_script()).agg(F.count_distinct("gram")).first()[0]
+    # an n-gram that one language keeps has its counts in all
+    kept = _most_frequent(counted, most or MAX_GRAMS).select("gram").distinct()
+    top = counted.join(kept, "gram", "left_semi").collect()
     languages = sorted({r.lang for r in top})
     at = {lang: i for i, lang in enumerate(languages)}
     known = {g: i for i, g in enumerate(sorted({r.gram for r in top if r.gram[0] != "#" or len(r.gram) == 1}))}
@@ -127,8 +140,9 @@ def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS) -> Model:
         else:
             seen.setdefault(r.gram[1:], np.zeros(len(languages)))[at[r.lang]] = r.n
     letters = np.maximum(sum(seen.values(), np.zeros(len(languages))), 1)
-    smooth = counts + 0.5
-    return Model(languages, known, np.log(smooth / smooth.sum(axis=0)), {s: n / letters >= SCRIPT_SHARE for s, n in seen.items()})
+    # an n-gram that no text of a language has counts half, and so does one that was never seen
+    totals = np.array([sums.get(lang, (0, 0))[0] + 0.5 * (distinct + 1) for lang in languages])
+    return Model(languages, known, np.log((counts + 0.5) / totals), {s: n / letters >= SCRIPT_SHARE for s, n in seen.items()})
 
 
 class Scorer:
@@ -181,25 +195,26 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(gain)])
     if (total - np.minimum.accumulate(total)).max() <= switch:
         return np.full(len(scores), best)
-    # few languages: lists are faster than arrays here
-    first, *rest = scores.tolist()
-    value, came = first, []
-    for row in rest:
-        top = max(value)
-        least = top - switch
-        if min(value) >= least:
-            came.append(None)
-            value = [v + s for v, s in zip(value, row, strict=True)]
-        else:
-            came.append((value.index(top), [v >= least for v in value]))
+    # few languages: lists are faster than arrays here, but are made for BLOCK words at a time
+    value = scores[0].tolist()
+    tops, stays = np.empty(len(scores), np.int32), np.empty(scores.shape, bool)
+    for start in range(1, len(scores), BLOCK):
+        came, kept = [], []
+        for row in scores[start : start + BLOCK].tolist():
+            top = max(value)
+            least = top - switch
+            came.append(value.index(top))
+            kept.append([v >= least for v in value])
             value = [(v if v >= least else least) + s for v, s in zip(value, row, strict=True)]
+        tops[start : start + BLOCK], stays[start : start + BLOCK] = came, kept
     at = value.index(max(value))
-    path = [at]
-    for back in reversed(came):
-        if back is not None and not back[1][at]:
-            at = back[0]
-        path.append(at)
-    return np.array(path[::-1])
+    path = np.empty(len(scores), np.int64)
+    for i in range(len(scores) - 1, 0, -1):
+        path[i] = at
+        if not stays[i, at]:
+            at = tops[i]
+    path[0] = at
+    return path
 
 
 def label(text: str | None, scorer: Scorer) -> tuple[str, float]:
@@ -272,9 +287,9 @@ def keep_clear(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows whose text has letters, of which one language has at least the share `least`."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def clarity(texts):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared, key)
-        return texts.map(lambda t: label(t, scorer)[1])
+        for batch in slices(batches):
+            yield batch.filter(pa.array([label(t, scorer)[1] >= least for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.where(clarity("text") >= least)
+    return docs.mapInArrow(keep, docs.schema)

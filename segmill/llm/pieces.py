@@ -6,7 +6,8 @@ of such a vocabulary has a space after another character, so a text is cut befor
 characters that stands in no piece is never merged across, so a unit is cut there too. A unit is encoded once and
 kept in a bounded table of each Python worker.
 
-Every unit that enters the table is checked, a batch at a time, against the sentencepiece library; a difference raises.
+Every unit that enters the table is checked, a batch at a time, against the sentencepiece library, both its ids and what
+they decode to; a difference raises.
 Texts whose normalisation isn't the identity are not supported: the model must have an identity normaliser.
 
 Null and empty texts have no ids. Extra columns are ignored, repeated rows stay, an empty table gives an empty result.
@@ -48,12 +49,15 @@ class MergeVocabulary:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         plain = [i for i in range(count) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
+        #: The text of ids that are no bytes.
+        self.text_of = {str(i): p.replace(SPACE, " ") for i, p in enumerate(self.pieces) if i not in self.byte_of}
         self.score = {self.pieces[i]: lib.get_score(i) for i in plain}
         self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space after another character")
         self.letter, self.unit = self._units()
-        self.units: dict[str, tuple[int, str, str]] = {}
+        #: Of units: ids joined by commas.
+        self.units: dict[str, str] = {}
 
     def _units(self) -> tuple[re.Pattern, re.Pattern]:
         """What counts as a letter, and the pattern of a unit. No piece joins a letter and another character than a
@@ -141,8 +145,8 @@ class MergeVocabulary:
         """Units of a text: a run of spaces and what follows up to the next."""
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, units: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Number of ids, ids joined by commas, and decoded text, of each unit; new ones are checked."""
+    def learn(self, units: set[str]) -> dict[str, str]:
+        """Ids joined by commas of each unit; new ones are checked. A unit must decode to itself, with spaces for SPACE."""
         known = {u: x for u in units if (x := self.units.get(u)) is not None}
         new = [u for u in units if u not in known]
         coded = [self.encode_unit(u) for u in new]
@@ -151,27 +155,40 @@ class MergeVocabulary:
             before = ["(" if self.letter.match(u) else "a" for u in new]
             skip = {b: len(self.encode_unit(SPACE + b)) for b in "(a"}
             rights = self.library.encode([b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)], num_threads=1)
-            for u, ids, b, right in zip(new, coded, before, rights, strict=True):
+            decoded = self.library.decode(rights, num_threads=1)
+            for u, ids, b, right, text in zip(new, coded, before, rights, decoded, strict=True):
                 if ids != right[skip[b] :]:
                     raise ValueError(f"{u!r}: {ids}, but the library gives {right[skip[b] :]}")
+                if not text == b + u.replace(SPACE, " ") == b + self.decode_ids(ids):
+                    raise ValueError(f"{u!r}: decoded to {self.decode_ids(ids)!r}, but the library gives {text!r}")
         if len(self.units) + len(new) > MAX_UNITS:
             for u in list(self.units)[: len(self.units) // 2 + len(new)]:
                 del self.units[u]
         for u, ids in zip(new, coded, strict=True):
-            known[u] = (len(ids), ",".join(map(str, ids)), self.decode_ids(ids))
+            known[u] = ",".join(map(str, ids))
         if len(new) <= MAX_UNITS:
             self.units.update((u, known[u]) for u in new)
         return known
 
-    def look_up(self, text: str) -> list[tuple[int, str, str]]:
+    def look_up(self, text: str) -> str:
+        """All ids of a text, joined by commas."""
         units = self.split(text)
         try:
-            return list(map(self.units.__getitem__, units))
+            return ",".join(map(self.units.__getitem__, units))
         except KeyError:
-            return list(map(self.learn(set(units)).__getitem__, units))
+            return ",".join(map(self.learn(set(units)).__getitem__, units))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.look_up(text) for i in ids.split(",")]
+        return [int(i) for i in self.look_up(text).split(",")] if text else []
+
+    def decode_joined(self, ids: str) -> str:
+        """decode() of ids joined by commas."""
+        listed = ids.split(",") if ids else []
+        try:
+            text = "".join(map(self.text_of.__getitem__, listed))
+        except KeyError:  # bytes
+            return self.decode(list(map(int, listed)))
+        return text[1:] if text.startswith(" ") else text
 
     def decode(self, ids: list[int]) -> str:
         text = self.decode_ids(ids)
@@ -203,9 +220,8 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                units = coder.look_up(text or "")
-                decoded = "".join([u[2] for u in units])
-                rows.append((sum([u[0] for u in units]), hashlib.sha256(",".join([u[1] for u in units]).encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()))
+                ids = coder.look_up(text or "")
+                rows.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode_joined(ids).encode()).hexdigest()))
             n, ids, decoded = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -19,6 +19,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ FEATURES = ["words", "word_length", "word_spread", "letters", "digits", "symbols
 SHRINK, FLOOR = 0.1, 1e-3
 #: Letters that are counted; what is neither letter, digit, space nor ordinary punctuation is a symbol.
 NOT_PLAIN = re.compile(r"[^\w\s.,;:!?'\"()-]|_")
+NO_SPACE, LINE, ENDS = re.compile(r"\S+"), re.compile(r"[^\n]+"), frozenset(["", ".", "!", "?"])
+#: Characters of a text whose words and lines are made as they are used, BLOCK words at a time.
+LONG, BLOCK = 1 << 22, 1 << 16
 DIGITS, LETTERS, UPPER = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 
 
@@ -39,32 +44,57 @@ def _logit(part: float, whole: float) -> float:
     return math.log((part + 0.5) / (whole - part + 0.5)) if whole >= part else 0.0
 
 
+def _matches(pattern: re.Pattern, text: str) -> Iterator[str]:
+    return (m[0] for m in pattern.finditer(text))
+
+
+def _counted_words(words: Iterator[str]) -> tuple[Counter, int]:
+    """How often each word occurs, and how often one is the same as the one before."""
+    counts, again = Counter(), 0
+    while part := list(islice(words, BLOCK)):
+        if counts:
+            again += part[0] == last
+        again += sum(map(eq, part, islice(part, 1, None)))
+        counts.update(part)
+        last = part[-1]
+    return counts, again
+
+
 def statistics(text: str | None) -> list[float]:
     """The values of FEATURES."""
     text = text or ""
-    words = text.split()
-    n, size = len(words), len(text)
-    counts = Counter(words)
-    lengths = np.fromiter(map(len, words), np.float64, n) if n else np.zeros(1)
-    lines = [x for x in text.split("\n") if x]
-    kinds = Counter(lines)
-    letters, digits = sum(map(len, LETTERS.findall(text))), sum(map(len, DIGITS.findall(text)))
+    size = len(text)
+    long = size > LONG
+    counts, again = _counted_words(_matches(NO_SPACE, text) if long else iter(text.split()))
+    n = sum(counts.values())
+    by_length: Counter = Counter()
+    for word, k in counts.items():
+        by_length[len(word)] += k
+    mean = sum(x * k for x, k in by_length.items()) / max(1, n)
+    spread = math.sqrt(sum(k * (x - mean) ** 2 for x, k in by_length.items()) / max(1, n))
+    lines = ended = 0
+    kinds = set()
+    for x in _matches(LINE, text) if long else filter(None, text.split("\n")):
+        lines += 1
+        kinds.add(hash(x))
+        ended += x.rstrip()[-1:] in ENDS
+    in_all = lambda pattern: sum(map(len, _matches(pattern, text) if long else pattern.findall(text)))
     return [
         math.log1p(n),
-        math.log1p(lengths.mean()),
-        math.log1p(lengths.std()),
-        _logit(letters, size),
-        math.sqrt(digits / max(1, size)),
-        math.sqrt(len(NOT_PLAIN.findall(text)) / max(1, size)),
-        math.sqrt(sum(map(len, UPPER.findall(text))) / max(1, size)),
+        math.log1p(mean),
+        math.log1p(spread),
+        _logit(in_all(LETTERS), size),
+        math.sqrt(in_all(DIGITS) / max(1, size)),
+        math.sqrt(in_all(NOT_PLAIN) / max(1, size)),
+        math.sqrt(in_all(UPPER) / max(1, size)),
         math.sqrt((text.count(".") + text.count(",")) / max(1, n)),
         math.log1p(len(counts)) - math.log1p(n) if n else 0.0,
         math.sqrt(max(counts.values(), default=0) / max(1, n)),
-        math.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n)),
-        math.log1p(size / max(1, len(lines))),
-        math.sqrt(1 - len(kinds) / max(1, len(lines))) if lines else 0.0,
-        math.sqrt((lengths < 2).sum() / max(1, n)) if n else 0.0,
-        math.sqrt(sum(x.rstrip()[-1:] in ".!?" for x in lines) / max(1, len(lines))),
+        math.sqrt(again / max(1, n)),
+        math.log1p(size / max(1, lines)),
+        math.sqrt(1 - len(kinds) / max(1, lines)) if lines else 0.0,
+        math.sqrt((by_length[0] + by_length[1]) / max(1, n)) if n else 0.0,
+        math.sqrt(ended / max(1, lines)),
     ]
 
 

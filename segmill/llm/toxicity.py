@@ -5,14 +5,16 @@ contexts and clean texts hardly at all. Counting contexts (the words on both sid
 a text with many copies out. The lexicon is a trie; Levenshtein automata of its whole words, intersected with the
 trie, run over each word of a text, so a term is also found with one letter wrong (two in a long one). Where a beginning is
 the better term, the whole words below it that would be terms stay in the trie for their misspellings; the beginning itself
-is matched as it is. The product automaton is built state by state as words come.
+is matched as it is. The product automaton is built state by state as words come, and begun anew once it has MAX_PAIRS
+pairs of node and errors.
 
 Terms may stand in clean texts by chance, so a text is judged by how far its mentions exceed the rates of clean texts: the
 deviance of Poisson counts, turned into a probability by a logistic curve that is fitted to the labelled texts. A mention
 in a quotation counts in part; a window of words and the marks around it tell a quotation from abuse.
 
-At most `limit` labelled rows, those with the smallest hashes of their ids, are learned from, and the lexicon has at
-most MAX_TERMS terms, so it can be broadcast whatever the size of the input.
+At most `limit` labelled rows, those with the smallest hashes of their ids, are learned from, so the lexicon is bounded by
+that sample and can be broadcast whatever the size of the input. Words that report speech, which mark a quotation beside
+quotation marks, are a parameter. A long text's words are made as they are used.
 
 A null or empty text scores 0. If no terms can be learned, all texts do. Repeated rows and null doc_ids each get a score;
 extra columns are ignored; an empty table gives an empty result.
@@ -23,9 +25,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 from segmill.llm.common import fold, materialise, resident, slices, training_labels
 
 TRAIN_ROWS = 30_000
-#: Candidate terms, the most one-sided ones, and terms of the lexicon.
-MAX_CANDIDATES, MAX_TERMS = 100_000, 5_000
+#: Trie nodes with errors, in all states of an automaton.
+MAX_PAIRS = 400_000
+#: Characters of a text whose words aren't all held at once.
+LONG = 1 << 22
 #: Beginnings of words have so many letters.
 STEMS = range(4, 9)
 #: Whole words of so many letters may have one wrong, of so many two.
@@ -77,6 +82,8 @@ class Lexicon:
     curve: tuple[float, float] = (1.0, -4.0)
     #: Whole words with a beginning among the terms, for their misspellings only.
     words: frozenset[str] = frozenset()
+    #: Words that report speech.
+    reporting: frozenset[str] = REPORTING
 
 
 class Matcher:
@@ -104,13 +111,18 @@ class Matcher:
                 node = self.children[node][c]
             self.most[node] = max(self.most[node], allowed)
             (self.stem if term.endswith("*") else self.word)[node] = term
+        self.known: dict[str, tuple[str, int] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """An automaton of its first state only."""
         self.states: list[frozenset[tuple[int, int]]] = []
         self.numbers: dict[frozenset[tuple[int, int]], int] = {}
         self.moves: list[dict[str, int]] = []
         self.stems: list[str | None] = []
         self.ends: list[tuple[int, str] | None] = []
+        self.pairs = 0
         self.start = self._state({(0, 0)})
-        self.known: dict[str, tuple[str, int] | None] = {}
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         """The number of a state; pairs of trie node and errors, letters of a term may be missing."""
@@ -123,6 +135,7 @@ class Matcher:
         state = frozenset((n, e) for n, e in closed.items() if e <= self.most[n] or not e)
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
+            self.pairs += 1 + len(state)
             self.states.append(state)
             self.moves.append({})
             exact = [self.stem[n] for n, e in state if e == 0 and self.stem[n]]
@@ -144,6 +157,8 @@ class Matcher:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term that a lower-case word is, and the number of errors; of several, that with fewest errors."""
+        if self.pairs > MAX_PAIRS:
+            self._begin()
         at, stem, moves = self.start, None, self.moves
         for c in word:
             to = moves[at].get(c)
@@ -161,7 +176,7 @@ class Matcher:
     def words(self, text: str) -> set[str]:
         """The words of a lower-case text that match."""
         hits = set()
-        for word in set(WORDS.findall(text)):
+        for word in set(WORDS.findall(text)) if len(text) <= LONG else {m[0] for m in WORDS.finditer(text)}:
             if word in self.known:
                 found = self.known[word]
             else:
@@ -178,15 +193,15 @@ class Matcher:
         hits = self.words(low)
         if not hits:
             return
-        found = list(WORDS.finditer(low))
-        for i, m in enumerate(found):
+        for found, i in windows(low):
+            m = found[i]
             if m[0] in hits:
                 term, errors = self.known.get(m[0]) or self.match(m[0])
-                around = [x[0] for x in found[max(0, i - WINDOW) : i + WINDOW + 1]]
-                start, end = found[max(0, i - WINDOW)].start(), found[min(len(found) - 1, i + WINDOW)].end()
+                around = [x[0] for x in found]
+                start, end = found[0].start(), found[-1].end()
                 marked = any(q in low[start : m.start()] for q in QUOTES) and any(q in low[m.end() : end + 1] for q in QUOTES)
                 near = low[max(0, start - 1) : end + 1]
-                yield m[0], term, errors, marked or not REPORTING.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
+                yield m[0], term, errors, marked or not self.lexicon.reporting.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
 
     def deviance(self, text: str | None) -> tuple[float, int]:
         """How far the mentions exceed the rates of clean texts, and their number."""
@@ -198,7 +213,7 @@ class Matcher:
             n += 1
         if not n:
             return 0.0, 0
-        size, total = len(WORDS.findall(text)), 0.0
+        size, total = sum(1 for _ in WORDS.finditer(text)), 0.0
         for key, count in counts.items():
             rate = self.lexicon.errors[key - 1] if isinstance(key, int) else self.lexicon.terms[key]
             if count > size * rate:
@@ -212,6 +227,23 @@ class Matcher:
         return (1 / (1 + math.exp(-max(-700.0, slope * value + offset))) if n else 0.0), n
 
 
+def windows(text: str) -> Iterator[tuple[list[re.Match], int]]:
+    """Each word with up to WINDOW words on both sides, as a list of matches, and its place there."""
+    around: deque[re.Match] = deque(maxlen=2 * WINDOW + 1)
+    words, before = WORDS.finditer(text), 0
+    around.extend(islice(words, WINDOW + 1))
+    while before < len(around):
+        yield list(around), before
+        after = next(words, None)
+        if after is not None:
+            before = min(before + 1, WINDOW)
+            around.append(after)
+        elif before == WINDOW:
+            around.popleft()
+        else:
+            before += 1
+
+
 def hash_of(found: list[re.Match], i: int) -> int:
     """The words on both sides."""
     return xxhash.xxh64_intdigest(f"{found[i - 1][0] if i else ''} {found[i + 1][0] if i + 1 < len(found) else ''}") >> 1
@@ -248,17 +280,16 @@ def _terms(text: str) -> set[str]:
 
 
 def _one_sided(counted: DataFrame, share: float) -> DataFrame:
-    """The terms whose texts are toxic so often that chance, at this share of toxic texts, explains it badly; of too many
-    the most one-sided."""
+    """The terms whose texts are toxic so often that chance, at this share of toxic texts, explains it badly."""
     n = F.col("toxic") + F.col("clean")
     p = F.col("toxic") / n
     # log of the Chernoff bound of the binomial tail
     rest = F.when(F.col("clean") > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
     bounded = counted.where(p >= PRECISION).withColumn("bound", -n * (p * F.log(p / share) + rest))
-    return bounded.where(F.col("bound") <= SURPRISE).orderBy("bound", "term").limit(MAX_CANDIDATES)
+    return bounded.where(F.col("bound") <= SURPRISE)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS, reporting: frozenset[str] = REPORTING) -> Lexicon:
     """Learn the lexicon from the labelled rows outside the held-out fold."""
     marks = training_labels(labels, "toxic", folds, held_out, limit)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("label", "text").distinct()
@@ -279,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     # words that copies share stand in few contexts for so many texts
     kept = {t: (m1, m0) for t, (m1, m0, varied) in found.items() if varied >= max(least, VARIETY * good[t])}
     terms, words = _chosen(kept, sizes[1], sizes[0])
-    return _with_contexts(rows, Lexicon(terms, words=words), sizes[0])
+    return _with_contexts(rows, Lexicon(terms, words=words, reporting=reporting), sizes[0])
 
 
 def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, int, int]]:
@@ -288,9 +319,9 @@ def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, in
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def contexts(known: frozenset[str], text: str) -> set[tuple[str, int]]:
-        found, out = list(WORDS.finditer(text)), set()
-        for i, m in enumerate(found):
-            word = m[0]
+        out = set()
+        for found, i in windows(text):
+            word = found[i][0]
             for t in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)):
                 if t in known:
                     out.add((t, hash_of(found, i)))
@@ -319,7 +350,7 @@ def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: in
     for t in sorted(worth, key=lambda t: (-worth[t], -len(t.removesuffix("*")), t)):
         letters = t.removesuffix("*")
         nested = any(letters[:n] + "*" in kept for n in STEMS if n <= len(letters)) or t.endswith("*") and any(k.startswith(letters) for k in kept)
-        if not nested and len(kept) < MAX_TERMS:
+        if not nested:
             kept[t] = rates[t]
     begun = frozenset(t for t in worth if not t.endswith("*") and any(t[:n] + "*" in kept for n in STEMS if n <= len(t)))
     return kept, begun
@@ -415,12 +446,12 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
     """The rows whose text scores below the threshold."""
     shared, key = docs.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def toxicity(texts):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = matcher_of(shared, key)
-        return texts.map(lambda t: matcher.score(t)[0])
+        for batch in slices(batches):
+            yield batch.filter(pa.array([matcher.score(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.where(toxicity("text") < threshold)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -131,7 +131,12 @@ def test_rare_languages_keep_their_ngrams(spark, make_docs, monkeypatch):
     texts = lambda letters, n: [" ".join("".join(rng.choices(letters, k=5)) for _ in range(30)) for _ in range(n)]
     rows = [(i, t, "aa") for i, t in enumerate(texts("abcdefghijklmnop", 300))] + [(1000 + i, t, "bb") for i, t in enumerate(texts("mnopqr", 4))]
     monkeypatch.setattr(language, "MAX_GRAMS", 700)
+    whole = language.fit(make_docs(rows), F.lit(True), most=10**9)
     model = language.fit(make_docs(rows), F.lit(True))
+    # what is kept has the probabilities that it has among all
+    for gram in list(model.rows)[::7]:
+        kept, full = model.table[model.rows[gram]], whole.table[whole.rows[gram]]
+        assert kept == pytest.approx(full)
     assert model.languages == ["aa", "bb"] and 600 < len(model.rows) < 800
     at = {lang: model.table[:, i] for i, lang in enumerate(model.languages)}
     assert sum(at["bb"] > at["bb"].min()) > 200 and sum(at["aa"] > at["aa"].min()) > 300
@@ -140,12 +145,58 @@ def test_rare_languages_keep_their_ngrams(spark, make_docs, monkeypatch):
     assert language._shares({"a": 5, "b": 100, "c": 300}, 105) == {"a": 5, "b": 50, "c": 50}
 
 
-def test_candidates_are_the_most_one_sided(spark, make_docs, monkeypatch):
+def test_candidates_are_one_sided(spark, make_docs):
     names = [a + b for a in "bdfglnprtv" for b in ("ol", "em", "uk", "an", "ir", "eb")]
     rows = [(i, f"{names[i % 60]} {names[(7 * i + i // 60) % 60]} {'scum' if i % 20 == 0 else 'zero'} {names[(11 * i + 3) % 60]} and the of") for i in range(600)]
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
-    monkeypatch.setattr(toxicity, "MAX_CANDIDATES", 3)
-    assert "scum" in toxicity.fit(make_docs(rows), labels, folds=1, held_out=1).terms
+    terms = toxicity.fit(make_docs(rows), labels, folds=1, held_out=1).terms
+    assert "scum" in terms and "zero" not in terms
+
+
+def test_automaton_stays_bounded():
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = {"".join(rng.choices(letters, k=rng.randint(5, 12))): 1e-6 for _ in range(400)}
+    matcher, sizes = toxicity.Matcher(toxicity.Lexicon(terms)), []
+    listed = list(terms)
+    for i in range(200_000):
+        if i % 3:
+            word = "".join(rng.choices(letters, k=rng.randint(3, 12)))
+        else:
+            word = rng.choice(listed)
+            at = rng.randrange(len(word))
+            word = word[:at] + rng.choice(letters) + word[at + 1 :]
+        found = matcher.match(word)
+        assert i % 3 or found
+        if i % 10_000 == 0:
+            sizes.append(matcher.pairs)
+            assert sum(len(s) for s in matcher.states) <= matcher.pairs
+    assert max(sizes) < 1.1 * toxicity.MAX_PAIRS and len(matcher.known) <= toxicity.MAX_WORDS
+
+
+def test_windows_are_slices():
+    for n in (0, 1, 4, 6, 11, 12, 30):
+        text = " ".join(f"w{i}" for i in range(n))
+        words = text.split()
+        got = [([m[0] for m in found], found[at][0]) for found, at in toxicity.windows(text)]
+        assert got == [(words[max(0, i - 5) : i + 6], w) for i, w in enumerate(words)]
+
+
+def test_long_texts_take_the_same_course(monkeypatch):
+    text = ("Some words, some words! the the 12 ÄÖ\n\n" * 50 + "last line\x1f odd\u2003space.") * 3
+    matcher = toxicity.Matcher(toxicity.Lexicon({"words": 1e-6}))
+    want = quality.statistics(text), matcher.score(text)
+    for module in (quality, toxicity):
+        monkeypatch.setattr(module, "LONG", 10)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert (quality.statistics(text), toxicity.Matcher(matcher.lexicon).score(text)) == want
+    scores = np.random.default_rng(1).normal(0, 12, (100, 3)).astype(np.float32)
+    path = language.viterbi(scores, 9.0)
+    monkeypatch.setattr(language, "BLOCK", 1 << 16)
+    assert np.array_equal(path, language.viterbi(scores, 9.0))
 
 
 def test_context_weighs():

@@ -28,7 +28,7 @@ def check(text):
     coder = pieces.vocabulary(PATH)
     ids = LIBRARY.encode(text)
     assert coder.encode(text) == ids
-    assert coder.decode(ids) == LIBRARY.decode(ids)
+    assert coder.decode(ids) == LIBRARY.decode(ids) == coder.decode_joined(",".join(map(str, ids)))
 
 
 def test_both_agendas_agree():
@@ -57,3 +57,10 @@ def test_a_difference_raises():
     coder._merge_short = lambda symbols: symbols
     with pytest.raises(ValueError, match="the library gives"):
         coder.encode("international")
+
+
+def test_a_difference_in_decoding_raises():
+    coder = pieces.MergeVocabulary(PATH)
+    coder.decode_ids = lambda ids: "other"
+    with pytest.raises(ValueError, match="decoded to 'other'"):
+        coder.encode("international")
