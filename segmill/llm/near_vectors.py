@@ -205,7 +205,8 @@ def _in_large_filters(members: DataFrame, least: float) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["key", "i", "j"]):
             column = {name: group.column(name) for name in group.schema.names}
-            filters = np.split(column["filters"].values.to_numpy(), column["filters"].offsets.to_numpy()[1:-1])
+            listed, ends = column["filters"].values.to_numpy(), column["filters"].offsets.to_numpy()
+            filters = [listed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             node, n, own = (column[c].to_numpy() for c in ("node", "n", "own"))
             labels = column["label"].to_numpy()
             for at, x in _by_length(column["embedding"]):
