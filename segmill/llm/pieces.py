@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -155,12 +156,13 @@ class MergeVocabulary:
             before = ["(" if self.letter.match(u) else "a" for u in new]
             skip = {b: len(self.encode_unit(SPACE + b)) for b in "(a"}
             rights = self.library.encode([b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)], num_threads=1)
-            decoded = self.library.decode(rights, num_threads=1)
-            for u, ids, b, right, text in zip(new, coded, before, rights, decoded, strict=True):
+            for u, ids, b, right in zip(new, coded, before, rights, strict=True):
                 if ids != right[skip[b] :]:
                     raise ValueError(f"{u!r}: {ids}, but the library gives {right[skip[b] :]}")
-                if not text == b + u.replace(SPACE, " ") == b + self.decode_ids(ids):
-                    raise ValueError(f"{u!r}: decoded to {self.decode_ids(ids)!r}, but the library gives {text!r}")
+            # one after another, as the units of a text are
+            texts = [b + self.decode_ids(ids) for b, ids in zip(before, coded, strict=True)]
+            if texts != [b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)] or " ".join(texts) != self.library.decode(list(chain.from_iterable(rights))):
+                raise ValueError(f"the library decodes one of {new} otherwise")
         if len(self.units) + len(new) > MAX_UNITS:
             for u in list(self.units)[: len(self.units) // 2 + len(new)]:
                 del self.units[u]

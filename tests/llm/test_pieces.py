@@ -62,5 +62,5 @@ def test_a_difference_raises():
 def test_a_difference_in_decoding_raises():
     coder = pieces.MergeVocabulary(PATH)
     coder.decode_ids = lambda ids: "other"
-    with pytest.raises(ValueError, match="decoded to 'other'"):
+    with pytest.raises(ValueError, match="decodes one of"):
         coder.encode("international")
