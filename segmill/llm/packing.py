@@ -4,14 +4,15 @@ A document's ids are those of a `tokenizers` file, then an end id. They are cut
 but the last fill a sequence; these need no packing and are sequences at once. What is left of each document is one piece at
 most. Documents are dealt to randomised groups by a hash of their id and ids, so a task that runs again deals them alike, and
 first-fit decreasing packs each group by itself; a tournament tree over the free room of its bins finds the first bin that fits
-in log time. A group has `group_docs` pieces on average, whatever the number and length of the documents.
+in log time. A group has `group_docs` pieces on average, whatever the number and length of the documents. Rows that repeat both
+id and text are counted first and then told apart by a number, which is part of the hash, so they don't crowd one group.
 
 A word (a match of the tokenizer's own splitting pattern) is encoded by the library once and its ids are then kept, in a
 bounded table of each Python worker.
 
 Nulls and empty texts are a document of one id, the end id. Null doc_ids and repeated rows are packed like any other
-row; rows that repeat both id and text fall into one group. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size
-is a power of two; then it isn't padded.
+row. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size is a
+power of two; then it isn't padded.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PLAIN_SPLIT = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+|'(?:s|t
 #: Words of which a worker keeps the ids.
 MAX_WORDS = 800_000
 SEED = 17
+#: Numbers of repeated rows that are made at once.
+COPIES = 1 << 16
 
 #: The byte-level format writes a byte as a visible character: itself, or one from 256 on.
 AS_THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -168,8 +171,12 @@ def pack(cut: DataFrame, length: int = 2048, group_docs: int = 4096) -> DataFram
             table = table.append_column(name, pa.array(column, pa.int64()))
         return table
 
-    document = F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32", F.lit(SEED))
-    packed = rest.withColumn("group_id", F.pmod(document, F.lit(groups))).groupBy("group_id").applyInArrow(fit, PACKED)
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    numbered = rest.groupBy(*own).agg(F.count("*").alias("copies"))
+    numbered = numbered.select(*own, "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")).alias("part"))
+    numbered = numbered.select(*own, F.explode(F.expr(f"sequence(part * {COPIES}, least(copies, (part + 1) * {COPIES}) - 1)")).alias("copy"))
+    document = F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32", "copy", F.lit(SEED))
+    packed = numbered.select(*own, F.pmod(document, F.lit(groups)).alias("group_id")).groupBy("group_id").applyInArrow(fit, PACKED)
     # odd numbers, so that they don't meet those of packed sequences
     number, whole = 2 * F.monotonically_increasing_id() + 1, F.lit(length).cast("long")
     return packed.unionByName(full.select("*", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), whole.alias("sequence_tokens"), whole.alias("padded_to")))

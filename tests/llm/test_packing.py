@@ -94,3 +94,17 @@ def test_order_of_rows_does_not_matter(spark, make_docs):
     one = packing.pack_documents(make_docs(rows), PATH, group_docs=8)
     two = packing.pack_documents(make_docs(rows[::-1]).repartition(7), PATH, group_docs=8)
     assert sorted(map(tuple, one.where("length < 2048").collect())) == sorted(map(tuple, two.where("length < 2048").collect()))
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 16])
+def test_repeated_rows_fill_no_group(spark, monkeypatch, at_once):
+    """A row that stands a thousand times is dealt to all groups, and none of its copies is lost."""
+    monkeypatch.setattr(packing, "COPIES", at_once)
+    rows = [(None, 0, 1, 5, 1)] * 1000 + [(d, 0, 5, 1, 5) for d in range(500)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), length=8, group_docs=50).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed), key=key) == sorted(rows, key=key)
+    sizes = {}
+    for r in packed:
+        sizes[r.sequence_id >> 33] = sizes.get(r.sequence_id >> 33, 0) + 1
+    assert len(sizes) == 30 and max(sizes.values()) < 100
