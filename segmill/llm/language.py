@@ -8,8 +8,8 @@ score is its share of the letters.
 The model is fitted on at most `limit` labelled rows, those with the smallest hashes of their ids. It keeps all n-grams of
 that sample up to `most`; of more, languages with few keep all and the others equally many, the most frequent ones, hashes
 choosing among equally frequent ones. Probabilities are of all n-grams of the sample, kept or not, and so are the letters by
-script. So a model can be broadcast whatever the size of the input. A long text's path is found with a byte or less for each
-word and language.
+script. So a model can be broadcast whatever the size of the input. The paths of
+short texts are found together; a long text's is found alone, with a byte or less for each word and language.
 
 A null text, or one without letters, is `und` with score 0. If nothing can be learned every text is `und`. Repeated rows
 and null doc_ids each get a prediction; extra columns are ignored; an empty table gives an empty result.
@@ -21,7 +21,7 @@ import re
 import uuid
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ MAX_GRAMS = 200_000
 MAX_WORDS = 800_000
 #: Words of a text whose path is searched in lists at once.
 BLOCK = 1 << 16
+#: Scores of words that are held for texts that take their steps together, and the fewest such texts.
+HELD, TOGETHER = 1 << 21, 4
 #: Longer words are not n-grams themselves.
 SHORT_WORD = 6
 SWITCH = 14.0
@@ -145,6 +147,11 @@ def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS, most: int | Non
     return Model(languages, known, np.log((counts + 0.5) / totals), {s: n / letters >= SCRIPT_SHARE for s, n in seen.items()})
 
 
+def _number(gram: str) -> int:
+    """One number for up to three characters."""
+    return sum(ord(c) << 21 * i for i, c in enumerate(gram))
+
+
 class Scorer:
     """Scores of words, kept in a bounded table of each worker."""
 
@@ -152,6 +159,32 @@ class Scorer:
         self.model, self.at = model, {}
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int32)
+        # n-grams as sorted numbers with their rows; words are looked up by themselves
+        numbered = sorted((_number(g), i) for g, i in model.rows.items() if g[0] != "=")
+        self.numbers = np.array([n for n, _ in numbered] or [0], np.int64)
+        self.rows = np.array([i for _, i in numbered] or [len(model.rows)], np.int64)
+
+    def _rows_of(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return np.where(self.numbers[at] == numbers, self.rows[at], len(self.model.rows))
+
+    def _sums(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the log probabilities of each word's n-grams, and the code points of first letters."""
+        table = self.model.table
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        codes = np.frombuffer("".join([f"<{w}>" for w in new]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        starts = np.cumsum(sizes + 2) - sizes - 2
+        place = np.arange(len(codes)) - np.repeat(starts, sizes + 2)
+        left = np.repeat(sizes, sizes + 2) - place
+        two = codes[:-1] | codes[1:] << 21
+        three = two[:-1] | codes[2:] << 42
+        found = np.zeros((len(new), table.shape[1]))
+        # single letters, and pairs and triples with the marks of both ends
+        for numbers, inside, each in ((codes, (place > 0) & (left >= 0), sizes), (two, left[:-1] >= 0, sizes + 1), (three, left[:-2] > 0, sizes)):
+            found += np.add.reduceat(table[self._rows_of(numbers[inside])], np.cumsum(each) - each, axis=0)
+        short = np.flatnonzero(sizes <= SHORT_WORD)
+        found[short] += table[[self.model.rows.get("=" + new[i], len(self.model.rows)) for i in short]]
+        return found, codes[starts + 1]
 
     def index(self, words: list[str]) -> np.ndarray:
         try:
@@ -169,32 +202,56 @@ class Scorer:
             size = 2 * (start + len(new))
             self.scores = np.resize(self.scores, (size, self.scores.shape[1]))
             self.letters = np.resize(self.letters, size)
-        rows, last = self.model.rows, len(self.model.rows)
-        ids, starts = [], []
-        for word in new:
-            starts.append(len(ids))
-            ids += [rows.get(g, last) for g in grams(word)]
-        found = np.add.reduceat(self.model.table[ids], starts, axis=0)
-        kinds = np.array([script(word[0]) for word in new])
+        found, first = self._sums(new)
+        kinds = np.searchsorted(STARTS, first, side="right") - 1
         for kind in np.unique(kinds):
-            fits = self.model.scripts.get(str(kind))
+            fits = self.model.scripts.get(SCRIPTS[kind][1] if kind >= 0 else "other")
             if fits is not None and fits.any() and not fits.all():
                 found[kinds == kind] += np.where(fits, 0, OUT_OF_SCRIPT)
         self.at.update(zip(new, range(start, start + len(new)), strict=True))
         self.scores[start : start + len(new)] = found
-        self.letters[start : start + len(new)] = [sum(map(str.isalpha, w)) for w in new]
+        self.letters[start : start + len(new)] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
 
 
-def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The language of each word on the best path."""
-    if len(scores) == 0:
-        return np.zeros(0, np.int64)
+def _only(scores: np.ndarray, switch: float) -> int | None:
+    """The language of all words, if the best path surely never leaves it: no run of words gains more than a switch costs
+    by leaving the language that is best for all."""
+    if scores.shape[1] == 1:
+        return 0
     best = int(scores.sum(axis=0).argmax())
-    # if no run of words gains more than a switch costs by leaving the best language, the path never leaves it
     gain = np.delete(scores - scores[:, [best]], best, axis=1).max(axis=1, initial=-np.inf).astype(np.float64)
     total = np.concatenate([[0.0], np.cumsum(gain)])
-    if (total - np.minimum.accumulate(total)).max() <= switch:
-        return np.full(len(scores), best)
+    return best if (total - np.minimum.accumulate(total)).max() <= switch else None
+
+
+def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The language of each word on the best path."""
+    return viterbi_all([scores], switch)[0]
+
+
+def viterbi_all(listed: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """The same for several texts, which take their steps together; a text that is far longer than all others is alone."""
+    paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(listed)
+    mixed = []
+    for i, scores in enumerate(listed):
+        if len(scores):
+            only = _only(scores, switch)
+            if only is None:
+                mixed.append(i)
+            else:
+                paths[i] = np.full(len(scores), only)
+    mixed.sort(key=lambda i: -len(listed[i]))
+    while mixed:
+        if len(mixed) >= TOGETHER and 2 * len(listed[mixed[TOGETHER - 1]]) >= len(listed[mixed[0]]):
+            for i, path in zip(mixed, _paths([listed[i] for i in mixed], switch), strict=True):
+                paths[i] = path
+            break
+        i, *mixed = mixed
+        paths[i] = _path(listed[i], switch)
+    return paths
+
+
+def _path(scores: np.ndarray, switch: float) -> np.ndarray:
     # few languages: lists are faster than arrays here, but are made for BLOCK words at a time
     value = scores[0].tolist()
     tops, stays = np.empty(len(scores), np.int32), np.empty(scores.shape, bool)
@@ -217,17 +274,65 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+def _paths(listed: list[np.ndarray], switch: float) -> list[np.ndarray]:
+    """The paths of texts that are sorted from the longest to the shortest."""
+    lengths = np.array([len(s) for s in listed])
+    first = np.cumsum(lengths) - lengths
+    # how many texts have a word at each place, and where the words of that place start
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    starts = np.cumsum(live) - live
+    order = np.concatenate([first[:n] + i for i, n in enumerate(live.tolist())])
+    value = np.ascontiguousarray(np.concatenate(listed)[order].T, np.float64)
+    sizes, begins = live.tolist(), starts.tolist()
+    for n, a, b in zip(sizes[1:], begins, begins[1:], strict=False):
+        before = value[:, a : a + n]
+        value[:, b : b + n] += np.maximum(before, before.max(axis=0) - switch)
+    tops, stays = value.argmax(axis=0), value >= value.max(axis=0) - switch
+    path, at, texts = np.empty(len(order), np.int64), tops[:0], np.arange(len(listed))
+    for n, a in zip(reversed(sizes), reversed(begins), strict=True):
+        # from the place before, the texts that have a word after it come with a language, the others end here
+        top, on = tops[a : a + n], len(at)
+        at = np.concatenate([np.where(stays[at, a + texts[:on]], at, top[:on]), top[on:]])
+        path[a : a + n] = at
+    placed = np.empty_like(path)
+    placed[order] = path
+    return np.split(placed, first[1:])
+
+
+def labels_of(texts: Iterable[str | None], scorer: Scorer) -> Iterator[tuple[str, float]]:
+    """The language of each text and its share of the letters."""
+    held, cells = [], 0
+    for text in texts:
+        words = WORDS.findall((text or "").lower()) if scorer.model.languages else []
+        # the table may be begun anew at the next text
+        at = scorer.index(words)
+        held.append((scorer.scores[at], scorer.letters[at]))
+        cells += held[-1][0].size
+        if cells > HELD:
+            yield from _judged(held, scorer)
+            held, cells = [], 0
+    yield from _judged(held, scorer)
+
+
+def _judged(held: list[tuple[np.ndarray, np.ndarray]], scorer: Scorer) -> Iterator[tuple[str, float]]:
+    languages = scorer.model.languages
+    for path, (_, letters) in zip(viterbi_all([scores for scores, _ in held]), held, strict=True):
+        if letters.any():
+            share = np.bincount(path, letters, len(languages)) / letters.sum()
+            best = int(share.argmax())
+            yield languages[best], float(share[best])
+        else:
+            yield UNKNOWN, 0.0
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, made as they are used."""
+    for part in slices(iter([batch])):
+        yield from part.column("text").to_pylist()
+
+
 def label(text: str | None, scorer: Scorer) -> tuple[str, float]:
-    words = WORDS.findall((text or "").lower())
-    if not words or not scorer.model.languages:
-        return UNKNOWN, 0.0
-    at = scorer.index(words)
-    letters = scorer.letters[at]
-    if not letters.any():
-        return UNKNOWN, 0.0
-    share = np.bincount(viterbi(scorer.scores[at]), letters, len(scorer.model.languages)) / letters.sum()
-    best = int(share.argmax())
-    return scorer.model.languages[best], float(share[best])
+    return next(labels_of([text], scorer))
 
 
 def spans(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
@@ -253,9 +358,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared, key)
-        for batch in slices(batches):
-            langs, scores = zip(*(label(t, scorer) for t in batch.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for batch in batches:
+            found = list(labels_of(_texts(batch), scorer))
+            langs, scores = [lang for lang, _ in found], [share for _, share in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
@@ -289,7 +395,7 @@ def keep_clear(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared, key)
-        for batch in slices(batches):
-            yield batch.filter(pa.array([label(t, scorer)[1] >= least for t in batch.column("text").to_pylist()], pa.bool_()))
+        for batch in batches:
+            yield batch.filter(pa.array([share >= least for _, share in labels_of(_texts(batch), scorer)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -219,6 +219,36 @@ def test_viterbi_is_the_best_path():
         assert value(path) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=6)), abs=1e-3)
 
 
+def test_texts_together_take_the_paths_of_each():
+    rng = np.random.default_rng(6)
+    for languages in (1, 2, 5):
+        listed = [rng.normal(0, 6, (n, languages)).astype(np.float32) for n in [*rng.integers(0, 40, 60).tolist(), 900, 300]]
+        listed += [np.round(scores / 4) for scores in listed]  # ties
+        for switch in (0.0, 3.0, 14.0):
+            for path, scores in zip(language.viterbi_all(listed, switch), listed, strict=True):
+                assert np.array_equal(path, language.viterbi(scores, switch))
+
+
+def test_word_scores_are_sums_of_ngrams(tables, monkeypatch):
+    docs, _ = tables
+    model = language.fit(docs, F.lit(True), limit=500)
+    texts = [r.text for r in docs.limit(50).collect()] + ["ж Ж 中文字 a ab abc abcdef abcdefg \U0001f130x", "²³ x²", "", None]
+    scorer = language.Scorer(model)
+    words = sorted({w for t in texts for w in language.WORDS.findall((t or "").lower())})
+    at = scorer.index(words)
+    for word, score, letters in zip(words, scorer.scores[at], scorer.letters[at], strict=True):
+        want = model.table[[model.rows.get(g, len(model.rows)) for g in language.grams(word)]].sum(axis=0)
+        fits = model.scripts.get(language.script(word[0]))
+        if fits is not None and fits.any() and not fits.all():
+            want += np.where(fits, 0, language.OUT_OF_SCRIPT)
+        assert score == pytest.approx(want, rel=1e-6) and letters == sum(map(str.isalpha, word))
+    # held in small parts, and with a table of words that is begun anew
+    whole = list(language.labels_of(texts, scorer))
+    monkeypatch.setattr(language, "HELD", 50)
+    monkeypatch.setattr(language, "MAX_WORDS", 20)
+    assert list(language.labels_of(texts, language.Scorer(model))) == whole == [language.label(t, scorer) for t in texts]
+
+
 def test_spans_of_mixed_text(spark, tables):
     docs, _ = tables
     model = language.fit(docs, F.lit(True), limit=2000)
