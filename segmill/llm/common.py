@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
+from itertools import islice
 from typing import TypeVar
 
 import numpy as np
@@ -127,6 +129,35 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+#: What a worker keeps of the words that it has met, and the longest of them. Longer ones are rare or unlike each other.
+KEPT_BYTES, LONGEST_KEPT = 96 << 20, 64
+#: Of an entry of a dict, beside key and value.
+ENTRY_BYTES = 104
+
+
+class Kept(dict[str, T]):
+    """A table of words, bounded in bytes whatever the words are: when it is full, the older half goes."""
+
+    def __init__(self, most: int = KEPT_BYTES) -> None:
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def keep(self, found: Mapping[str, T]) -> None:
+        for word, value in found.items():
+            if len(word) <= LONGEST_KEPT and word not in self:
+                self[word] = value
+                self.bytes += self._size(word, value)
+                if self.bytes > self.most:
+                    self._halve()
+
+    def _size(self, word: str, value: T) -> int:
+        return ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
+
+    def _halve(self) -> None:
+        for word in list(islice(self, (len(self) + 1) // 2)):
+            self.bytes -= self._size(word, self.pop(word))
+
+
 _resident: dict[tuple, object] = {}
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import language, near_vectors, quality, simhash, toxicity
+from segmill.llm import byte_pieces, language, near_vectors, quality, simhash, toxicity
 from segmill.llm.block_search import nearest
 from segmill.llm.common import table
 from segmill.llm.packing import pack_documents
@@ -69,6 +69,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pieces.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 OP2_SQL = """
 WITH sized AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
 grouped AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM sized)
@@ -123,7 +127,7 @@ FROM judged
 """
 
 
-QUERIES = (op1_simhash, op2_warc, op3_near_vectors, op4_packing, op5_block_search, op6_pieces, op7_url_filter, op8_quality, op9_toxicity, op10_language)
+QUERIES = (op1_simhash, op2_warc, op3_near_vectors, op4_packing, op5_block_search, op6_pieces, op7_url_filter, op8_quality, op9_toxicity, op10_language, op11_byte_pieces)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
