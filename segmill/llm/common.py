@@ -81,7 +81,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -
     A key with 1/HOT_KEYS of all `total` left rows or more is hot. At most HOT_KEYS keys can be, so these are broadcast
     and their rows are not shuffled; the other rows take a shuffled join. `rows` is not in the result.
     """
-    hot = F.col(rows) * HOT_KEYS >= F.lit(total)
+    hot = (F.col(rows) > 0) & (F.col(rows) * HOT_KEYS >= F.lit(total))
     few = F.broadcast(right.where(hot).drop(rows))
     rest = left.join(few.select(key), key, "left_anti")
     return left.join(few, key).unionByName(rest.join(right.where(~hot).drop(rows), key, "left"))

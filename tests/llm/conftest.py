@@ -1,3 +1,6 @@
+import os
+
+import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,11 @@ def make_docs(spark):
         return spark.createDataFrame(full, DOCS + ", fp long, key string, score double, n long")
 
     return make
+
+
+@pytest.fixture(scope="session")
+def duck():
+    connection = duckdb.connect()
+    for name in os.listdir(SF):
+        connection.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM read_parquet('{SF}/{name}')")
+    return connection
