@@ -1,12 +1,16 @@
-"""Pipeline messages: routing, request state and work claims, folded from a log (seq, topic, correlation_id, file_path)."""
+"""Pipeline messages: routing, request state and work claims, folded from a log (seq, topic, correlation_id, file_path).
+
+A request exists from its submission on (SUBMISSIONS: seq, correlation_id, type, url; seq is one order with the messages').
+Messages of an id that wasn't submitted before them are of no request, and a new submission of an id starts it anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A message as it is sent: data may be any JSON.
-ENVELOPE = "topic string, data string, message_id string, correlation_id string"
+#: The keys of a message as it is sent; data may be any JSON.
+ENVELOPE = ("topic", "data", "message_id", "correlation_id")
 
 # The four stages and other topics.
 STAGES = ("download", "transcribe", "ad_detection", "audio_processing")
@@ -14,12 +18,22 @@ FEED_PREFIX, STATUS_UPDATE = "podcast.rss.download.", "api.status.update"
 
 
 def from_envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Messages in a column of JSON texts: topic, data (as JSON text), message_id and correlation_id, beside the other
-    columns. A text that is no JSON object, or lacks one of these keys, is dropped; the values of the ids may be null."""
-    fields = F.json_object_keys(column)
-    whole = F.size(F.array_intersect(fields, F.array(*(F.lit(k) for k in ("topic", "data", "message_id", "correlation_id"))))) == 4
-    kept = [c for c in raw.columns if c != column]
-    return raw.where(whole).select(*kept, F.from_json(column, ENVELOPE).alias("_m")).where("_m.topic is not null").select(*kept, "_m.*")
+    """Messages in a column of JSON texts: topic, data (as JSON text; null for null), message_id and correlation_id, beside the
+    other columns. What is no single JSON object, has text behind it, has no topic, lacks one of these keys or repeats a key is
+    dropped; the values of the ids may be null. Numbers of over 38 digits become floating."""
+    # a parser stops where a value ends; the text's own digest behind it is only read if nothing else is
+    text = F.concat(F.lit('{"message":'), column, F.lit(',"end":"'), F.md5(column), F.lit('"}'))
+    field = lambda name, kind: F.expr(f"try_variant_get(_m.parsed, '$.message.{name}', '{kind}')")
+    kept = [c for c in raw.columns if c not in (column, *ENVELOPE)]
+    # a generated row is made once, so nothing is parsed again for each field
+    rows = raw.select(*kept, F.explode(F.array(F.struct(F.md5(column).alias("digest"), F.try_parse_json(text).alias("parsed")))).alias("_m"))
+    whole = F.expr("try_variant_get(_m.parsed, '$.end', 'string') = _m.digest")
+    for name in ENVELOPE:
+        whole &= field(name, "variant").isNotNull()
+    return rows.where(whole & field("topic", "string").isNotNull()).select(
+        *kept, field("topic", "string").alias("topic"), F.nullif(F.to_json(field("data", "variant")), F.lit("null")).alias("data"),
+        field("message_id", "string").alias("message_id"), field("correlation_id", "string").alias("correlation_id"),
+    )
 
 
 def to_envelopes(messages: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -90,18 +104,43 @@ def status_updates(log: DataFrame) -> DataFrame:
     return rows.where("status is not null").select("seq", "correlation_id", "status", "step", step_status.alias("step_status"))
 
 
-def request_status(log: DataFrame) -> DataFrame:
-    """Of each request: the status after its last message (none is final), and its steps with the submission."""
-    return status_updates(log).groupBy("correlation_id").agg(F.max_by("status", "seq").alias("status"), (F.count("step") + 1).alias("n_steps"), F.max("seq").alias("last_seq"))
+def _placed(log: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Updates and submissions (kind) of each id, with the number of the id's last submission up to them (since) and at all
+    (last). Both are dealt by id once."""
+    told = status_updates(log).withColumns({"kind": F.lit(1), "type": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
+    nothing = F.lit(None).cast("string")
+    opened = submissions.where(~missing(F.col("correlation_id"))).select("seq", "correlation_id", F.lit("processing").alias("status"), F.lit("submitted").alias("step"), F.lit("completed").alias("step_status"), F.lit(0).alias("kind"), F.coalesce("type", nothing).alias("type"), F.coalesce("url", nothing).alias("url"))
+    own, number = Window.partitionBy("correlation_id"), F.when(F.col("kind") == 0, F.col("seq"))
+    # at an equal number the submission comes first
+    return told.unionByName(opened).withColumns({"since": F.max(number).over(own.orderBy("seq", "kind")), "last": F.max(number).over(own.orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+
+
+def _current(log: DataFrame, submissions: DataFrame) -> DataFrame:
+    """The last submission of each id and the updates after it."""
+    return _placed(log, submissions).where("since = last")
+
 
+def request_status(log: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Of each request: its type and URL, the status after its last message (none is final), its number of steps with the
+    submission, and the number of what came last. If an id has two submissions of one number, either counts."""
+    rows = _current(log, submissions)
+    order = F.struct("seq", "kind")
+    latest = rows.groupBy("correlation_id").agg(
+        F.min_by("type", order).alias("type"), F.min_by("url", order).alias("url"), F.max_by("status", order).alias("status"),
+        (F.count(F.when(F.col("kind") == 1, F.col("step"))) + 1).alias("n_steps"), F.max("seq").alias("last_seq"),
+    )
+    return latest
 
-def request_steps(log: DataFrame) -> DataFrame:
+
+def request_steps(log: DataFrame, submissions: DataFrame) -> DataFrame:
     """The steps of each request in order; number 0 is the submission."""
-    updates = status_updates(log).where("step is not null")
-    place = F.row_number().over(Window.partitionBy("correlation_id").orderBy("seq")).cast("bigint")
-    steps = updates.select("correlation_id", place.alias("step_no"), "step", "step_status")
-    first = status_updates(log).select("correlation_id").distinct().select("correlation_id", F.lit(0).cast("bigint").alias("step_no"), F.lit("submitted").alias("step"), F.lit("completed").alias("step_status"))
-    return first.unionByName(steps)
+    place = (F.row_number().over(Window.partitionBy("correlation_id").orderBy("seq", "kind")) - 1).cast("bigint")
+    return _current(log, submissions).where("step is not null").select("correlation_id", place.alias("step_no"), "step", "step_status")
+
+
+def unknown_updates(log: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Updates of ids that weren't submitted before them, which change no request."""
+    return _placed(log, submissions).where("since is null").select("seq", "correlation_id", "status", "step", "step_status")
 
 
 def claim_outcome(events: DataFrame, busy: str = "failed") -> DataFrame:

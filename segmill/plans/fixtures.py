@@ -89,13 +89,24 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), name.alias("topic"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("correlation_id"), path.alias("file_path"))
 
 
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of users: some before all messages, some again in between, some never."""
+    events = table(spark, sf_dir, "events").where("user_id % 5 <> 0")
+    first = events.where("user_id % 3 <> 0").groupBy("user_id").agg(F.lit(-1).cast("bigint").alias("seq"))
+    again = events.where("event_id % 97 = 0").select("user_id", F.col("event_id").alias("seq"))
+    user = F.col("user_id").cast("string")
+    return first.unionByName(again).select("seq", F.concat(F.lit("u"), user).alias("correlation_id"), F.when(F.col("user_id") % 2 == 0, "download").otherwise("rss").alias("type"), F.concat(F.lit("http://h/"), user, F.lit("/"), F.col("seq").cast("string")).alias("url"))
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages in JSON: seq and value. Every 7th is no JSON, every 11th lacks a key."""
+    """Events as messages in JSON: seq and value. Data is an object, a text, a number in a text, a list or null. Every 7th is
+    no JSON, every 11th lacks a key, every 13th has text behind it."""
     rows = table(spark, sf_dir, "events")
-    data = F.to_json(F.struct(F.concat(F.lit('fi "'), F.col("event_type")).alias("file_path"), F.col("value").alias("value")))
-    sent = to_envelopes(rows.select(F.col("event_id"), F.concat(F.lit("podcast."), F.col("event_type")).alias("topic"), data.alias("data"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).alias("correlation_id")), keep=("event_id",))
     n = F.col("event_id")
-    value = F.when(n % 7 == 0, F.substr("value", F.lit(2))).when(n % 11 == 0, F.replace("value", F.lit('"message_id"'), F.lit('"id"'))).otherwise(F.col("value"))
+    whole = F.to_json(F.struct(F.concat(F.lit('fi "'), F.col("event_type")).alias("file_path"), F.col("user_id").alias("user")))
+    data = F.when(n % 5 == 0, '"plain \\"text\\" \\\\ "').when(n % 5 == 1, '"5"').when(n % 5 == 2, F.concat(F.lit("[1,{\"a\":null},"), n.cast("string"), F.lit("]"))).when(n % 5 == 3, whole)
+    sent = to_envelopes(rows.select(n, F.concat(F.lit("podcast."), F.col("event_type")).alias("topic"), data.alias("data"), F.concat(F.lit("m"), n.cast("string")).alias("message_id"), F.when(n % 3 != 0, F.col("user_id").cast("string")).alias("correlation_id")), keep=("event_id",))
+    value = F.when(n % 7 == 0, F.substr("value", F.lit(2))).when(n % 11 == 0, F.replace("value", F.lit('"message_id"'), F.lit('"id"'))).when(n % 13 == 0, F.concat("value", F.lit(' ,"end":"x"} trailing'))).otherwise(F.col("value"))
     return sent.select(n.alias("seq"), value.alias("value"))
 
 
@@ -197,3 +208,10 @@ ENTRIES_SQL = """
 entries AS (
   SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS audio_url
   FROM pages WHERE page_id % 3 IN (0, 2) AND url <> '')"""
+
+SUBMISSIONS_SQL = """
+submissions AS (
+  SELECT seq, 'u' || CAST(user_id AS VARCHAR) AS correlation_id, CASE WHEN user_id % 2 = 0 THEN 'download' ELSE 'rss' END AS type,
+         'http://h/' || CAST(user_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR) AS url
+  FROM (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS seq FROM events WHERE user_id % 5 <> 0 AND user_id % 3 <> 0
+        UNION ALL SELECT user_id, event_id FROM events WHERE user_id % 5 <> 0 AND event_id % 97 = 0))"""

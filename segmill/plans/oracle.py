@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from segmill.parameters import DEFAULT, Parameters
-from segmill.plans.fixtures import AUDIO_SQL, CONVERSATION_SQL, DOC_SEGMENTS_SQL, ENTRIES_SQL, EVENT_PARAMETERS, EVENT_SEGMENTS_SQL, LOG_SQL
+from segmill.plans.fixtures import AUDIO_SQL, CONVERSATION_SQL, DOC_SEGMENTS_SQL, ENTRIES_SQL, EVENT_PARAMETERS, EVENT_SEGMENTS_SQL, LOG_SQL, SUBMISSIONS_SQL
 
 
 #: White space of any kind in the regular expressions of DuckDB.
@@ -77,6 +77,11 @@ updates AS (
               WHEN topic = 'podcast.audio_processing.complete' THEN 'completed' ELSE 'processing' END AS status FROM log),
 valid AS (SELECT *, CASE WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS step_status FROM updates WHERE status IS NOT NULL)"""
 
+CURRENT_SQL = """
+opened AS (SELECT correlation_id, max(seq) AS since FROM submissions GROUP BY correlation_id),
+requests AS (SELECT s.* FROM submissions s JOIN opened o ON o.correlation_id = s.correlation_id AND o.since = s.seq),
+current AS (SELECT v.* FROM valid v JOIN opened o ON o.correlation_id = v.correlation_id AND v.seq >= o.since)"""
+
 CLAIMS_SQL = """
 claims AS (
   SELECT seq, file_path AS key, CASE WHEN topic = 'podcast.audio_processing.complete' THEN 'done'
@@ -113,18 +118,27 @@ LEFT JOIN (SELECT tid, CAST(sum(least(to_ms, len_ms) - least(from_ms, len_ms)) A
     "merge_classifications": _with(CONVERSATION_SQL, select="SELECT tid, id, coalesce(answer, is_ad) AS is_ad, answer IS NOT NULL AS matched FROM merged"),
     "chunk_stats": _with(CONVERSATION_SQL, select="""
 SELECT tid, chunk_id, count(*) AS n_total, count(answer) AS n_updated, count_if(coalesce(answer, false)) AS n_ads FROM merged GROUP BY tid, chunk_id"""),
-    "message_envelopes": """
-SELECT event_id AS seq, 'podcast.' || event_type AS topic, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS correlation_id, 'fi "' || event_type AS file_path
-FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""",
+    "message_envelopes": r"""
+SELECT event_id AS seq, 'podcast.' || event_type AS topic, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS correlation_id,
+       CASE event_id % 5 WHEN 0 THEN '"plain \"text\" \\ "' WHEN 1 THEN '"5"' WHEN 2 THEN '[1,{"a":null},' || CAST(event_id AS VARCHAR) || ']'
+            WHEN 3 THEN '{"file_path":"fi \"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' END AS data,
+       CASE WHEN event_id % 5 = 3 THEN 'fi "' || event_type END AS file_path
+FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0""",
     "next_requests": _with(LOG_SQL, select="""
 SELECT seq, CASE topic WHEN 'podcast.download.complete' THEN 'podcast.transcribe.request' WHEN 'podcast.transcribe.complete' THEN 'podcast.ad_detection.request'
        ELSE 'podcast.audio_processing.request' END AS topic, correlation_id, file_path
 FROM log WHERE file_path IS NOT NULL AND topic IN ('podcast.download.complete', 'podcast.transcribe.complete', 'podcast.ad_detection.complete')"""),
     "invalid_requests": _with(LOG_SQL, select="SELECT seq, regexp_replace(topic, '[^.]+$', 'failed') AS topic, correlation_id, 'Missing file_path' AS error FROM log WHERE file_path IS NULL"),
-    "request_status": _with(LOG_SQL, UPDATES_SQL, select="SELECT correlation_id, arg_max(status, seq) AS status, count(*) + 1 AS n_steps, max(seq) AS last_seq FROM valid GROUP BY correlation_id"),
-    "request_steps": _with(LOG_SQL, UPDATES_SQL, select="""
-SELECT DISTINCT correlation_id, CAST(0 AS BIGINT) AS step_no, 'submitted' AS step, 'completed' AS step_status FROM valid
-UNION ALL SELECT correlation_id, row_number() OVER (PARTITION BY correlation_id ORDER BY seq), step, step_status FROM valid"""),
+    "request_status": _with(LOG_SQL, UPDATES_SQL, SUBMISSIONS_SQL, CURRENT_SQL, select="""
+SELECT r.correlation_id, any_value(r.type) AS type, any_value(r.url) AS url, coalesce(arg_max(c.status, c.seq), 'processing') AS status,
+       count(c.seq) + 1 AS n_steps, greatest(any_value(r.seq), coalesce(max(c.seq), -1)) AS last_seq
+FROM requests r LEFT JOIN current c ON c.correlation_id = r.correlation_id GROUP BY r.correlation_id"""),
+    "request_steps": _with(LOG_SQL, UPDATES_SQL, SUBMISSIONS_SQL, CURRENT_SQL, select="""
+SELECT correlation_id, CAST(0 AS BIGINT) AS step_no, 'submitted' AS step, 'completed' AS step_status FROM requests
+UNION ALL SELECT correlation_id, row_number() OVER (PARTITION BY correlation_id ORDER BY seq), step, step_status FROM current"""),
+    "unknown_updates": _with(LOG_SQL, UPDATES_SQL, SUBMISSIONS_SQL, select="""
+SELECT seq, correlation_id, status, step, step_status FROM valid v
+WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.correlation_id = v.correlation_id AND s.seq <= v.seq)"""),
     "claim_outcome": _with(LOG_SQL, CLAIMS_SQL, """
 folded AS (
   SELECT *, coalesce(max(CAST(event = 'done' AS INT)) OVER w, 0) AS done, coalesce(sum(CAST(event = 'failed' AS INT)) OVER w, 0) AS freed

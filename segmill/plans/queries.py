@@ -119,8 +119,8 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = messages.log_of(messages.from_envelopes(X.envelopes(spark, sf_dir)))
-    return found.select("seq", "topic", "correlation_id", "file_path")
+    found = messages.from_envelopes(X.envelopes(spark, sf_dir))
+    return found.select("seq", "topic", "correlation_id", "data", F.get_json_object("data", "$.file_path").alias("file_path"))
 
 
 def next_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +132,15 @@ def invalid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.request_status(X.message_log(spark, sf_dir))
+    return messages.request_status(X.message_log(spark, sf_dir), X.submissions(spark, sf_dir))
 
 
 def request_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.request_steps(X.message_log(spark, sf_dir))
+    return messages.request_steps(X.message_log(spark, sf_dir), X.submissions(spark, sf_dir))
+
+
+def unknown_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.unknown_updates(X.message_log(spark, sf_dir), X.submissions(spark, sf_dir))
 
 
 def claim_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +212,7 @@ QUERIES = (
     segments_from_model, ad_segments, non_ad_segments, promo_segments, transition_segments, chunks, chunk_prompts, dedup_segments,
     expand_ad_blocks, ad_blocks, merged_intervals, merge_counts, kept_spans, segment_report, transcript_report, reduction_report,
     ad_blocks_events, merged_intervals_events, kept_spans_events, merge_classifications, chunk_stats,
-    message_envelopes, next_requests, invalid_requests, request_status, request_steps, claim_outcome, new_work, already_processed, feed_requests,
+    message_envelopes, next_requests, invalid_requests, request_status, request_steps, unknown_updates, claim_outcome, new_work, already_processed, feed_requests,
     serve_decision,
     route_requests, feed_episodes, feed_xml, feed_cache, storage_keys, existing_objects, content_type,
 )

@@ -5,3 +5,4 @@ MODEL_ANSWER = "tid bigint, segments array<struct<text: string, start: double, e
 ANSWERS = "tid bigint, chunk_id bigint, apos bigint, id bigint, ad boolean"
 TRANSCRIPT = "segments array<struct<id: bigint, text: string, start: double, `end`: double, is_ad: boolean>>, processed_at string"
 MESSAGES = "seq bigint, topic string, correlation_id string, file_path string"
+SUBMISSIONS = "seq bigint, correlation_id string, type string, url string"
