@@ -10,7 +10,7 @@ from segmill.functions import columns as C
 from segmill.operators import classifier, detection, feeds, transcripts
 from segmill.parameters import Parameters
 from segmill.schemas import ANSWERS, SEGMENTS
-from segmill.sources import files
+from segmill.sources import files, objects
 from segmill.sources.objects import ObjectStore, ObjectStoreError
 
 
@@ -44,6 +44,71 @@ def test_object_store(spark, tmp_path):
         ObjectStore(spark, "gs://bucket")
 
 
+def test_listing_by_prefix(spark, tmp_path, monkeypatch):
+    """A flat folder is dealt to several tasks by ranges of keys, in pages of bounded size; a prefix is any text."""
+    root = tmp_path / "flat"
+    (root / "podcasts/deep/er").mkdir(parents=True)
+    names = [f"podcasts/{i * 7919 % 100_003:06}" for i in range(3000)] + ["podcasts/deep/er/z", "podcasts/deep/y", "podx", "other", "podcasts/.note.crc", "podcasts/x", "podcasts/.x.crc", "podcasts/_q"]
+    for name in names:
+        (root / name).write_bytes(b"123")
+    store = ObjectStore(spark, str(root))
+    want = set(names) - {"podcasts/.x.crc"}
+    found = store.list_by_prefix("pod", tasks=8)
+    assert {r.key for r in found.collect()} == {n for n in want if n.startswith("pod")} and found.where("size <> 3").count() == 0
+    sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert {r.key for r in store.list_by_prefix("podcasts/de").collect()} == {"podcasts/deep/er/z", "podcasts/deep/y"}
+    assert {r.key for r in store.list("podcasts").collect()} == {n for n in want if n.startswith("podcasts/")}
+    assert {r.key for r in store.list().collect()} == want and store.list_by_prefix("none/x").count() == 0
+    monkeypatch.setattr(objects, "PAGE", 100)
+    reader = objects.ListingReader({"root": f"file://{root}", "prefix": "pod", "tasks": "3", "settings": "{}"})
+    pages = [b.num_rows for part in reader.partitions() for b in reader.read(part)]
+    assert max(pages) == 100 and sum(pages) == len(want) - 1
+
+
+def test_bulk_write(spark, tmp_path):
+    """Rows become objects by tasks; a task that fails and runs again leaves nothing by halves."""
+    store = ObjectStore(spark, str(tmp_path / "bulk"))
+    store.put("a/1", b"old")
+    rows = spark.range(2000, numPartitions=4).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("key"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).cast("binary").alias("content"), F.lit(1).alias("size"))
+    assert store.put_all(rows) == 2000
+    got = {r.key: len(r.content) for r in store.read("a").collect()}
+    assert got == {f"a/{i}": i % 50 for i in range(2000)}
+    assert store.put_all(spark.createDataFrame([("n", None)], "key string, content binary")) == 1 and store.get("n") == b""
+    assert store.put_all(rows.limit(0)) == 0
+    big = bytes(range(256)) * 40_000
+    assert store.put_all(spark.createDataFrame([("big", big)], "key string, content binary")) == 1 and store.get("big") == big
+
+    def fail(batches):
+        for batch in batches:
+            yield batch
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        store.put_all(rows.select(F.concat(F.lit("b/"), "key").alias("key"), "content").mapInArrow(fail, "key string, content binary"))
+    for key in (None, "", "/x", "a/../../x", "a//b", "x/"):
+        with pytest.raises(Exception, match="is no key"):
+            store.put_all(spark.createDataFrame([("fine", b"1"), (key, b"2")], "key string, content binary"))
+    assert not store.exists("b") and not store.exists("fine") and not [p for p in (tmp_path / "bulk").iterdir() if "pending" in p.name]
+
+
+def test_tasks_open_the_same_store(spark):
+    """Endpoint and keys of the Hadoop settings, a bucket's own before those for all."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    given = {"fs.s3a.endpoint": "http://minio:9000", "fs.s3a.access.key": "k", "fs.s3a.bucket.mine.access.key": "own", "fs.s3a.secret.key": "s", "fs.s3a.endpoint.region": "eu-1"}
+    for name, value in given.items():
+        conf.set(name, value)
+    try:
+        settings = ObjectStore(spark, "s3a://mine/x")._settings()
+        assert objects.s3_arguments(settings) == {"endpoint_override": "minio:9000", "scheme": "http", "access_key": "own", "secret_key": "s", "region": "eu-1"}
+        store, base = objects.open_store("s3a://mine/x", settings)
+        assert store.type_name == "s3" and base == "mine/x"
+        assert ObjectStore(spark, "s3a://other")._settings()["access.key"] == "k" and ObjectStore(spark, "/tmp/x")._settings() == {}
+    finally:
+        for name in given:
+            conf.unset(name)
+
+
 def test_columns(spark):
     row = spark.createDataFrame([("/a/test.mp3", "http://h/x?url=1", "/process?x=&url=http%3A%2F%2Fh%2Fa+b&y=1", ".hidden")], "p string, u string, t string, h string")
     got = row.select(C.key_of_path(F.col("p")), C.key_of_url(F.col("u")), C.query_value(F.col("t"), "url"), C.query_value(F.col("t"), "x"), C.clean_name(F.col("p")), C.clean_name(F.col("h")), C.content_type(F.col("p")), C.route(F.col("t"))).first()
