@@ -1,5 +1,8 @@
 import json
+import os
 import random
+import threading
+import time
 import xml.etree.ElementTree as ET
 from datetime import datetime
 
@@ -204,6 +207,51 @@ def test_classifier_slot(spark):
     assert [tuple(r) for r in classifier.errors(failed).collect()] == [(1, 0, "no answer")]
 
 
+def test_prompts_are_dealt_by_number_and_asked_once(spark, tmp_path):
+    """64 prompts of one small file run in several tasks, with several calls at once; a second run asks nothing again, and a
+    run that was killed is taken up where it ended."""
+    calls, lots = tmp_path / "calls", tmp_path / "prompts"
+    calls.mkdir()
+    spark.range(64).selectExpr("id % 8 as tid", "id div 8 as chunk_id", "concat('ID: ', id) as prompt").coalesce(1).write.parquet(str(lots))
+    prompts = spark.read.parquet(str(lots))
+
+    def maker(fatal=False):
+        def make():
+            def call(messages):
+                number = messages[1]["content"].split("ID: ")[1].split()[0]
+                if fatal and number == "40":
+                    os._exit(1)
+                (calls / f"{number}-{random.random()}-{os.getpid()}-{threading.get_ident()}").write_text("")
+                time.sleep(0.02)
+                if number == "7" and fatal:
+                    raise ValueError("busy")
+                return {"segments": [{"id": int(number), "ad": True}]}
+
+            return call
+
+        return make
+
+    with pytest.raises(Exception):
+        classifier.ask(prompts, maker(fatal=True), str(tmp_path / "answers"), 1, 0, per_task=8, together=2)
+    before = [p.name.split("-")[0] for p in calls.iterdir()]
+    have = classifier.kept_answers(prompts, str(tmp_path / "answers"))
+    kept = {str(r.answers[0].id) for r in have.where("error is null").collect()}
+    assert "40" not in before and 0 < len(kept) < 64
+    got = classifier.ask(prompts, maker(), str(tmp_path / "answers"), 1, 0, per_task=8)
+    assert {(r.tid, r.chunk_id, r.answers[0].id, r.error) for r in got.collect()} == {(i % 8, i // 8, i, None) for i in range(64)}
+    names = [p.name.split("-") for p in calls.iterdir()]
+    later = [n[0] for n in names][:]
+    for x in before:
+        later.remove(x)
+    assert not kept & set(later) and {n[0] for n in names} == {str(i) for i in range(64)}
+    assert len({n[2] for n in names}) > 1 and len({n[3] for n in names}) > len({n[2] for n in names})
+    assert classifier.ask(prompts, maker(), str(tmp_path / "answers"), 1, 0).count() == 64 and len(list(calls.iterdir())) == len(names)
+    # another text is another prompt
+    changed = prompts.withColumn("prompt", F.when(F.col("tid") == 3, F.concat("prompt", F.lit(" new"))).otherwise(F.col("prompt")))
+    assert classifier.ask(changed, maker(), str(tmp_path / "answers"), 1, 0).count() == 64 and len(list(calls.iterdir())) == len(names) + 8
+    assert classifier.classify(prompts, maker(), 1, 0, per_task=8).select(F.spark_partition_id().alias("p")).distinct().count() == 8
+
+
 def test_transcriber_slot(spark):
     audio = spark.createDataFrame([(1, b"ab")], "tid bigint, content binary")
     got = classifier.transcribe(audio, lambda: lambda content: [{"text": f" {len(content)} ", "start": 0.0, "end": 1.0}])
@@ -277,6 +325,12 @@ def test_detection_as_a_whole(spark, tmp_path):
     assert reports == {t: (12, 4, ["Chunk 1: overloaded"]) for t in (1, 2)}
     n_calls = len(list(calls.iterdir()))
     assert n_calls == 2 * (1 + 2 + 1)
+    # what was observed while the tables were written
+    stats = got.detection.chunks.agg(F.sum("n_total"), F.sum("n_updated"), F.sum("n_ads")).first()
+    assert got.detection.figures == {"n_total": stats[0], "n_updated": stats[1], "n_answered_ads": stats[2], "n_segments": 24, "n_ads": 8}
+    assert got.figures["n_intervals"] == got.cuts.count() and got.figures["cut_s"] == pytest.approx(got.cuts.selectExpr("sum(end_s - start_s)").first()[0])
     assert {(r.tid, r.n_total, r.n_updated) for r in got.detection.chunks.where("chunk_id = 2").collect()} == {(1, 3, 1), (2, 2, 1)}
     assert {r.tid: r.kept_ms for r in got.report.collect()} == {r.tid: r.len for r in got.kept.groupBy("tid").agg(F.sum(F.col("to_ms") - F.col("from_ms")).alias("len")).collect()}
-    assert len(list(calls.iterdir())) == n_calls and spark.read.parquet(str(tmp_path / "out/prompts")).count() == 6
+    # errors are asked again, answers aren't
+    detection.detect_ads(spark.createDataFrame(rows, SEGMENTS), make, str(tmp_path / "out"), p, attempts=2, pause_s=0)
+    assert len(list(calls.iterdir())) == n_calls + 4 and spark.read.parquet(str(tmp_path / "out/prompts")).count() == 6
