@@ -1,0 +1,154 @@
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from segmill.operators import feeds
+from segmill.operators import messages as M
+from segmill.streaming import fanout, log, lookups
+from segmill.streaming import messages as S
+
+
+def fill(transport, key, values):
+    transport.publish(key, [transport.stage(iter(part)) for part in (values[: len(values) // 2], values[len(values) // 2 :])])
+
+
+def values_of(transport):
+    return [v for p in transport.slices(0, transport.latest(), 1000) for _, v in transport.fetch(p)]
+
+
+def test_file_log(spark, tmp_path):
+    transport = log.FileLog.at(spark, str(tmp_path / "log"))
+    assert transport.latest() == 0 and transport.slices(0, 0, 10) == []
+    fill(transport, "a/0", [f"m{i}\n" for i in range(10)])
+    fill(transport, "a/1", ["ü", ""])
+    fill(transport, "a/0", ["again"])
+    want = [f"m{i}\n" for i in range(10)] + ["ü", ""]
+    assert transport.latest() == 12 and values_of(transport) == want
+    got = [row for p in transport.slices(3, 11, 2) for row in transport.fetch(p)]
+    assert got == list(enumerate(want))[3:11] and len(transport.slices(3, 11, 2)) == 5
+    # what was staged and not published is not there, and what was published twice left no data
+    transport.discard([transport.stage(iter("xy"))])
+    assert len(list((tmp_path / "log/data").iterdir())) == 4
+
+
+def test_no_message_is_lost_or_doubled(spark, tmp_path):
+    """From log to log through a task that fails in the middle of a batch, and a stop between publishing and Spark's own commit."""
+    source, sink = (log.FileLog.at(spark, str(tmp_path / name)) for name in ("in", "out"))
+    fill(source, "w/0", [f"{i}" for i in range(50)])
+    flag = tmp_path / "fail"
+    flag.write_text("")
+
+    def work(batches):
+        for batch in batches:
+            if flag.exists() and "30" in batch.column("value").to_pylist():
+                raise ValueError("lost")
+            yield batch
+
+    def run():
+        stream = log.read_log(spark, source, most=7).mapInArrow(work, "offset bigint, value string").select(F.concat(F.lit("v"), "value").alias("value"))
+        log.write_log(stream, sink, str(tmp_path / "c")).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert sink.latest() == 0
+    flag.unlink()
+    run()
+    assert sorted(values_of(sink)) == sorted(f"v{i}" for i in range(50))
+    fill(source, "w/1", [f"{i}" for i in range(50, 60)])
+    run()
+    # the batch was published, but the query ended before Spark knew
+    last = max((tmp_path / "c/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (tmp_path / "c/commits").glob(f"*{last.name}*"):
+        p.unlink()
+    run()
+    fill(source, "w/2", ["60"])
+    run()
+    assert sorted(values_of(sink), key=lambda v: int(v[1:])) == [f"v{i}" for i in range(61)]
+
+
+def test_envelopes_through_the_log(spark, tmp_path):
+    transport, other = (log.FileLog.at(spark, str(tmp_path / name)) for name in ("in", "out"))
+    message = lambda topic, **data: json.dumps({"topic": topic, "data": data, "message_id": "m", "correlation_id": "a"})
+    fill(transport, "w/0", [message("podcast.download.complete", file_path="f1"), "{bad", message("podcast.transcribe.complete", file_path="f2")])
+    told = M.from_envelopes(log.read_log(spark, transport))
+    requests = M.next_requests(M.log_of(told, "offset"))
+    sent = M.to_envelopes(requests.select("topic", F.to_json(F.struct("file_path")).alias("data"), F.md5(F.col("seq").cast("string")).alias("message_id"), "correlation_id"))
+    log.write_log(sent, other, str(tmp_path / "c")).awaitTermination()
+    got = sorted(((m := json.loads(v))["topic"], m["data"]["file_path"], m["correlation_id"]) for v in values_of(other))
+    assert got == [("podcast.ad_detection.request", "f2", "a"), ("podcast.transcribe.request", "f1", "a")]
+
+
+def test_fan_out(spark, tmp_path):
+    """One subscriber raises for a time: the others are complete, its batches come again alone and in order, none twice."""
+    (tmp_path / "in").mkdir()
+    had, broken = {"all": [], "some": [], "late": []}, {"late": True}
+
+    def handler(name):
+        def handle(messages, number):
+            rows = [r.seq for r in messages.orderBy("seq").collect()]
+            if name == "late" and broken["late"]:
+                raise ValueError("away")
+            had[name].append((number, rows))
+
+        return handle
+
+    subscribers = [fanout.Subscriber("late", handler("late")), fanout.Subscriber("all", handler("all")), fanout.Subscriber("some", handler("some"), ("b",))]
+    out = fanout.FanOut(spark, str(tmp_path / "progress"), subscribers)
+
+    def add(n):
+        path = tmp_path / f"in/{n}.json"
+        path.write_text("".join(json.dumps({"seq": 2 * n + i, "topic": "ab"[i], "correlation_id": "c", "file_path": "f"}) + "\n" for i in range(2)))
+        os.utime(path, (1_700_000_000 + n,) * 2)
+
+    def run():
+        out.start(S.read_messages(spark, str(tmp_path / "in"), 1), str(tmp_path / "c")).awaitTermination()
+
+    for n in range(3):
+        add(n)
+    run()
+    batches = [(n, [2 * n, 2 * n + 1]) for n in range(5)]
+    assert had == {"late": [], "all": batches[:3], "some": [(n, [2 * n + 1]) for n in range(3)]}
+    assert out.progress("late") == fanout.Progress(2, [0, 1, 2], "ValueError: away") and out.progress("all").error is None
+    # a batch that is run again isn't delivered twice
+    out.deliver(spark.read.schema("seq bigint, topic string").json(str(tmp_path / "in/2.json")), 2)
+    assert had["all"] == batches[:3] and out.progress("late").aside == [0, 1, 2]
+    broken["late"] = False
+    add(3)
+    run()
+    assert had["late"] == batches[:4] == had["all"] and out.progress("late") == fanout.Progress(3, [], None)
+    broken["late"] = True
+    add(4)
+    run()
+    broken["late"] = False
+    assert out.retry(subscribers[0], spark) and had["late"] == batches and had["all"] == batches
+    assert not (tmp_path / "progress/late/aside/4").exists()
+    with pytest.raises(ValueError, match="names"):
+        fanout.FanOut(spark, str(tmp_path), [subscribers[0]] * 2)
+
+
+def test_lookups_equal_batch_at_each_checkpoint(spark, tmp_path):
+    """Feeds and files that were written last, late writes included, at every batch; requests are served from the state."""
+    rng = random.Random(4)
+    (tmp_path / "in").mkdir()
+    writes = [(f"http://h/{rng.randrange(12)}", rng.choice((f"f{i}", f"f{i}", None)), i) for i in range(60)]
+    order = sorted(range(60), key=lambda i: i + rng.randrange(20))
+    for n in range(3):
+        path = tmp_path / f"in/{n}.json"
+        path.write_text("".join(json.dumps(dict(zip(("key", "value", "seq"), writes[i], strict=True))) + "\n" for i in order[20 * n : 20 * n + 20]))
+        os.utime(path, (1_700_000_000 + n,) * 2)
+    stream = spark.readStream.schema(lookups.MAPPED).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    S.to_table(lookups.last_written_stream(stream, buckets=4), str(tmp_path / "out"), str(tmp_path / "c"), "update").awaitTermination()
+    requests = spark.createDataFrame([(i, f"http://h/{i}") for i in range(14)] + [(99, None)], "request_id bigint, url string")
+    objects = spark.createDataFrame([(f"f{i}",) for i in range(0, 60, 2)], "key string")
+    for n in range(3):
+        seen = spark.createDataFrame([writes[i] for i in order[: 20 * n + 20]], lookups.MAPPED)
+        state = lookups.read_last_written(spark, str(tmp_path / "c"), n)
+        want = seen.groupBy("key").agg(F.max_by(F.struct("value", "seq"), "seq").alias("x")).select("key", "x.*")
+        assert sorted(map(tuple, state.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert sorted(map(tuple, state.select("key", "value").collect()), key=str) == sorted(map(tuple, feeds.last_written(seen, "key", "seq", "value").collect()), key=str)
+        produced = seen.select(F.col("key").alias("url"), F.col("value").alias("file"), "seq")
+        served = M.serve_decision(requests, lookups.produced_files(spark, str(tmp_path / "c"), n), objects)
+        assert sorted(map(tuple, served.collect()), key=str) == sorted(map(tuple, M.serve_decision(requests, produced, objects).collect()), key=str)
