@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import islice
 from typing import TypeVar
 
@@ -39,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{_scratch[-1] if _scratch else shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -47,7 +48,8 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_scratch: list[str] = []
+#: The folder of the innermost scratch of this thread.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
@@ -55,11 +57,11 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     """What is materialised inside goes to a folder that is deleted at the end, so results must be written before. Without
     it, tables stay in the shared folder for as long as results that read them may be used."""
     folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-    _scratch.append(folder)
+    before = _scratch.set(folder)
     try:
         yield folder
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(before)
         delete_folder(spark, folder)
 
 
