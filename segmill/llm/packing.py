@@ -8,7 +8,7 @@ in log time. A group has `group_docs` pieces on average, whatever the number and
 id and text are counted first and then told apart by a number, which is part of the hash, so they don't crowd one group.
 
 A word (a match of the tokenizer's own splitting pattern) is encoded by the library once and its ids are then kept, in a
-bounded table of each Python worker.
+table of each Python worker that is bounded in bytes. A long text's words are made part by part.
 
 Nulls and empty texts are a document of one id, the end id. Null doc_ids and repeated rows are packed like any other
 row. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size is a
@@ -25,28 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from segmill.llm.common import materialise, resident, slices
+from segmill.llm.byte_level import SPLIT, visible, words_of
+from segmill.llm.common import Kept, materialise, resident, slices
 
-#: The byte-level splitting pattern, a fixed value of the tokenizer's format.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for texts of plain Latin characters, where the faster module has the same classes.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
-PLAIN_SPLIT = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[!-/:-@\[-`{-~\xd7\xf7]+|\s+(?!\S)|\s+")
-#: Words of which a worker keeps the ids.
-MAX_WORDS = 800_000
 SEED = 17
 #: Numbers of repeated rows that are made at once.
 COPIES = 1 << 16
 
-#: The byte-level format writes a byte as a visible character: itself, or one from 256 on.
-AS_THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-VISIBLE = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(AS_THEMSELVES)))}
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
@@ -63,7 +52,7 @@ class WordTokenizer:
         probe = " Aé\x00 b'll\n"
         if [i for w in SPLIT.findall(probe) for i in self._model_ids(w)] != self.library.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} is no byte-level tokenizer")
-        self.ids: dict[str, bytes] = {}
+        self.ids: Kept[bytes] = Kept()
         specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: np.uint32(i).tobytes() for k, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
@@ -75,26 +64,23 @@ class WordTokenizer:
         return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
 
     def _plain(self, text: str) -> bytes:
-        words = (PLAIN_SPLIT if PLAIN.fullmatch(text) else SPLIT).findall(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._learn(set(words)).__getitem__, words))
+        out = []
+        for words in words_of(text):
+            try:
+                out.append(b"".join(map(self.ids.__getitem__, words)))
+            except KeyError:
+                out.append(b"".join(map(self._learn(set(words)).__getitem__, words)))
+        return b"".join(out)
 
     def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(VISIBLE))]
+        return [t.id for t in self.library.model.tokenize(visible(word.encode()))]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        new = [w for w in words if w not in self.ids]
-        known = {w: self.ids[w] for w in words if w in self.ids}
-        if len(self.ids) + len(new) > MAX_WORDS:
-            for w in list(self.ids)[: len(self.ids) // 2 + len(new)]:
-                del self.ids[w]
         # a word is what the library's splitting yields, so its model is asked right away
-        known.update((w, pack_ids(self._model_ids(w))) for w in new)
-        if len(new) <= MAX_WORDS:
-            self.ids.update((w, known[w]) for w in new)
-        return known
+        new = {w: pack_ids(self._model_ids(w)) for w in words if w not in self.ids}
+        found = {w: new[w] if w in new else self.ids[w] for w in words}
+        self.ids.keep(new)
+        return found
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

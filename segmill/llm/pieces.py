@@ -4,10 +4,10 @@ The encoder keeps an agenda of adjacent symbol pairs that are pieces, ordered by
 the best pair until none is left; symbols that are no pieces become bytes. Two exact cuts keep the work small. No piece
 of such a vocabulary has a space after another character, so a text is cut before each run of spaces. A pair of
 characters that stands in no piece is never merged across, so a unit is cut there too. A unit is encoded once and
-kept in a bounded table of each Python worker.
+kept in a table of each Python worker that is bounded in bytes. A long text's units are made part by part.
 
-Every unit that enters the table is checked, a batch at a time, against the sentencepiece library, both its ids and what
-they decode to; a difference raises.
+Every unit that is encoded is checked against the sentencepiece library, both its ids and what they decode to, by one call
+for many texts; a difference raises.
 Texts whose normalisation isn't the identity are not supported: the model must have an identity normaliser.
 
 Null and empty texts have no ids. Extra columns are ignored, repeated rows stay, an empty table gives an empty result.
@@ -18,18 +18,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain, islice
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from segmill.llm.common import resident, slices
+from segmill.llm.common import Kept, resident, slices
 
 SPACE = "▁"
-#: Units of which a worker keeps the ids.
-MAX_UNITS = 1_000_000
+#: Units of a text that are held at once, and characters of neighbouring texts whose new units are learned together.
+UNITS, TOGETHER = 1 << 16, 1 << 20
 #: A longer part has its agenda in a heap.
 SHORT = 48
 NONE = float("-inf")
@@ -58,7 +58,7 @@ class MergeVocabulary:
             raise ValueError("a piece has a space after another character")
         self.letter, self.unit = self._units()
         #: Of units: ids joined by commas.
-        self.units: dict[str, str] = {}
+        self.units: Kept[str] = Kept()
 
     def _units(self) -> tuple[re.Pattern, re.Pattern]:
         """What counts as a letter, and the pattern of a unit. No piece joins a letter and another character than a
@@ -142,55 +142,84 @@ class MergeVocabulary:
         out.append(raw.decode(errors="replace"))
         return "".join(out).replace(SPACE, " ")
 
-    def split(self, text: str) -> list[str]:
-        """Units of a text: a run of spaces and what follows up to the next."""
-        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def split(self, text: str) -> Iterator[list[str]]:
+        """Units of a text, UNITS at a time: a run of spaces and what follows up to the next."""
+        if len(text) <= UNITS:
+            yield self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            return
+        found = (m[0] for m in self.unit.finditer(SPACE + text.replace(" ", SPACE)))
+        while units := list(islice(found, UNITS)):
+            yield units
 
-    def learn(self, units: set[str]) -> dict[str, str]:
+    def learn(self, units: set[str]) -> Mapping[str, str]:
         """Ids joined by commas of each unit; new ones are checked. A unit must decode to itself, with spaces for SPACE."""
-        known = {u: x for u in units if (x := self.units.get(u)) is not None}
-        new = [u for u in units if u not in known]
+        new = [u for u in units if u not in self.units]
+        if not new:
+            return self.units
         coded = [self.encode_unit(u) for u in new]
-        if self.check and new:
+        if self.check:
             # behind a character of the other kind, with which a unit never merges
             before = ["(" if self.letter.match(u) else "a" for u in new]
             skip = {b: len(self.encode_unit(SPACE + b)) for b in "(a"}
-            rights = self.library.encode([b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)], num_threads=1)
+            plain = [b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)]
+            rights = self.library.encode(plain, num_threads=1)
             for u, ids, b, right in zip(new, coded, before, rights, strict=True):
                 if ids != right[skip[b] :]:
                     raise ValueError(f"{u!r}: {ids}, but the library gives {right[skip[b] :]}")
             # one after another, as the units of a text are
             texts = [b + self.decode_ids(ids) for b, ids in zip(before, coded, strict=True)]
-            if texts != [b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)] or " ".join(texts) != self.library.decode(list(chain.from_iterable(rights))):
+            if texts != plain or " ".join(texts) != self.library.decode(list(chain.from_iterable(rights))):
                 raise ValueError(f"the library decodes one of {new} otherwise")
-        if len(self.units) + len(new) > MAX_UNITS:
-            for u in list(self.units)[: len(self.units) // 2 + len(new)]:
-                del self.units[u]
-        for u, ids in zip(new, coded, strict=True):
-            known[u] = ",".join(map(str, ids))
-        if len(new) <= MAX_UNITS:
-            self.units.update((u, known[u]) for u in new)
+        fresh = {u: ",".join(map(str, ids)) for u, ids in zip(new, coded, strict=True)}
+        known = {u: fresh[u] if u in fresh else self.units[u] for u in units}
+        self.units.keep(fresh)
         return known
 
-    def look_up(self, text: str) -> str:
-        """All ids of a text, joined by commas."""
-        units = self.split(text)
-        try:
-            return ",".join(map(self.units.__getitem__, units))
-        except KeyError:
-            return ",".join(map(self.learn(set(units)).__getitem__, units))
+    def coded(self, texts: Iterable[str]) -> Iterator[Iterator[str]]:
+        """Of each text its ids, joined by commas, in parts. What is new in neighbouring texts is learned together."""
+        held: list[list[str]] = []
+        size = 0
+
+        def done() -> Iterator[Iterator[str]]:
+            ids = self.learn({u for units in held for u in units})
+            for units in held:
+                yield iter([",".join(map(ids.__getitem__, units))])
+
+        for text in texts:
+            if len(text) > TOGETHER:
+                yield from done()
+                held, size = [], 0
+                yield (",".join(map(self.learn(set(units)).__getitem__, units)) for units in self.split(text))
+                continue
+            held.append([u for units in self.split(text) for u in units])
+            size += len(text)
+            if size > TOGETHER:
+                yield from done()
+                held, size = [], 0
+        yield from done()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.look_up(text).split(",")] if text else []
-
-    def decode_joined(self, ids: str) -> str:
-        """decode() of ids joined by commas."""
+        return [int(i) for parts in self.coded([text]) for part in parts if part for i in part.split(",")]
+
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, and digests of the ids joined by commas and of the text decoded from them."""
+        for parts in self.coded(texts):
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            for part in filter(None, parts):
+                of_ids.update(("," if n else "").encode() + part.encode())
+                # a unit is whole in its part, and so are the bytes of a character
+                of_text.update(self.decode_joined(part, first=not n).encode())
+                n += part.count(",") + 1
+            yield n, of_ids.hexdigest(), of_text.hexdigest()
+
+    def decode_joined(self, ids: str, first: bool = True) -> str:
+        """decode() of ids joined by commas; first: whether they begin a text, whose leading space goes."""
         listed = ids.split(",") if ids else []
         try:
             text = "".join(map(self.text_of.__getitem__, listed))
         except KeyError:  # bytes
-            return self.decode(list(map(int, listed)))
-        return text[1:] if text.startswith(" ") else text
+            text = self.decode_ids(list(map(int, listed)))
+        return text[1:] if first and text.startswith(" ") else text
 
     def decode(self, ids: list[int]) -> str:
         text = self.decode_ids(ids)
@@ -220,11 +249,7 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(model)
         for batch in slices(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids = coder.look_up(text or "")
-                rows.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode_joined(ids).encode()).hexdigest()))
-            n, ids, decoded = zip(*rows, strict=True)
+            n, ids, decoded = zip(*coder.digests(t or "" for t in batch.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(digest, DIGESTS)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from segmill.llm import packing
+from segmill.llm import byte_level, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -25,6 +25,25 @@ def test_word_tokens_are_the_library_s(text):
         assert np.frombuffer(packing.word_tokenizer(PATH).encode(t), "<u4").tolist() == ids_of(t)[:-1]
 
 
+def test_tables_of_words_are_bounded_in_bytes():
+    """Long words, as of web data in base64, are encoded and not kept."""
+    coder = packing.WordTokenizer(PATH)
+    coder.ids.most = 300_000
+    for i in range(20):
+        text = "".join(chr(97 + (i * j * j + j) % 26) for j in range(30_000)) + f" w{i} "
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+    assert all(len(w) <= 64 for w in coder.ids) and coder.ids.bytes < 300_000
+    many = " ".join(f"{i:x}" for i in range(20_000))
+    assert np.frombuffer(coder.encode(many), "<u4").tolist() == ids_of(many)[:-1] and coder.ids.bytes <= 300_000
+
+
+def test_long_texts_in_parts(monkeypatch):
+    coder, text = packing.WordTokenizer(PATH), "ab1  c d\n" * 300
+    whole = coder.encode(text)
+    monkeypatch.setattr(byte_level, "WORDS", 50)
+    assert coder.encode(text) == whole
+
+
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_tree_is_first_fit(lengths):
     lengths = sorted(lengths, reverse=True)

@@ -52,6 +52,19 @@ def test_documents(spark, make_docs):
     assert pieces.digest_documents(make_docs([]), PATH).count() == 0
 
 
+def test_long_texts_in_parts(monkeypatch):
+    """Parts of a text and texts that are learned together change nothing, and the table is bounded in bytes."""
+    coder, texts = pieces.vocabulary(PATH), ["日 ab\U0001f642  x" * 200, "", "y z " * 100, " "]
+    want = list(coder.digests(texts))
+    monkeypatch.setattr(pieces, "TOGETHER", 60)
+    monkeypatch.setattr(pieces, "UNITS", 7)
+    small = pieces.MergeVocabulary(PATH)
+    small.units.most = 2_000
+    assert list(small.digests(texts)) == want and small.units.bytes <= 2_000
+    small.encode("q" * 5000)
+    assert all(len(u) <= 64 for u in small.units)
+
+
 def test_a_difference_raises():
     coder = pieces.MergeVocabulary(PATH)
     coder._merge_short = lambda symbols: symbols
