@@ -26,7 +26,7 @@ import math
 import re
 import uuid
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, replace
 from itertools import islice
 
@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import fold, materialise, resident, slices, training_labels
+from segmill.llm.common import Kept, fold, materialise, resident, slices, training_labels
 
 TRAIN_ROWS = 30_000
 #: Trie nodes with errors, in all states of an automaton.
@@ -57,7 +57,6 @@ VARIETY = 0.5
 WINDOW = 5
 #: The weight of a quotation before anything is learned about it, worth so many mentions.
 QUOTED, QUOTED_PRIOR = 0.3, 4
-MAX_WORDS = 400_000
 #: Keys that a task counts before it sends them.
 MAX_COUNTED = 200_000
 WORDS = re.compile(r"[^\W_]+")
@@ -111,7 +110,7 @@ class Matcher:
                 node = self.children[node][c]
             self.most[node] = max(self.most[node], allowed)
             (self.stem if term.endswith("*") else self.word)[node] = term
-        self.known: dict[str, tuple[str, int] | None] = {}
+        self.known: Kept[tuple[str, int] | None] = Kept()
         self._begin()
 
     def _begin(self) -> None:
@@ -175,16 +174,10 @@ class Matcher:
 
     def words(self, text: str) -> set[str]:
         """The words of a lower-case text that match."""
-        hits = set()
-        for word in set(WORDS.findall(text)) if len(text) <= LONG else {m[0] for m in WORDS.finditer(text)}:
-            if word in self.known:
-                found = self.known[word]
-            else:
-                if len(self.known) >= MAX_WORDS:
-                    self.known.clear()
-                found = self.known[word] = self.match(word)
-            if found:
-                hits.add(word)
+        words = set(WORDS.findall(text)) if len(text) <= LONG else {m[0] for m in WORDS.finditer(text)}
+        new = {w: self.match(w) for w in words if w not in self.known}
+        hits = {w for w in words if (new[w] if w in new else self.known[w])}
+        self.known.keep(new)
         return hits
 
     def mentions(self, text: str) -> Iterator[tuple[str, str, int, bool, int]]:
@@ -193,15 +186,14 @@ class Matcher:
         hits = self.words(low)
         if not hits:
             return
-        for found, i in windows(low):
+        for found, i in windows(low, hits):
             m = found[i]
-            if m[0] in hits:
-                term, errors = self.known.get(m[0]) or self.match(m[0])
-                around = [x[0] for x in found]
-                start, end = found[0].start(), found[-1].end()
-                marked = any(q in low[start : m.start()] for q in QUOTES) and any(q in low[m.end() : end + 1] for q in QUOTES)
-                near = low[max(0, start - 1) : end + 1]
-                yield m[0], term, errors, marked or not self.lexicon.reporting.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
+            term, errors = self.known.get(m[0]) or self.match(m[0])
+            around = [x[0] for x in found]
+            start, end = found[0].start(), found[-1].end()
+            marked = any(q in low[start : m.start()] for q in QUOTES) and any(q in low[m.end() : end + 1] for q in QUOTES)
+            near = low[max(0, start - 1) : end + 1]
+            yield m[0], term, errors, marked or not self.lexicon.reporting.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
 
     def deviance(self, text: str | None) -> tuple[float, int]:
         """How far the mentions exceed the rates of clean texts, and their number."""
@@ -227,8 +219,22 @@ class Matcher:
         return (1 / (1 + math.exp(-max(-700.0, slope * value + offset))) if n else 0.0), n
 
 
-def windows(text: str) -> Iterator[tuple[list[re.Match], int]]:
-    """Each word with up to WINDOW words on both sides, as a list of matches, and its place there."""
+def windows(text: str, hits: Container[str]) -> Iterator[tuple[list[re.Match], int]]:
+    """Each word that is a hit with up to WINDOW words on both sides, as a list of matches, and its place there."""
+    if len(text) <= LONG:
+        found = list(WORDS.finditer(text))
+        for i, m in enumerate(found):
+            if m[0] in hits:
+                start = max(0, i - WINDOW)
+                yield found[start : i + WINDOW + 1], i - start
+        return
+    for found, i in _windows(text):
+        if found[i][0] in hits:
+            yield found, i
+
+
+def _windows(text: str) -> Iterator[tuple[list[re.Match], int]]:
+    """All words of a long text, which are made as they are used."""
     around: deque[re.Match] = deque(maxlen=2 * WINDOW + 1)
     words, before = WORDS.finditer(text), 0
     around.extend(islice(words, WINDOW + 1))
@@ -320,7 +326,8 @@ def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, in
 
     def contexts(known: frozenset[str], text: str) -> set[tuple[str, int]]:
         out = set()
-        for found, i in windows(text):
+        near = {w for w in set(WORDS.findall(text)) if w in known or any(w[:n] + "*" in known for n in STEMS if len(w) > n)}
+        for found, i in windows(text, near):
             word = found[i][0]
             for t in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)):
                 if t in known:
