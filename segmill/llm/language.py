@@ -5,10 +5,9 @@ learned from labelled texts. A word's script narrows the languages down to those
 over the words, with a penalty for each switch, labels spans; the text's language is the one with most letters, and the
 score is its share of the letters.
 
-The model is fitted on at most `limit` labelled rows, those with the smallest hashes of their ids. It keeps all n-grams of
-that sample up to `most`; of more, languages with few keep all and the others equally many, the most frequent ones, hashes
-choosing among equally frequent ones. Probabilities are of all n-grams of the sample, kept or not, and so are the letters by
-script. So a model can be broadcast whatever the size of the input. The paths of
+The model is fitted on at most `limit` labelled rows with at most `chars` characters, those with the smallest hashes of their
+ids, and keeps all n-grams of that sample, each with the languages that have it only. So its size is bounded by the sample,
+whatever the number of languages and the size of the input, and it can be broadcast. The paths of
 short texts are found together; a long text's is found alone, with a byte or less for each word and language.
 
 A null text, or one without letters, is `und` with score 0. If nothing can be learned every text is `und`. Repeated rows
@@ -18,6 +17,7 @@ and null doc_ids each get a prediction; extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -27,15 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmill.llm.common import fold, materialise, resident, slices
+from segmill.llm.common import ENTRY_BYTES, KEPT_BYTES, fold, materialise, resident, slices
 
 UNKNOWN = "und"
-TRAIN_ROWS = 20_000
-MAX_GRAMS = 200_000
-MAX_WORDS = 800_000
+TRAIN_ROWS, TRAIN_CHARS = 20_000, 1 << 27
+#: Scores that a worker keeps of words, beside the words themselves, which are bounded in bytes.
+MAX_CELLS = 1 << 24
 #: Words of a text whose path is searched in lists at once.
 BLOCK = 1 << 16
 #: Scores of words that are held for texts that take their steps together, and the fewest such texts.
@@ -67,49 +67,30 @@ def grams(word: str) -> list[str]:
 class Model:
     languages: list[str]
     rows: dict[str, int]
-    #: log probabilities, a row for each n-gram and a last one for unknown n-grams
-    table: np.ndarray
+    #: log probability, in each language, of an n-gram that none of its texts has
+    unseen: np.ndarray
+    #: of row i the languages of its n-gram, from starts[i] on and below starts[i + 1], and what each has above unseen
+    starts: np.ndarray
+    seen_in: np.ndarray
+    above: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    def log_probabilities(self, gram: str) -> np.ndarray:
+        found = self.unseen.copy()
+        if (i := self.rows.get(gram)) is not None:
+            part = slice(self.starts[i], self.starts[i + 1])
+            found[self.seen_in[part]] += self.above[part]
+        return found
 
-def _shares(sizes: dict[str, int], most: int) -> dict[str, int]:
-    """How many n-grams each language keeps: all, or as many as every other that has too many."""
-    kept: dict[str, int] = {}
-    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
-        kept[lang] = min(sizes[lang], (most - sum(kept.values())) // (len(sizes) - i))
-    return kept
-
-
-def _is_script() -> Column:
-    return F.startswith("gram", F.lit("#")) & (F.length("gram") > 1)
-
-
-def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """Of lang, gram and n those that the model keeps; counts of letters by script (#) all stay."""
-    letters = _is_script()
-    sizes: dict[str, dict[int, int]] = {}
-    for r in counted.where(~letters).groupBy("lang", "n").agg(F.count("*").alias("grams")).collect():
-        sizes.setdefault(r.lang, {})[r.n] = r.grams
-    room = _shares({lang: sum(by.values()) for lang, by in sizes.items()}, most)
-    edges = []
-    for lang, by in sizes.items():
-        left = room[lang]
-        for n in sorted(by, reverse=True):
-            if by[n] > left:
-                edges.append((lang, n, left / by[n]))
-                break
-            left -= by[n]
-    if not edges:
-        return counted
-    ends = F.broadcast(counted.sparkSession.createDataFrame(edges, "lang string, edge long, part double"))
-    chosen = (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("part") * (1 << 20)) & (F.col("n") == F.col("edge"))
-    return counted.join(ends, "lang", "left").where(letters | F.col("edge").isNull() | (F.col("n") > F.col("edge")) | chosen).select("lang", "gram", "n")
-
-
-def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS, most: int | None = None) -> Model:
+
+def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Learn from text and lang where train holds and lang isn't null."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    some = labelled.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")).orderBy(*order).limit(limit)
+    # one of them at least, and then as many as have room
+    before = F.coalesce(F.sum("chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = some.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("chars") <= chars)).select("doc_id")
     rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,24 +108,24 @@ def fit(docs: DataFrame, train: Column, limit: int = TRAIN_ROWS, most: int | Non
 
     counted = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "grams")
-    sums = {r.lang: (r.n, r.grams) for r in counted.where(~_is_script()).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()}
-    distinct = counted.where(~_is_script()).agg(F.count_distinct("gram")).first()[0]
-    # an n-gram that one language keeps has its counts in all
-    kept = _most_frequent(counted, most or MAX_GRAMS).select("gram").distinct()
-    top = counted.join(kept, "gram", "left_semi").collect()
-    languages = sorted({r.lang for r in top})
+    # as many rows as the sample has n-grams
+    told = counted.toArrow()
+    langs, names, n = (told.column(c).to_pylist() for c in ("lang", "gram", "n"))
+    languages = sorted(set(langs))
     at = {lang: i for i, lang in enumerate(languages)}
-    known = {g: i for i, g in enumerate(sorted({r.gram for r in top if r.gram[0] != "#" or len(r.gram) == 1}))}
-    counts, seen = np.zeros((len(known) + 1, len(languages))), {}
-    for r in top:
-        if r.gram in known:
-            counts[known[r.gram], at[r.lang]] = r.n
-        else:
-            seen.setdefault(r.gram[1:], np.zeros(len(languages)))[at[r.lang]] = r.n
+    plain = [i for i, g in enumerate(names) if g[0] != "#" or len(g) == 1]
+    known = {g: i for i, g in enumerate(sorted({names[i] for i in plain}))}
+    seen: dict[str, np.ndarray] = {}
+    for i in set(range(len(names))) - set(plain):
+        seen.setdefault(names[i][1:], np.zeros(len(languages)))[at[langs[i]]] = n[i]
     letters = np.maximum(sum(seen.values(), np.zeros(len(languages))), 1)
+    row, column = (np.array([x[y[i]] for i in plain], np.int64) for x, y in ((known, names), (at, langs)))
+    count_of = np.array([n[i] for i in plain], np.float64)
     # an n-gram that no text of a language has counts half, and so does one that was never seen
-    totals = np.array([sums.get(lang, (0, 0))[0] + 0.5 * (distinct + 1) for lang in languages])
-    return Model(languages, known, np.log((counts + 0.5) / totals), {s: n / letters >= SCRIPT_SHARE for s, n in seen.items()})
+    totals = np.bincount(column, count_of, len(languages)) + 0.5 * (len(known) + 1)
+    by_row = np.lexsort((column, row))
+    starts = np.searchsorted(row[by_row], np.arange(len(known) + 1))
+    return Model(languages, known, np.log(0.5 / totals), starts, column[by_row].astype(np.int32), np.log(2 * count_of[by_row] + 1), {s: c / letters >= SCRIPT_SHARE for s, c in seen.items()})
 
 
 def _number(gram: str) -> int:
@@ -156,34 +137,47 @@ class Scorer:
     """Scores of words, kept in a bounded table of each worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.at = model, {}
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int32)
+        self.model = model
+        self._begin()
         # n-grams as sorted numbers with their rows; words are looked up by themselves
         numbered = sorted((_number(g), i) for g, i in model.rows.items() if g[0] != "=")
         self.numbers = np.array([n for n, _ in numbered] or [0], np.int64)
         self.rows = np.array([i for _, i in numbered] or [len(model.rows)], np.int64)
 
+    def _begin(self) -> None:
+        self.at: dict[str, int] = {}
+        self.bytes = 0
+        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(1024, np.int32)
+
     def _rows_of(self, numbers: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
         return np.where(self.numbers[at] == numbers, self.rows[at], len(self.model.rows))
 
     def _sums(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The sum of the log probabilities of each word's n-grams, and the code points of first letters."""
-        table = self.model.table
+        model, unknown, wide = self.model, len(self.model.rows), len(self.model.languages)
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         codes = np.frombuffer("".join([f"<{w}>" for w in new]).encode("utf-32-le"), np.uint32).astype(np.int64)
         starts = np.cumsum(sizes + 2) - sizes - 2
-        place = np.arange(len(codes)) - np.repeat(starts, sizes + 2)
-        left = np.repeat(sizes, sizes + 2) - place
+        word = np.repeat(np.arange(len(new)), sizes + 2)
+        place = np.arange(len(codes)) - starts[word]
+        left = sizes[word] - place
         two = codes[:-1] | codes[1:] << 21
         three = two[:-1] | codes[2:] << 42
-        found = np.zeros((len(new), table.shape[1]))
-        # single letters, and pairs and triples with the marks of both ends
-        for numbers, inside, each in ((codes, (place > 0) & (left >= 0), sizes), (two, left[:-1] >= 0, sizes + 1), (three, left[:-2] > 0, sizes)):
-            found += np.add.reduceat(table[self._rows_of(numbers[inside])], np.cumsum(each) - each, axis=0)
         short = np.flatnonzero(sizes <= SHORT_WORD)
-        found[short] += table[[self.model.rows.get("=" + new[i], len(self.model.rows)) for i in short]]
+        words, rows = [short], [np.array([model.rows.get("=" + new[i], unknown) for i in short], np.int64)]
+        # single letters, and pairs and triples with the marks of both ends
+        for numbers, inside in ((codes, (place > 0) & (left >= 0)), (two, left[:-1] >= 0), (three, left[:-2] > 0)):
+            words.append(word[: len(numbers)][inside])
+            rows.append(self._rows_of(numbers[inside]))
+        words, rows = np.concatenate(words), np.concatenate(rows)
+        found = np.bincount(words, minlength=len(new))[:, None] * model.unseen
+        # the cells of all rows, one after another
+        words, rows = words[rows < unknown], rows[rows < unknown]
+        n = model.starts[rows + 1] - model.starts[rows]
+        cells = np.arange(n.sum()) + np.repeat(model.starts[rows] - np.cumsum(n) + n, n)
+        found += np.bincount(np.repeat(words, n) * wide + model.seen_in[cells], model.above[cells], len(new) * wide).reshape(len(new), wide)
         return found, codes[starts + 1]
 
     def index(self, words: list[str]) -> np.ndarray:
@@ -194,14 +188,22 @@ class Scorer:
             return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def _learn(self, new: list[str], words: list[str]) -> None:
-        if len(self.at) + len(new) > MAX_WORDS and self.at:
-            self.at = {}
+        wide = max(1, len(self.model.languages))
+        if self.at and (self.bytes > KEPT_BYTES or (len(self.at) + len(new)) * wide > MAX_CELLS):
+            self._begin()
             new = list(set(words))
         start = len(self.at)
         if start + len(new) > len(self.scores):
-            size = 2 * (start + len(new))
+            size = start + len(new) + min(start + len(new), MAX_CELLS // wide)
             self.scores = np.resize(self.scores, (size, self.scores.shape[1]))
             self.letters = np.resize(self.letters, size)
+        # so many words at a time as have room for their scores
+        step = max(1, HELD // wide)
+        for i in range(0, len(new), step):
+            self._put(new[i : i + step])
+
+    def _put(self, new: list[str]) -> None:
+        start = len(self.at)
         found, first = self._sums(new)
         kinds = np.searchsorted(STARTS, first, side="right") - 1
         for kind in np.unique(kinds):
@@ -211,6 +213,7 @@ class Scorer:
         self.at.update(zip(new, range(start, start + len(new)), strict=True))
         self.scores[start : start + len(new)] = found
         self.letters[start : start + len(new)] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
+        self.bytes += sum(map(sys.getsizeof, new)) + ENTRY_BYTES * len(new)
 
 
 def _only(scores: np.ndarray, switch: float) -> int | None:

@@ -1,5 +1,9 @@
 """Operators that learn: held-out accuracy, and defined results for odd rows."""
 
+import math
+import tracemalloc
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,25 +128,44 @@ def test_beginnings_keep_the_misspellings_of_their_words(spark, make_docs):
     assert {matcher.match(w)[0][-1] for w in ("idiot", "idiots", "disgusting")} == {"*"} and matcher.match("bola") is None
 
 
-def test_rare_languages_keep_their_ngrams(spark, make_docs, monkeypatch):
+def test_all_ngrams_of_the_sample_are_kept(spark, make_docs):
+    """A language with few texts keeps all of its n-grams beside one with many; the sample is bounded in rows and characters."""
     import random
 
     rng = random.Random(3)
     texts = lambda letters, n: [" ".join("".join(rng.choices(letters, k=5)) for _ in range(30)) for _ in range(n)]
     rows = [(i, t, "aa") for i, t in enumerate(texts("abcdefghijklmnop", 300))] + [(1000 + i, t, "bb") for i, t in enumerate(texts("mnopqr", 4))]
-    monkeypatch.setattr(language, "MAX_GRAMS", 700)
-    whole = language.fit(make_docs(rows), F.lit(True), most=10**9)
     model = language.fit(make_docs(rows), F.lit(True))
-    # what is kept has the probabilities that it has among all
-    for gram in list(model.rows)[::7]:
-        kept, full = model.table[model.rows[gram]], whole.table[whole.rows[gram]]
-        assert kept == pytest.approx(full)
-    assert model.languages == ["aa", "bb"] and 600 < len(model.rows) < 800
-    at = {lang: model.table[:, i] for i, lang in enumerate(model.languages)}
-    assert sum(at["bb"] > at["bb"].min()) > 200 and sum(at["aa"] > at["aa"].min()) > 300
+    counts = {lang: Counter(g for _, t, x in rows if x == lang for w in t.split() for g in language.grams(w)) for lang in ("aa", "bb")}
+    assert model.languages == ["aa", "bb"] and model.rows.keys() == counts["aa"].keys() | counts["bb"].keys()
+    for gram in [*list(model.rows)[::7], "zzz"]:
+        want = [math.log((counts[x][gram] + 0.5) / (counts[x].total() + 0.5 * (len(model.rows) + 1))) for x in ("aa", "bb")]
+        assert model.log_probabilities(gram) == pytest.approx(want)
     scorer = language.Scorer(model)
     assert all(language.label(t, scorer)[0] == "bb" for t in texts("mnopqr", 20)) and all(language.label(t, scorer)[0] == "aa" for t in texts("abcdefghijklmnop", 20))
-    assert language._shares({"a": 5, "b": 100, "c": 300}, 105) == {"a": 5, "b": 50, "c": 50}
+    few = language.fit(make_docs(rows), F.lit(True), chars=5 * len(rows[0][1]))
+    assert 0 < len(few.rows) < len(model.rows)
+
+
+def test_memory_with_many_languages(spark, monkeypatch):
+    """400 languages: what a worker keeps is bounded in cells and bytes, whatever the words are."""
+    n, rng = 400, np.random.default_rng(1)
+    rows = {g: i for i, g in enumerate(dict.fromkeys(a + b + c for a in "abcdefghijklm" for b in "nopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"))}
+    starts = np.arange(len(rows) + 1) * 3
+    model = language.Model([f"l{i:03}" for i in range(n)], rows, np.full(n, -12.0), starts, rng.integers(0, n, 3 * len(rows)).astype(np.int32), rng.random(3 * len(rows)), {})
+    scorer = language.Scorer(model)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    monkeypatch.setattr(language, "MAX_CELLS", 1 << 20)
+    tracemalloc.start()
+    for i in range(8):
+        list(language.labels_of([" ".join(map("".join, letters[rng.integers(0, 26, (1000, 7))]))], scorer))
+        list(language.labels_of(["x" * 100_000 + f"{i}" + "y" * 100_000], scorer))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scorer.scores.shape[0] * n <= 2 * language.MAX_CELLS + 1001 * n and peak < 200 << 20
+    word = "anbocp"
+    want = sum(model.log_probabilities(g) for g in language.grams(word))
+    assert scorer.scores[scorer.index([word])][0] == pytest.approx(want, rel=1e-5)
 
 
 def test_candidates_are_one_sided(spark, make_docs):
@@ -173,15 +196,18 @@ def test_automaton_stays_bounded():
         if i % 10_000 == 0:
             sizes.append(matcher.pairs)
             assert sum(len(s) for s in matcher.states) <= matcher.pairs
-    assert max(sizes) < 1.1 * toxicity.MAX_PAIRS and len(matcher.known) <= toxicity.MAX_WORDS
+    assert max(sizes) < 1.1 * toxicity.MAX_PAIRS
 
 
-def test_windows_are_slices():
+@pytest.mark.parametrize("long", [10, 1 << 22])
+def test_windows_are_slices(monkeypatch, long):
+    monkeypatch.setattr(toxicity, "LONG", long)
     for n in (0, 1, 4, 6, 11, 12, 30):
         text = " ".join(f"w{i}" for i in range(n))
         words = text.split()
-        got = [([m[0] for m in found], found[at][0]) for found, at in toxicity.windows(text)]
-        assert got == [(words[max(0, i - 5) : i + 6], w) for i, w in enumerate(words)]
+        for hits in (set(words), set(words[::3])):
+            got = [([m[0] for m in found], found[at][0]) for found, at in toxicity.windows(text, hits)]
+            assert got == [(words[max(0, i - 5) : i + 6], w) for i, w in enumerate(words) if w in hits]
 
 
 def test_long_texts_take_the_same_course(monkeypatch):
@@ -237,7 +263,7 @@ def test_word_scores_are_sums_of_ngrams(tables, monkeypatch):
     words = sorted({w for t in texts for w in language.WORDS.findall((t or "").lower())})
     at = scorer.index(words)
     for word, score, letters in zip(words, scorer.scores[at], scorer.letters[at], strict=True):
-        want = model.table[[model.rows.get(g, len(model.rows)) for g in language.grams(word)]].sum(axis=0)
+        want = sum(model.log_probabilities(g) for g in language.grams(word))
         fits = model.scripts.get(language.script(word[0]))
         if fits is not None and fits.any() and not fits.all():
             want += np.where(fits, 0, language.OUT_OF_SCRIPT)
@@ -245,7 +271,7 @@ def test_word_scores_are_sums_of_ngrams(tables, monkeypatch):
     # held in small parts, and with a table of words that is begun anew
     whole = list(language.labels_of(texts, scorer))
     monkeypatch.setattr(language, "HELD", 50)
-    monkeypatch.setattr(language, "MAX_WORDS", 20)
+    monkeypatch.setattr(language, "MAX_CELLS", 80)
     assert list(language.labels_of(texts, language.Scorer(model))) == whole == [language.label(t, scorer) for t in texts]
 
 
