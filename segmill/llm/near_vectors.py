@@ -40,6 +40,8 @@ BLOCK = 1024
 #: The most vectors of a filter whose pairs are candidates.
 FEW = 32
 CODES, RECALL, SEED = 16, 0.985, 5
+#: Binary logarithm of the number of vectors for which a code has the fewest directions, of which this is one, too.
+FIRST, LEAST_BITS = 19, 16
 #: Pairs by which the threshold is measured.
 PAIRS = 1000
 #: Candidates of the decoder that are held at once.
@@ -47,9 +49,9 @@ HELD = 1 << 21
 
 
 def bits_for(vectors: int) -> int:
-    """Binary logarithm of the number of directions of a code, so that a filter has few vectors that aren't near: 16 up to
-    four million vectors, then 4 more for each 16 times as many. Recall is the same at all."""
-    return 16 + 4 * max(0, math.ceil((math.log2(max(1, vectors)) - 22) / 4))
+    """Binary logarithm of the number of directions of a code for so many vectors of one label and length, so that a filter has
+    few that aren't near: 16 up to 2^19 vectors, then 4 more for each 16 times as many. Recall is the same at all."""
+    return LEAST_BITS + 4 * max(0, math.ceil((math.log2(max(1, vectors)) - FIRST) / 4))
 
 
 class Code:
@@ -160,19 +162,39 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, values[start[at][:, None] + np.arange(dim)]
 
 
-def decoded(nodes: DataFrame, bits: int, least: float, recall: float) -> DataFrame:
+def with_bits(nodes: DataFrame, bits: int | None) -> DataFrame:
+    """nodes with the bits of their codes: what the number of vectors of their own label and length asks for, whatever others there
+    are."""
+    if bits is not None:
+        return nodes.withColumn("bits", F.lit(bits))
+    group = F.xxhash64("label", F.size("embedding"))
+    sizes = materialise(nodes.groupBy(group.alias("group")).agg(F.count("*").alias("rows")), "label-sizes")
+    most, total = sizes.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    steps = {b: 1 << FIRST + b - LEAST_BITS for b in range(LEAST_BITS, bits_for(most), 4)}
+    asked = F.lit(bits_for(most))
+    for b, upto in sorted(steps.items(), reverse=True):
+        asked = F.when(F.col("rows") <= upto, b).otherwise(asked)
+    if not steps:
+        return nodes.withColumn("bits", asked)
+    return lookup(nodes.withColumn("group", group), sizes.select("group", "rows", asked.alias("bits")), "group", "rows", total).drop("group")
+
+
+def decoded(nodes: DataFrame, least: float, recall: float) -> DataFrame:
     """node and key: a row for each vector and filter; the key stands for length, label and filter."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, label, vectors = batch.columns
+            node, label, vectors, bits = (batch.column(c) for c in ("node", "label", "embedding", "bits"))
+            asked = bits.to_numpy()
             for at, x in _by_length(vectors):
-                rows, filters = filters_of(unit(x), bits, least, recall)
-                take = pa.array(at[rows])
-                columns = [node.take(take), label.take(take), pa.array(np.full(len(rows), x.shape[1], np.int64)), pa.array(filters)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "dim", "filter"])
-
-    rows = nodes.select("node", "label", "embedding").mapInArrow(decode, "node long, label long, dim long, filter long")
+                for b in np.unique(asked[at]).tolist():
+                    mine = asked[at] == b
+                    rows, filters = filters_of(unit(x[mine]), b, least, recall)
+                    take = pa.array(at[mine][rows])
+                    columns = [node.take(take), label.take(take), pa.array(np.full(len(rows), x.shape[1], np.int64)), pa.array(filters)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "dim", "filter"])
+
+    rows = nodes.select("node", "label", "embedding", "bits").mapInArrow(decode, "node long, label long, dim long, filter long")
     return rows.select("node", F.xxhash64("dim", "label", "filter").alias("key"))
 
 
@@ -273,9 +295,9 @@ def candidates(shared: DataFrame, large: DataFrame) -> DataFrame:
     return pairs.where(~F.coalesce(F.arrays_overlap("filters_a", "filters_b"), F.lit(False))).select("a", "b")
 
 
-def found_links(nodes: DataFrame, least: float, bits: int, recall: float) -> DataFrame:
+def found_links(nodes: DataFrame, least: float, bits: int | None, recall: float) -> DataFrame:
     """node, links and low, several rows for a node: what is linked to it and a smaller node that it is linked to."""
-    rows = materialise(decoded(nodes, bits, least, recall), "filters")
+    rows = materialise(decoded(with_bits(nodes, bits), least, recall), "filters")
     sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-filters")
     # filters with as many vectors as a share of all are looked up by broadcast
     shared = lookup(rows, sizes.withColumn("rows", F.col("size")), "key", "rows", max(1, rows.count())).where("size is not null")
@@ -299,14 +321,14 @@ def _nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.93, bits: int | None = None, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row. bits: the logarithm of each code's directions, by default what
-    the number of vectors asks for. Different vectors under one vec_id are one vertex."""
+    the number of vectors of a label and length asks for. Different vectors under one vec_id are one vertex."""
     good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # of equal vectors one is a node; the key stands for label and components
     key = F.when(good, F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("array<string>")))))
     keyed = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding", key.alias("key"))
     rows = keyed.select("vec_id", "key")
     groups, nodes = _nodes(keyed)
-    found = materialise(found_links(nodes, least, bits or bits_for(nodes.count()), recall), "links")
+    found = materialise(found_links(nodes, least, bits, recall), "links")
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked_to = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     named = groups.join(total, "node", "left").join(linked_to, "node", "left")

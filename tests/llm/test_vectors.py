@@ -115,8 +115,28 @@ def test_decoder_finds_all_directions():
         assert set(zip(rows.tolist(), numbers.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(total >= threshold)), strict=True))
 
 
-def test_filters_do_not_depend_on_the_table():
-    assert near_vectors.bits_for(10) == near_vectors.bits_for(4_000_000) == 16 and near_vectors.bits_for(10**9) == 24
+def test_bits_are_of_the_own_label(spark, monkeypatch):
+    """What other labels and lengths hold doesn't change a label's codes; a label's filters stay small as it grows."""
+    assert near_vectors.bits_for(10) == near_vectors.bits_for(1 << 19) == 16 and near_vectors.bits_for((1 << 19) + 1) == 20 and near_vectors.bits_for(10**9) == 28
+    monkeypatch.setattr(near_vectors, "FIRST", 3)
+    small = [(i, [1.0, i, 0.5], 1) for i in range(8)]
+    rows = small + [(100 + i, [1.0, i, 0.5], 2) for i in range(50)] + [(200 + i, [1.0, i], 1) for i in range(200)]
+    nodes = lambda some: frame(spark, some).select(F.col("vec_id").alias("node"), F.lit(1).alias("n"), "label", "embedding")
+    alone = {r.node: r.bits for r in near_vectors.with_bits(nodes(small), None).collect()}
+    beside = {r.node: r.bits for r in near_vectors.with_bits(nodes(rows), None).collect()}
+    assert set(alone.values()) == {16} and beside == {i: near_vectors.bits_for(8 if i < 100 else 50 if i < 200 else 200) for i, *_ in rows}
+    assert set(beside.values()) == {16, 20, 24}
+    assert near_vectors.with_bits(nodes(rows), 12).where("bits <> 12").count() == 0 and near_vectors.with_bits(nodes([]), None).count() == 0
+
+
+@pytest.mark.parametrize("dim", [8, 32, 768, 1536])
+def test_recall_of_filters(dim):
+    """The hardest pairs share a filter at the stated recall, in short and in long vectors."""
+    x, y = hard_pairs(dim, 400)
+    one, two = (set(zip(*map(np.ndarray.tolist, near_vectors.filters_of(v, 16, 0.93, near_vectors.RECALL)), strict=True)) for v in (x, y))
+    recall = len({row for row, _ in one & two}) / 400
+    print(dim, recall, len(one) / 400)
+    assert recall >= 0.96
 
 
 def test_no_vectors(spark):
