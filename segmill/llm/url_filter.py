@@ -86,7 +86,8 @@ class Trie:
 
 
 def _parts(pages: DataFrame, url: str) -> DataFrame:
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # Spark's names ignore case
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     text = F.coalesce(F.col(url), F.lit(""))
     # A-Z only: lower() would also change other letters
     lowered = F.translate(F.regexp_extract(text, HOST, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
