@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmill.functions.columns import iso_text, iso_time
@@ -87,7 +89,11 @@ def feed_entries(xml: DataFrame, feed: str, column: str) -> DataFrame:
     An enclosure becomes a link with rel `enclosure`; what a feed lacks is an empty string.
     """
     parsed = _parsed(xml, feed, column)
-    rows = parsed.select(feed, F.posexplode("x.channel.item").alias("pos", "e"))
+    return _entries(parsed.select(feed, F.posexplode("x.channel.item").alias("pos", "e")), feed)
+
+
+def _entries(rows: DataFrame, feed: str) -> DataFrame:
+    """feed, pos and parsed items e as entries."""
     blank = lambda c: F.coalesce(c, F.lit("")).alias
     links = F.transform(F.coalesce("e.enclosure", F.array()), lambda x: F.struct(F.lit("enclosure").alias("rel"), x["_type"].alias("type"), x["_url"].alias("href")))
     return rows.select(feed, "pos", blank(F.col("e.title"))("title"), blank(F.col("e.description"))("description"), blank(F.col("e.pubDate"))("published"), links.alias("links"))
@@ -98,6 +104,50 @@ def feed_channels(xml: DataFrame, feed: str, column: str) -> DataFrame:
     return _parsed(xml, feed, column).select(feed, "x.channel.title", "x.channel.link", "x.channel.description")
 
 
+ITEM = "title string, description string, pubDate string, enclosure array<struct<_url: string, _type: string>>"
+ITEMS = "array<struct<title: string, description: string, pubDate: string, enclosure: array<struct<_url: string, _type: string>>>>"
+CHANNEL = "channel struct<title: string, link: string, description: string{item}>"
+
+
 def _parsed(xml: DataFrame, feed: str, column: str) -> DataFrame:
-    item = "struct<title: string, description: string, pubDate: string, enclosure: array<struct<_url: string, _type: string>>>"
-    return xml.select(feed, F.from_xml(column, f"channel struct<title: string, link: string, description: string, item: array<{item}>>", {"mode": "PERMISSIVE"}).alias("x"))
+    return xml.select(feed, F.from_xml(column, CHANNEL.format(item=f", item: {ITEMS}"), {"mode": "PERMISSIVE"}).alias("x"))
+
+
+@dataclass(frozen=True)
+class FeedFiles:
+    """entries: as feed_entries has them. channels: title, link and description of each feed. warnings: feed, pos and what is wrong
+    with it there; what could be read of such a feed is in the others all the same."""
+
+    entries: DataFrame
+    channels: DataFrame
+    warnings: DataFrame
+
+
+def read_feed_files(spark: SparkSession, path: str) -> FeedFiles:
+    """RSS feeds in files of UTF-8, whose paths are their names.
+
+    Files are split at the ends of items, so a large feed is read by many tasks and no task holds more than an item at once. An
+    item's place is the number of items before it, from counts of each block. An item that isn't well formed, and a feed that has
+    no channel or doesn't end, give a warning.
+    """
+    text = spark.read.option("lineSep", "</item>").text(path).withColumns({"feed": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()})
+    start = F.regexp_instr("value", F.lit(r"<item[\s>/]"))
+    item = F.when(start > 0, F.concat(F.substr("value", start), F.lit("</item>")))
+    rows = text.select("feed", "block", "at", item.alias("item"), F.when(start > 0, F.left("value", start - 1)).otherwise(F.col("value")).alias("rest"))
+    # of a file's blocks, how many items are before each; then the number within the block
+    counts = rows.where("item is not null").groupBy("feed", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("feed").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("before", before).drop("n")
+    within = F.row_number().over(Window.partitionBy("feed", "block").orderBy("at")) - 1
+    parsed = F.from_xml("item", f"{ITEM}, _wrong string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_wrong"})
+    items = rows.where("item is not null").withColumn("within", within).join(offsets, ["feed", "block"]).select("feed", (F.col("before") + F.col("within")).cast("int").alias("pos"), parsed.alias("e"))
+    wrong = F.col("e").isNull() | F.col("e._wrong").isNotNull()
+    # what is around the items: the head with the channel, and the end
+    rest = rows.where("rest like '%<channel%'").select("feed", "block", "at", F.concat("rest", F.lit("</channel></rss>")).alias("xml"))
+    first = rest.groupBy("feed").agg(F.min_by("xml", F.struct("block", "at")).alias("xml"))
+    channels = first.select("feed", F.from_xml("xml", CHANNEL.format(item=""), {"mode": "PERMISSIVE"}).alias("x")).select("feed", "x.channel.title", "x.channel.link", "x.channel.description")
+    has = lambda mark: F.max(F.col("rest").contains(mark))
+    whole = rows.groupBy("feed").agg(has("<channel").alias("begins"), has("</channel>").alias("ends"))
+    of_feed = whole.select("feed", F.lit(None).cast("int").alias("pos"), F.when(~F.col("begins"), "no channel").when(~F.col("ends"), "the channel has no end").alias("warning")).where("warning is not null")
+    of_items = items.where(wrong).select("feed", "pos", F.lit("the item is not well formed").alias("warning"))
+    return FeedFiles(_entries(items.where(~wrong), "feed"), channels, of_feed.unionByName(of_items))

@@ -334,3 +334,37 @@ def test_detection_as_a_whole(spark, tmp_path):
     # errors are asked again, answers aren't
     detection.detect_ads(spark.createDataFrame(rows, SEGMENTS), make, str(tmp_path / "out"), p, attempts=2, pause_s=0)
     assert len(list(calls.iterdir())) == n_calls + 4 and spark.read.parquet(str(tmp_path / "out/prompts")).count() == 6
+
+
+def test_feed_files(spark, tmp_path):
+    """A large feed is read by many tasks, with the rows of feed_entries; what is malformed gives warnings."""
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    rng = random.Random(6)
+
+    def item(i):
+        gap = rng.choice(("", "\n", " \n\t"))
+        enclosure = f"<enclosure url='http://h/{i}?a=1&amp;b=2' type='{rng.choice(('audio/mpeg', 'video/mp4'))}'/>" * rng.randrange(3)
+        return f"{gap}<item{gap}><title>t {i} &amp; ü</title>{gap}<itunes:duration>5</itunes:duration><description><![CDATA[<b>{'d' * rng.randrange(200)}</b>]]></description>{enclosure}{gap}</item>"
+
+    head = "<?xml version='1.0' encoding='UTF-8'?>\n<rss version='2.0'>\n<channel><title>{}</title><link>http://l</link>\n<description/>"
+    large = head.format("Large") + "".join(map(item, range(6000))) + "\n</channel></rss>\n"
+    (folder / "large.xml").write_text(large)
+    (folder / "empty.xml").write_text(head.format("Empty") + "</channel></rss>")
+    (folder / "bad.xml").write_text(head.format("Bad") + "<item><title>a</title></item><item><title>b</item><item><title>c</title></item>")
+    (folder / "page.xml").write_text("<html>not found</html>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = files.read_feed_files(spark, str(folder))
+        assert spark.read.option("lineSep", "</item>").text(str(folder / "large.xml")).where("value like '%<item%'").select(F.spark_partition_id()).distinct().count() > 5
+        short = F.element_at(F.split("feed", "/"), -1)
+        got = {(r.feed, r.pos): (r.title, r.description, r.published, r.links) for r in found.entries.withColumn("feed", short).collect()}
+        want = files.feed_entries(spark.createDataFrame([("large.xml", large)], "feed string, xml string"), "feed", "xml")
+        assert {k: v for k, v in got.items() if k[0] == "large.xml"} == {(r.feed, r.pos): (r.title, r.description, r.published, r.links) for r in want.collect()}
+        assert {k: v[0] for k, v in got.items() if k[0] != "large.xml"} == {("bad.xml", 0): "a", ("bad.xml", 2): "c"}
+        assert {(r.feed, r.title, r.link, r.description or "") for r in found.channels.withColumn("feed", short).collect()} == {(f"{n.lower()}.xml", n, "http://l", "") for n in ("Large", "Empty", "Bad")}
+        assert {tuple(r) for r in found.warnings.withColumn("feed", short).collect()} == {("bad.xml", 1, "the item is not well formed"), ("bad.xml", None, "the channel has no end"), ("page.xml", None, "no channel")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
