@@ -11,8 +11,8 @@ memory allows (BLOCK_FLOATS), and smaller only where there would be fewer tiles
 
 Vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor do rows with a null vec_id.
 Rows that repeat a vec_id count once, with the smallest vector. Vectors are compared with those of the same length
-only. Ties go to the smaller vec_id. With fewer than k candidates, all are returned. Extra columns are ignored; an empty
-table gives an empty result.
+only. Ties go to the smaller vec_id. With fewer than k candidates, all are returned. A product beyond double precision is
+infinite, and minus infinity where its parts cancel to no number. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,9 +72,11 @@ def products(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray
     total = np.zeros(len(q))
     for d in range(queries.shape[1]):
         total += queries[q, d] * rows[r, d]
+    total[np.isnan(total)] = -np.inf
     return total
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query id, row id and score of each query's k best rows but its own."""
     small_q, small_r, dim = Quantised(queries), Quantised(rows), queries.shape[1]
@@ -90,10 +92,11 @@ def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndar
             # the last part is for rounding: of these products, and of those in double precision
             slack = part.error[:, None] * tile.near_norm[None, :] + part.norm[:, None] * tile.error[None, :] + (dim + 8) * 5e-16 * part.norm[:, None] * tile.norm[None, :]
             same = ids[:, None] == row_ids[None, at : at + ROW_TILE]
-            low = np.where(same, -np.inf, near - slack)
+            # bounds that overflow bound nothing
+            low = np.where(same | np.isnan(near - slack), -np.inf, near - slack)
             if low.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
-            q, r = np.nonzero((near + slack >= floor[:, None]) & ~same)
+            q, r = np.nonzero(~(near + slack < floor[:, None]) & ~same)
             kept.append((q, r + at, products(own, rows, q, r + at)))
         q, r, score = (np.concatenate(c) for c in zip(*kept, strict=True))
         order = np.lexsort((row_ids[r], -score, q))

@@ -180,3 +180,21 @@ def test_tiles_of_long_vectors(dim):
     want = {(i + 10_000, j, float(exact[i, j])) for i in range(24) for j in sorted(range(400), key=lambda j: (-exact[i, j], j))[:20]}
     assert set(zip(q.tolist(), r.tolist(), score.tolist(), strict=True)) == want
     assert block_search.whole_products(np.full((1, dim), 127, np.float32), np.full((1, dim), 127, np.float32))[0, 0] == 127 * 127 * dim
+
+
+def test_products_beyond_double_precision(spark):
+    """They are infinite, or minus infinity where they cancel to no number, and no row is lost."""
+    rng = np.random.default_rng(9)
+    x = [(1e200 * v).tolist() for v in rng.standard_normal((60, 4))] + [v.tolist() for v in rng.standard_normal((20, 4))]
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = block_search.nearest(frame, F.col("vec_id") % 20 == 0, 20).collect()
+    assert len(got) == 4 * 20
+    for q in (0, 20, 40, 60):
+        want = []
+        for i, y in enumerate(x):
+            total = 0.0
+            for s, t in zip(x[q], y, strict=True):
+                total += s * t
+            if i != q:
+                want.append((math.inf if math.isnan(total) else -total, i))
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in sorted(want)[:20]]
