@@ -200,7 +200,8 @@ def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     """One row of each component: that with the smallest (doc_id, hash of the text), so it is rows that are grouped, not ids.
     Of rows that agree in both, one stays. Rows with a null doc_id can't be grouped and stay.
 
-    Only rows that may go are shuffled; the others are told by a map of bits.
+    Only rows that may go are shuffled; the others are told by a map of bits. Texts are read three times: for fingerprints, for
+    the rows that may go, which are written once, and for the others.
     """
     rows = materialise(_row_prints(docs), "fingerprints")
     groups = materialise(rows.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")), "groups")
@@ -212,9 +213,10 @@ def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     judged = keys.join(kept, "key", "left").select("key", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
     odd = materialise(judged.where(~F.col("stays") | (F.col("n") > 1)), "going")
     # a struct of the row can't clash with names used here
-    whole = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct(*_row_key()).alias("key"))
-    told = may_be_in(whole, odd, "key", "may_go")
-    checked = lookup(told.where("may_go").select("row", "key"), odd, "key", "n", max(1, rows.count()))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct(*_row_key()).alias("key"))
+    told = may_be_in(whole, odd, "key", "may_go").withColumn("may_go", F.col("may_go") & F.col("key.id").isNotNull())
+    asked = materialise(told.where("may_go").select("row", "key"), "may-go")
+    checked = lookup(asked, odd, "key", "n", max(1, rows.count()))
     once = checked.where("stays").dropDuplicates(["key"])
     stay = told.where("not may_go").select("row").unionByName(checked.where("stays is null").select("row")).unionByName(once.select("row"))
-    return stay.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    return stay.select("row.*")

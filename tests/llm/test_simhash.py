@@ -177,3 +177,9 @@ def test_map_of_bits(spark):
     flagged = {r.k for r in common.may_be_in(rows, keys, "k", "flag").where("flag").collect()}
     assert {3 * i for i in range(1, 2000)} <= flagged and len(flagged) < 2010
     assert common.may_be_in(rows, keys.limit(0), "k", "flag").where("flag").count() == 0
+
+
+def test_result_reads_the_documents_once(spark, sf):
+    """Before it, one pass makes fingerprints and one writes the rows that may go."""
+    plan = simhash.keep_one(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation" in line and "n_chars#" in line]) == 1
