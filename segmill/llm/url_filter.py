@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmill.llm.common import lookup, materialise
+
 #: Entries of a trie that is broadcast; at about 300 bytes each it stays below 100 MB.
 MAX_ENTRIES = 300_000
 HOST, PATH = r"^[\s\S]*?://([^/?#]*)", r"^[\s\S]*?://[^/?#]*([^?#]*)"
@@ -94,21 +96,44 @@ def _parts(pages: DataFrame, url: str) -> DataFrame:
     return pages.select(*kept, lowered.alias("host"), F.regexp_extract(text, PATH, 1).alias("path"))
 
 
+def _fresh(columns: list[str], name: str) -> str:
+    """The name, longer if there is a column of that name."""
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    return name
+
+
+def _looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left (a table) with what right, which has each key once, has for their key; keys with many rows are broadcast."""
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    known = materialise(right.join(counts, key), "url-keys")
+    return lookup(left, known, key, "_rows", max(1, left.count()))
+
+
 def judge_urls_by_join(pages: DataFrame, entries: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """judge_urls with a table of entries (host, path, verdict) of any size: a host's suffixes are looked up among the entries'
-    hosts, and of a path those beginnings that are as long as a path of an entry there. Only equal keys are joined."""
+    hosts, and of a path those beginnings that are as long as a path of an entry there. Only equal keys are joined, of distinct
+    URLs; keys that many rows have (a common ending of hosts, URLs without a host) are broadcast and their rows not shuffled."""
     parts = _parts(pages, url)
+    key, entry = _fresh(parts.columns, "segmill_url"), _fresh(parts.columns, "segmill_entry")
+    # a path is empty or begins with the first slash, so host and path together are a key
+    parts = parts.withColumn(key, F.concat("host", "path"))
     best = F.max(F.struct(F.col("verdict") == "block", "verdict")).alias("best")
     known = entries.groupBy(F.col("host").alias("e_host"), F.col("path").alias("e_path")).agg(best).select("e_host", "e_path", "best.verdict")
     lengths = known.groupBy("e_host").agg(F.collect_set(F.length("e_path")).alias("lengths"))
-    urls = parts.select("host", "path").distinct()
+    urls = materialise(parts.groupBy(F.col(key).alias("url")).agg(F.min("host").alias("host"), F.min("path").alias("path"), F.count("*").alias("rows")), "urls")
     suffixes = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), i -> substring_index(host, '.', -i))")
-    near = urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("e_host")).join(lengths, "e_host")
+    near = urls.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("e_host"))
     fits = F.filter("lengths", lambda n: n <= F.length("path"))
-    begun = near.select("host", "path", "e_host", F.explode(fits).alias("n")).withColumn("e_path", F.expr("left(path, n)"))
-    rank = F.struct(F.size(F.split("e_host", r"\.")), "n")
-    found = begun.join(known, ["e_host", "e_path"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("e_host", "e_path").alias("rule"), "verdict"), rank).alias("segmill_entry"))
-    return parts.join(found, ["host", "path"], "left").select(*parts.columns, F.col("segmill_entry.rule").alias("rule"), F.coalesce("segmill_entry.verdict", F.lit(default)).alias("verdict"))
+    begun = _looked_up(near, lengths, "e_host").select("url", "e_host", "path", F.explode(fits).alias("n"))
+    begun = materialise(begun.select("url", F.struct(F.size(F.split("e_host", r"\.")), "n").alias("rank"), F.struct("e_host", F.expr("left(path, n)").alias("e_path")).alias("e_key")), "url-beginnings")
+    hits = _looked_up(begun, known.select(F.struct("e_host", "e_path").alias("e_key"), F.concat("e_host", "e_path").alias("rule"), "verdict"), "e_key").where("verdict is not null")
+    found = hits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), "rank").alias(entry))
+    found = materialise(found.join(urls.select("url", "rows"), "url").withColumnRenamed("url", key), "url-entries")
+    total = urls.agg(F.coalesce(F.sum("rows"), F.lit(1))).first()[0]
+    kept = [c for c in parts.columns if c != key]
+    joined = lookup(parts, found.withColumnRenamed("rows", rows := _fresh([*parts.columns, entry], "segmill_rows")), key, rows, total)
+    return joined.select(*kept, F.col(f"{entry}.rule").alias("rule"), F.coalesce(f"{entry}.verdict", F.lit(default)).alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, entries: list[Entry], url: str = "url", default: str = "allow") -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
 from segmill.llm.queries import URL_ENTRIES
-from segmill.llm.url_filter import Entry, Trie, judge_urls
+from segmill.llm.url_filter import Entry, Trie, judge_urls, judge_urls_by_join
 
 URLS = [
     None, "", "no scheme", "://", "http://", "http://COM", "http://com/", "http://a.com", "http://a.com/?x", "http://a.com/x#/en/", "http://Example.com/en/a", "http://example.com/en",
@@ -60,3 +60,24 @@ def test_more_entries_than_a_trie_takes(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(rows, entries).collect()}
     hits = {i: by_host.get(u.split("/")[2][2:]) for i, u in enumerate(urls)}
     assert got == {i: (e.rule, e.verdict) if e else (None, "allow") for i, e in hits.items()}
+
+
+@pytest.mark.parametrize("most", [4, 300_000])
+def test_columns_of_clashing_names(spark, monkeypatch, most):
+    """Names ignore case; results replace columns of theirs, all others are kept."""
+    monkeypatch.setattr("segmill.llm.url_filter.MAX_ENTRIES", most)
+    rows = spark.createDataFrame([(i, u, 1, "h", "r", "e", "k", "n") for i, u in enumerate(URLS)], "page_id long, url string, Verdict int, Host string, RULE string, segmill_entry string, Segmill_URL string, segmill_rows string")
+    got = judge_urls(rows, URL_ENTRIES)
+    assert got.columns == ["page_id", "url", "segmill_entry", "Segmill_URL", "segmill_rows", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: plain(u, URL_ENTRIES) for i, u in enumerate(URLS)}
+    assert {(r.segmill_entry, r.Segmill_URL, r.segmill_rows) for r in got.collect()} == {("e", "k", "n")}
+
+
+def test_hot_keys_of_the_join(spark, monkeypatch):
+    """Many rows of one URL, of one host ending and of none."""
+    monkeypatch.setattr("segmill.llm.common.HOT_KEYS", 5)
+    urls = ["http://a.com/"] * 40 + [None] * 30 + [f"http://h{i}.com/x" for i in range(40)] + ["http://b.net/es/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    entries = spark.createDataFrame([(e.host, e.path, e.verdict) for e in MORE], "host string, path string, verdict string")
+    got = judge_urls_by_join(rows, entries)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: plain(u, MORE) for i, u in enumerate(urls)}
