@@ -1,0 +1,217 @@
+"""Plain versions of the models and fingerprints, one text after another. Nothing of the library is used here."""
+
+import math
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
+import numpy as np
+import regex
+import xxhash
+
+WORD = re.compile(r"[^\W\d_]+")
+
+# Quotation marks and words that report speech, as the operator's parameters have them.
+QUOTES = "\"“”„«»‹›"
+REPORTING = frozenset("quote quoted quotes quoting cited citing word term phrase said says wrote called zitat zitiert wort sagte citation cite mot dit cita palabra dijo".split())
+
+
+def in_fold(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def plain_grams(word):
+    padded = "<" + word + ">"
+    out = list(word)
+    for n in (2, 3):
+        out += [padded[i : i + n] for i in range(len(padded)) if i + n <= len(padded)]
+    return out + (["=" + word] if len(word) <= 6 else [])
+
+
+TOKEN = re.compile(r"[^\W_]+")
+
+
+def contexts(text, match):
+    """Set of (term, words on both sides) of a text."""
+    words = TOKEN.findall(text)
+    return {(t, (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")) for i, w in enumerate(words) for t in match(w)}
+
+
+def stems(w):
+    return [w, *(w[:n] + "*" for n in range(4, 9) if len(w) > n)]
+
+
+def plain_lexicon(rows):
+    """Terms and their rates from the texts of either label, by the rules of the docstrings."""
+    toxic, clean = ([t for m, t in rows if m == k] for k in (1, 0))
+    share = len(toxic) / len(rows)
+    least = max(2, math.ceil(-14 / math.log(share)))
+    have = {k: Counter(t for x in texts for t in {s for w in set(TOKEN.findall(x)) for s in stems(w)}) for k, texts in ((1, toxic), (0, clean))}
+    good = {}
+    for t, n1 in have[1].items():
+        n0 = have[0][t]
+        p = n1 / (n1 + n0)
+        if n1 < least or p < 0.4:
+            continue
+        bound = -(n1 + n0) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if n0 else 0))
+        if bound <= -14:
+            good[t] = n1
+    mentions = {k: Counter(t for x in texts for t, _ in contexts(x, lambda w: [s for s in stems(w) if s in good])) for k, texts in ((1, toxic), (0, clean))}
+    varied = {}
+    for x in toxic:
+        for t, c in contexts(x, lambda w: [s for s in stems(w) if s in good]):
+            varied.setdefault(t, set()).add(c)
+    sizes = [sum(len(re.split(r"[\W_]+", x)) for x in texts) for texts in (clean, toxic)]
+    worth, rates = {}, {}
+    for t in varied:
+        if len(varied[t]) >= max(least, 0.5 * good[t]):
+            rate = (mentions[0][t] + 0.5) / sizes[0]
+            ratio = mentions[1][t] / sizes[1] / rate
+            if ratio >= (20 if mentions[0][t] else 10):
+                worth[t], rates[t] = mentions[1][t] * math.log(ratio), rate
+    kept = {}
+    for t in sorted(worth, key=lambda t: (-worth[t], -len(t.rstrip("*")), t)):
+        letters = t.rstrip("*")
+        if any(letters.startswith(k[:-1]) for k in kept if k.endswith("*")) or t.endswith("*") and any(k.startswith(letters) for k in kept):
+            continue
+        kept[t] = rates[t]
+    return kept, {t for t in worth if not t.endswith("*") and any(t.startswith(k[:-1]) for k in kept if k.endswith("*"))}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+
+class Toxicity:
+    """The whole model of labelled (mark, lower-case text) rows: lexicon, misspellings, quotations and curve."""
+
+    def __init__(self, rows):
+        self.terms, self.words = plain_lexicon(rows)
+        self.whole = [t for t in (*self.terms, *self.words) if not t.endswith("*")]
+        self.begins = [t for t in self.terms if t.endswith("*")]
+        self.clean, self.known = frozenset(), {}
+        quoted, seen = [0, 0], {}
+        for mark, low in rows:
+            for w, errors, q in {(w if errors else "", errors, q) for w, _, errors, q in self.mentions(low)}:
+                if q and not errors:
+                    quoted[mark] += 1
+                if errors:
+                    seen.setdefault(w, [errors, 0, 0])[1 + mark] += 1
+        size = sum(len(regex.split(r"[^\p{L}\p{N}]+", low)) for mark, low in rows if mark == 0)
+        self.clean = frozenset(w for w, (_, c, t) in seen.items() if c > t)
+        self.errors = tuple((sum(c for e, c, _ in seen.values() if e == wrong and c <= 1) + 0.5) / size for wrong in (1, 2))
+        self.quoted = (quoted[1] + 4 * 0.3) / (sum(quoted) + 4)
+        self.known = {}
+        cells = Counter()
+        for mark, low in rows:
+            value, n = self.deviance(low)
+            if n:
+                cells[mark, round(10 * min(value, 30.0)) / 10] += 1
+        self.curve = self.fitted([(m, x, n) for (m, x), n in cells.items()] + [(0, 6.0, 1), (1, 3.0, 1)])
+
+    def match(self, w):
+        """The term that a word is and the number of errors, from distances to all terms."""
+        if w not in self.known:
+            own = [t for t in self.begins if w.startswith(t[:-1])]
+            near = sorted((d, t) for t in self.whole if abs(len(t) - len(w)) <= 2 and (Counter(t) - Counter(w)).total() <= 2 and (d := distance(w, t)) <= (len(t) >= 5) + (len(t) >= 10))
+            self.known[w] = (max(own, key=len), 0) if own else (near[0][1], near[0][0]) if near and (near[0][0] == 0 or w not in self.clean) else None
+        return self.known[w]
+
+    def mentions(self, low):
+        """Word, term, errors, and whether it is quoted."""
+        found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(low)]
+        has = lambda part: any(q in part for q in QUOTES)
+        for i, (w, start, end) in enumerate(found):
+            if (hit := self.match(w)) is not None:
+                window = found[max(0, i - 5) : i + 6]
+                a, b = window[0][1], window[-1][2]
+                yield w, *hit, has(low[a:start]) and has(low[end : b + 1]) or any(x[0] in REPORTING for x in window) and has(low[max(0, a - 1) : b + 1])
+
+    def deviance(self, low):
+        counts, n = Counter(), 0
+        for _, term, errors, quoted in self.mentions(low):
+            counts[errors or term] += self.quoted if quoted else 1.0
+            n += 1
+        value, size = 0.0, len(TOKEN.findall(low))
+        for key, k in counts.items():
+            mean = size * (self.errors[key - 1] if isinstance(key, int) else self.terms[key])
+            value += k * math.log(k / mean) - k + mean if k > mean else 0.0
+        return value, n
+
+    @staticmethod
+    def fitted(cells):
+        """Penalised logistic regression by plain gradient steps of Newton's method, halved until the loss falls."""
+        y, x, n = (np.array(c, float) for c in zip(*cells, strict=True))
+        design, w = np.column_stack([x, np.ones(len(x))]), np.array([1.0, -4.0])
+        loss = lambda v: float((n * (np.logaddexp(0, design @ v) - y * (design @ v))).sum() + 5e-4 * ((v - [1.0, -4.0]) ** 2).sum())
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-design @ w))
+            step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (n * (y - p)) - 1e-3 * (w - [1.0, -4.0]))
+            while loss(w + step) > loss(w) and np.abs(step).max() > 1e-12:
+                step = step / 2
+            w = w + step
+        return max(w[0], 0.0), w[1]
+
+    def score(self, text):
+        value, n = self.deviance((text or "").lower())
+        return 1 / (1 + math.exp(-self.curve[0] * value - self.curve[1])) if n else 0.0
+
+
+class Language:
+    """The model of (lang, text) rows, and the path over all words of a text."""
+
+    def __init__(self, rows):
+        self.counts, self.scripts, self.known = {}, {}, {}
+        for lang, text in rows:
+            for w in WORD.findall(text.lower()):
+                self.counts.setdefault(lang, Counter()).update(plain_grams(w))
+                self.scripts.setdefault(lang, Counter())[self.script(w)] += len(w)
+        self.langs = sorted(self.counts)
+        seen = {g for c in self.counts.values() for g in c}
+        self.totals = {lang: c.total() + 0.5 * (len(seen) + 1) for lang, c in self.counts.items()}
+
+    @staticmethod
+    def script(w):
+        return unicodedata.name(w[0], "other").split()[0]
+
+    def of_word(self, w):
+        if w not in self.known:
+            out = {lang: sum(math.log((self.counts[lang][g] + 0.5) / self.totals[lang]) for g in plain_grams(w)) for lang in self.langs}
+            fits = {lang for lang in self.langs if self.scripts[lang][self.script(w)] >= 0.001 * self.scripts[lang].total()}
+            self.known[w] = out if not fits else {lang: s if lang in fits else s - 40.0 for lang, s in out.items()}
+        return self.known[w]
+
+    def share(self, text):
+        """The largest share of the letters that one language has; 0 without letters."""
+        words = WORD.findall((text or "").lower())
+        letters = [sum(c.isalpha() for c in w) for w in words]
+        if not sum(letters) or not self.langs:
+            return 0.0
+        best, backs = self.of_word(words[0]), []
+        for w in words[1:]:
+            s, top = self.of_word(w), max(self.langs, key=best.get)
+            back = {lang: lang if best[lang] >= best[top] - 14.0 else top for lang in self.langs}
+            best = {lang: best[back[lang]] - (14.0 if back[lang] != lang else 0.0) + s[lang] for lang in self.langs}
+            backs.append(back)
+        path = [max(self.langs, key=best.get)]
+        for back in reversed(backs):
+            path.append(back[path[-1]])
+        shares = Counter()
+        for lang, n in zip(reversed(path), letters, strict=True):
+            shares[lang] += n
+        return max(shares.values()) / sum(letters)
+
+
+def fingerprint(text):
+    """The SimHash of three-word shingles, unsigned."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))

@@ -1,28 +1,34 @@
 """The pipeline against a plain version of its stages."""
 
+import threading
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
+from plain_models import Language, Toxicity, fingerprint, in_fold
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from segmill.llm import language, simhash, toxicity
-from segmill.llm.common import fold
+from segmill.llm import common
 
 
 def test_stages(spark):
+    """All stages in plain code that uses nothing of the library."""
     sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    matcher = toxicity.Matcher(lexicon)
-    left = {d: t for d, t in texts.items() if matcher.score(t)[0] < 0.5}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    texts, langs = {r.doc_id: r.text for r in rows}, {r.doc_id: r.lang for r in rows}
+    marks = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.toxic in (0, 1) and in_fold(r.doc_id, 5):
+            marks[r.doc_id] = max(r.toxic, marks.get(r.doc_id, 0))
+    toxic = Toxicity(sorted({(m, texts[d].lower()) for d, m in marks.items() if d in texts}))
+    left = {d: t for d, t in texts.items() if toxic.score(t) < 0.5}
     assert len(left) < len(texts)
-    scorer = language.Scorer(language.fit(docs.where(F.col("doc_id").isin(list(left))), fold(F.col("doc_id"), 4) != 2))
-    left = {d: t for d, t in left.items() if language.label(t, scorer)[1] >= 0.5}
-    fps = {d: simhash.fingerprint(t) & (2**64 - 1) for d, t in left.items()}
+    model = Language([(langs[d], t) for d, t in left.items() if langs[d] is not None and in_fold(d, 4) != 2])
+    left = {d: t for d, t in left.items() if model.share(t) >= 0.5}
+    fps = {d: fingerprint(t) for d, t in left.items()}
     parent = {d: d for d in left}
 
     def find(d):
@@ -55,3 +61,22 @@ def test_stages_take_odd_rows(spark, make_docs, sf):
             if i < 3:
                 assert part.columns == docs.columns
         assert part.where("doc_id < 4").count() == 0
+
+
+def test_pipelines_of_two_threads_keep_apart(spark, sf, tmp_path):
+    """Each has its own folder; the one that ends first deletes nothing of the other's."""
+    want = sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()))
+    inside = threading.Barrier(2)
+
+    def folders(_):
+        with common.scratch(spark) as folder:
+            inside.wait(60)
+            path = common.new_folder(spark, "x")
+            inside.wait(60)
+            return folder, path
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(folders, range(2)))
+        assert all(path.startswith(folder) for folder, path in found) and found[0][0] != found[1][0]
+        runs = list(pool.map(lambda _: corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect(), range(2)))
+    assert [sorted(map(tuple, r)) for r in runs] == [want, want] and not common._scratch.get()

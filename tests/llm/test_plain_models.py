@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from plain_models import TOKEN, WORD, Language, Toxicity, distance, in_fold, plain_grams, plain_lexicon
 
 from segmill.llm import language, queries, toxicity
 
@@ -20,12 +21,6 @@ def tables(spark):
     return docs, labels
 
 
-def in_fold(doc_id, n):
-    import zlib
-
-    return zlib.crc32(str(doc_id).encode()) % n
-
-
 # ---------------------------------------------------------------- quality
 
 
@@ -76,15 +71,7 @@ def test_quality(spark, tables):
 
 # ---------------------------------------------------------------- language
 
-WORD = re.compile(r"[^\W\d_]+")
-
 
-def plain_grams(word):
-    padded = "<" + word + ">"
-    out = list(word)
-    for n in (2, 3):
-        out += [padded[i : i + n] for i in range(len(padded)) if i + n <= len(padded)]
-    return out + (["=" + word] if len(word) <= 6 else [])
 
 
 def test_language(spark, tables):
@@ -141,65 +128,6 @@ def test_language(spark, tables):
 
 # ---------------------------------------------------------------- toxicity
 
-TOKEN = re.compile(r"[^\W_]+")
-
-
-def contexts(text, match):
-    """Set of (term, words on both sides) of a text."""
-    words = TOKEN.findall(text)
-    return {(t, (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")) for i, w in enumerate(words) for t in match(w)}
-
-
-def stems(w):
-    return [w, *(w[:n] + "*" for n in range(4, 9) if len(w) > n)]
-
-
-def plain_lexicon(rows):
-    """Terms and their rates from the texts of either label, by the rules of the docstrings."""
-    toxic, clean = ([t for m, t in rows if m == k] for k in (1, 0))
-    share = len(toxic) / len(rows)
-    least = max(2, math.ceil(-14 / math.log(share)))
-    have = {k: Counter(t for x in texts for t in {s for w in set(TOKEN.findall(x)) for s in stems(w)}) for k, texts in ((1, toxic), (0, clean))}
-    good = {}
-    for t, n1 in have[1].items():
-        n0 = have[0][t]
-        p = n1 / (n1 + n0)
-        if n1 < least or p < 0.4:
-            continue
-        bound = -(n1 + n0) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if n0 else 0))
-        if bound <= -14:
-            good[t] = n1
-    mentions = {k: Counter(t for x in texts for t, _ in contexts(x, lambda w: [s for s in stems(w) if s in good])) for k, texts in ((1, toxic), (0, clean))}
-    varied = {}
-    for x in toxic:
-        for t, c in contexts(x, lambda w: [s for s in stems(w) if s in good]):
-            varied.setdefault(t, set()).add(c)
-    sizes = [sum(len(re.split(r"[\W_]+", x)) for x in texts) for texts in (clean, toxic)]
-    worth, rates = {}, {}
-    for t in varied:
-        if len(varied[t]) >= max(least, 0.5 * good[t]):
-            rate = (mentions[0][t] + 0.5) / sizes[0]
-            ratio = mentions[1][t] / sizes[1] / rate
-            if ratio >= (20 if mentions[0][t] else 10):
-                worth[t], rates[t] = mentions[1][t] * math.log(ratio), rate
-    kept = {}
-    for t in sorted(worth, key=lambda t: (-worth[t], -len(t.rstrip("*")), t)):
-        letters = t.rstrip("*")
-        if any(letters.startswith(k[:-1]) for k in kept if k.endswith("*")) or t.endswith("*") and any(k.startswith(letters) for k in kept):
-            continue
-        kept[t] = rates[t]
-    return kept, {t for t in worth if not t.endswith("*") and any(t.startswith(k[:-1]) for k in kept if k.endswith("*"))}
-
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
-
-
 def test_toxicity(spark, tables):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -255,3 +183,26 @@ def test_toxicity(spark, tables):
     for d, text in sample.items():
         assert got[d] == pytest.approx(plain_score(text), abs=1e-9), d
     assert xxhash.xxh64_intdigest("a b") >> 1 == toxicity.hash_of([*re.finditer(r"\w", "a x b")], 1)
+
+
+def test_misspellings_quotations_and_curve(spark):
+    """What is learned about contexts, against plain counts over all labelled texts."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 4 = 1 and length(text) < 20000")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {}
+    for r in labels.collect():
+        if r.toxic in (0, 1) and in_fold(r.doc_id, 5):
+            marks[r.doc_id] = max(r.toxic, marks.get(r.doc_id, 0))
+    model = Toxicity(sorted({(m, texts[d].lower()) for d, m in marks.items() if d in texts}))
+    assert lexicon.terms and lexicon.terms.keys() == model.terms.keys() and set(lexicon.words) == model.words
+    assert lexicon.clean == model.clean and lexicon.quoted == pytest.approx(model.quoted) and lexicon.errors == pytest.approx(model.errors)
+    assert lexicon.curve == pytest.approx(model.curve, rel=1e-5)
+
+
+def test_plain_language_model_is_the_plain_test_s(tables):
+    docs, _ = tables
+    model = Language([(r.lang, r.text) for r in docs if r.lang and in_fold(r.doc_id, 4) != 2])
+    assert model.share("") == model.share(None) == model.share("12 !") == 0.0 and model.share(docs[0].text) > 0.5
