@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from contextvars import ContextVar
-from itertools import islice
 from typing import TypeVar
 
 import numpy as np
@@ -132,32 +131,40 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 #: What a worker keeps of the words that it has met, and the longest of them. Longer ones are rare or unlike each other.
-KEPT_BYTES, LONGEST_KEPT = 96 << 20, 64
+KEPT_BYTES, LONGEST_KEPT = 224 << 20, 64
 #: Of an entry of a dict, beside key and value.
 ENTRY_BYTES = 104
 
 
 class Kept(dict[str, T]):
-    """A table of words, bounded in bytes whatever the words are: when it is full, the older half goes."""
+    """A table of words, bounded in bytes whatever the words are. It has two generations: when the younger one has half of the
+    bytes it becomes the older, and the older goes, but for words that are asked for in the meantime."""
 
     def __init__(self, most: int = KEPT_BYTES) -> None:
         super().__init__()
-        self.most, self.bytes = most, 0
+        self.most, self.bytes, self.older = most, 0, {}
+
+    def unknown(self, words: set[str]) -> set[str]:
+        """The words that aren't in the table. The others are in the younger generation after this, and all of them can be looked
+        up until words are kept."""
+        # not by difference(), which would go through the whole table
+        new = {w for w in words if w not in self}
+        for word in [w for w in new if w in self.older]:
+            self._add(word, self.older.pop(word))
+            new.discard(word)
+        return new
 
     def keep(self, found: Mapping[str, T]) -> None:
         for word, value in found.items():
+            if self.bytes > self.most // 2:
+                self.older, self.bytes = dict(self), 0
+                self.clear()
             if len(word) <= LONGEST_KEPT and word not in self:
-                self[word] = value
-                self.bytes += self._size(word, value)
-                if self.bytes > self.most:
-                    self._halve()
+                self._add(word, value)
 
-    def _size(self, word: str, value: T) -> int:
-        return ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
-
-    def _halve(self) -> None:
-        for word in list(islice(self, (len(self) + 1) // 2)):
-            self.bytes -= self._size(word, self.pop(word))
+    def _add(self, word: str, value: T) -> None:
+        self[word] = value
+        self.bytes += ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
 
 
 _resident: dict[tuple, object] = {}

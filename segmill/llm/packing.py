@@ -77,7 +77,7 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         # a word is what the library's splitting yields, so its model is asked right away
-        new = {w: pack_ids(self._model_ids(w)) for w in words if w not in self.ids}
+        new = {w: pack_ids(self._model_ids(w)) for w in self.ids.unknown(words)}
         found = {w: new[w] if w in new else self.ids[w] for w in words}
         self.ids.keep(new)
         return found

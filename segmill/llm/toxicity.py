@@ -175,7 +175,7 @@ class Matcher:
     def words(self, text: str) -> set[str]:
         """The words of a lower-case text that match."""
         words = set(WORDS.findall(text)) if len(text) <= LONG else {m[0] for m in WORDS.finditer(text)}
-        new = {w: self.match(w) for w in words if w not in self.known}
+        new = {w: self.match(w) for w in self.known.unknown(words)}
         hits = {w for w in words if (new[w] if w in new else self.known[w])}
         self.known.keep(new)
         return hits
