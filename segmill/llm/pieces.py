@@ -29,7 +29,7 @@ from segmill.llm.common import Kept, resident, slices
 
 SPACE = "▁"
 #: Units of a text that are held at once, and characters of neighbouring texts whose new units are learned together.
-UNITS, TOGETHER = 1 << 16, 1 << 20
+UNITS, TOGETHER = 1 << 16, 1 << 18
 #: A longer part has its agenda in a heap.
 SHORT = 48
 NONE = float("-inf")
@@ -153,7 +153,7 @@ class MergeVocabulary:
 
     def learn(self, units: set[str]) -> Mapping[str, str]:
         """Ids joined by commas of each unit; new ones are checked. A unit must decode to itself, with spaces for SPACE."""
-        new = [u for u in units if u not in self.units]
+        new = list(self.units.unknown(units))
         if not new:
             return self.units
         coded = [self.encode_unit(u) for u in new]
