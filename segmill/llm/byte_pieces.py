@@ -36,7 +36,7 @@ NAME, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 1, 3, 4, 5
 #: The piece for what is unknown; no byte stands for its character.
 UNKNOWN_PIECE = "⁇"
 #: Characters of neighbouring texts whose new words are learned together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +93,7 @@ class RankedBytes:
 
     def _ids(self, words: set[str]) -> Mapping[str, str]:
         """Ids of words, of which the new ones go to the library in one call."""
-        new = words.difference(self.known)
+        new = self.known.unknown(words)
         if not new:
             return self.known
         found = {w: self.known[w] for w in words if w not in new}
