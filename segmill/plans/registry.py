@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segmill.plans import streams
 from segmill.plans.oracle import SQL
 from segmill.plans.queries import QUERIES
 
@@ -13,8 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *streams.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | streams.STREAM_SQL

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -227,3 +228,17 @@ def write_log(stream: DataFrame, transport: Transport, checkpoint: str, key: str
     source = log_source(transport)
     stream.sparkSession.dataSource.register(source)
     return stream.select("value").writeStream.format(source.name()).option("key", key or checkpoint).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def log_table(spark: SparkSession, transport: Transport, start: int = 0, end: int | None = None, most: int = 100_000) -> DataFrame:
+    """(offset, value) of the messages from start to below end, or to what is there now, read by tasks."""
+    parts = transport.slices(start, transport.latest() if end is None else end, most)
+    named = spark.createDataFrame([(pickle.dumps(p),) for p in parts], "part binary").repartition(max(1, len(parts)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = LogReader(transport, most)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                yield from reader.read(Part(pickle.loads(part)))
+
+    return named.mapInArrow(read, LOGGED)

@@ -29,6 +29,7 @@ def test_file_log(spark, tmp_path):
     assert transport.latest() == 12 and values_of(transport) == want
     got = [row for p in transport.slices(3, 11, 2) for row in transport.fetch(p)]
     assert got == list(enumerate(want))[3:11] and len(transport.slices(3, 11, 2)) == 5
+    assert sorted(map(tuple, log.log_table(spark, transport, 3, 11, 2).collect())) == list(enumerate(want))[3:11] and log.log_table(spark, transport).count() == 12
     # what was staged and not published is not there, and what was published twice left no data
     transport.discard([transport.stage(iter("xy"))])
     assert len(list((tmp_path / "log/data").iterdir())) == 4
