@@ -123,7 +123,7 @@ def ask(prompts: DataFrame, make_classifier: Callable[[], Classifier], folder: s
     """Like classify, but answers are kept in the folder, `together` in a file, as they come. Prompts (with their text) that have
     an answer there aren't asked again; errors are. prompts should be a table, with one row for each tid and chunk_id."""
     store = ObjectStore(prompts.sparkSession, folder)
-    root, settings, run, asker = store.root, store._settings(), uuid.uuid4().hex, (make_classifier, attempts, pause_s, calls)
+    (root, settings), run, asker = store.for_tasks(), uuid.uuid4().hex, (make_classifier, attempts, pause_s, calls)
     left = prompts.join(kept_answers(prompts, folder).where("error is null"), ["tid", "chunk_id"], "left_anti")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

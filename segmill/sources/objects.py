@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from segmill.sources.shared import new_shared_folder
+
 SCHEMES = ("file", "hdfs", "viewfs", "s3a")
 LISTED = "key string, size bigint, last_modified timestamp"
 #: Contents of small objects are sent together up to so many bytes.
@@ -55,6 +57,14 @@ class ObjectStore:
         found = {name: self._conf.get(f"fs.s3a.bucket.{bucket}.{name}") or self._conf.get(f"fs.s3a.{name}") for name in S3_SETTINGS}
         return {name: value for name, value in found.items() if value} if self.root.startswith("s3a:") else {}
 
+    def for_tasks(self) -> tuple[str, dict[str, str]]:
+        """The root and settings by which tasks open the store: what a mount table (viewfs) hides is resolved, and made if missing."""
+        if not self.root.startswith("viewfs:"):
+            return self.root, self._settings()
+        store, path = self._at("")
+        store.mkdirs(path)
+        return store.resolvePath(path).toString().rstrip("/"), {}
+
     def put(self, key: str, data: bytes | str) -> None:
         """Bytes, or the path of a local file."""
         store, path = self._at(key)
@@ -100,13 +110,14 @@ class ObjectStore:
         Each task takes a range of keys, also of one flat folder, and sends it page by page. Ranges are of about equal numbers
         of the first SAMPLE names.
         """
-        options = {"root": self.root, "prefix": prefix, "tasks": str(tasks or 4 * self.spark.sparkContext.defaultParallelism), "settings": json.dumps(self._settings())}
+        root, settings = self.for_tasks()
+        options = {"root": root, "prefix": prefix, "tasks": str(tasks or 4 * self.spark.sparkContext.defaultParallelism), "settings": json.dumps(settings)}
         self.spark.dataSource.register(ObjectListing)
         return self.spark.read.format(ObjectListing.name()).options(**options).load()
 
     def read(self, prefix: str = "") -> DataFrame:
         """key and content of the objects below a directory. A task holds one object, or small ones of up to BATCH_BYTES."""
-        root, settings, tasks = self.root, self._settings(), 4 * self.spark.sparkContext.defaultParallelism
+        (root, settings), tasks = self.for_tasks(), 4 * self.spark.sparkContext.defaultParallelism
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, base = open_store(root, settings)
@@ -136,7 +147,7 @@ class ObjectStore:
         anyway (S3) gets them at once. Existing objects are replaced; of rows with one key any one counts. A null content is
         empty. Null and empty keys, and those that lead out of the root, raise before anything is moved.
         """
-        root, settings = self.root, self._settings()
+        root, settings = self.for_tasks()
         pending = f".pending-{uuid.uuid4().hex}"
         whole = root.startswith("s3a:")
 
@@ -147,6 +158,8 @@ class ObjectStore:
                 for key, content in zip(keys, batch.column("content"), strict=True):
                     _check(key)
                     places.append(key if whole else f"{pending}/{uuid.uuid4().hex}")
+                    if not whole and store.get_file_info(f"{base}/{pending}").type == fs.FileType.NotFound:
+                        raise ObjectStoreError("the write has ended")  # a task that outlives its job leaves nothing
                     _write(store, f"{base}/{places[-1]}", content.as_buffer() or b"")
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.string())], names=["key", "place"])
 
@@ -160,12 +173,18 @@ class ObjectStore:
                         store.move(f"{base}/{place}", f"{base}/{key}")
                 yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+        hadoop, path = self._at(pending)
+        hadoop.mkdirs(path)
+        # the table isn't among the objects
+        table = new_shared_folder(self.spark, "manifest")
         try:
-            objects.select("key", "content").mapInArrow(stage, "key string, place string").write.parquet(f"{root}/{pending}/manifest")
-            manifest = self.spark.read.schema("key string, place string").parquet(f"{root}/{pending}/manifest")
+            objects.select("key", "content").mapInArrow(stage, "key string, place string").write.parquet(table)
+            manifest = self.spark.read.schema("key string, place string").parquet(table)
             return manifest.mapInArrow(move, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         finally:
             self.delete(pending)
+            scratch = self._jvm.org.apache.hadoop.fs.Path(table)
+            scratch.getFileSystem(self._conf).delete(scratch, True)
 
 
 def _check(key: str | None) -> None:
@@ -174,7 +193,6 @@ def _check(key: str | None) -> None:
 
 
 def _write(store: fs.FileSystem, path: str, content: pa.Buffer | bytes) -> None:
-    store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(path, compression=None) as out:
         view = memoryview(content)
         for i in range(0, len(view), PIECE):

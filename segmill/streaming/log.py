@@ -62,8 +62,8 @@ class FileLog:
 
     @staticmethod
     def at(spark: SparkSession, path: str) -> FileLog:
-        store = ObjectStore(spark, path)
-        return FileLog(store.root, tuple(store._settings().items()))
+        root, settings = ObjectStore(spark, path).for_tasks()
+        return FileLog(root, tuple(settings.items()))
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return open_store(self.root, dict(self.settings))
