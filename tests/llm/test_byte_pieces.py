@@ -40,7 +40,7 @@ def test_any_text(text):
 
 def test_every_character_is_split_and_encoded_alike(coder):
     for first in range(0, 0x110000, 256):
-        text = "".join(f"a{chr(i)}{chr(i)} {chr(i)}1" for i in range(first, first + 256, 37) if not 0xD800 <= i < 0xE000)
+        text = "".join(f"a{chr(i)}{chr(i)} {chr(i)}1" for i in range(first, first + 256, 101) if not 0xD800 <= i < 0xE000)
         assert coder.encode(text) == LIBRARY.encode_ordinary(text)
 
 
