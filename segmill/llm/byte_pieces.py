@@ -37,6 +37,8 @@ NAME, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 1, 3, 4, 5
 UNKNOWN_PIECE = "⁇"
 #: Characters of neighbouring texts whose new words are learned together.
 TOGETHER = 1 << 18
+#: Bytes of the table of words.
+KEPT_WORDS = 224 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +91,7 @@ class RankedBytes:
         #: Ids of the model's pieces, as text.
         self.id_of = [str(r) for r in sorted(ranks.values())]
         self.bytes_of = {str(r): t for t, r in ranks.items()}
-        self.known: Kept[str] = Kept()
+        self.known: Kept[str] = Kept(KEPT_WORDS)
 
     def _ids(self, words: set[str]) -> Mapping[str, str]:
         """Ids of words, of which the new ones go to the library in one call."""

@@ -131,7 +131,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 #: What a worker keeps of the words that it has met, and the longest of them. Longer ones are rare or unlike each other.
-KEPT_BYTES, LONGEST_KEPT = 224 << 20, 64
+KEPT_BYTES, LONGEST_KEPT = 128 << 20, 64
 #: Of an entry of a dict, beside key and value.
 ENTRY_BYTES = 104
 

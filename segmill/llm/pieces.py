@@ -30,6 +30,8 @@ from segmill.llm.common import Kept, resident, slices
 SPACE = "▁"
 #: Units of a text that are held at once, and characters of neighbouring texts whose new units are learned together.
 UNITS, TOGETHER = 1 << 16, 1 << 18
+#: Bytes of the table of units, which are dear to encode.
+KEPT_UNITS = 224 << 20
 #: A longer part has its agenda in a heap.
 SHORT = 48
 NONE = float("-inf")
@@ -58,7 +60,7 @@ class MergeVocabulary:
             raise ValueError("a piece has a space after another character")
         self.letter, self.unit = self._units()
         #: Of units: ids joined by commas.
-        self.units: Kept[str] = Kept()
+        self.units: Kept[str] = Kept(KEPT_UNITS)
 
     def _units(self) -> tuple[re.Pattern, re.Pattern]:
         """What counts as a letter, and the pattern of a unit. No piece joins a letter and another character than a
