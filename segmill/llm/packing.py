@@ -33,6 +33,8 @@ from segmill.llm.byte_level import SPLIT, visible, words_of
 from segmill.llm.common import Kept, materialise, resident, slices
 
 SEED = 17
+#: Bytes of the table of words.
+KEPT_WORDS = 160 << 20
 #: Numbers of repeated rows that are made at once.
 COPIES = 1 << 16
 
@@ -52,7 +54,7 @@ class WordTokenizer:
         probe = " Aé\x00 b'll\n"
         if [i for w in SPLIT.findall(probe) for i in self._model_ids(w)] != self.library.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} is no byte-level tokenizer")
-        self.ids: Kept[bytes] = Kept()
+        self.ids: Kept[bytes] = Kept(KEPT_WORDS)
         specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: np.uint32(i).tobytes() for k, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
