@@ -13,8 +13,9 @@ deviance of Poisson counts, turned into a probability by a logistic curve that i
 in a quotation counts in part; a window of words and the marks around it tell a quotation from abuse.
 
 At most `limit` labelled rows, those with the smallest hashes of their ids, are learned from, so the lexicon is bounded by
-that sample and can be broadcast whatever the size of the input. Words that report speech, which mark a quotation beside
-quotation marks, are a parameter. A long text's words are made as they are used.
+that sample and can be broadcast whatever the size of the input. Words that report speech make a quotation of a mention
+with a quotation mark near it. They are learned too: words that stand near mentions between quotation marks, in many
+contexts, and hardly near others (or a list is given). A long text's words are made as they are used.
 
 A null or empty text scores 0. If no terms can be learned, all texts do. Repeated rows and null doc_ids each get a score;
 extra columns are ignored; an empty table gives an empty result.
@@ -57,11 +58,12 @@ VARIETY = 0.5
 WINDOW = 5
 #: The weight of a quotation before anything is learned about it, worth so many mentions.
 QUOTED, QUOTED_PRIOR = 0.3, 4
+#: Kinds of counts from here on are contexts of a word near mentions: even without quotation marks around these, odd with.
+NEAR = 1000
 #: Keys that a task counts before it sends them.
 MAX_COUNTED = 200_000
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
-REPORTING = frozenset("quote quoted quotes quoting cited citing word term phrase said says wrote called zitat zitiert wort sagte citation cite mot dit cita palabra dijo".split())
 
 Walk = frozenset[tuple[int, int, int]]
 
@@ -82,7 +84,7 @@ class Lexicon:
     #: Whole words with a beginning among the terms, for their misspellings only.
     words: frozenset[str] = frozenset()
     #: Words that report speech.
-    reporting: frozenset[str] = REPORTING
+    reporting: frozenset[str] = frozenset()
 
 
 class Matcher:
@@ -180,8 +182,9 @@ class Matcher:
         self.known.keep(new)
         return hits
 
-    def mentions(self, text: str) -> Iterator[tuple[str, str, int, bool, int]]:
-        """Word, term, errors, whether it is quoted, and a hash of its context."""
+    def mentions(self, text: str) -> Iterator[tuple[list[re.Match], int, str, int, bool, bool]]:
+        """Words around and the mention's place there, term, errors, whether quotation marks stand on both sides, and whether
+        the mention is quoted."""
         low = text.lower()
         hits = self.words(low)
         if not hits:
@@ -189,17 +192,17 @@ class Matcher:
         for found, i in windows(low, hits):
             m = found[i]
             term, errors = self.known.get(m[0]) or self.match(m[0])
-            around = [x[0] for x in found]
             start, end = found[0].start(), found[-1].end()
             marked = any(q in low[start : m.start()] for q in QUOTES) and any(q in low[m.end() : end + 1] for q in QUOTES)
             near = low[max(0, start - 1) : end + 1]
-            yield m[0], term, errors, marked or not self.lexicon.reporting.isdisjoint(around) and any(q in near for q in QUOTES), hash_of(found, i)
+            reported = any(q in near for q in QUOTES) and not self.lexicon.reporting.isdisjoint(x[0] for x in found)
+            yield found, i, term, errors, marked, marked or reported
 
     def deviance(self, text: str | None) -> tuple[float, int]:
         """How far the mentions exceed the rates of clean texts, and their number."""
         counts: dict[str | int, float] = {}
         n = 0
-        for _, term, errors, quoted, _ in self.mentions(text or ""):
+        for _, _, term, errors, _, quoted in self.mentions(text or ""):
             key = errors or term
             counts[key] = counts.get(key, 0.0) + (self.lexicon.quoted if quoted else 1.0)
             n += 1
@@ -285,18 +288,18 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def _one_sided(counted: DataFrame, share: float) -> DataFrame:
+def _one_sided(counted: DataFrame, share: float, yes: str = "toxic", no: str = "clean") -> DataFrame:
     """The terms whose texts are toxic so often that chance, at this share of toxic texts, explains it badly."""
-    n = F.col("toxic") + F.col("clean")
-    p = F.col("toxic") / n
+    n = F.col(yes) + F.col(no)
+    p = F.col(yes) / n
     # log of the Chernoff bound of the binomial tail
-    rest = F.when(F.col("clean") > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    rest = F.when(F.col(no) > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
     bounded = counted.where(p >= PRECISION).withColumn("bound", -n * (p * F.log(p / share) + rest))
     return bounded.where(F.col("bound") <= SURPRISE)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS, reporting: frozenset[str] = REPORTING) -> Lexicon:
-    """Learn the lexicon from the labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = TRAIN_ROWS, reporting: frozenset[str] | None = None) -> Lexicon:
+    """Learn the lexicon from the labelled rows outside the held-out fold; words that report speech only if none are given."""
     marks = training_labels(labels, "toxic", folds, held_out, limit)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("label", "text").distinct()
     rows = materialise(rows, "toxicity-rows")
@@ -316,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     # words that copies share stand in few contexts for so many texts
     kept = {t: (m1, m0) for t, (m1, m0, varied) in found.items() if varied >= max(least, VARIETY * good[t])}
     terms, words = _chosen(kept, sizes[1], sizes[0])
-    return _with_contexts(rows, Lexicon(terms, words=words, reporting=reporting), sizes[0])
+    return _with_contexts(rows, Lexicon(terms, words=words), sizes[0], reporting)
 
 
 def _mentions(rows: DataFrame, terms: frozenset[str]) -> dict[str, tuple[int, int, int]]:
@@ -363,8 +366,8 @@ def _chosen(terms: dict[str, tuple[int, int]], toxic_words: int, clean_words: in
     return kept, begun
 
 
-def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexicon:
-    """Learn what misspelled and quoted mentions are worth, then the curve."""
+def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int, reporting: frozenset[str] | None = None) -> Lexicon:
+    """Learn what misspelled and quoted mentions are worth and which words report speech, then the curve."""
     if not lexicon.terms:
         return lexicon
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -372,15 +375,21 @@ def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexic
     def work():
         matcher = Matcher(shared.value)
 
-        def each(mark: int, text: str) -> list[tuple[str, int]]:
-            found = {(w if errors else "", errors, quoted) for w, _, errors, quoted, _ in matcher.mentions(text)}
-            return [(w, 100 * mark + 10 * errors + quoted) for w, errors, quoted in found]
+        def each(mark: int, text: str) -> set[tuple[str, int]]:
+            out = set()
+            for found, i, _, errors, marked, _ in matcher.mentions(text):
+                out.add((found[i][0] if errors else "", 100 * mark + 10 * errors + marked))
+                if reporting is None and not errors:
+                    context = NEAR + 2 * (hash_of(found, i) >> 3) + marked
+                    out.update((m[0] if j != i else "", context) for j, m in enumerate(found))
+            return out
 
         return each
 
+    counted = materialise(_counts(rows, work, COUNTS).groupBy("term", "kind").agg(F.sum("n").alias("n")), "toxicity-contexts")
     quoted, words = [0, 0], {}
     # misspellings are at most as many as the words near the lexicon's terms
-    for r in _counts(rows, work, COUNTS).groupBy("term", "kind").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in counted.where(F.col("kind") < NEAR).toLocalIterator():
         mark, wrong, in_quotes = r.kind // 100, r.kind // 10 % 10, r.kind % 10
         if in_quotes and not wrong:
             quoted[mark] += r.n
@@ -390,10 +399,24 @@ def _with_contexts(rows: DataFrame, lexicon: Lexicon, clean_words: int) -> Lexic
     # clean texts hold misspellings that were not seen as often as those that were seen once
     rates = [(sum(c for e, c, t in words.values() if e == wrong and c <= 1) + 0.5) / clean_words for wrong in (1, 2)]
     share = (quoted[1] + QUOTED_PRIOR * QUOTED) / (sum(quoted) + QUOTED_PRIOR)
-    lexicon = replace(lexicon, errors=tuple(rates), clean=clean, quoted=share)
+    if reporting is None:
+        reporting = _reporting(counted.where(F.col("kind") >= NEAR), Matcher(lexicon))
+    lexicon = replace(lexicon, errors=tuple(rates), clean=clean, quoted=share, reporting=reporting)
     return replace(lexicon, curve=_curve(rows, lexicon))
 
 
+def _reporting(near: DataFrame, matcher: Matcher) -> frozenset[str]:
+    """Words whose contexts have quotation marks around the mention so often that chance explains it badly."""
+    marked = F.col("kind") % 2
+    counts = near.groupBy("term").agg(F.sum(marked).alias("quoted"), F.sum(1 - marked).alias("plain"))
+    whole = counts.where("term = ''").first()
+    if whole is None or not whole.quoted or not whole.plain:
+        return frozenset()
+    share = whole.quoted / (whole.quoted + whole.plain)
+    found = _one_sided(counts.where("term <> '' and quoted > 0"), share, "quoted", "plain").collect()
+    return frozenset(r.term for r in found if matcher.match(r.term) is None)
+
+
 def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     """Logistic regression on the deviance, from counts of texts by label and tenth of a unit."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)

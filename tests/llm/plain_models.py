@@ -12,9 +12,8 @@ import xxhash
 
 WORD = re.compile(r"[^\W\d_]+")
 
-# Quotation marks and words that report speech, as the operator's parameters have them.
+# Quotation marks, as the operator has them.
 QUOTES = "\"“”„«»‹›"
-REPORTING = frozenset("quote quoted quotes quoting cited citing word term phrase said says wrote called zitat zitiert wort sagte citation cite mot dit cita palabra dijo".split())
 
 
 def in_fold(doc_id, n):
@@ -96,10 +95,15 @@ class Toxicity:
         self.terms, self.words = plain_lexicon(rows)
         self.whole = [t for t in (*self.terms, *self.words) if not t.endswith("*")]
         self.begins = [t for t in self.terms if t.endswith("*")]
-        self.clean, self.known = frozenset(), {}
-        quoted, seen = [0, 0], {}
+        self.clean, self.known, self.reporting = frozenset(), {}, frozenset()
+        quoted, seen, near = [0, 0], {}, [{}, {}]
         for mark, low in rows:
-            for w, errors, q in {(w if errors else "", errors, q) for w, _, errors, q in self.mentions(low)}:
+            found = list(self.mentions(low))
+            for _, _, errors, q, context, around in found:
+                if not errors:
+                    for w in ("", *around):
+                        near[q].setdefault(w, set()).add(context)
+            for w, errors, q in {(w if errors else "", errors, q) for w, _, errors, q, _, _ in found}:
                 if q and not errors:
                     quoted[mark] += 1
                 if errors:
@@ -108,6 +112,7 @@ class Toxicity:
         self.clean = frozenset(w for w, (_, c, t) in seen.items() if c > t)
         self.errors = tuple((sum(c for e, c, _ in seen.values() if e == wrong and c <= 1) + 0.5) / size for wrong in (1, 2))
         self.quoted = (quoted[1] + 4 * 0.3) / (sum(quoted) + 4)
+        self.reporting = self.reporters(*near)
         self.known = {}
         cells = Counter()
         for mark, low in rows:
@@ -124,19 +129,31 @@ class Toxicity:
             self.known[w] = (max(own, key=len), 0) if own else (near[0][1], near[0][0]) if near and (near[0][0] == 0 or w not in self.clean) else None
         return self.known[w]
 
+    def reporters(self, plain, quoted):
+        """Words whose contexts are between quotation marks more often than chance has it."""
+        count = lambda side, w: len(side.get(w, ()))
+        share, out = count(quoted, "") / max(1, count(quoted, "") + count(plain, "")), set()
+        for w in quoted if 0 < share < 1 else ():
+            a, b = count(quoted, w), count(plain, w)
+            p = a / (a + b)
+            chance = a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0)
+            if w and p >= 0.4 and chance >= 14 and self.match(w) is None:
+                out.add(w)
+        return frozenset(out)
+
     def mentions(self, low):
-        """Word, term, errors, and whether it is quoted."""
+        """Word, term, errors, whether it is quoted, the words beside it and those of its window."""
         found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(low)]
         has = lambda part: any(q in part for q in QUOTES)
         for i, (w, start, end) in enumerate(found):
             if (hit := self.match(w)) is not None:
                 window = found[max(0, i - 5) : i + 6]
                 a, b = window[0][1], window[-1][2]
-                yield w, *hit, has(low[a:start]) and has(low[end : b + 1]) or any(x[0] in REPORTING for x in window) and has(low[max(0, a - 1) : b + 1])
+                yield w, *hit, has(low[a:start]) and has(low[end : b + 1]) or any(x[0] in self.reporting for x in window) and has(low[max(0, a - 1) : b + 1]), (*(x[0] for x in found[max(0, i - 1) : i]), "|", *(x[0] for x in found[i + 1 : i + 2])), [x[0] for x in found[max(0, i - 5) : i] + found[i + 1 : i + 6]]
 
     def deviance(self, low):
         counts, n = Counter(), 0
-        for _, term, errors, quoted in self.mentions(low):
+        for _, term, errors, quoted, _, _ in self.mentions(low):
             counts[errors or term] += self.quoted if quoted else 1.0
             n += 1
         value, size = 0.0, len(TOKEN.findall(low))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from plain_models import Toxicity
 from pyspark.sql import functions as F
 
 from segmill.llm import language, quality, toxicity
@@ -199,6 +200,32 @@ def test_automaton_stays_bounded():
     assert max(sizes) < 1.1 * toxicity.MAX_PAIRS
 
 
+def test_reporting_words_are_learned(spark, make_docs):
+    """Words beside quoted mentions report speech, not words of one passage that is copied, nor words beside any mention."""
+    rows = []
+    names = [a + b for a in "bdfglnprtv" for b in ("ola", "emi", "uka", "ano", "iru", "ebo")]
+    for i in range(900):
+        a, b, c = names[i % 60], names[(7 * i + i // 60) % 60], names[(11 * i + 3) % 60]
+        if i % 10 == 0:
+            text, toxic = f"{a} {b} scumbag rather {c} {a}", 1
+        elif i % 75 == 1:
+            text, toxic = f'{a} proclaimed {b} "scumbag" {c} rather {a}', 0
+        elif i % 75 == 2:
+            text, toxic = f'copied {i} words here "scumbag" always follow {a}', 0
+        else:
+            text, toxic = f"{a} {b} zebra rather {c} {a}", 0
+        rows.append((i, text, toxic))
+    docs = make_docs([(i, text) for i, text, _ in rows])
+    labels = spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs, labels, folds=1, held_out=1)
+    model = Toxicity(sorted({(toxic, text) for _, text, toxic in rows}))
+    assert lexicon.reporting == model.reporting == {"proclaimed"} and lexicon.quoted == pytest.approx(model.quoted) and lexicon.quoted < 0.1
+    matcher = toxicity.Matcher(lexicon)
+    assert matcher.score('you proclaimed a "scumbag')[0] < matcher.score('you decided a "scumbag')[0]
+    given = toxicity.fit(docs, labels, folds=1, held_out=1, reporting=frozenset({"decided"}))
+    assert given.reporting == {"decided"} and given.terms == lexicon.terms and given.quoted == lexicon.quoted
+
+
 @pytest.mark.parametrize("long", [10, 1 << 22])
 def test_windows_are_slices(monkeypatch, long):
     monkeypatch.setattr(toxicity, "LONG", long)

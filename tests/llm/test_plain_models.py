@@ -199,6 +199,7 @@ def test_misspellings_quotations_and_curve(spark):
     model = Toxicity(sorted({(m, texts[d].lower()) for d, m in marks.items() if d in texts}))
     assert lexicon.terms and lexicon.terms.keys() == model.terms.keys() and set(lexicon.words) == model.words
     assert lexicon.clean == model.clean and lexicon.quoted == pytest.approx(model.quoted) and lexicon.errors == pytest.approx(model.errors)
+    assert lexicon.reporting == model.reporting
     assert lexicon.curve == pytest.approx(model.curve, rel=1e-5)
 
 
