@@ -1,7 +1,8 @@
 """Encoding and decoding with a merge-type SentencePiece vocabulary.
 
 The encoder keeps an agenda of adjacent symbol pairs that are pieces, ordered by score, then from the left, and merges
-the best pair until none is left; symbols that are no pieces become bytes. Two exact cuts keep the work small. No piece
+the best pair until none is left; symbols that are no pieces become bytes. Many new units have their agendas side by side, as
+the rows of an array. Two exact cuts keep the work small. No piece
 of such a vocabulary has a space after another character, so a text is cut before each run of spaces. A pair of
 characters that stands in no piece is never merged across, so a unit is cut there too. A unit is encoded once and
 kept in a table of each Python worker that is bounded in bytes. A long text's units are made part by part.
@@ -18,9 +19,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterable, Iterator, Mapping
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -29,11 +32,13 @@ from segmill.llm.common import Kept, resident, slices
 
 SPACE = "▁"
 #: Units of a text that are held at once, and characters of neighbouring texts whose new units are learned together.
-UNITS, TOGETHER = 1 << 16, 1 << 18
+UNITS, TOGETHER = 1 << 16, 1 << 21
 #: Bytes of the table of units, which are dear to encode.
 KEPT_UNITS = 224 << 20
 #: A longer part has its agenda in a heap.
 SHORT = 48
+#: At least as many new units have their agendas in arrays, but for longer ones than LONGEST_ROW.
+TOGETHER_ROWS, LONGEST_ROW = 32, 64
 NONE = float("-inf")
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -52,13 +57,17 @@ class MergeVocabulary:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         plain = [i for i in range(count) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        #: The text of ids that are no bytes.
-        self.text_of = {str(i): p.replace(SPACE, " ") for i, p in enumerate(self.pieces) if i not in self.byte_of}
+        self.decimal = [str(i) for i in range(count)]
+        #: The text of ids; None for bytes.
+        self.text_of = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        #: Of ids in decimal: their text; a byte above 127 is a surrogate that stands for it.
+        self.escaped = {str(i): bytes([self.byte_of[i]]).decode(errors="surrogateescape") if t is None else t for i, t in enumerate(self.text_of)}
         self.score = {self.pieces[i]: lib.get_score(i) for i in plain}
         self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space after another character")
         self.letter, self.unit = self._units()
+        self._arrays()
         #: Of units: ids joined by commas.
         self.units: Kept[str] = Kept(KEPT_UNITS)
 
@@ -69,9 +78,84 @@ class MergeVocabulary:
         mixed = [ab for ab in self.joined if SPACE not in ab and bool(letter.match(ab[0])) != bool(letter.match(ab[1]))]
         odd = "".join(map(re.escape, sorted({c for ab in mixed for c in ab if letter.match(c)})))
         letter = re.compile(rf"[^\W\d_{odd}]")
+        #: With these in a text, what isalpha() says is a letter may be none here.
+        self.no_words = re.compile(rf"[{odd}]") if odd else re.compile("(?!)")
         if any(SPACE not in ab and bool(letter.match(ab[0])) != bool(letter.match(ab[1])) for ab in self.joined):
-            return letter, re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        return letter, re.compile(rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[\W\d_{odd}](?<!{SPACE}))+|{SPACE}+")
+            self.no_words = re.compile("")
+            return letter, re.compile(" *[^ ]+| +")
+        return letter, re.compile(rf" *[^\W\d_{odd}]+| *(?:[\W\d_{odd}](?<! ))+| +")
+
+    def _arrays(self) -> None:
+        """What merge_rows looks up: ids of characters; pairs of ids that make a piece, ascending, and its id; scores. -1 is none."""
+        self.id_of_char = np.full(sys.maxunicode + 1, -1, np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.id_of_char[ord(p)] = i
+        pairs = sorted((self._pair(self.ids[a], self.ids[b]), i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := p[:k]) in self.ids and (b := p[k:]) in self.ids)
+        # the last one is above all pairs, so that a place to the right of each pair exists
+        self.pairs = np.array([*(pair for pair, _ in pairs), np.iinfo(np.int64).max], np.int64)
+        self.pair_ids = np.array([*(i for _, i in pairs), -1], np.int64)
+        self.scores = np.array([*(self.score.get(p, NONE) for p in self.pieces), NONE])
+
+    def _pair(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
+        return a * len(self.pieces) + b
+
+    def _joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ids of the pieces that pairs of ids make."""
+        pair = self._pair(a, b)
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.pair_ids[at], -1)
+
+    def merge_rows(self, symbols: np.ndarray) -> Iterator[tuple[list[int], list[list[int]]]]:
+        """Ids of units with equal numbers of symbols, a row for each: numbers of rows that are done, and their ids. The agenda of a
+        unit is a row of the ids that its pairs would have; each step merges the first of the best pairs of every row."""
+        number = np.arange(len(symbols))
+        joint = self._joint(symbols[:, :-1], symbols[:, 1:])
+        score = self.scores[joint]
+        while len(number):
+            if not joint.shape[1]:
+                yield number.tolist(), symbols.tolist()
+                return
+            rows = np.arange(len(number))
+            best = score.argmax(axis=1)
+            more = score[rows, best] > NONE
+            if not more.all():
+                yield number[~more].tolist(), symbols[~more].tolist()
+                number, symbols, joint, score, best = number[more], symbols[more], joint[more], score[more], best[more]
+                rows = rows[: len(number)]
+            n, width = symbols.shape
+            symbols[rows, best] = joint[rows, best]
+            kept = np.ones(symbols.shape, bool)
+            kept[rows, best + 1] = False
+            symbols = symbols[kept].reshape(n, width - 1)
+            kept = np.ones(joint.shape, bool)
+            kept[rows, best] = False
+            joint, score = joint[kept].reshape(n, width - 2), score[kept].reshape(n, width - 2)
+            for those, place in ((best > 0, best - 1), (best < width - 2, best)):
+                r, c = rows[those], place[those]
+                joint[r, c] = made = self._joint(symbols[r, c], symbols[r, c + 1])
+                score[r, c] = self.scores[made]
+
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        if len(units) < TOGETHER_ROWS:
+            return [self.encode_unit(u) for u in units]
+        ids: list[list[int]] = [[]] * len(units)
+        of_length: dict[int, list[int]] = {}
+        for i, u in enumerate(units):
+            of_length.setdefault(len(u), []).append(i)
+        for length, those in of_length.items():
+            alone = those
+            if 0 < length <= LONGEST_ROW:
+                chars = np.frombuffer("".join([units[i] for i in those]).encode("utf-32-le"), np.uint32).reshape(-1, length)
+                symbols = self.id_of_char[chars]
+                known = (symbols >= 0).all(axis=1)
+                at, alone = np.array(those)[known], np.array(those)[~known].tolist()
+                for done, found in self.merge_rows(symbols[known]):
+                    for i, row in zip(at[done].tolist(), found, strict=True):
+                        ids[i] = row
+            for i in alone:  # long, or with characters that become bytes
+                ids[i] = self.encode_unit(units[i])
+        return ids
 
     def merge(self, text: str) -> list[int]:
         """Ids of `text`, whose spaces are SPACE already."""
@@ -119,6 +203,8 @@ class MergeVocabulary:
         return [s for s in symbols if s]
 
     def encode_unit(self, unit: str) -> list[int]:
+        if len(unit) <= SHORT:
+            return self.merge(unit)
         ids: list[int] = []
         start = 0
         for i in range(1, len(unit)):
@@ -129,8 +215,10 @@ class MergeVocabulary:
 
     def decode_ids(self, ids: list[int]) -> str:
         """The text of ids, with the leading space that encoding puts first."""
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        try:
+            return "".join(map(self.text_of.__getitem__, ids))
+        except TypeError:  # bytes
+            pass
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -145,25 +233,43 @@ class MergeVocabulary:
         return "".join(out).replace(SPACE, " ")
 
     def split(self, text: str) -> Iterator[list[str]]:
-        """Units of a text, UNITS at a time: a run of spaces and what follows up to the next."""
+        """Units of a text, UNITS at a time: a run of spaces, which SPACE is too, and what follows up to the next."""
+        text = text.replace(SPACE, " ")
         if len(text) <= UNITS:
-            yield self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            yield self._split_words(text) if not (text and self.no_words.search(text)) else self.unit.findall(" " + text)
             return
-        found = (m[0] for m in self.unit.finditer(SPACE + text.replace(" ", SPACE)))
+        found = (m[0] for m in self.unit.finditer(" " + text))
         while units := list(islice(found, UNITS)):
             yield units
 
+    def _split_words(self, text: str) -> list[str]:
+        """The same units of a text without odd letters; words of letters are units as they are."""
+        units: list[str] = []
+        before = " "
+        for word in text.split(" ") if text else []:
+            if word.isalpha():
+                units.append(before + word)
+            elif word:
+                units += self.unit.findall(before + word)
+            else:
+                before += " "
+                continue
+            before = " "
+        if len(before) > 1:
+            units.append(before[1:])
+        return units
+
     def learn(self, units: set[str]) -> Mapping[str, str]:
-        """Ids joined by commas of each unit; new ones are checked. A unit must decode to itself, with spaces for SPACE."""
+        """Ids joined by commas of each unit; new ones are checked. A unit must decode to itself."""
         new = list(self.units.unknown(units))
         if not new:
             return self.units
-        coded = [self.encode_unit(u) for u in new]
+        coded = self.encode_units([u.replace(" ", SPACE) for u in new])
         if self.check:
             # behind a character of the other kind, with which a unit never merges
             before = ["(" if self.letter.match(u) else "a" for u in new]
             skip = {b: len(self.encode_unit(SPACE + b)) for b in "(a"}
-            plain = [b + u.replace(SPACE, " ") for b, u in zip(before, new, strict=True)]
+            plain = [b + u for b, u in zip(before, new, strict=True)]
             rights = self.library.encode(plain, num_threads=1)
             for u, ids, b, right in zip(new, coded, before, rights, strict=True):
                 if ids != right[skip[b] :]:
@@ -172,7 +278,7 @@ class MergeVocabulary:
             texts = [b + self.decode_ids(ids) for b, ids in zip(before, coded, strict=True)]
             if texts != plain or " ".join(texts) != self.library.decode(list(chain.from_iterable(rights))):
                 raise ValueError(f"the library decodes one of {new} otherwise")
-        fresh = {u: ",".join(map(str, ids)) for u, ids in zip(new, coded, strict=True)}
+        fresh = {u: ",".join(map(self.decimal.__getitem__, ids)) for u, ids in zip(new, coded, strict=True)}
         known = {u: fresh[u] if u in fresh else self.units[u] for u in units}
         self.units.keep(fresh)
         return known
@@ -183,7 +289,7 @@ class MergeVocabulary:
         size = 0
 
         def done() -> Iterator[Iterator[str]]:
-            ids = self.learn({u for units in held for u in units})
+            ids = self.learn(set().union(*held))
             for units in held:
                 yield iter([",".join(map(ids.__getitem__, units))])
 
@@ -216,11 +322,10 @@ class MergeVocabulary:
 
     def decode_joined(self, ids: str, first: bool = True) -> str:
         """decode() of ids joined by commas; first: whether they begin a text, whose leading space goes."""
-        listed = ids.split(",") if ids else []
-        try:
-            text = "".join(map(self.text_of.__getitem__, listed))
-        except KeyError:  # bytes
-            text = self.decode_ids(list(map(int, listed)))
+        # a piece begins with a character, so bytes before it that end within one stay apart from it
+        text = "".join(map(self.escaped.__getitem__, ids.split(","))) if ids else ""
+        if not text.isascii():
+            text = text.encode(errors="surrogateescape").decode(errors="replace")
         return text[1:] if first and text.startswith(" ") else text
 
     def decode(self, ids: list[int]) -> str:
@@ -250,8 +355,8 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(model)
-        for batch in slices(batches):
-            n, ids, decoded = zip(*coder.digests(t or "" for t in batch.column(1).to_pylist()), strict=True)
+        for batch in filter(len, batches):
+            n, ids, decoded = zip(*coder.digests(t.as_py() or "" for t in batch.column(1)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(digest, DIGESTS)

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 
 import public_tokenizers
 import pytest
@@ -37,6 +39,48 @@ def test_both_agendas_agree():
         assert coder._merge_short(list(text)) == coder._merge_long(list(text))
 
 
+def test_many_units_side_by_side():
+    """Agendas in the rows of arrays give what the agenda of a unit alone gives, and equal scores are taken from the left."""
+    coder = pieces.vocabulary(PATH)
+    rng = random.Random(3)
+    parts = ["the", "ing", "tion", "aa", "a", "ße", "é", "日", "1", "7", ".", "\n", "\U0001f642", "qz"]
+    units = [("▁" if rng.random() < 0.5 else "") + "".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(2000)]
+    units += ["", "▁", "a" * 30, "a" * 31, "x" * 65, "the" * 30]
+    assert coder.encode_units(units) == [coder.encode_unit(u) for u in units]
+    assert [coder.encode_units(units[:n]) for n in (0, 1, pieces.TOGETHER_ROWS)] == [[coder.encode_unit(u) for u in units[:n]] for n in (0, 1, pieces.TOGETHER_ROWS)]
+    texts = ["".join(units[i : i + 40]) for i in range(0, 2000, 40)]
+    assert [n for n, *_ in coder.digests(texts)] == [len(LIBRARY.encode(t)) for t in texts]
+
+
+def test_agendas_of_many_units_are_no_loop(monkeypatch):
+    """New units of plain characters don't go through Python one by one."""
+    coder = pieces.MergeVocabulary(PATH)
+    alone = []
+    merge = coder.merge
+    monkeypatch.setattr(coder, "merge", lambda text: alone.append(text) or merge(text))
+    text = " ".join("".join(p) for p in itertools.product(("ver", "an", "the"), ("ing", "tion", "heit"), ("s", "en", "able"), ("x", "or")))
+    assert coder.encode(text) == LIBRARY.encode(text)
+    assert len(alone) <= 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("  ab,.é²1_\n日ªº▁"), max_size=30))
+def test_words_are_the_pattern_s_units(text):
+    coder = pieces.vocabulary(PATH)
+    assert [*coder.split(text)] == [coder.unit.findall(" " + text.replace("▁", " ")) if text else []]
+
+
+def test_bytes_decode_with_the_rest():
+    """A newline becomes a byte; texts with one are decoded without a loop over ids."""
+    coder = pieces.MergeVocabulary(PATH)
+    text = "one\ntwo 日\n\U0001f642 \x00x"
+    ids = LIBRARY.encode(text)
+    coder.decode_ids = None
+    assert coder.decode_joined(",".join(map(str, ids))) == LIBRARY.decode(ids) == text
+    cut = [*LIBRARY.encode("a"), coder.byte_ids[0xE6], coder.byte_ids[0x97], *LIBRARY.encode("b")]
+    assert coder.decode_joined(",".join(map(str, cut))) == pieces.vocabulary(PATH).decode(cut)
+
+
 def test_documents(spark, make_docs):
     rows = [(1, None), (None, "a b"), *((10 + i, t) for i, t in enumerate(TEXTS)), (10, "")]
     docs = make_docs(rows)
