@@ -7,6 +7,7 @@ request is dropped by its time to live, which is a choice of this library.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -60,7 +61,7 @@ class RequestState(StatefulProcessor):
         events = sorted((tuple(None if pd.isna(x) else x for x in r) for batch in rows for r in batch[columns].itertuples(index=False)), key=lambda e: e[:2])
         request = self.request.get() if self.request.exists() else None
         steps = list(self.steps.get()) if request else []
-        n_old, kept, changed, unknown = len(steps), True, False, []
+        n_old, kept, changed, unknown, early = len(steps), True, False, [], []
         while events:
             seq, kind, status, step, step_status, type_, url = events.pop(0)
             seq = int(seq)
@@ -69,14 +70,15 @@ class RequestState(StatefulProcessor):
                 if seq >= since:
                     steps, kept = [s for s in steps if s[0] >= seq], False
                     request = (min(first, seq), seq, type_, url, *((last_status, last_seq) if last_seq >= seq else ("processing", seq)))
-                    if self.hold and self.early.exists():
-                        events = sorted([*((s, 1, *rest, None, None) for s, *rest in self.early.get() if s >= seq), *events], key=lambda e: e[:2])
+                    if self.hold and (early or self.early.exists()):
+                        events = sorted([*((s, 1, *rest, None, None) for s, *rest in chain(self.early.get(), early) if s >= seq), *events], key=lambda e: e[:2])
                         self.early.clear()
+                        early = []
                 else:
                     request = (min(first, seq), *request[1:])
                 changed = True
             elif request is None and self.hold:
-                self.early.appendValue((seq, status, step, step_status))
+                early.append((seq, status, step, step_status))
             elif request is None or seq < request[0]:
                 unknown.append((seq, status, step, step_status))
             elif seq >= request[1]:
@@ -88,6 +90,8 @@ class RequestState(StatefulProcessor):
                 if seq >= request[5]:
                     request = (*request[:4], status, seq)
                 changed = True
+        if early:
+            self.early.appendList(early)
         if changed:
             self.request.update(request)
             if not kept:
@@ -109,13 +113,41 @@ class RequestState(StatefulProcessor):
 
 def request_changes_stream(messages: DataFrame, submissions: DataFrame, ttl_ms: int | None = None, hold: bool = False) -> DataFrame:
     """Rows of two kinds (update mode): `request`, each request that a batch changed, with all of its steps; and `unknown`, each
-    update of an id that no submission opened. With `hold` streams may arrive in any order, and there are no unknown rows."""
+    update of an id that no submission opened. With `hold` streams may arrive in any order, and there are no unknown rows.
+
+    Held requests without a time to live follow from what has arrived, whatever its order, so their state is a streaming
+    aggregation; other requests are RequestState's, in Python."""
     nothing = F.lit(None).cast("string")
     told = status_updates(messages).select("seq", "correlation_id", F.lit(1).alias("kind"), "status", "step", "step_status", nothing.alias("type"), nothing.alias("url"))
     opened = submissions.where(~missing(F.col("correlation_id"))).select("seq", "correlation_id", F.lit(0).alias("kind"), nothing.alias("status"), nothing.alias("step"), nothing.alias("step_status"), "type", "url")
+    if hold and ttl_ms is None:
+        return _held_requests(told.unionByName(opened))
     return told.unionByName(opened).groupBy("correlation_id").transformWithStateInPandas(RequestState(ttl_ms, hold), CHANGES, "update", "processingTime" if ttl_ms else "none")
 
 
+def _held_requests(events: DataFrame) -> DataFrame:
+    """CHANGES of all ids that batches touch and that are submitted. The state of an id has its last submission and its messages,
+    also those of earlier lives."""
+    of = F.col("kind") == 0
+    held = events.groupBy("correlation_id").agg(
+        F.max(F.when(of, F.struct("seq", "type", "url"))).alias("opened"),
+        F.collect_list(F.when(~of, F.struct("seq", "status", "step", "step_status"))).alias("told"),
+    )
+    # by number, as it is the first field
+    current = F.array_sort(F.filter("told", lambda m: m["seq"] >= F.col("opened.seq")))
+    rows = held.where("opened is not null").select("correlation_id", "opened", current.alias("current"))
+    last = F.try_element_at("current", F.lit(-1))
+    rows = rows.select("*", F.filter("current", lambda m: m["step"].isNotNull()).alias("with_step"), last.alias("last"))
+    steps = F.transform("with_step", lambda m: F.struct(m["step"].alias("step"), m["step_status"].alias("step_status")))
+    submitted = F.array(F.struct(F.lit("submitted").alias("step"), F.lit("completed").alias("step_status")))
+    none = F.lit(None)
+    return rows.select(
+        F.lit("request").alias("kind"), "correlation_id", "opened.type", "opened.url", F.coalesce("last.status", F.lit("processing")).alias("status"),
+        (F.size("with_step") + 1).cast("bigint").alias("n_steps"), F.coalesce("last.seq", "opened.seq").alias("last_seq"), F.concat(submitted, steps).alias("steps"),
+        none.cast("bigint").alias("seq"), none.cast("string").alias("step"), none.cast("string").alias("step_status"),
+    )
+
+
 def changed_requests(changes: DataFrame) -> DataFrame:
     return changes.where("kind = 'request'").drop("kind", "seq", "step", "step_status")
 

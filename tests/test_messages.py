@@ -141,6 +141,35 @@ def test_streamed_requests_equal_batch(spark, tmp_path, seed):
     assert status.count() == 6
 
 
+HELD = [("podcast.download.complete", "f"), ("podcast.transcribe.failed", "f"), ("podcast.ad_detection.complete", None), ("podcast.audio_processing.complete", "f")]
+
+
+@pytest.mark.parametrize("aggregated", [True, False])
+def test_held_requests_in_any_order(spark, tmp_path, monkeypatch, aggregated):
+    """Messages far ahead of their submission, a submission after a later one, several messages of an id in one batch, and an id
+    without messages. Without a time to live the state of many ids costs no call of Python for each; RequestState gives the same."""
+    if not aggregated:
+        monkeypatch.setattr(S, "_held_requests", lambda events: events.groupBy("correlation_id").transformWithStateInPandas(S.RequestState(None, True), S.CHANGES, "update", "none"))
+    told = [(10 * i + j, *HELD[(i + j) % 4], c) for i in range(6) for j, c in enumerate("abcx")]
+    told = [(seq, topic, c, path) for seq, topic, path, c in told]
+    opened = [(-1, "a", "rss", "u/a"), (25, "b", None, "u/b1"), (5, "b", "rss", "u/b0"), (22, "c", "rss", "u/c"), (3, "d", "rss", None)]
+    # all that is told before all that is opened, but for the last rows
+    batches = [(told[12:], []), ([], opened[:2]), (told[3:12], opened[2:]), (told[:3], [])]
+    for n, (messages, submissions) in enumerate(batches):
+        drop(tmp_path, "messages", n, messages)
+        drop(tmp_path, "submissions", n, submissions)
+    streams = S.read_messages(spark, str(tmp_path / "messages"), 1), S.read_submissions(spark, str(tmp_path / "submissions"), 1)
+    query = S.to_table(S.request_changes_stream(*streams, hold=True), str(tmp_path / "out"), str(tmp_path / "c"), "update")
+    query.awaitTermination()
+    changes = S.latest_changes(spark.read.parquet(str(tmp_path / "out")))
+    have = log(spark, told), spark.createDataFrame(opened, SUBMISSIONS)
+    status = S.changed_requests(changes).select("correlation_id", "type", "url", "status", "n_steps", "last_seq")
+    assert sorted(map(tuple, status.collect())) == sorted(map(tuple, M.request_status(*have).collect()))
+    assert sorted(map(tuple, S.changed_steps(changes).drop("batch").collect())) == sorted(map(tuple, M.request_steps(*have).collect()))
+    operators = [o.operatorName for o in query.lastProgress.stateOperators]
+    assert (operators == ["stateStoreSave"]) == aggregated
+
+
 ANY = [
     {"topic": "podcast.download.complete", "data": {"file_path": "f1", "more": [1, {"a": None}]}, "message_id": "m1", "correlation_id": "a"},
     {"topic": "podcast.rss.download.complete", "data": {"rss_url": "u"}, "message_id": "m2", "correlation_id": None},
