@@ -18,12 +18,14 @@ from segmill.streaming import log, lookups
 from segmill.streaming import messages as S
 
 PARTS = 4
+#: Files of a part, which tasks write side by side.
+FILES = 8
 
 
-def _in_parts(df: DataFrame, folder: str, order: str) -> str:
-    """The rows as JSON files in the order of a column, a file for each part, so that a stream takes several batches."""
+def _in_parts(df: DataFrame, folder: str, order: str, files: int = 1) -> str:
+    """The rows as JSON files in the order of a column, some files for each part, so that a stream takes several batches."""
     # the ranges of a sorted column are the parts' order, and so are the files' names
-    df.repartitionByRange(PARTS, order).write.json(folder)
+    df.repartitionByRange(PARTS * files, order).write.json(folder)
     return folder
 
 
@@ -31,10 +33,10 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last changes of all requests, from streams of messages and submissions."""
     spark.conf.set(*S.STATE_STORE)
     folder = new_shared_folder(spark, "requests")
-    told = _in_parts(X.message_log(spark, sf_dir), f"{folder}/messages", "seq")
-    opened = _in_parts(X.submissions(spark, sf_dir), f"{folder}/submissions", "seq")
-    # parts of the two streams end at different numbers, so messages may overtake a submission
-    changes = S.request_changes_stream(S.read_messages(spark, told, 1), S.read_submissions(spark, opened, 1), hold=True)
+    told = _in_parts(X.message_log(spark, sf_dir), f"{folder}/messages", "seq", FILES)
+    opened = _in_parts(X.submissions(spark, sf_dir), f"{folder}/submissions", "seq", FILES)
+    # parts of the two streams end at different numbers, and files of a stream may change places, so messages may overtake a submission
+    changes = S.request_changes_stream(S.read_messages(spark, told, FILES), S.read_submissions(spark, opened, FILES), hold=True)
     S.to_table(changes, f"{folder}/changes", f"{folder}/checkpoint", "update").awaitTermination()
     return S.latest_changes(spark.read.parquet(f"{folder}/changes"))
 
