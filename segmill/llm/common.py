@@ -136,7 +136,7 @@ KEPT_BYTES, LONGEST_KEPT = 128 << 20, 64
 ENTRY_BYTES = 104
 
 
-class Kept(dict[str, T]):
+class Kept(dict[str | bytes, T]):
     """A table of words, bounded in bytes whatever the words are. It has two generations: when the younger one has half of the
     bytes it becomes the older, and the older goes, but for words that are asked for in the meantime."""
 
@@ -144,7 +144,7 @@ class Kept(dict[str, T]):
         super().__init__()
         self.most, self.bytes, self.older = most, 0, {}
 
-    def unknown(self, words: set[str]) -> set[str]:
+    def unknown(self, words: set[str] | set[bytes]) -> set[str] | set[bytes]:
         """The words that aren't in the table. The others are in the younger generation after this, and all of them can be looked
         up until words are kept."""
         # not by difference(), which would go through the whole table
@@ -154,7 +154,7 @@ class Kept(dict[str, T]):
             new.discard(word)
         return new
 
-    def keep(self, found: Mapping[str, T]) -> None:
+    def keep(self, found: Mapping[str, T] | Mapping[bytes, T]) -> None:
         for word, value in found.items():
             if self.bytes > self.most // 2:
                 self.older, self.bytes = dict(self), 0
@@ -162,7 +162,7 @@ class Kept(dict[str, T]):
             if len(word) <= LONGEST_KEPT and word not in self:
                 self._add(word, value)
 
-    def _add(self, word: str, value: T) -> None:
+    def _add(self, word: str | bytes, value: T) -> None:
         self[word] = value
         self.bytes += ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
 

@@ -8,7 +8,8 @@ in log time. A group has `group_docs` pieces on average, whatever the number and
 id and text are counted first and then told apart by a number, which is part of the hash, so they don't crowd one group.
 
 A word (a match of the tokenizer's own splitting pattern) is encoded by the library once and its ids are then kept, in a
-table of each Python worker that is bounded in bytes. A long text's words are made part by part.
+table of each Python worker that is bounded in bytes. Words are found in the bytes of an Arrow column, part by part: array operations
+on the kinds of its characters give the places where they start, and each unlike word of a part is looked up once.
 
 Nulls and empty texts are a document of one id, the end id. Null doc_ids and repeated rows are packed like any other
 row. Extra columns are ignored. An empty table gives an empty result. A sequence is padded to `length`, unless its size is a
@@ -19,22 +20,28 @@ from __future__ import annotations
 
 import math
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-from segmill.llm.byte_level import SPLIT, visible, words_of
+from segmill.llm.byte_level import SPLIT, visible_lines, word_starts
 from segmill.llm.common import Kept, materialise, resident, slices
 
 SEED = 17
 #: Bytes of the table of words.
 KEPT_WORDS = 160 << 20
+#: Bytes of texts that are split at once.
+PART_BYTES = 1 << 19
+#: New words that the library is asked for at once.
+ASKED_WORDS = 256
 #: Numbers of repeated rows that are made at once.
 COPIES = 1 << 16
 
@@ -42,44 +49,91 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordTokenizer:
-    """encode(text) gives the ids of a tokenizers file as little-endian unsigned 32-bit bytes."""
+    """encode(text) gives the ids of a tokenizers file as little-endian unsigned 32-bit bytes, encode_all(texts) those of each."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = Split("\n", "removed")
         probe = " Aé\x00 b'll\n"
-        if [i for w in SPLIT.findall(probe) for i in self._model_ids(w)] != self.library.encode(probe, add_special_tokens=False).ids:
+        if b"".join(self._model_ids([w.encode() for w in SPLIT.findall(probe)])) != np.array(self.library.encode(probe, add_special_tokens=False).ids, "<u4").tobytes():
             raise ValueError(f"{path} is no byte-level tokenizer")
         self.ids: Kept[bytes] = Kept(KEPT_WORDS)
-        specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = {k: np.uint32(i).tobytes() for k, i in specials.items()}
-        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+        specials = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {k: np.array([i], "<u4").tobytes() for k, i in specials.items()}
+        self.at_special = re.compile(b"|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
     def encode(self, text: str) -> bytes:
-        if self.at_special is None or not self.at_special.search(text):
-            return self._plain(text)
-        parts = self.at_special.split(text)
-        return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
-
-    def _plain(self, text: str) -> bytes:
-        out = []
-        for words in words_of(text):
-            try:
-                out.append(b"".join(map(self.ids.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(map(self._learn(set(words)).__getitem__, words)))
-        return b"".join(out)
-
-    def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(visible(word.encode()))]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        # a word is what the library's splitting yields, so its model is asked right away
-        new = {w: pack_ids(self._model_ids(w)) for w in self.ids.unknown(words)}
+        return self.encode_all(pa.array([text]))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """A null is an empty text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if edges[0] == edges[-1]:
+            return [b""] * len(texts)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        found, counted, text_ids = [], 0, np.zeros(len(edges), np.int64)
+        for start, end, starts in self._words(raw, edges):
+            ids = self._ids_of(raw[start:end], np.append(starts, end) - start)
+            before = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            found.append(ids.buffers()[2].to_pybytes()[before[0] : before[-1]] if before[-1] else b"")
+            here = slice(*np.searchsorted(edges, [start, end + (end == len(raw))]))
+            text_ids[here] = counted + before[np.searchsorted(starts, edges[here])] - before[0]
+            counted += len(found[-1])
+        whole = memoryview(b"".join(found))
+        return [bytes(whole[a:b]) for a, b in pairwise(text_ids.tolist())]
+
+    def _words(self, raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Parts of the texts, each with the places where its words start. A part ends with a word, and so may a long text."""
+        spans = np.zeros((0, 2), np.int64)
+        if self.at_special is not None:
+            view = memoryview(raw)
+            spans = np.array([m.span() for a, b in pairwise(edges.tolist()) for m in self.at_special.finditer(view, a, b)], np.int64).reshape(-1, 2)
+        first = np.sort(np.append(edges, spans))
+        start, size = 0, PART_BYTES
+        while start < len(raw):
+            end = min(start + size, len(raw))
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end += 1
+            starts, unsure = word_starts(raw[start:end], first[slice(*np.searchsorted(first, [start + 1, end]))] - start)
+            if len(spans):
+                # a special token is one word
+                starts = starts[np.searchsorted(spans[:, 0], starts + start) == np.searchsorted(spans[:, 1], starts + start, "right")]
+            if end < len(raw):
+                starts = starts[starts < unsure]
+                if len(starts) < 2:
+                    size *= 2
+                    continue
+                starts, end = starts[:-1], start + int(starts[-1])
+            yield start, end, starts + start
+            start, size = end, PART_BYTES
+
+    def _ids_of(self, raw: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The ids of each word. Words that repeat are looked up once."""
+        words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        unlike = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.ids.get, unlike))
+        if None in found:
+            learned = self._learn({w for w, ids in zip(unlike, found, strict=True) if ids is None})
+            found = [learned[w] if ids is None else ids for w, ids in zip(unlike, found, strict=True)]
+        return pa.array(found, pa.large_binary()).take(words.indices)
+
+    def _model_ids(self, words: list[bytes]) -> list[bytes]:
+        """The model's ids of words that the splitting yields."""
+        encoded = self.model.encode(visible_lines(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(words)))
+        return [ids[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        new = {w: self.special[w] for w in words if w in self.special}
+        asked = list(self.ids.unknown(words - new.keys()))
+        for i in range(0, len(asked), ASKED_WORDS):
+            some = asked[i : i + ASKED_WORDS]
+            new |= zip(some, self._model_ids(some), strict=True)
         found = {w: new[w] if w in new else self.ids[w] for w in words}
         self.ids.keep(new)
         return found
@@ -97,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1)
         coder, end = word_tokenizer(tokenizer), np.uint32(end_id).tobytes()
         for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1)), strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, i, min(length, n - i), zlib.crc32(ids[4 * i : 4 * (i + length)]), n) for i in range(0, n, length)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

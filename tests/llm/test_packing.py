@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -25,6 +27,36 @@ def test_word_tokens_are_the_library_s(text):
         assert np.frombuffer(packing.word_tokenizer(PATH).encode(t), "<u4").tolist() == ids_of(t)[:-1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sdmtrevlé²½Ⅷ١_,.<|>x0\x1c\x85\u2003\U0001f600ß日"), st.characters(codec="utf-8")), max_size=30), st.just(" <|endoftext|>'s"))), st.sampled_from([1, 7, 40, 1 << 22]))
+def test_neighbouring_texts_are_encoded_apart(texts, at_once):
+    """Many texts in one array, parts of any size, and an array that is a slice."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "PART_BYTES", at_once)
+        found = packing.word_tokenizer(PATH).encode_all(pa.array(["'s no part é", *texts, "nor 're"]).slice(1, len(texts)))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [ids_of(t)[:-1] for t in texts]
+
+
+def test_kinds_of_characters_are_the_pattern_s():
+    found = byte_level.kinds(21)
+    for kind, pattern in ((byte_level.LETTER, r"\p{L}"), (byte_level.DIGIT, r"\p{N}"), (byte_level.SPACE, r"\s")):
+        own = regex.compile(pattern)
+        assert all(bool(own.match(chr(c))) == (found[c] == kind) for c in range(0x30000))
+    assert (byte_level.kinds(8) == found[:256]).all()
+
+
+def test_words_of_neighbouring_texts_are_looked_up_once(monkeypatch):
+    """Seconds a GB: new words go to the library in few calls, and a word that repeats in neighbouring texts is learned once."""
+    coder, asked = packing.WordTokenizer(PATH), []
+    own = coder._model_ids
+    monkeypatch.setattr(coder, "_model_ids", lambda words: asked.append(words) or own(words))
+    texts = [f"new{i}a words{i % 7}b for each text, and 's old ones " * 5 for i in range(100)]
+    found = coder.encode_all(pa.array(texts))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [ids_of(t)[:-1] for t in texts]
+    words = [w for some in asked for w in some]
+    assert len(asked) == 1 and len(set(words)) == len(words) and b" words" in words
+
+
 def test_tables_of_words_are_bounded_in_bytes():
     """Long words, as of web data in base64, are encoded and not kept."""
     coder = packing.WordTokenizer(PATH)
